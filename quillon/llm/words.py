@@ -73,6 +73,30 @@ def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.
     return (np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)), counts
 
 
+_LETTER = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
+_TERM = _FOLDED.copy()
+_TERM[~_LETTER] = 0
+
+
+def term_hashes(text: bytes, prefix: int = 5) -> np.ndarray:
+    """Hashes of a text's terms (letters and digits, A-Z as a-z) and of their first prefix bytes."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    inside = _LETTER[data]
+    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    up, down = powers(len(data) + prefix)
+    code = _TERM[data]
+    whole = splitmix(np.add.reduceat(code * up[: len(data)], starts) * down[starts])
+    stem = np.zeros(len(starts), dtype=np.uint64)
+    for j in range(prefix):
+        at = np.minimum(starts + j, len(data) - 1)
+        stem += np.where(starts + j < ends, code[at] * up[j], U(0))
+    stem = splitmix(stem + U(1))[ends - starts >= prefix]
+    return np.concatenate((whole, stem))
+
+
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hash of each run of width words; windows across texts are the caller's to leave out."""
     n = len(words)
