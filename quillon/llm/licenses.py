@@ -9,7 +9,9 @@ priority stays; base rules count before this and keep their labels.
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -120,8 +122,11 @@ PASSAGES = (
     ("open-source", "open", "open source licen[cs]e", 0.3),
     ("spdx", "spdx", "spdx licen[cs]e identifier", 0.5),
 )
-#: The stems that stand in every text that any rule can match, letter case ignored.
-STEMS = "licen[cs]|gpl|apache|spdx|copyright|public domain|creative|cc[ -]by|cc0|all rights|permission is|permission to use|warrant|redistribut|unencumbered|misrepresented|endorse|proprietary|unauthori|wtfpl|gfdl|0bsd|beer|mulan|cecill|eupl|cddl|\\\\b(?:mpl|epl|ofl|bsd)\\\\b|of perl|as perl|public\\\\W"
+#: The stems of which one stands in every text that any rule can match, letter case ignored.
+STEMS = (
+    *"licen gpl apache spdx copyright public creative cc0 rights permission warrant redistribut unencumbered misrepresented endorse proprietary unauthori wtfpl gfdl 0bsd beer mulan cecill eupl cddl mpl epl ofl bsd perl".split(),
+    *("cc by", "cc-by", "compliance"),
+)
 
 
 def _version(words: str) -> str:
@@ -192,7 +197,9 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[
     keywords = F.array(*[F.lit(k) for k in sorted({r.keyword for r in ruleset})])
     whole = F.coalesce(F.col("__text"), F.lit(""))
     parted = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    parted = parted.select("__id", F.array_remove(F.split(whole, BREAK), "").alias("__words"), F.expr(f"coalesce(__text, '') RLIKE '(?i){STEMS}'").alias("__gate"))
+    parted = parted.select("__id", F.array_remove(F.split(whole, BREAK), "").alias("__words"), F.lower(whole).alias("__low"))
+    gate = functools.reduce(operator.or_, [F.contains(F.col("__low"), F.lit(s)) for s in STEMS])
+    parted = parted.withColumn("__gate", gate).drop("__low")
     gated = parted.select("__id", F.size("__words").cast("long").alias("n_words"), F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))).alias("__all"))
     gated = gated.withColumn("__low", F.lower("__all"))
     own = gated.withColumn("__keys", F.when(F.col("__low").isNotNull(), F.filter(keywords, lambda k: F.contains(F.col("__low"), F.concat(F.lit(" "), k, F.lit(" ")))))).drop("__low")
