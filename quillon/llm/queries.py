@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, licenses, media, mixing, quality, substring, toxicity
+from quillon.llm import bpe, html_text, licenses, media, mixing, ngrams, quality, substring, toxicity
 from quillon.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +42,10 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, WORD_VOCABULARY, with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -52,7 +56,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op9_bpe_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
