@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, licenses, media, mixing, ngrams, quality, substring, toxicity
+from quillon.llm import bpe, html_text, licenses, media, minhash, mixing, ngrams, quality, substring, toxicity
 from quillon.llm.common import table
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), into="kept_sha256", digest=True)
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -56,7 +60,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
