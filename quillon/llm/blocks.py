@@ -26,10 +26,11 @@ def plan(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[in
     return n, max(4, math.ceil(math.log2(n / BUCKET_BLOCKS)))
 
 
-def in_blocks(docs: DataFrame, id: str, text: str, n: int) -> DataFrame:
-    """(__block, __id, __text); null texts as they are."""
+def in_blocks(docs: DataFrame, id: str, text: str, n: int, rest: dict[str, str] | None = None) -> DataFrame:
+    """(__block, __id, __text) and further columns by new names; null texts as they are."""
     id_, text_ = F.col(f"`{id}`"), F.col(f"`{text}`")
-    return docs.select(F.pmod(F.xxhash64(id_, text_), F.lit(n)).cast("int").alias("__block"), id_.alias("__id"), text_.alias("__text"))
+    more = [F.col(f"`{old}`").alias(new) for new, old in (rest or {}).items()]
+    return docs.select(F.pmod(F.xxhash64(id_, text_), F.lit(n)).cast("int").alias("__block"), id_.alias("__id"), text_.alias("__text"), *more)
 
 
 def pack(values: np.ndarray) -> bytes:

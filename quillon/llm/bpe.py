@@ -170,37 +170,35 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> I
         yield first, run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Every row of docs (same columns) with n_tokens, ids (array<int>) and decoded.
 
     Null text counts as empty: 0 tokens, no ids, empty decoded text. Rows are
     independent, so repeated rows and ties give equal values, and an empty
     table gives an empty one. Columns of docs named like the results are
     replaced. with_ids=False gives ids_sha256 and decoded_sha256 instead
-    of the sequences, without holding them as rows.
+    of the sequences, without holding them as rows; with_decoded=False leaves
+    out the decoded text.
     """
     drop = [c for c in docs.columns if c.lower() in {"n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"}]
     docs = docs.drop(*drop)
-    extra = "n_tokens long, " + ("ids array<int>, decoded string" if with_ids else "ids_sha256 string, decoded_sha256 string")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", " + extra
+    results = {"n_tokens": ("long", pa.int64())}
+    results |= {"ids": ("array<int>", pa.list_(pa.int32()))} if with_ids else {"ids_sha256": ("string", pa.string())}
+    if with_decoded:
+        results["decoded" if with_ids else "decoded_sha256"] = ("string", pa.string())
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], *[f"{k} {t}" for k, (t, _) in results.items()]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(vocabulary)
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             for first, run in slices(batch, text):
-                counts, ids, decoded = [], [], []
-                for n, i, d in use.encode(run):
-                    counts.append(n)
-                    if with_ids:
-                        ids.append(np.array(i.split(), dtype=np.int32))
-                        decoded.append(d)
-                    else:
-                        ids.append(hashlib.sha256(i.encode()).hexdigest())
-                        decoded.append(hashlib.sha256(d.encode()).hexdigest())
+                rows = []
+                for n, ids, decoded in use.encode(run):
+                    rows.append((n, np.array(ids.split(), dtype=np.int32) if with_ids else digest(ids), decoded if with_ids else digest(decoded)))
                 part = batch.slice(first, len(run))
-                names = ["n_tokens", "ids", "decoded"] if with_ids else ["n_tokens", "ids_sha256", "decoded_sha256"]
-                results = [pa.array(counts, pa.int64()), pa.array(ids, pa.list_(pa.int32()) if with_ids else pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *results], names=[*part.schema.names, *names])
+                made = [pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(results.values())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *results])
 
     return docs.mapInArrow(work, schema)
 

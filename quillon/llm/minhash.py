@@ -265,3 +265,9 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     out = signed.select("id", "n", "h1", "h2").join(own, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that are near duplicates of a smaller id. Rows of null id stay."""
+    gone = near_duplicates(docs, id, text).where("NOT kept").select(F.col(f"`{id}`").cast(docs.schema[id].dataType).alias(id)).where(F.col(f"`{id}`").isNotNull()).distinct()
+    return docs.join(gone, id, "left_anti").select(*docs.columns)

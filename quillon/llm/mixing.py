@@ -91,3 +91,19 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     copies = F.least(F.greatest(crossed, F.lit(0)), F.ceil(rate)).cast("long")
     return joined.select(F.col("__id").alias(id), F.col("source").alias(source), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def emit(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """The rows of docs, each as often as mix takes it.
+
+    Rows of equal id are told apart by their sizes; of equal sizes, they are
+    exchangeable for the mix, and each gets the copies of one of them.
+    """
+    taken = mix(docs, id, text, source, **how).where("copies > 0").select(F.col(f"`{id}`").alias("__of"), F.col("size").alias("__words"), F.col("copies").alias("__copies"))
+    same = Window.partitionBy("__of", "__words").orderBy("__copies")
+    taken = taken.withColumn("__nth", F.row_number().over(same))
+    rows = docs.select("*", F.col(f"`{id}`").alias("__of"), word_count(F.col(f"`{text}`")).alias("__words"))
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__of", "__words").orderBy(F.xxhash64(F.col(f"`{text}`")))))
+    hit = rows["__of"].eqNullSafe(taken["__of"]) & (rows["__words"] == taken["__words"]) & (rows["__nth"] == taken["__nth"])
+    times = F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))
+    return rows.join(taken, hit).select(*[rows[c] for c in docs.columns], times.alias("__time")).drop("__time")

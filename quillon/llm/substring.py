@@ -184,8 +184,8 @@ def _covered(b: _Block, answers: pa.Table, width: int) -> np.ndarray:
     return np.cumsum(change)[: len(b.words)] > 0
 
 
-def _kept(width: int, whole: bool):
-    """Block to rows: the texts without the covered words."""
+def _kept(width: int, whole: bool, as_is: bool, rest: list[str]):
+    """Block to rows: the texts without the covered words, and the columns rest as they were."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(table)
@@ -193,22 +193,27 @@ def _kept(width: int, whole: bool):
         removed, out = [], []
         for text, at, n in zip(b.texts, b.first.tolist(), b.counts.tolist(), strict=True):
             gone = covered[at : at + n]
-            words = text.split()
             k = int(gone.sum())
-            if k:
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            kept = b" ".join(words)
+            if k or not as_is:
+                words = text.split()
+                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g] if k else words)
+            else:
+                kept = text
             removed.append(k)
             out.append(kept.decode() if whole else hashlib.sha256(kept).hexdigest())
-        ids = table.column("__id").take(pa.array(b.order, pa.int64()))
-        columns = {"__id": ids, "n_words": pa.array(b.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "__out": pa.array(out, pa.string())}
+        order = pa.array(b.order, pa.int64())
+        columns = {c: table.column(c).take(order) for c in ["__id", *rest]}
+        columns |= {"n_words": pa.array(b.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "__out": pa.array(out, pa.string())}
         return pa.table(columns)
 
     return work
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into: str = "kept_text", width: int = WIDTH, n_rounds: int = ROUNDS, digest: bool = False) -> DataFrame:
-    """Per row: id, n_words, n_removed and the kept words joined by spaces (digest: their SHA-256).
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into: str = "kept_text", width: int = WIDTH, n_rounds: int = ROUNDS, digest: bool = False, as_is: bool = False) -> DataFrame:
+    """docs without text, with n_words, n_removed and the kept words joined by spaces (digest: their SHA-256).
+
+    as_is: texts that lose nothing stay as they are. Other columns of docs go
+    through; those of the results' names are replaced.
 
     A word goes if a window of width words that covers it starts earlier
     elsewhere: in a smaller id, or earlier in the same text. Windows are judged
@@ -218,11 +223,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into
     removes nothing.
     """
     n_blocks, bits = plan(docs, text)
-    rows = in_blocks(docs, id, text, n_blocks).withColumn("__id", F.col("__id").cast("long"))
+    made = {"n_words", "n_removed", into.lower()}
+    others = [f for f in docs.schema.fields if f.name not in (id, text) and f.name.lower() not in made]
+    rest = [f"__c{i}" for i in range(len(others))]
+    rows = in_blocks(docs.withColumn(id, F.col(f"`{id}`").cast("long")), id, text, n_blocks, {c: f.name for c, f in zip(rest, others, strict=True)})
     blocks = rows.groupBy("__block")
     names = blocks.applyInArrow(_names(width, n_rounds, bits), "bucket int, __block int, names binary, twice binary")
     flags = names.groupBy("bucket").applyInArrow(_repeated, "__block int, bucket int, flags binary")
     some = blocks.cogroup(flags.groupBy("__block")).applyInArrow(_candidates(width, n_rounds, bits), "bucket int, __block int, keys binary, checks binary, ids binary, docs binary, starts binary")
     late = some.groupBy("bucket").applyInArrow(_earlier, "__block int, late_ids binary, late_starts binary")
-    kept = blocks.cogroup(late.groupBy("__block")).applyInArrow(_kept(width, not digest), "__id long, n_words long, n_removed long, __out string")
-    return kept.select(F.col("__id").cast(docs.schema[id].dataType).alias(id), "n_words", "n_removed", F.col("__out").alias(into))
+    schema = ", ".join(["__id long", *[f"{c} {f.dataType.simpleString()}" for c, f in zip(rest, others, strict=True)], "n_words long, n_removed long, __out string"])
+    kept = blocks.cogroup(late.groupBy("__block")).applyInArrow(_kept(width, not digest, as_is, rest), schema)
+    return kept.select(F.col("__id").cast(docs.schema[id].dataType).alias(id), *[F.col(c).alias(f.name) for c, f in zip(rest, others, strict=True)], "n_words", "n_removed", F.col("__out").alias(into))
