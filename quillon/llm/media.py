@@ -5,10 +5,11 @@ samples, 64 to a row, in a tar shard of the shared folder. Rows carry digest,
 shard, offset and length only. Metadata columns come from range reads of the
 PNG's first 33 bytes; whole payloads are read back only for features.
 
-Payloads travel compressed and without the copies that one task already saw;
-all rows of one digest then meet in one task, which stores the first. Every
-attempt of a task writes files of its own, and only the rows of the attempt
-that counts name them, so that a lost executor leaves unused files at most.
+The task that reads a text writes its payload, once for each digest that the
+task sees, so that no payload is shuffled. Of the places where several tasks
+stored one digest, one is chosen for all rows. Every attempt of a task writes
+files of its own, and only the rows of the attempt that counts name them, so
+that a lost executor leaves unused files at most.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def to_png(payload: bytes) -> bytes:
     height = len(payload) // ROW
     rows = np.zeros((height, ROW + 1), dtype=np.uint8)
     rows[:, 1:] = np.frombuffer(payload, dtype=np.uint8).reshape(height, ROW)
-    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return _SIGNATURE + _chunk(b"IHDR", struct.pack(">IIBBBBB", ROW, height, 8, 0, 0, 0, 0)) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def png_header(head: bytes) -> tuple[int, int, int]:
@@ -123,41 +124,32 @@ class _Shards:
 
 
 def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stores each different payload once; returns (digest, shard, offset, length, media_sha256).
+    """Stores payloads, one a task and digest; returns (digest, shard, offset, length, media_sha256), one row a digest, by shard and offset.
 
     The digest is that of the padded payload. Equal texts, repeated rows and
     null next to empty texts share one member. An empty table stores nothing.
     """
 
-    def to_media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, seen = _Shards(folder, shard_bytes), set()
         for batch in batches:
             for _, run in slices(batch, "__text"):
-                digests, media = [], []
+                rows = []
                 for raw in run:
                     payload = pad(raw)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
                         seen.add(digest)
-                        digests.append(digest.hex())
-                        media.append(to_png(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(media, pa.binary())], names=["digest", "media"])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, seen = _Shards(folder, shard_bytes), set()
-        for batch in batches:
-            rows = []
-            for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media"), strict=True):
-                if digest not in seen:
-                    seen.add(digest)
-                    media = media.as_py()
-                    shard, start = shards.add(f"{digest}.png", media)
-                    rows.append((digest, shard, start, len(media), hashlib.sha256(media).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["digest", "shard", "offset", "length", "media_sha256"])
+                        media = to_png(payload)
+                        rows.append((digest.hex(), *shards.add(f"{digest.hex()}.png", media), len(media), hashlib.sha256(media).hexdigest()))
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length", "media_sha256"])
         shards.close()
 
-    media = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(to_media, "digest string, media binary").repartition("digest")
-    return cut_lineage(media.mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string"))
+    written = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string")
+    places = cut_lineage(written).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
+    return places.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
 def _ranges(folder: str, batch: pa.RecordBatch, most: int | None = None) -> Iterator[bytes]:
