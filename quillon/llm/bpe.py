@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -208,9 +209,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", into: str = "d
     encoded = encoded.drop(into)
 
     @F.pandas_udf("string")
-    def text_of(column: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
+    def text_of(column: pd.Series) -> pd.Series:
         use = codec(vocabulary).tokenizer
         return pd.Series([use.decode([int(x) for x in v], skip_special_tokens=False) if v is not None else "" for v in column], dtype=object)
 

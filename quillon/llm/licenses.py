@@ -85,7 +85,8 @@ FAMILIES = (
     ("perl", "perl", ("same terms as perl(?: itself)?",), ()),
     ("vim", "vim", ("vim licen[cs]e",), ()),
     ("json", "json", ("json licen[cs]e",), ()),
-    ("beerware", "beer", ("beer ?ware licen[cs]e", "beer ware"), ()),
+    ("beerware", "beer", ("beer ware licen[cs]e", "beer ware"), ()),
+    ("beerware", "beerware", ("beerware licen[cs]e",), ()),
     ("mit", "mit", ("mit licen[cs]e", "mit(?: style| x11)? licen[cs]ed?", "licen[cs]ed under (?:the )?mit"), ()),
     ("x11", "x11", ("x11 licen[cs]e",), ()),
     ("bsd", "bsd", ("bsd licen[cs]e", "bsd style licen[cs]e", "licen[cs]ed under (?:the )?bsd"), ()),
@@ -102,7 +103,7 @@ PASSAGES = (
     ("isc", "granted", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted", 0.95),
     ("bsd-3-clause", "endorse", "neither the name of .{1,80}? may be used to endorse or promote products", 0.9),
-    ("apache-2.0", "apache", "you may not use this file except in compliance with the licen[cs]e", 0.8),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the licen[cs]e", 0.8),
     ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 0.95),
     ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public licen[cs]e", 0.95),
     ("mpl-2.0", "mozilla", "this source code form is subject to the terms of the mozilla public licen[cs]e v ?2 0", 0.95),
