@@ -124,7 +124,7 @@ class _Shards:
 
 
 def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Stores payloads, one a task and digest; returns (digest, shard, offset, length, media_sha256), one row a digest, by shard and offset.
+    """Stores payloads, one a task and digest; returns (digest, shard, offset, length), one row a digest, by shard and offset.
 
     The digest is that of the padded payload. Equal texts, repeated rows and
     null next to empty texts share one member. An empty table stores nothing.
@@ -141,14 +141,14 @@ def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = S
                     if digest not in seen:
                         seen.add(digest)
                         media = to_png(payload)
-                        rows.append((digest.hex(), *shards.add(f"{digest.hex()}.png", media), len(media), hashlib.sha256(media).hexdigest()))
-                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length", "media_sha256"])
+                        rows.append((digest, *shards.add(f"{digest.hex()}.png", media), len(media)))
+                kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64())
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "shard", "offset", "length"])
         shards.close()
 
-    written = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(write, "digest string, shard string, offset long, length long, media_sha256 string")
-    places = cut_lineage(written).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
+    written = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(write, "digest binary, shard string, offset long, length long")
+    places = cut_lineage(written).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
     return places.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
 
 
@@ -180,20 +180,20 @@ def describe(index: DataFrame, folder: str) -> DataFrame:
 
 
 def features(index: DataFrame, folder: str) -> DataFrame:
-    """Adds payload_bytes, payload_sha256, tail_crc32 and feature from the payloads read back."""
+    """Adds payload_bytes, payload_sha256, tail_crc32, feature and media_sha256 from the stored bytes, read back whole."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for media in _ranges(folder, batch):
                 payload = from_png(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature(payload)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), feature(payload), hashlib.sha256(media).hexdigest()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature", "media_sha256"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
-    return index.mapInArrow(work, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return index.mapInArrow(work, f"{schema}, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, media_sha256 string")
 
 
 def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -202,6 +202,6 @@ def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", folde
     folder: where the shards go (a new one in the shared folder if None).
     """
     folder = folder or scratch(docs.sparkSession, "media")
-    rows = docs.select(F.col(f"`{id}`").alias("__id"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"), F.sha2(payload_of(F.col(f"`{text}`")), 256).alias("digest"))
+    rows = docs.select(F.col(f"`{id}`").alias("__id"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload_of(F.col(f"`{text}`")), 256)).alias("digest"))
     found = features(describe(store(docs, folder, text), folder), folder)
     return rows.join(found, "digest").withColumnRenamed("__id", id)
