@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import bpe, html_text, licenses, media, minhash, mixing, ngrams, quality, substring, toxicity
 from quillon.llm.common import table
+from quillon.llm.oracles import ORACLES
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,7 +25,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +49,8 @@ def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngrams.score(table(spark, sf_dir, "documents"))
+    scored = ngrams.score(table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
 
 
 def op9_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for those queries that it can express."""
+    return dict(ORACLES)
