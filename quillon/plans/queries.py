@@ -634,3 +634,60 @@ def encode_topk_udf(spark: SparkSession, sf: str) -> DataFrame:
     w = rng.normal(size=(64, 256)).astype(np.float32)
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
     return vectors.encode_topk(rows, "embedding", w, np.zeros(256, np.float32), np.zeros(64, np.float32), 16, layernorm=True)
+
+
+@query(
+    f"""WITH {NULLS}, au AS (SELECT concept, feature, CAST(sum(y) AS BIGINT) AS n_pos, avg(y) AS prevalence, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) WHERE concept < 3 GROUP BY concept, feature),
+b AS (SELECT * FROM (SELECT *, greatest(a, 1 - a) AS f, row_number() OVER (PARTITION BY concept ORDER BY greatest(a, 1 - a) DESC, feature) AS r FROM au) WHERE r = 1),
+e AS (SELECT concept, feature, n_pos, prevalence, a, f, (1 + sum(CASE WHEN v >= f THEN 1 ELSE 0 END)) / (1.0 + count(*)) AS p, quantile_cont(v, 0.95) AS p95 FROM b JOIN mx USING (concept) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (ORDER BY p, concept) AS rank, CAST(count(*) OVER () AS DOUBLE) AS m FROM e), k AS (SELECT max(CASE WHEN p <= 0.05 * rank / m THEN rank END) AS k FROM q)
+SELECT concept, feature AS best_feature, n_pos, round(prevalence, 6) AS prevalence, round(f, 6) AS best_auroc, round(a, 6) AS raw_best_auroc, a < 0.5 AS inverse, round(p95, 6) AS null_p95, round(p, 6) AS p, CAST(rank AS INTEGER) AS fdr_rank, coalesce(rank <= k, false) AS significant, f >= 0.7 AND f > p95 AS recovered FROM q, k"""
+)
+def match_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Everything known of each concept's best channel: area, null, p, false discovery, recovery."""
+    labels = one_hot(spark, sf).where("concept < 3")
+    best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), labels))
+    totals = labels.groupBy("concept").agg(F.sum("y").cast("long").alias("n_pos"), F.avg("y").alias("prevalence"))
+    null = _null(spark, sf)
+    p = inference.empirical_p(best.select("concept", F.col("best_auroc").alias("value")), null, "concept").select(F.col("concept").alias("id"), "p")
+    tested = inference.benjamini_hochberg(p).withColumnRenamed("id", "concept")
+    table_ = best.join(totals, "concept").join(null.groupBy("concept").agg(F.percentile("value", 0.95).alias("null_p95")), "concept").join(tested, "concept")
+    recovered = (F.col("best_auroc") >= 0.7) & (F.col("best_auroc") > F.col("null_p95"))
+    out = table_.select("concept", "best_feature", "n_pos", "prevalence", "best_auroc", F.col("raw_auroc").alias("raw_best_auroc"), "inverse", "null_p95", "p", F.col("rank").alias("fdr_rank"), "significant", recovered.alias("recovered"))
+    return rounded(out, "prevalence", "best_auroc", "raw_best_auroc", "null_p95", "p")
+
+
+@query(
+    f"WITH {HALVES}, s AS (SELECT id, id % 3 AS seed, v FROM u), c AS (SELECT a.seed AS seed_a, b.seed AS seed_b, a.id, max(list_dot_product(a.v, b.v)) AS c FROM s a JOIN s b ON a.seed < b.seed GROUP BY ALL) SELECT seed_a, seed_b, count(*) AS n, round(avg(c), 6) AS mean_cosine, CAST(sum(CAST(c >= 0.7 AS INTEGER)) AS BIGINT) AS agreed FROM c GROUP BY ALL"
+)
+def seed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of three dictionaries: how near each direction's best match is."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 3).alias("seed"))
+    pairs = None
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        found = vectors.nearest_by_cosine(rows.where(F.col("seed") == a), rows.where(F.col("seed") == b))
+        one = found.agg(F.count("*").alias("n"), F.avg("cosine").alias("mean_cosine"), F.sum((F.col("cosine") >= 0.7).cast("long")).alias("agreed")).select(F.lit(a).cast("long").alias("seed_a"), F.lit(b).cast("long").alias("seed_b"), "*")
+        pairs = one if pairs is None else pairs.union(one)
+    return rounded(pairs, "mean_cosine")
+
+
+@query("WITH r AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), s AS (SELECT c_custkey, c_name FROM customer) SELECT coalesce(o_custkey, c_custkey) AS custkey, count(o_orderkey) AS n_orders, count(c_name) > 0 AS planned FROM r FULL JOIN s ON o_custkey = c_custkey GROUP BY ALL")
+def planned_status_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Planned records against what came: a full outer join keeps what either side lacks."""
+    o, c = table(spark, sf, "orders").select("o_orderkey", "o_custkey"), table(spark, sf, "customer").select("c_custkey", "c_name")
+    both = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "full")
+    return both.groupBy(F.coalesce("o_custkey", "c_custkey").alias("custkey")).agg(F.count("o_orderkey").alias("n_orders"), (F.count("c_name") > 0).alias("planned"))
+
+
+SH = draw_sql("concat_ws('|', 'shuffle', chrom, CAST(s AS VARCHAR), CAST(e AS VARCHAR))")
+
+
+@query(f'WITH {EV}, {HOURS}, d AS (SELECT chrom, min(b) AS lo, max(be) AS hi FROM hours GROUP BY chrom), x AS (SELECT chrom, lo + {SH} % (hi - lo - (e - s) + 1) AS st, e - s AS w FROM ev JOIN d USING (chrom) WHERE hi - lo >= e - s) SELECT chrom, st AS "start", st + w AS "end" FROM x')
+def shuffled_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    domain = intervals.concept_domains(hours(spark, sf))
+    return intervals.shuffle_within(spans(spark, sf).join(domain, "chrom").select("chrom", "low", "high", "start", "end"), "shuffle")
+
+
+@query(f"WITH {EV} SELECT concept, count(*) AS n, min(s) AS low, max(e) AS high, CAST(sum(e - s) AS BIGINT) AS bases FROM ev GROUP BY concept")
+def quantity_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    return spans(spark, sf).groupBy("concept").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))
