@@ -27,9 +27,16 @@ def islands(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), gap: int = 0)
     return reach.withColumn("island", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__reach")
 
 
-def merge(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), validate: bool = True) -> DataFrame:
-    """Union of overlapping or abutting intervals."""
+def merge(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), validate: bool = True, cell: int | None = None) -> DataFrame:
+    """Union of overlapping or abutting intervals.
+
+    cell: merge within cells of that width first, so that a key with a large
+    share of the rows is ordered by many tasks, and only merged pieces meet.
+    """
     frame = checked(frame) if validate else frame
+    if cell is not None:
+        cut = frame.withColumn("__cell", F.floor(F.col("start") / cell))
+        frame = merge(cut, (*keys, "__cell"), validate=False).drop("__cell")
     found = islands(frame, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return found.drop("island")
 

@@ -19,6 +19,11 @@ def test_merge_overlap_abut_nested(spark):
     assert pairs(iv.merge(frame(spark, [(0, 100), (20, 30)]))) == [(0, 100)]
 
 
+def test_merge_by_cells_is_the_same(spark):
+    rows = frame(spark, [(i * 7 % 500, i * 7 % 500 + i % 11 + 1) for i in range(200)])
+    assert pairs(iv.merge(rows, cell=64)) == pairs(iv.merge(rows))
+
+
 def test_merge_refuses_empty_intervals(spark):
     with pytest.raises(Exception, match="end <= start"):
         iv.merge(frame(spark, [(50, 50)])).collect()
