@@ -67,10 +67,10 @@ def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_d
     if not rows:
         return np.empty(0, dtype=np.int64)
     size = 1 << BUCKET_BITS
-    flat = np.concatenate(rows)
-    label = np.repeat(y, [len(r) for r in rows])
-    with_term = np.bincount(flat, minlength=size).astype(np.float64)
-    toxic = np.bincount(flat[label == 1], minlength=size).astype(np.float64)
+    with_term, toxic = np.zeros(size), np.zeros(size)
+    for r, label in zip(rows, y, strict=True):  # a row names a bucket once
+        with_term[r] += 1
+        toxic[r] += label
     n, k = len(y), float(y.sum())
     expected = with_term * k / n
     chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - k / n) * (1 - with_term / n), 1e-9)
@@ -133,13 +133,14 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, run in slices(batch, "__text"):
-                own = [np.unique(term_hashes(t) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32) for t in run]
-                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(first, len(run)), batch.column("__y").slice(first, len(run)), pa.array(own, pa.list_(pa.int32()))], names=["__id", "__y", "__terms"])
+                own = [np.unique(term_hashes(t) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32).tobytes() for t in run]
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(first, len(run)), batch.column("__y").slice(first, len(run)), pa.array(own, pa.binary())], names=["__id", "__y", "__terms"])
 
     kind = docs.schema[id].dataType.simpleString()
     # At most `most` rows of two numbers: their size is bounded by the parameter.
-    found = texts.join(F.broadcast(chosen), "__id").mapInArrow(terms, f"__id {kind}, __y int, __terms array<int>").toPandas().sort_values(["__id", "__y"])
-    return fit([np.asarray(t, dtype=np.int64) for t in found["__terms"]], found["__y"].clip(0, 1).to_numpy())
+    found = texts.join(F.broadcast(chosen), "__id").mapInArrow(terms, f"__id {kind}, __y int, __terms binary").toArrow().combine_chunks().sort_by([("__id", "ascending"), ("__y", "ascending")])
+    rows = [np.frombuffer(t.as_buffer(), dtype=np.int32) if t.is_valid and len(t.as_py()) else np.empty(0, dtype=np.int32) for t in found.column("__terms")]
+    return fit(rows, found.column("__y").to_numpy().clip(0, 1))
 
 
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
