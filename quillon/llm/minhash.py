@@ -10,8 +10,9 @@ say which classes may be alike:
 
 1. in each band key's group, all are compared with the smallest id;
 2. groups whose members the links found so far don't join into one component
-   go on: there, members of different components are compared by signature,
-   in tiles of bounded size, and only pairs that may be alike leave the task.
+   go on: members outside the group's largest component are compared by
+   signature with all others, in tiles of bounded size that hold the texts too,
+   and only links leave the task.
 
 Every link counts only after its full sets are compared.
 """
@@ -203,20 +204,25 @@ def _may_link(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of a tile that may link and are not yet of one component."""
+    """Links between a probe and a member of the tile that are not yet of one component.
+
+    Signatures choose the pairs, full sets decide; what isn't a link stays here.
+    """
     reps, comps, part = (table.column(c).to_numpy() for c in ("rep", "comp", "part"))
+    probe = np.array(table.column("probe").to_pylist(), dtype=bool)
     signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-    low, high = key[1].as_py(), key[2].as_py()
-    rows, cols = np.flatnonzero(part == low), np.flatnonzero(part == high)
-    out_a, out_b = [], []
+    texts, sets = table.column("text"), {}
+    rows, cols = np.flatnonzero(probe), np.flatnonzero(part == key[1].as_py())
+    found = set()
     for at in range(0, len(rows), 64):
         r = rows[at : at + 64]
         maybe = (_estimates(signs[r], signs[cols]) >= LEAST_ESTIMATE) & (comps[r][:, None] != comps[cols][None, :])
-        i, j = np.nonzero(maybe)
-        out_a.append(np.minimum(reps[r[i]], reps[cols[j]]))
-        out_b.append(np.maximum(reps[r[i]], reps[cols[j]]))
-    empty = [np.empty(0, dtype=np.int64)]
-    return pa.table({"a": pa.array(np.concatenate(out_a or empty), pa.int64()), "b": pa.array(np.concatenate(out_b or empty), pa.int64())})
+        near = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in (r[maybe.nonzero()[0]], cols[maybe.nonzero()[1]])), strict=True)}
+        new = sorted({x for pair in near for x in pair} - sets.keys())
+        sets.update(zip(new, shingle_sets([texts[x].as_py().encode() for x in new]), strict=True))
+        found |= {pair for pair in near if similar(sets[pair[0]], sets[pair[1]])}
+    ends = [(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in found]
+    return pa.table({"a": pa.array([int(e[0]) for e in ends], pa.int64()), "b": pa.array([int(e[1]) for e in ends], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +248,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     shared = asked.groupBy("bucket").applyInArrow(_shared, "__block int, bucket int, flags binary")
     found = cut_lineage(blocks.cogroup(shared.groupBy("__block")).applyInArrow(_candidates(bits), "rep long, sign binary, keys array<long>"))
     signs = found.select("rep", "sign")
-    texts = rows.join(found.select(F.col("rep").alias("__rep")).distinct(), F.col("__id") == F.col("__rep")).select(F.col("__rep").alias("rep"), F.coalesce("__text", F.lit("")).alias("text")).distinct()
+    texts = rows.join(found.select(F.col("rep"), "sign"), F.col("__id") == F.col("rep")).select("rep", "sign", F.coalesce("__text", F.lit("")).alias("text")).distinct()
     texts = cut_lineage(texts)
     members = found.select("rep", F.explode("keys").alias("key"))
 
@@ -252,12 +258,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     comps = components(links)
 
     named = members.join(comps, members["rep"] == comps["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("key", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rest = named.join(open_keys, "key").select("key", "rep", "comp", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
-    tiled = rest.select("key", "rep", "comp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    tiled = tiled.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "rep", "comp", "part").join(signs, "rep")
-    more = tiled.groupBy("key", "low", "high").applyInArrow(_tile, "a long, b long").where("a < b").distinct()
-    links = links.union(_verify(more, texts))
+    member = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
+    by_comp = named.groupBy("key", "comp").agg(F.count("*").alias("n"), member(1).alias("m1"), member(2).alias("m2"))
+    groups = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2")).where("comps > 1")
+    # Bands whose groups have the same members ask the same question: one of them asks it.
+    open_keys = groups.groupBy("size", "m1", "m2").agg(F.min(F.struct("key", "main")).alias("g")).select("g.key", "g.main", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
+    rest = named.join(open_keys, "key").select("key", "rep", "comp", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (F.col("comp") != F.col("main")).alias("probe"))
+    # Members outside the group's largest component go to all tiles, the others to their own.
+    tiles = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    tiled = rest.select("key", "rep", "comp", "part", "probe", F.explode(tiles).alias("tile")).join(texts, "rep")
+    more = tiled.groupBy("key", "tile").applyInArrow(_tile, "a long, b long").where("a < b").distinct()
+    links = links.union(more)
     comps = components(links)
 
     own = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
