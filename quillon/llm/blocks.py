@@ -49,14 +49,15 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending integers, at least one: the first whole, the others as differences."""
     values = np.ascontiguousarray(values, dtype=np.uint64)
-    return pack(np.diff(values, prepend=np.uint64(0)))
+    return values[:1].tobytes() + pack(np.diff(values))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data), dtype=np.uint64)
+    return np.cumsum(np.concatenate((np.frombuffer(data[:8], dtype=np.uint64), unpack(data[8:]))), dtype=np.uint64)
 
 
-def bucket_bounds(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket begins in sorted keys, and the end."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+def bucket_bounds(keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where each bucket begins in sorted keys of width bits, and the end."""
+    return np.searchsorted(keys >> np.uint64(width - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
