@@ -352,12 +352,12 @@ def _null(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(5)).alias("run"))
     order = Window.partitionBy("run")
     places = own.withColumn("i", (F.row_number().over(order.orderBy("id")) - 1).cast("long")).withColumn("n", F.count("*").over(order))
-    labels = places.join(one_hot(spark, sf).where("concept < 3"), "id")  # three concepts are what this null is on
+    labels = places.join(one_hot(spark, sf), "id")
     offsets = inference.hashed_offsets(places.groupBy("run").agg(F.max("n").alias("n")), 20, "null")
     rolled = inference.roll_labels(labels, offsets)
     ranked = ranks.average_rank(channels(spark, sf)).select("id", "feature", "rk")
     sums = ranked.join(rolled, "id").groupBy("draw", "concept", "feature").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"), F.sum(F.when(F.col("y") == 1, F.col("rk"))).alias("rs"))
-    area = (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))
+    area = F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))  # null for a label that no row has
     return sums.groupBy("draw", "concept").agg(F.max(scalar.directed(area)).alias("value"))
 
 
@@ -370,7 +370,7 @@ def max_feature_null(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {NULLS}, ob AS (SELECT concept, max(greatest(a, 1 - a)) AS o FROM (SELECT concept, feature, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) WHERE concept < 3 GROUP BY ALL) GROUP BY concept) SELECT concept, round(o, 6) AS observed, round((1 + sum(CASE WHEN v >= o THEN 1 ELSE 0 END)) / (1.0 + count(*)), 6) AS p, round(quantile_cont(v, 0.95), 6) AS null_p95 FROM ob JOIN mx USING (concept) GROUP BY concept, o"
 )
 def empirical_p(spark: SparkSession, sf: str) -> DataFrame:
-    best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), one_hot(spark, sf).where("concept < 3"))).select("concept", F.col("best_auroc").alias("value"))
+    best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), one_hot(spark, sf))).select("concept", F.col("best_auroc").alias("value"))
     null = _null(spark, sf)
     p95 = null.groupBy("concept").agg(F.percentile("value", 0.95).alias("null_p95"))
     found = inference.empirical_p(best, null, "concept").join(p95, "concept").withColumnRenamed("value", "observed")
@@ -645,7 +645,7 @@ SELECT concept, feature AS best_feature, n_pos, round(prevalence, 6) AS prevalen
 )
 def match_table(spark: SparkSession, sf: str) -> DataFrame:
     """Everything known of each concept's best channel: area, null, p, false discovery, recovery."""
-    labels = one_hot(spark, sf).where("concept < 3")
+    labels = one_hot(spark, sf)
     best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), labels))
     totals = labels.groupBy("concept").agg(F.sum("y").cast("long").alias("n_pos"), F.avg("y").alias("prevalence"))
     null = _null(spark, sf)

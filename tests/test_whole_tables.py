@@ -24,3 +24,9 @@ def both(spark, name, cut, whole):
 def test_seed_agreement_compares_every_vector(spark):
     got, want = both(spark, "seed_agreement_cosine", "a.id % 10 = 0 AND b.id % 10 = 5", "a.id % 2 = 0 AND b.id % 2 <> 0")
     assert got == want and len(got) == 250
+
+
+@pytest.mark.parametrize(("name", "rows"), [("max_feature_null", 200), ("empirical_p", 10), ("match_table", 10)])
+def test_all_ten_concepts_are_tested(spark, name, rows):
+    got, want = both(spark, name, "WHERE concept < 3", "")
+    assert got == want and len(got) == rows
