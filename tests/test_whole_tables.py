@@ -30,3 +30,8 @@ def test_seed_agreement_compares_every_vector(spark):
 def test_all_ten_concepts_are_tested(spark, name, rows):
     got, want = both(spark, name, "WHERE concept < 3", "")
     assert got == want and len(got) == rows
+
+
+def test_average_precision_of_all_channels(spark):
+    got, want = both(spark, "average_precision", "WHERE feature < 8", "")
+    assert got == want and len(got) == 640
