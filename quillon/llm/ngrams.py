@@ -12,7 +12,6 @@ down to count(w) / all words. Near the start of a text, histories are shorter.
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -20,42 +19,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import BLOCK_BYTES, bucket_bounds, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
+from quillon.llm.blocks import bucket_bounds, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
 from quillon.llm.words import window_hashes, window_starts, word_hashes
 
 ORDER = 3
 MIN_COUNT = 2
 BACKOFF = 0.4
-#: A key has so many bits more than would number all n-grams: about one in a million n-grams shares its key with another.
-SPARE_BITS = 20
-#: The key under which blocks count their words.
+#: The key under which blocks count their words. Keys have all 64 bits: of fewer, n-grams of large inputs would share one and its count.
 TOTAL = np.uint64(0x5E17_0000_0000_0001)
 
 
 class _Block:
-    def __init__(self, table: pa.Table, order: int, width: int):
-        cut = np.uint64(64 - width)
-        self.total = TOTAL >> cut
+    def __init__(self, table: pa.Table, order: int):
         self.ids = table.column("__id")
         self.words, self.counts = word_hashes([(t or "").encode() for t in table.column("__text").to_pylist()])
         self.order = order
-        self.grams = [window_hashes(self.words, k) >> cut for k in range(1, order + 1)]  # by start, across texts too
+        self.grams = [window_hashes(self.words, k) for k in range(1, order + 1)]  # by start, across texts too
         self.starts = [window_starts(self.counts, k) for k in range(1, order + 1)]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The different n-grams of all orders and the word total, sorted, with counts."""
         keys, counts = np.unique(np.concatenate([g[s] for g, s in zip(self.grams, self.starts, strict=True)]), return_counts=True)
-        at = int(np.searchsorted(keys, self.total))
-        if at < len(keys) and keys[at] == self.total:  # an n-gram that shares this key: it isn't counted
+        at = int(np.searchsorted(keys, TOTAL))
+        if at < len(keys) and keys[at] == TOTAL:  # an n-gram that shares this key: it isn't counted
             counts[at] = len(self.words)
             return keys, counts
-        return np.insert(keys, at, self.total), np.insert(counts, at, len(self.words))
+        return np.insert(keys, at, TOTAL), np.insert(counts, at, len(self.words))
 
 
-def _count(order: int, bits: int, width: int):
+def _count(order: int, bits: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = _Block(table, order, width).keys()
-        bounds = bucket_bounds(keys, bits, width)
+        keys, counts = _Block(table, order).keys()
+        bounds = bucket_bounds(keys, bits)
         used = np.flatnonzero(np.diff(bounds))
         parts = [slice(bounds[i], bounds[i + 1]) for i in used]
         return pa.table(
@@ -95,18 +90,18 @@ def log_scores(b: _Block, counts: list[np.ndarray], total: float, min_count: int
     return score
 
 
-def _score(order: int, bits: int, width: int, min_count: int, backoff: float):
+def _score(order: int, bits: int, min_count: int, backoff: float):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        b = _Block(table, order, width)
+        b = _Block(table, order)
         keys, _ = b.keys()
         own = dict(zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([unpack(zlib.decompress(own[i])) for i in np.flatnonzero(np.diff(bucket_bounds(keys, bits, width)))]).astype(np.float64)
+        totals = np.concatenate([unpack(zlib.decompress(own[i])) for i in np.flatnonzero(np.diff(bucket_bounds(keys, bits)))]).astype(np.float64)
         counts = []
         for grams, starts in zip(b.grams, b.starts, strict=True):
             c = np.zeros(len(grams))
             c[starts] = totals[np.searchsorted(keys, grams[starts])]
             counts.append(c)
-        scores = log_scores(b, counts, totals[np.searchsorted(keys, b.total)], min_count, backoff) if len(b.words) else np.empty(0)
+        scores = log_scores(b, counts, totals[np.searchsorted(keys, TOTAL)], min_count, backoff) if len(b.words) else np.empty(0)
         doc = np.repeat(np.arange(len(b.counts)), b.counts)
         sums = np.bincount(doc, scores, len(b.counts))
         return pa.table({"__id": b.ids, "n_words": pa.array(b.counts, pa.int64()), "log_score": pa.array(sums, pa.float64())})
@@ -123,11 +118,10 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     """
     n_blocks, bits = plan(docs, text)
     bits += 2  # a block has more n-grams than windows or names: smaller buckets
-    width = min(64, math.ceil(math.log2(n_blocks * BLOCK_BYTES / 4 * order)) + SPARE_BITS)  # a word and its space: 4 bytes or more, mostly
     rows = in_blocks(docs, id, text, n_blocks)
     blocks = rows.groupBy("__block")
-    counted = blocks.applyInArrow(_count(order, bits, width), "bucket int, __block int, grams binary, counts binary")
+    counted = blocks.applyInArrow(_count(order, bits), "bucket int, __block int, grams binary, counts binary")
     totals = counted.groupBy("bucket").applyInArrow(_total, "__block int, bucket int, totals binary")
     kind = docs.schema[id].dataType.simpleString()
-    scored = blocks.cogroup(totals.groupBy("__block")).applyInArrow(_score(order, bits, width, min_count, backoff), f"__id {kind}, n_words long, log_score double")
+    scored = blocks.cogroup(totals.groupBy("__block")).applyInArrow(_score(order, bits, min_count, backoff), f"__id {kind}, n_words long, log_score double")
     return scored.select(F.col("__id").alias(id), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -171,3 +171,11 @@ def test_scores_against_brute_force(spark):
         assert out[i]["log_score"] == pytest.approx(sum(score(tuple(w[max(0, j - 2) : j]), w[j]) for j in range(len(w))))
         assert (out[i]["mean_log_score"] is None) == (not w)
     assert ngrams.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_whose_hashes_begin_alike_are_counted_apart(spark):
+    import math
+
+    docs = [(1, "w1007886"), (2, "w13922327"), (3, "w5501693"), (4, "w19505050")]  # the first 46 bits of each two are equal
+    out = ngrams.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [r["log_score"] for r in out] == pytest.approx([math.log(1 / 4)] * 4)
