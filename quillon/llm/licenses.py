@@ -126,8 +126,10 @@ PASSAGES = (
 #: The stems of which one stands in every text that any rule can match, letter case ignored.
 STEMS = (
     *"licen gpl apache spdx copyright public creative cc0 rights permission warrant redistribut unencumbered misrepresented endorse proprietary unauthori wtfpl gfdl 0bsd beer mulan cecill eupl cddl mpl epl ofl bsd perl".split(),
-    *("cc by", "cc-by", "compliance"),
+    "compliance",
 )
+#: The same for the Creative Commons' short names, whose two words any break characters may part.
+SHORT = rf"cc{BREAK}by"
 
 
 def _version(words: str) -> str:
@@ -199,7 +201,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[
     whole = F.coalesce(F.col("__text"), F.lit(""))
     parted = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
     parted = parted.select("__id", F.array_remove(F.split(whole, BREAK), "").alias("__words"), F.lower(whole).alias("__low"))
-    gate = functools.reduce(operator.or_, [F.contains(F.col("__low"), F.lit(s)) for s in STEMS])
+    gate = functools.reduce(operator.or_, [F.contains(F.col("__low"), F.lit(s)) for s in STEMS]) | F.rlike(F.col("__low"), F.lit(SHORT))
     parted = parted.withColumn("__gate", gate).drop("__low")
     gated = parted.select("__id", F.size("__words").cast("long").alias("n_words"), F.when(F.col("__gate"), F.concat(F.lit(" "), F.array_join("__words", " "), F.lit(" "))).alias("__all"))
     gated = gated.withColumn("__low", F.lower("__all"))

@@ -194,3 +194,16 @@ def test_emit_repeats_rows(spark):
     copies = sum(r["copies"] for r in mixing.mix(docs).collect())
     out = mixing.emit(docs)
     assert out.columns == docs.columns and out.count() == copies
+
+
+def test_short_names_whose_words_stand_apart(spark):
+    texts = ["CC_BY_SA_4.0", "CC/BY 4.0", "CC  BY", "cc\nby-nc", "CC -- BY-ND 3.0", "acc by-law"]
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i]["labels"] for i in range(6)] == ["cc-by-sa-4.0", "cc-by-4.0", "cc-by", "cc-by-nc", "cc-by-nd-3.0", ""]
+
+
+def test_rules_find_their_text_whatever_parts_the_words(spark):
+    rules = licenses.rules()
+    rows = spark.createDataFrame([(i, re.sub(" ", "_\n/", shortest(r.pattern))) for i, r in enumerate(rules)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert [r for i, r in enumerate(rules) if not out[i]["detections"]] == []
