@@ -85,7 +85,9 @@ class ChunkCodec:
     def words(text: bytes) -> list[bytes]:
         """Parts whose encodings, one after the other, are the text's: fewer different ones than its words."""
         if b"<|" not in text:  # special tokens are matched before letters are folded
-            text = _TAIL.sub(rb" \g<0>", text).lower()
+            text = _TAIL.sub(rb" \g<0>", text)
+            # Letters are composed before they are folded: a capital may not compose where its small letter does.
+            return text.lower().split() if text.isascii() else [w.lower() if w.isascii() else w for w in text.split()]
         return text.split()
 
     def split(self, text: bytes) -> tuple[list[bytes], list[bytes]]:

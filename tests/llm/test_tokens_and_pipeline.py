@@ -110,3 +110,9 @@ def test_run_equals_steps(spark, tables):
     folder, _ = tables
     a, b = (sorted((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, folder).collect()) for _ in range(2))
     assert a == b
+
+
+@pytest.mark.parametrize("letters", ["H̱", "T̈", "J̌", "W̊", "Y̊", "H̱.", "aH̱b T̈ END", "ÜBER J̌, Kelvin K"])
+def test_decomposed_capitals_encode_as_whole(letters):
+    text = f"A {letters} b"
+    assert list(CODEC.encode([text.encode()])) == [plain(text)]
