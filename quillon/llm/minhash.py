@@ -10,11 +10,13 @@ say which classes may be alike:
 
 1. in each band key's group, all are compared with the smallest id;
 2. groups whose members the links found so far don't join into one component
-   go on: members outside the group's largest component are compared by
-   signature with all others, in tiles of bounded size that hold the texts too,
-   and only links leave the task.
+   go on: members outside the group's largest component (probes) are compared
+   with all others. Probes and members are cut into parts of bounded numbers
+   and bounded sets, and a task compares one part of each: signatures choose,
+   full sets decide, and only links leave the task.
 
-Every link counts only after its full sets are compared.
+Every link counts only after its full sets are compared. Sets travel as
+sorted 64-bit hashes, packed; texts are read once.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ SIMILAR = 75
 #: Pairs estimated below this are not compared further: six deviations under SIMILAR.
 LEAST_ESTIMATE = 0.61
 BLOCK_ROWS = 2_000
-TILE = 256
+#: What a part of a group holds on average: members, and shingles of all their sets.
+PART_ROWS, PART_SHINGLES = 512, 1_000_000
 
 _SHIFTS = np.arange(1, COORDINATES + 1, dtype=np.uint64)
 
@@ -135,7 +138,7 @@ def _candidates(bits: int):
         rows = np.flatnonzero(shared.any(axis=1))
         lists = [keys[i][shared[i]].view(np.int64) for i in rows]
         at = pa.array(rows, pa.int64())
-        return pa.table({"rep": table.column("rep").take(at), "sign": table.column("sign").take(at), "keys": pa.array(lists, pa.list_(pa.int64()))})
+        return pa.table({"rep": table.column("rep").take(at), "n": table.column("n").take(at), "sign": table.column("sign").take(at), "keys": pa.array(lists, pa.list_(pa.int64()))})
 
     return work
 
@@ -159,27 +162,33 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar. texts: (rep, text)."""
+def _set(packed: bytes) -> np.ndarray:
+    return unpack_sorted(packed) if packed else np.empty(0, dtype=np.uint64)
+
+
+def _packed_sets(texts: DataFrame) -> DataFrame:
+    """(rep, text) to (rep, set): each text's shingles, packed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, run in slices(batch, "text", 1_000_000):
+                packed = [pack_sorted(x) if len(x) else b"" for x in shingle_sets(run)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(first, len(run)), pa.array(packed, pa.binary())], names=["rep", "set"])
+
+    return texts.mapInArrow(work, "rep long, set binary")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar. sets: (rep, set)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
-                ta, tb = part.column("ta").to_pylist(), part.column("tb").to_pylist()
-                if len(known) > 2_000:
-                    known.clear()
-                need = {(i, t) for i, t in [*zip(a, ta, strict=True), *zip(b, tb, strict=True)] if (i, t) not in known}
-                need = list(need)
-                known.update(zip(need, shingle_sets([t.encode() for _, t in need]), strict=True))
-                hit = [i for i in range(len(a)) if similar(known[a[i], ta[i]], known[b[i], tb[i]])]
-                yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())], names=["a", "b"])
-
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long"))
+            hit = [i for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)) if similar(_set(x.as_py()), _set(y.as_py()))]
+            yield batch.select(["a", "b"]).take(pa.array(hit, pa.int64()))
+
+    left = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(work, "a long, b long"))
 
 
 def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,28 +213,63 @@ def _may_link(pairs: DataFrame, signs: DataFrame) -> DataFrame:
 
 
 def _tile(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Links between a probe and a member of the tile that are not yet of one component.
+    """Links between the tile's probes and its members that are not yet of one component.
 
     Signatures choose the pairs, full sets decide; what isn't a link stays here.
     """
-    reps, comps, part = (table.column(c).to_numpy() for c in ("rep", "comp", "part"))
+    reps, comps = table.column("rep").to_numpy(), table.column("comp").to_numpy()
     probe = np.array(table.column("probe").to_pylist(), dtype=bool)
     signs = np.frombuffer(b"".join(table.column("sign").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-    texts, sets = table.column("text"), {}
-    rows, cols = np.flatnonzero(probe), np.flatnonzero(part == key[1].as_py())
-    found = set()
+    packed = table.column("set")
+    rows, cols = np.flatnonzero(probe), np.flatnonzero(~probe)
+    found = []
     for at in range(0, len(rows), 64):
         r = rows[at : at + 64]
         maybe = (_estimates(signs[r], signs[cols]) >= LEAST_ESTIMATE) & (comps[r][:, None] != comps[cols][None, :])
-        near = {(min(a, b), max(a, b)) for a, b in zip(*(x.tolist() for x in (r[maybe.nonzero()[0]], cols[maybe.nonzero()[1]])), strict=True)}
-        new = sorted({x for pair in near for x in pair} - sets.keys())
-        sets.update(zip(new, shingle_sets([texts[x].as_py().encode() for x in new]), strict=True))
-        found |= {pair for pair in near if similar(sets[pair[0]], sets[pair[1]])}
-    ends = [(min(reps[a], reps[b]), max(reps[a], reps[b])) for a, b in found]
-    return pa.table({"a": pa.array([int(e[0]) for e in ends], pa.int64()), "b": pa.array([int(e[1]) for e in ends], pa.int64())})
-
-
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+        sets: dict[int, np.ndarray] = {}
+        for i, j in zip(*(x.tolist() for x in (r[maybe.nonzero()[0]], cols[maybe.nonzero()[1]])), strict=True):
+            for x in (i, j):
+                if x not in sets:
+                    sets[x] = _set(packed[x].as_py())
+            if similar(sets[i], sets[j]):
+                found.append((min(reps[i], reps[j]), max(reps[i], reps[j])))
+    return pa.table({"a": pa.array([int(e[0]) for e in found], pa.int64()), "b": pa.array([int(e[1]) for e in found], pa.int64())})
+
+
+def _tiles(named: DataFrame, sizes: DataFrame, part_rows: int, part_shingles: int) -> DataFrame:
+    """(key, row, col, rep, comp, probe) of those groups of named (key, rep, comp) that are not one component.
+
+    A group's members outside its largest component are its probes. Each probe
+    part meets each part of all members in one tile, so that a tile's content
+    is bounded on both sides; a group with few probes is sent once.
+    """
+    weighed = named.join(sizes, "rep")
+    member = lambda salt: F.sum(F.xxhash64("rep", F.lit(salt)).bitwiseAND((1 << 36) - 1))
+    by_comp = weighed.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n").alias("weight"), member(1).alias("m1"), member(2).alias("m2"))
+    main = F.max(F.struct("n", "comp", "weight")).alias("main")
+    groups = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.sum("weight").alias("weight"), main, F.sum("m1").alias("m1"), F.sum("m2").alias("m2")).where("comps > 1")
+    # Bands whose groups have the same members ask the same question: one of them asks it.
+    parts = lambda n, w: F.ceil(F.greatest(n / part_rows, w / part_shingles, F.lit(1))).cast("int")
+    groups = groups.groupBy("size", "m1", "m2").agg(F.min(F.struct("key", "main", "weight")).alias("g"))
+    groups = groups.select("g.key", F.col("g.main.comp").alias("main"), parts(F.col("size"), F.col("g.weight")).alias("cols"), parts(F.col("size") - F.col("g.main.n"), F.col("g.weight") - F.col("g.main.weight")).alias("rows"))
+    own = named.join(groups, "key")
+    part = lambda of: F.array(F.pmod(F.xxhash64("rep"), F.col(of)).cast("int"))
+    all_of = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    sides = F.array(F.when(F.col("comp") != F.col("main"), F.struct(F.lit(True).alias("probe"), part("rows").alias("r"), all_of("cols").alias("c"))), F.struct(F.lit(False).alias("probe"), all_of("rows").alias("r"), part("cols").alias("c")))
+    sided = own.select("key", "rep", "comp", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s"))
+    return sided.select("key", "rep", "comp", "s.probe", F.explode("s.r").alias("row"), F.col("s.c").alias("c")).select("key", "rep", "comp", "probe", "row", F.explode("c").alias("col"))
+
+
+def _of_one_id(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of an id that several texts share."""
+    one = F.struct("h1", "h2", "n")
+    several = some.groupBy("id").agg(F.min(one).alias("low"), F.max(one).alias("high")).where("low <> high").select("id")
+    own = some.join(several, "id", "left_semi").join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("id", "rep").distinct()
+    least = own.groupBy("id").agg(F.min("rep").alias("a"))
+    return own.join(least, "id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", part_rows: int = PART_ROWS, part_shingles: int = PART_SHINGLES) -> DataFrame:
     """Per row: id, n_shingles, component_id and kept.
 
     Documents of 100 * |A and B| >= 75 * |A or B| are linked; component_id is
@@ -233,7 +277,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     without words link with nothing and are kept. The id is an integer. Rows of
     null id join their copies' component if those have an id; their component is
     null otherwise, and they are kept. Rows of equal id are one document: each
-    of its texts links it. An empty table gives an empty result.
+    of its texts links it. Texts of any length are one row with one set, read
+    whole. Other columns of docs, whatever their names, don't go through. An
+    empty table gives an empty result.
+
+    part_rows and part_shingles bound what a task holds of a large group whose
+    members aren't linked; they change no result.
     """
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("__id"), F.col(f"`{text}`").alias("__text"))
     signed = cut_lineage(rows.mapInArrow(_signed, "id long, n long, h1 long, h2 long, sign binary"))
@@ -242,34 +291,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("sign").alias("sign"))
     n_blocks = max(16, -(-total // BLOCK_ROWS))
     bits = max(4, int(np.ceil(np.log2(n_blocks / 4))))
-    in_block = classes.select(F.pmod(F.xxhash64("h1", "h2"), F.lit(n_blocks)).cast("int").alias("__block"), "rep", "sign")
+    in_block = classes.select(F.pmod(F.xxhash64("h1", "h2"), F.lit(n_blocks)).cast("int").alias("__block"), "rep", "n", "sign")
     blocks = in_block.groupBy("__block")
     asked = blocks.applyInArrow(_ask(bits), "bucket int, __block int, names binary, twice binary")
     shared = asked.groupBy("bucket").applyInArrow(_shared, "__block int, bucket int, flags binary")
-    found = cut_lineage(blocks.cogroup(shared.groupBy("__block")).applyInArrow(_candidates(bits), "rep long, sign binary, keys array<long>"))
+    found = cut_lineage(blocks.cogroup(shared.groupBy("__block")).applyInArrow(_candidates(bits), "rep long, n long, sign binary, keys array<long>"))
     signs = found.select("rep", "sign")
-    texts = rows.join(found.select(F.col("rep"), "sign"), F.col("__id") == F.col("rep")).select("rep", "sign", F.coalesce("__text", F.lit("")).alias("text")).distinct()
-    texts = cut_lineage(texts)
+    texts = rows.join(found.select("rep"), F.col("__id") == F.col("rep")).select("rep", F.coalesce("__text", F.lit("")).alias("text")).distinct()
+    sets = cut_lineage(_packed_sets(texts))
     members = found.select("rep", F.explode("keys").alias("key"))
 
-    first = members.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("size"))
+    first = members.groupBy("key").agg(F.min("rep").alias("a"))
     pairs = members.join(first, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
-    links = _verify(_may_link(pairs, signs), texts)
+    links = _verify(_may_link(pairs, signs), sets)
     comps = components(links)
 
     named = members.join(comps, members["rep"] == comps["v"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    member = lambda salt: F.bit_xor(F.xxhash64("rep", F.lit(salt)))
-    by_comp = named.groupBy("key", "comp").agg(F.count("*").alias("n"), member(1).alias("m1"), member(2).alias("m2"))
-    groups = by_comp.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp"))["comp"].alias("main"), F.bit_xor("m1").alias("m1"), F.bit_xor("m2").alias("m2")).where("comps > 1")
-    # Bands whose groups have the same members ask the same question: one of them asks it.
-    open_keys = groups.groupBy("size", "m1", "m2").agg(F.min(F.struct("key", "main")).alias("g")).select("g.key", "g.main", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rest = named.join(open_keys, "key").select("key", "rep", "comp", "parts", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), (F.col("comp") != F.col("main")).alias("probe"))
-    # Members outside the group's largest component go to all tiles, the others to their own.
-    tiles = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    tiled = rest.select("key", "rep", "comp", "part", "probe", F.explode(tiles).alias("tile")).join(texts, "rep")
-    more = tiled.groupBy("key", "tile").applyInArrow(_tile, "a long, b long").where("a < b").distinct()
-    links = links.union(more)
-    comps = components(links)
+    tiled = _tiles(named, found.groupBy("rep").agg(F.sum("n").alias("n")), part_rows, part_shingles).join(signs.join(sets, "rep"), "rep")
+    more = tiled.groupBy("key", "row", "col").applyInArrow(_tile, "a long, b long").where("a < b").distinct()
+    comps = components(links.union(more).union(_of_one_id(some, classes)))
 
     own = signed.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     own = own.join(comps, own["rep"] == comps["v"], "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp"))

@@ -6,6 +6,8 @@ bytes inside a longer character, so this equals splitting by code points.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 U = np.uint64
@@ -22,29 +24,35 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = np.arange(256, dtype=np.uint64)
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
-_CODE = splitmix(_BYTES) | U(1)
-_CODE[~IS_WORD] = 0
-_FOLDED = _CODE.copy()
-_FOLDED[65:91] = _CODE[97:123]
-_BASE = 0x9FB21C651E98DF25  # odd, so that it has an inverse modulo 2 ** 64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse."""
-    if len(_powers[0]) < n:
-        m = 1 << max(16, (n - 1).bit_length())
-        for i, b in enumerate((_BASE, _INVERSE)):
-            p = np.full(m, b, dtype=np.uint64)
-            p[0] = 1
-            _powers[i] = np.cumprod(p, dtype=np.uint64)
-    out = _powers[0][:n], _powers[1][:n]
-    if len(_powers[0]) > 1 << 23:  # a giant text: don't keep its tables
-        _powers[:] = [p[: 1 << 16].copy() for p in _powers]
+_AS_IS = np.arange(256, dtype=np.uint8)
+_FOLD = _AS_IS.copy()
+_FOLD[65:91] += 32
+#: Bytes of a word that are hashed eight at a time; longer words go through BLAKE2.
+_LONG = 64
+_LENGTH = splitmix(np.arange(_LONG + 1, dtype=np.uint64))
+_ODD = U(0xD6E8FEB86659FD93)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of data[start:end] (uint8), every eight bytes mixed into all bits before the next."""
+    held = np.zeros(len(data) + 8, dtype=np.uint8)
+    held[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=held, strides=(1,))  # the eight bytes from each offset
+    size = ends - starts
+    short = np.minimum(size, _LONG)
+    out = splitmix((_LENGTH[short] + U(seed)) ^ (eight[starts] & _MASK[np.minimum(size, 8)]))
+    done, rest = 8, np.flatnonzero(size > 8)
+    while done < _LONG and len(rest):
+        part = eight[starts[rest] + done] & _MASK[np.minimum(size[rest] - done, 8)]
+        out[rest] = splitmix(out[rest] ^ part)
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in rest.tolist():
+        digest = hashlib.blake2b(held[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 
@@ -58,53 +66,53 @@ def word_hashes(texts: list[bytes], fold: bool = False) -> tuple[np.ndarray, np.
             held += len(texts[end]) + 1
             end += 1
         data = np.frombuffer(b"\n".join(texts[at:end]), dtype=np.uint8)
-        inside = IS_WORD[data]
-        starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1]))) if len(data) else np.empty(0, dtype=np.int64)
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = IS_WORD[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
         if len(starts):
-            up, down = powers(len(data))
-            code = (_FOLDED if fold else _CODE)[data]
-            code *= up
-            h = np.add.reduceat(code, starts)
-            h *= down[starts]
-            hashes.append(splitmix(h))
+            hashes.append(span_hashes(_FOLD[data] if fold else data, starts, ends))
             bounds = np.cumsum([len(t) + 1 for t in texts[at:end]])
             counts[at:end] = np.diff(np.searchsorted(starts, bounds), prepend=0)
         at = end
     return (np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)), counts
 
 
-_LETTER = np.array([chr(b).isalnum() or b >= 0x80 for b in range(128)] + [True] * 128)
-_TERM = _FOLDED.copy()
-_TERM[~_LETTER] = 0
+_LETTER = np.array([chr(b).isalnum() for b in range(128)] + [True] * 128)
 
 
 def term_hashes(text: bytes, prefix: int = 5) -> np.ndarray:
     """Hashes of a text's terms (letters and digits, A-Z as a-z) and of their first prefix bytes."""
-    data = np.frombuffer(text, dtype=np.uint8)
+    data = _FOLD[np.frombuffer(text, dtype=np.uint8)]
     inside = _LETTER[data]
     edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(len(data) + prefix)
-    code = _TERM[data]
-    whole = splitmix(np.add.reduceat(code * up[: len(data)], starts) * down[starts])
-    stem = np.zeros(len(starts), dtype=np.uint64)
-    for j in range(prefix):
-        at = np.minimum(starts + j, len(data) - 1)
-        stem += np.where(starts + j < ends, code[at] * up[j], U(0))
-    stem = splitmix(stem + U(1))[ends - starts >= prefix]
-    return np.concatenate((whole, stem))
+    long = starts[ends - starts >= prefix]
+    return np.concatenate((span_hashes(data, starts, ends), span_hashes(data, long, long + prefix, seed=1)))
 
 
 def window_hashes(words: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of width words; windows across texts are the caller's to leave out."""
+    """Hash of each run of width words; windows across texts are the caller's to leave out.
+
+    Runs of 1, 2, 4 ... words are mixed in pairs, so that no arithmetic
+    relation between words carries over to runs.
+    """
     n = len(words)
     if n < width:
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(n)
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((splitmix(words + U(seed)) if seed else words) * up, dtype=np.uint64)))
-    return splitmix((total[width:] - total[:-width]) * down[: n - width + 1] + U(width))
+    power, span = splitmix(words + U(seed)) if seed else words, 1  # hashes of span words
+    out, held = None, 0  # hashes of the first held words of each window
+    while True:
+        if width & span:
+            own = power[held : held + n - width + 1]
+            out = own if out is None else splitmix(out * _ODD + own)
+            held += span
+        if 2 * span > width:
+            return splitmix(out + U(width))
+        power = splitmix(power[:-span] * _ODD + power[span:])
+        span *= 2
 
 
 def window_starts(counts: np.ndarray, width: int) -> np.ndarray:

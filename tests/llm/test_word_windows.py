@@ -176,6 +176,80 @@ def test_scores_against_brute_force(spark):
 def test_words_whose_hashes_begin_alike_are_counted_apart(spark):
     import math
 
-    docs = [(1, "w1007886"), (2, "w13922327"), (3, "w5501693"), (4, "w19505050")]  # the first 46 bits of each two are equal
+    docs = [(1, "w1007886"), (2, "w13922327"), (3, "w5501693"), (4, "w19505050")]
     out = ngrams.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert [r["log_score"] for r in out] == pytest.approx([math.log(1 / 4)] * 4)
+
+
+def alternating(n):
+    """Two words of n characters that polynomial hashes modulo a power of two can't tell apart."""
+    odd = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[x] for x in odd), "".join("ba"[x] for x in odd)
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048])
+def test_alternating_words_stay_apart(spark, n):
+    import math
+
+    a, b = alternating(n)
+    tail = " ".join(f"t{i}" for i in range(19))
+    docs = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, a), (4, b)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(rows).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows).collect()} == brute_components(docs)
+    single = {r["doc_id"]: r["log_score"] for r in ngrams.score(rows).collect()}
+    assert single[3] == pytest.approx(math.log(2 / 42)) and single[4] == pytest.approx(math.log(2 / 42))
+    import numpy as np
+
+    pattern = np.array(words.word_hashes(f"{a[:32]}".replace("a", " xx").replace("b", " yy").encode().split(b"|"))[0])
+    other = np.array(words.word_hashes(f"{b[:32]}".replace("a", " xx").replace("b", " yy").encode().split(b"|"))[0])
+    for width in (5, 8, 16, 20, 32):
+        assert words.window_hashes(pattern, width)[0] != words.window_hashes(other, width)[0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2), max_size=60), st.integers(1, 21), st.sampled_from([0, 77]))
+def test_window_hashes_are_equal_for_equal_words_only(flat, width, seed):
+    hashes, _ = words.word_hashes([" ".join("abc"[i] for i in flat).encode()])
+    found = words.window_hashes(hashes, width, seed).tolist()
+    want = [tuple(flat[j : j + width]) for j in range(len(flat) - width + 1)]
+    assert len(found) == len(want) and len(set(found)) == len(set(want)) == len(set(zip(found, want, strict=True)))
+
+
+def test_higher_orders_against_brute_force(spark):
+    import collections
+    import math
+
+    split = {i: (t or "").split() for i, t in planted(12)}
+    counts = collections.Counter(tuple(w[j : j + k]) for w in split.values() for k in (1, 2, 3, 4) for j in range(len(w) - k + 1))
+    total = sum(map(len, split.values()))
+
+    def score(h, w, least):
+        if not h:
+            return math.log(counts[(w,)] / total)
+        return math.log(counts[h + (w,)] / counts[h]) if counts[h + (w,)] >= least else math.log(0.4) + score(h[1:], w, least)
+
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in split.items()], "doc_id long, text string")
+    for order, least in ((4, 3), (1, 2), (2, 1)):
+        out = {r["doc_id"]: r["log_score"] for r in ngrams.score(rows, order=order, min_count=least).collect()}
+        for i, w in split.items():
+            assert out[i] == pytest.approx(sum(score(tuple(w[max(0, j - order + 1) : j]), w[j], least) for j in range(len(w))))
+
+
+def template_pages(n=90, seed=3):
+    """Pages of one template: alike, but not linked, save for a few pairs that their group's smallest id doesn't see."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(4))
+    template = [word() for _ in range(120)]
+    docs = [(i, [*template, *[word() for _ in range(80)]]) for i in range(n)]
+    for i in range(0, n, 9):
+        docs[i + 4] = (i + 4, docs[i + 3][1][:-6] + [word() for _ in range(6)])
+    return [(i, " ".join(w)) for i, w in docs]
+
+
+@pytest.mark.parametrize("part_rows, part_shingles", [(512, 1_000_000), (7, 1_000_000), (512, 900)])
+def test_parts_of_a_group_change_nothing(spark, part_rows, part_shingles):
+    docs = template_pages()
+    rows = spark.createDataFrame([*docs, (200, docs[3][1]), (200, docs[50][1]), (5, docs[61][1])], "doc_id long, text string")
+    out = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(rows, part_rows=part_rows, part_shingles=part_shingles).collect()}
+    assert out == brute_components([*docs, (200, docs[3][1]), (200, docs[50][1]), (5, docs[61][1])])
