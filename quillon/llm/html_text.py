@@ -1,24 +1,31 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. The first pass labels a block
-good, bad or undecided from its place (article, menu, footer, advert, form,
-comments ...), its length, the share of its characters within links and the
-share of stop words among its words. The second pass gives undecided blocks
-the label of their nearest decided neighbours.
+The page is cut into blocks at block-level tags. Blocks of a place that is
+never part of an article (menu, footer, advert, form, comments ...) go. Of the
+others, the first pass labels those good or bad whose length, share of stop
+words and share of characters within links say so, and leaves the rest
+undecided: short ones, and longer ones without the marks of prose. The second
+pass gives these the label of their nearest decided neighbours of the same
+region (an article, or what is outside all of them).
+
+What nothing speaks against stays: a page without tags, with two short
+sentences or in a language of other stop words keeps its text. All steps take
+time in proportion to the page, unclosed tags and deep nesting included.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Characters below which a block is short, and from which it is long.
-SHORT, LONG = 70, 200
+#: Characters below which a block is short, and from which stop words alone make it good.
+SHORT, LONG = 70, 140
 #: Share of link characters from which a block is bad, and shares of stop words.
 LINKS, STOP_LOW, STOP_HIGH = 0.5, 0.1, 0.25
 
@@ -35,8 +42,10 @@ STOP_WORDS = frozenset(
     ).split()
 )
 
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|textarea|svg|iframe|object|math|canvas|title"
+#: Elements whose content is never text of the page: up to their end tag, or to the page's end without one.
+RAW = frozenset("script style textarea title".split())
+#: The same, but an element that is never closed hides nothing.
+EMBEDDED = frozenset("noscript template svg iframe object math canvas".split())
 #: Elements that are never part of an article.
 OUTSIDE = frozenset("nav footer aside form button select dialog menu head".split())
 BLOCKS = frozenset(
@@ -51,14 +60,12 @@ MARKS = frozenset(
 MARK_STEMS = ("advert", "comment", "discussion")
 HEADER_MARKS = frozenset("header topbar head".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + RAW + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-_MARK = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_IN_TAG = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE_END = (".", "!", "?", "…", ":", ".\"", "!\"", "?\"", "”", "»", "“", ".)")
 
 
 @dataclass(slots=True)
@@ -68,23 +75,81 @@ class Block:
     within: bool  # an article
     marked: bool  # by an element or mark that is never part of one
     heading: bool
+    first: str = ""  # label of the first pass: good, bad, marked, or undecided: prose, odd
     label: str = ""
 
 
-def _marked(name: str, attrs: str, within: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not within):
+class _Tags:
+    """The tags of a page in order: (start, after, name, closing, attributes)."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.absent: set[str] = set()  # end marks that don't stand in the rest of the page
+        self.quotes = True  # whether a > within quotes is part of a tag
+
+    def _find(self, mark: str, at: int) -> int:
+        found = -1 if mark in self.absent else self.page.find(mark, at)
+        if found < 0:
+            self.absent.add(mark)
+        return found
+
+    def _close(self, at: int) -> int:
+        """Where the tag that is open at this place ends, or -1."""
+        start = at
+        while self.quotes:
+            m = _IN_TAG.search(self.page, at)
+            if m and m[0] == ">":
+                return m.start()
+            at = self._find(m[0], m.end()) + 1 if m else 0
+            if not at:  # a quote without an end: from here on quotes mean nothing, so that no part is read twice
+                self.quotes = False
+        return self._find(">", start)
+
+    def _end_of(self, name: str, at: int) -> int:
+        """After the end tag of a raw element; -1 without one."""
+        if name in self.absent:
+            return -1
+        m = re.compile(rf"</{name}\s*+>", re.I).search(self.page, at)
+        if not m:
+            self.absent.add(name)
+            return -1
+        return m.end()
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        at = self.page.find("<")
+        while at >= 0:
+            after = at + 1
+            if self.page.startswith("<!--", at):
+                end = self._find("-->", at + 4)
+                after = len(self.page) if end < 0 else end + 3
+                yield at, after, "", False, ""
+            elif m := _NAME.match(self.page, at + 1):
+                end = self._close(m.end())
+                if end < 0:
+                    return  # no tag is closed from here on: the rest is text
+                name, attributes, after = m[1].lower(), self.page[m.end() : end], end + 1
+                closing = self.page[at + 1] == "/"
+                if not closing and name in RAW | EMBEDDED and not attributes.endswith("/"):
+                    end = self._end_of(name, after)
+                    after = end if end >= 0 else len(self.page) if name in RAW else after
+                yield at, after, name, closing, attributes
+            elif self.page[at + 1 : at + 2] in ("!", "?") and (end := self._find(">", at)) >= 0:
+                after = end + 1
+                yield at, after, "", False, ""
+            at = self.page.find("<", after)
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {k.lower(): a or b or c for k, a, b, c in reversed(_ATTRIBUTE.findall(raw))} if raw else {}
+
+
+def _marked(name: str, attributes: dict[str, str], within: bool) -> bool:
+    if name in OUTSIDE or (name == "header" and not within) or "hidden" in attributes:
         return True
-    if not attrs:
-        return False
-    for key, *values in _MARK.findall(attrs):
-        key, value = key.lower(), "".join(values)
-        if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
-        if key == "style":
-            if re.search(r"display\s*:\s*none", value, re.I):
-                return True
-            continue
-        for part in map(str.lower, _PART.findall(value)):
+    if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
+        return True
+    for key in ("class", "id", "role"):
+        for part in map(str.lower, _PART.findall(attributes.get(key, ""))):
             if part in MARKS or part.startswith(MARK_STEMS) or (part in HEADER_MARKS and not within):
                 return True
     return False
@@ -94,14 +159,15 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
     parts: list[str] = []
-    link_chars, links, heading = 0, 0, False
+    link_chars, links, heading, own_mark = 0, 0, False, False
     stack: list[tuple[str, bool, bool]] = []  # name, within an article, marked
+    is_open: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal link_chars
         if text := " ".join("".join(parts).split()):
             _, within, marked = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, link_chars, within, marked, heading))
+            found.append(Block(text, link_chars, within, marked or own_mark, heading))
         parts.clear()
         link_chars = 0
 
@@ -113,75 +179,90 @@ def blocks(page: str) -> list[Block]:
                 link_chars += len(text)
 
     at = 0
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+    for start, after, name, closing, raw in _Tags(page):
+        add(page[at:start])
+        at = after
         if name == "a":
-            links = max(0, links - 1) if m["end"] else 1
+            links = max(0, links - 1) if closing else 1
         elif name == "br":
             parts.append(" ")
         elif name in BLOCKS:
             close()
+            own_mark = False
             links = 0 if name in HOLDERS else links
-            if m["end"]:
+            if closing:
                 heading = False
-                if name in HOLDERS and any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                if name in HOLDERS and is_open[name]:
+                    while True:
+                        last = stack.pop()[0]
+                        is_open[last] -= 1
+                        if last == name:
+                            break
             else:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-                if name in HOLDERS and not m["attrs"].endswith("/"):
-                    within, marked = stack[-1][1:] if stack else (False, False)
-                    marked = marked or _marked(name, m["attrs"], within)
-                    stack.append((name, within or name in ("article", "main") or "role=\"main\"" in m["attrs"], marked))
+                within, marked = stack[-1][1:] if stack else (False, False)
+                attributes = _attributes(raw)
+                if name not in HOLDERS:
+                    own_mark = _marked(name, attributes, within)
+                elif not raw.endswith("/"):
+                    inside = within or name in ("article", "main") or attributes.get("role", "").lower() == "main"
+                    stack.append((name, inside, marked or _marked(name, attributes, within)))
+                    is_open[name] += 1
     add(page[at:])
     close()
     return found
 
 
 def first_pass(found: list[Block]) -> None:
-    articles = any(b.within and not b.marked for b in found)
+    """Labels from place, link density, length and stop-word density."""
     for b in found:
         n = len(b.text)
-        if b.marked or (articles and not b.within) or b.link_chars > LINKS * n:
-            b.label = "bad"
-        elif b.within:
-            b.label = "good" if n >= SHORT else "short"
-        elif n < SHORT:
-            b.label = "bad" if b.link_chars else "short"
+        words = _WORD.findall(b.text.lower())
+        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        if b.marked:
+            b.first = "marked"
+        elif b.link_chars > LINKS * n:
+            b.first = "bad" if n < LONG or stop < STOP_LOW else "odd"
+        elif n >= LONG and stop >= STOP_HIGH:
+            b.first = "good"
+        elif (n >= SHORT and stop >= STOP_LOW) or (words and not b.link_chars and b.text.endswith(_SENTENCE_END)):
+            b.first = "prose"
         else:
-            words = _WORD.findall(b.text.lower())
-            stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            b.label = "bad" if stop < STOP_LOW else "good" if stop >= STOP_HIGH and n >= LONG else "near"
+            b.first = "odd"
+
+
+def _nearest(own: list[Block]) -> list[tuple[str, int]]:
+    """For each block the label of the last decided block before it, and how many blocks away it is."""
+    out, label, away = [], "", 0
+    for b in own:
+        away += 1
+        out.append((label, away))
+        if b.first in ("good", "bad"):
+            label, away = b.first, 0
+    return out
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks inherit; inside an article only its own blocks count as neighbours."""
-    decided = {"good", "bad"}
-    first = [b.label for b in found]
-    for inside in (False, True):
-        own = [i for i, b in enumerate(found) if not inside or (b.within and not b.marked)]
-        before, after, last = {}, {}, ""
-        for i in own:
-            before[i] = last
-            last = first[i] if first[i] in decided else last
-        last = ""
-        for i in reversed(own):
-            after[i] = last
-            last = first[i] if first[i] in decided else last
-        for i in own:
-            b = found[i]
-            if first[i] in decided or b.within != inside:
+    """Undecided blocks inherit from their nearest decided neighbours, within an article or outside of all."""
+    for b in found:
+        b.label = {"marked": "bad"}.get(b.first, b.first)
+    articles = any(b.within and not b.marked for b in found)
+    for within in (True, False):
+        own = [b for b in found if b.within == within and not b.marked]
+        before, after = _nearest(own), _nearest(own[::-1])[::-1]
+        for b, (left, l_away), (right, r_away) in zip(own, before, after, strict=True):
+            if b.first in ("good", "bad"):
                 continue
-            if b.heading and after[i]:
-                b.label = after[i]
-            elif before[i] == after[i] and before[i]:
-                b.label = before[i]
-            elif b.within or first[i] == "near":
-                b.label = "good"
+            if articles and not within:  # beside an article, prose has to stand among prose
+                b.label = "good" if left == right == "good" else "bad"
+            elif b.heading and right:
+                b.label = right
+            elif b.first == "prose":
+                b.label = "bad" if left == right == "bad" else "good"
+            elif left and right:
+                b.label = left if left == right else (left if l_away < r_away else right if r_away < l_away else "good")
             else:
-                b.label = "bad"
+                b.label = left or right or "good"
 
 
 def main_text(page: str | None) -> str:
@@ -195,8 +276,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
     """pages without the html column, with text and n_chars (code points).
 
-    Each row is worked on by itself, whole: repeated rows give equal results,
-    an empty table an empty one. Columns of pages named text or n_chars
+    Each row is worked on by itself, whole and in time in proportion to its
+    length: repeated rows give equal results, an empty table an empty one, null
+    and empty pages an empty text. Columns of pages named text or n_chars
     are replaced.
     """
     keep = [c for c in pages.columns if c.lower() not in {column.lower(), into.lower(), "n_chars"}]

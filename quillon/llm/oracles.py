@@ -24,7 +24,7 @@ r AS (SELECT DISTINCT doc_id AS v, doc_id AS u FROM t UNION SELECT r.v, l.b FROM
 c AS (SELECT v, min(u) AS component_id FROM r GROUP BY v)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN c ON c.v = t.doc_id"""
 
-_FAILED = " + ".join(f"CAST(({rule}) AS BIGINT)" for rule in quality.RULES.values())
+_FAILED = ", ".join(f"CAST(({rule}) AS BIGINT)" for rule in quality.RULES.values())
 
 OP3 = f"""WITH {WORDS},
 b AS (SELECT doc_id, source, coalesce(text, '') AS t, ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w),
@@ -32,14 +32,14 @@ p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {quality.WINDOW - 2})) AS j F
 d AS (SELECT doc_id, j, count(*) OVER (PARTITION BY doc_id, array_to_string(ws[j:j + {quality.WINDOW - 1}], ' ')) AS c FROM p),
 v AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(j, j + {quality.WINDOW})) AS i FROM d WHERE c > 1) GROUP BY doc_id),
 m AS (SELECT b.doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(v.n, 0) AS n_repeat_words FROM b LEFT JOIN v ON v.doc_id = b.doc_id),
-f AS (SELECT *, {_FAILED} AS n_failed, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(n_failed > 0 AS BIGINT)) AS DOUBLE) AS k FROM f GROUP BY source),
-o AS (SELECT sum(n) AS n, sum(k) AS k, count(*) AS hosts, sum(k / n * k / n * n) AS square FROM h),
-q AS (SELECT least(greatest(k / n, 1e-6), 1 - 1e-6) AS mean, greatest(square / n - (k / n) * (k / n), 0) AS raw, hosts / n AS per FROM o),
-z AS (SELECT mean, raw - mean * (1 - mean) * per AS spread FROM q),
-y AS (SELECT mean, least(greatest(CASE WHEN spread <= 0 THEN {quality.PRIOR_WEIGHT[1]} ELSE (mean * (1 - mean) - spread) / spread END, {quality.PRIOR_WEIGHT[0]}), {quality.PRIOR_WEIGHT[1]}) AS weight FROM z),
-r AS (SELECT source, (k + mean * weight) / (n + weight) AS rate FROM h, y)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_failed, base_failed, NOT base_failed AND n_failed < 2 AND NOT (n_failed >= 1 AND rate > {quality.HOST_LIMIT}) AS kept FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source"""
+f AS (SELECT *, [{_FAILED}] AS fs, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+h AS (SELECT source, i, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS k FROM (SELECT source, unnest(range(1, {len(quality.RULES) + 1})) AS i, unnest(fs) AS x FROM f) GROUP BY source, i),
+o AS (SELECT i, sum(n) AS n, sum(k) AS k, count(*) AS hosts, sum(k / n * k / n * n) AS square FROM h GROUP BY i),
+q AS (SELECT i, least(greatest(k / n, 1e-6), 1 - 1e-6) AS mean, greatest(square / n - (k / n) * (k / n), 0) AS raw, hosts / n AS per FROM o),
+z AS (SELECT i, mean, raw - mean * (1 - mean) * per AS spread FROM q),
+y AS (SELECT i, mean, least(greatest(CASE WHEN spread <= 0 THEN {quality.PRIOR_WEIGHT[1]} ELSE (mean * (1 - mean) - spread) / spread END, {quality.PRIOR_WEIGHT[0]}), {quality.PRIOR_WEIGHT[1]}) AS weight FROM z),
+r AS (SELECT source, list((k + mean * weight) / (n + weight) / mean > {quality.HOST_EXCESS} ORDER BY i) AS bad FROM h JOIN y USING (i) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(list_sum(fs) AS BIGINT) AS n_failed, base_failed, NOT base_failed AND list_sum(fs) < 2 AND len(list_filter(range(1, {len(quality.RULES) + 1}), lambda i: fs[i] = 1 AND bad[i])) = 0 AS kept FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source"""
 
 _GRAM = lambda k: f"array_to_string(ws[j - {k - 1}:j], ' ')"
 _COUNT = lambda k: f"c{k} AS (SELECT g{k} AS g, count(*) AS c FROM p WHERE j >= {k} GROUP BY g{k})"

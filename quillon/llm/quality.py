@@ -1,11 +1,12 @@
 """Quality rules with host verdicts, in DataFrame expressions only.
 
-Rule failures are counted by host; a host's failure rate is shrunk towards the
-corpus by a beta prior whose two parameters come from all hosts (method of
-moments), so that a host of three documents is not condemned for one. A
-document goes if it breaks the base rules, two rules of the method, or one
-rule on a host whose shrunk rate is over the limit. A document that breaks no
-rule always stays.
+Failures are counted by host and rule. A host's failure rate for a rule is
+shrunk towards the corpus by that rule's beta prior, whose two parameters come
+from all hosts (method of moments), so that a host of three documents is not
+condemned for one. A document goes if it breaks the base rules, two rules of
+the method, or one rule that its host breaks more often than the corpus does
+(HOST_EXCESS times the prior's mean, after shrinking). A document that breaks
+no rule always stays.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import WORD_BREAK, cut_lineage
 
 WINDOW = 8
-HOST_LIMIT = 0.3
+#: A host's shrunk rate of a rule over the prior's mean, from which its verdict counts.
+HOST_EXCESS = 1.05
 #: Method rules: name and condition over the measures of a document.
 RULES = {
     "many_symbols": "n_symbols > 0.25 * n_words",
@@ -26,7 +28,7 @@ RULES = {
     "short": "n_words < 20",
 }
 #: Fewest and most pseudo-documents that the prior may weigh.
-PRIOR_WEIGHT = (1.0, 10_000.0)
+PRIOR_WEIGHT = (1.0, 1_000.0)
 
 
 def _adjacent(values: Column, n: Column) -> tuple[Column, Column]:
@@ -78,18 +80,21 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     return twice.withColumn("n_repeat_words", F.when(F.col("__starts").isNull(), F.lit(0).cast("long")).otherwise(covered)).drop("__starts")
 
 
-def host_rates(measured: DataFrame, host: str) -> DataFrame:
-    """Per host: documents, failing documents and the shrunk failure rate.
+def host_excess(measured: DataFrame, host: str) -> DataFrame:
+    """Per host: its documents and, for each rule, excess_<rule>: its shrunk failure rate over the prior's mean.
 
-    measured has n_failed (long). The prior is one row of sums over hosts.
+    measured has failed_<rule> (0 or 1). The priors are one row of sums over hosts.
     """
-    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("host_docs"), F.sum((F.col("n_failed") > 0).cast("long")).alias("host_failed"))
-    rate = F.col("host_failed") / F.col("host_docs")
-    sums = hosts.agg(
-        F.sum("host_docs").alias("n"), F.sum("host_failed").alias("k"), F.count("*").alias("hosts"), F.sum(rate * rate * F.col("host_docs")).alias("square")
-    ).first()
-    alpha, beta = beta_prior(sums["n"] or 0, sums["k"] or 0, sums["hosts"] or 0, sums["square"] or 0.0)
-    return hosts.withColumn("host_rate", (F.col("host_failed") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta)))
+    n = F.col("host_docs").cast("double")
+    failed = {rule: F.col(f"failed_{rule}").cast("double") for rule in RULES}
+    hosts = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count("*").alias("host_docs"), *[F.sum(f"failed_{rule}").alias(f"failed_{rule}") for rule in RULES])
+    square = [F.sum(k / n * k / n * n).alias(f"square_{rule}") for rule, k in failed.items()]
+    sums = hosts.agg(F.sum("host_docs").alias("n"), F.count("*").alias("hosts"), *[F.sum(f"failed_{rule}").alias(f"k_{rule}") for rule in RULES], *square).first()
+    out = ["host", "host_docs"]
+    for rule, k in failed.items():
+        alpha, beta = beta_prior(sums["n"] or 0, sums[f"k_{rule}"] or 0, sums["hosts"] or 0, sums[f"square_{rule}"] or 0.0)
+        out.append(((k + F.lit(alpha)) / (n + F.lit(alpha + beta)) / F.lit(alpha / (alpha + beta))).alias(f"excess_{rule}"))
+    return hosts.select(*out)
 
 
 def beta_prior(n: float, k: float, hosts: float, square: float) -> tuple[float, float]:
@@ -103,17 +108,24 @@ def beta_prior(n: float, k: float, hosts: float, square: float) -> tuple[float,
     return mean * weight, (1 - mean) * weight
 
 
-def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
-    """Per row: id, the measures, n_failed, host_rate, base_failed and kept.
+def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str = "source", excess: float = HOST_EXCESS) -> DataFrame:
+    """Per row: id, the measures, n_failed, host_excess, base_failed and kept.
 
-    A null host is a host of its own. An empty table gives an empty result.
-    Rows are kept apart even with equal or null ids.
+    host_excess is the largest excess of the document's host among the rules
+    that the document breaks, null if it breaks none. A null host is a host of
+    its own. Null and empty texts break the base rules. Texts of any length are
+    one row, measured whole. Rows are kept apart even with equal or null ids;
+    other columns, whatever their names, don't go through. An empty table gives
+    an empty result.
     """
     measured = measures(docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{text}`").alias("__text"), F.col(f"`{host}`").alias("__host")), "__text").drop("__text")
     base = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
-    failed = sum((F.expr(f"CAST(({rule}) AS BIGINT)") for rule in RULES.values()), F.lit(0).cast("long"))
-    measured = cut_lineage(measured.withColumn("n_failed", failed).withColumn("base_failed", F.expr(base)))
-    rates = host_rates(measured, "__host").select(F.col("host").alias("__of"), "host_rate")
-    joined = measured.join(rates, F.col("__host").eqNullSafe(F.col("__of")), "left")
-    kept = ~F.col("base_failed") & (F.col("n_failed") < 2) & ~((F.col("n_failed") >= 1) & (F.col("host_rate") > host_limit))
-    return joined.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed", "host_rate", "base_failed", kept.alias("kept"))
+    failed = {rule: F.expr(f"CAST(({condition}) AS BIGINT)").alias(f"failed_{rule}") for rule, condition in RULES.items()}
+    measured = cut_lineage(measured.select("*", F.expr(base).alias("base_failed"), *failed.values()))
+    hosts = host_excess(measured, "__host").withColumnRenamed("host", "__of")
+    joined = measured.join(hosts, F.col("__host").eqNullSafe(F.col("__of")), "left")
+    worst = F.array_max(F.array(*[F.when(F.col(f"failed_{rule}") == 1, F.col(f"excess_{rule}")) for rule in RULES]))
+    n_failed = sum((F.col(f"failed_{rule}") for rule in RULES), F.lit(0).cast("long"))
+    kept = ~F.col("base_failed") & (F.col("n_failed") < 2) & ~(F.coalesce(F.col("host_excess"), F.lit(0.0)) > excess)
+    joined = joined.withColumns({"n_failed": n_failed, "host_excess": worst})
+    return joined.select(F.col("__id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_failed", "host_excess", "base_failed", kept.alias("kept"))

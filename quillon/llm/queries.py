@@ -25,7 +25,7 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents")).drop("host_rate")
+    return quality.judge(table(spark, sf_dir, "documents")).drop("host_excess")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

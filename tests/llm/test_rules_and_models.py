@@ -39,7 +39,7 @@ def test_hosts_shrink_and_spare_clean_documents(spark):
     out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, EMPTY)).collect()}
     assert not any(out[i]["kept"] for i in range(60)) and all(out[100 + i]["kept"] for i in range(60))
     assert out[200]["kept"] and out[201]["kept"] and out[202]["kept"]
-    assert out[203]["host_rate"] < 1.0
+    assert out[200]["host_excess"] < 1 < out[0]["host_excess"] and out[100]["host_excess"] is None
 
 
 def test_prior_is_bounded():
