@@ -1,49 +1,78 @@
-"""Comparison of motif matrices: best ungapped alignment on either strand, against shuffled queries."""
+"""Comparison of motif matrices as a relation of alignments, against shuffled queries.
 
-from __future__ import annotations
+A motif is a row with a matrix of positions by A, C, G, T. Flattened by
+positions, a shift by one position is a shift by four numbers, and the reverse
+complement is the flat array backwards. An alignment is a row (motif, query,
+strand, offset); its score is the Pearson correlation of the two overlapping
+slices, from six sums.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+LETTERS = 4
+LEAST_OVERLAP = 5
+
+
+def _sums(x: Column, y: Column) -> Column:
+    """Sums of x, y, xx, yy and xy over two arrays of one length, in one pass."""
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x", "y", "xx", "yy", "xy")])
+    pairs = F.zip_with(x, y, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    add = lambda s, p: F.struct((s["x"] + p["a"]).alias("x"), (s["y"] + p["b"]).alias("y"), (s["xx"] + p["a"] * p["a"]).alias("xx"), (s["yy"] + p["b"] * p["b"]).alias("yy"), (s["xy"] + p["a"] * p["b"]).alias("xy"))
+    return F.aggregate(pairs, zero, add)
+
 
-def align_score(a: np.ndarray, b: np.ndarray, least: int = 5) -> float:
-    """The largest correlation of overlapping positions over all offsets with at least `least` of them; -1 without any."""
-    best = -1.0
-    for offset in range(least - len(b), len(a) - least + 1):
-        low, high = max(0, offset), min(len(a), offset + len(b))
-        if high - low < least:
-            continue
-        x, y = a[low:high].ravel(), b[low - offset : high - offset].ravel()
-        if x.std() > 1e-12 and y.std() > 1e-12:
-            best = max(best, float(np.corrcoef(x, y)[0, 1]))
-    return best
+def correlation(x: Column, y: Column, least_spread: float = 1e-12) -> Column:
+    """Pearson's r of two arrays of one length; null where either hardly varies."""
+    n, s = F.size(x).cast("double"), _sums(x, y)
+    spread = lambda square, total: F.sqrt(F.greatest(square / n - (total / n) * (total / n), F.lit(0.0)))
+    a, b = spread(s["xx"], s["x"]), spread(s["yy"], s["y"])
+    return F.when((a > least_spread) & (b > least_spread), (s["xy"] / n - (s["x"] / n) * (s["y"] / n)) / (a * b))
 
 
-def both_strands(a: np.ndarray, b: np.ndarray, least: int = 5) -> float:
-    return max(align_score(a, b, least), align_score(a, b[::-1, ::-1], least))
+def shuffled(query: DataFrame, n: int, seed: str = "motif") -> DataFrame:
+    """(draw, flat): the query (matrix) as draw -1, and n times with its positions in a hashed order."""
+    draws = F.explode(F.sequence(F.lit(-1), F.lit(n - 1))).alias("draw")
+    key = lambda i: F.when(F.col("draw") < 0, i.cast("long")).otherwise(F.xxhash64(F.lit(seed), F.col("draw"), i))
+    order = F.array_sort(F.transform("matrix", lambda m, i: F.struct(key(i).alias("k"), i.alias("i"), m.alias("m"))))
+    return query.select("matrix", draws).select("draw", F.flatten(F.transform(order, lambda o: o["m"])).alias("flat"))
+
+
+def alignments(motifs: DataFrame, queries: DataFrame, least: int = LEAST_OVERLAP) -> DataFrame:
+    """(matrix_id, draw, strand, offset, score) of motifs (matrix_id, matrix) and queries (draw, flat).
+
+    offset is the query's position against which the motif's first one stands.
+    The queries are one matrix and its shuffles: as many small rows as asked
+    for, sent to every task; the motifs are never moved.
+    """
+    strands = F.array(F.struct(F.lit("+").alias("strand"), F.flatten("matrix").alias("y")), F.struct(F.lit("-").alias("strand"), F.reverse(F.flatten("matrix")).alias("y")))
+    sides = motifs.select("matrix_id", F.explode(strands).alias("s")).select("matrix_id", "s.strand", "s.y")
+    pairs = sides.join(F.broadcast(queries.withColumnRenamed("flat", "x")))
+    n, m = F.size("x") / LETTERS, F.size("y") / LETTERS
+    offsets = F.when((n >= least) & (m >= least), F.sequence((least - m).cast("int"), (n - least).cast("int")))
+    placed = pairs.withColumn("offset", F.explode_outer(offsets))
+    low = F.greatest("offset", F.lit(0))
+    width = F.least(n, F.col("offset") + m) - low
+    part = lambda c, at: F.slice(c, (at * LETTERS + 1).cast("int"), (width * LETTERS).cast("int"))
+    score = F.when(width >= least, correlation(part("x", low), part("y", low - F.col("offset"))))
+    return placed.select("matrix_id", "draw", "strand", "offset", score.alias("score"))
 
 
-def match_motifs(database: DataFrame, query: np.ndarray, n_null: int = 200, seed: int = 0) -> DataFrame:
-    """(matrix_id, score, p) of database (matrix_id, matrix array<array<double>>): p from the best score of each shuffled query.
+def match_motifs(motifs: DataFrame, query: DataFrame, n_null: int = 200, seed: str = "motif", top: int | None = 10) -> DataFrame:
+    """(matrix_id, score, strand, offset, p, null_p95), best first; at most top rows, all if None.
 
-    The shuffles are drawn here; a database of any size is scored in place and
-    only one maximum for each shuffle is gathered.
+    A motif's score is its best alignment on either strand, -1 without any. p
+    is the share of shuffles whose best motif scores as high, the query itself
+    counted in; null_p95 the 95th percentile of these best scores.
     """
-    rng = np.random.default_rng(seed)
-    nulls = [rng.permutation(query, axis=0) for _ in range(n_null)]
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = [(i, -1, both_strands(query, m)) for i, m in zip(part["matrix_id"], map(np.stack, part["matrix"]), strict=True)]
-            rows += [("", n, max((both_strands(q, np.stack(m)) for m in part["matrix"]), default=-1.0)) for n, q in enumerate(nulls)]
-            yield pd.DataFrame(rows, columns=["matrix_id", "draw", "score"])
-
-    scored = database.mapInPandas(work, "matrix_id string, draw int, score double")
-    best = scored.where("draw >= 0").groupBy("draw").agg(F.max("score").alias("null"))
-    table = best.agg(F.sort_array(F.collect_list("null")).alias("nulls"))  # n_null numbers
+    scored = alignments(motifs, shuffled(query, n_null, seed))
+    rank = F.struct(F.coalesce("score", F.lit(-1.0)).alias("score"), (F.col("strand") == "+").alias("plus"), (-F.col("offset")).alias("first"))
+    best = scored.groupBy("matrix_id", "draw").agg(F.max(rank).alias("b"))
+    nulls = best.where("draw >= 0").groupBy("draw").agg(F.max("b.score").alias("null"))
+    table = nulls.agg(F.sort_array(F.collect_list("null")).alias("nulls"), F.percentile("null", 0.95).alias("null_p95"))  # n_null numbers
     hits = F.size(F.filter("nulls", lambda x: x >= F.col("score")))
-    return scored.where("draw < 0").join(table, F.lit(True)).select("matrix_id", "score", ((1 + hits) / F.lit(1.0 + n_null)).alias("p"))
+    own = best.where("draw < 0").select("matrix_id", F.col("b.score").alias("score"), F.when(F.col("b.plus"), "+").otherwise("-").alias("strand"), (-F.col("b.first")).alias("offset"))
+    found = own.join(F.broadcast(table)).select("matrix_id", "score", "strand", "offset", ((1 + hits) / F.lit(1.0 + n_null)).alias("p"), "null_p95")
+    return found if top is None else found.orderBy(F.desc("score"), "matrix_id").limit(top)

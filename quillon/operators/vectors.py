@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import draw
 
 
 def topk_codes(frame: DataFrame, id: str, vector: str, k: int) -> DataFrame:
@@ -71,23 +70,6 @@ def selectivity(sites: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return means.withColumn("ratio", F.when(F.col("off_effect") == 0, float("inf")).otherwise(F.col("on_effect") / F.col("off_effect")))
 
 
-def matched_controls(activity: DataFrame, targets: DataFrame, n: int, tolerance: float = 0.25, seed: str = "controls") -> DataFrame:
-    """For targets (feature) n other features of activity (feature, rate) within the tolerance; all others if none is.
-
-    Candidates of near rates meet in buckets of the rate's logarithm, so that
-    no target is compared with the whole dictionary.
-    """
-    width = float(np.log1p(tolerance))
-    cell = lambda r: F.floor(F.log(F.greatest(r, F.lit(1e-12))) / width)
-    want = targets.join(activity, "feature").select(F.col("feature").alias("target"), F.col("rate").alias("want"))
-    near = want.withColumn("cell", F.explode(F.sequence(cell(F.col("want") * (1 - tolerance)) - 1, cell(F.col("want") * (1 + tolerance)) + 1)))
-    pool = activity.join(targets, "feature", "left_anti").withColumn("cell", cell(F.col("rate")))
-    close = near.join(pool, "cell").where(F.abs(F.col("rate") - F.col("want")) <= tolerance * F.greatest(F.abs("want"), F.lit(1e-12)))
-    order = Window.partitionBy("target").orderBy(draw(F.lit(seed), F.col("target"), F.col("feature")), "feature")
-    picked = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
-    return picked.select("target", F.col("feature").alias("control"), "rank")
-
-
 def contrastive_feature(rows: DataFrame) -> DataFrame:
     """Of (window, feature, value, y): the feature with the largest mean over windows of positive less negative mean."""
     on, off = F.avg(F.when(F.col("y") == 1, F.col("value"))), F.avg(F.when(F.col("y") == 0, F.col("value")))
@@ -129,12 +111,32 @@ def encode_topk(frame: DataFrame, vector: str, w: np.ndarray, bias: np.ndarray,
     return frame.mapInArrow(work, schema)
 
 
-def nearest_by_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
-    """For each row of left (id, vec) the row of right of the largest cosine, by blocks of exploded coordinates."""
-    def unit(frame: DataFrame, name: str) -> DataFrame:
-        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + F.lit(1e-12)
-        return frame.select(F.col("id").alias(name), F.posexplode(F.transform("vec", lambda x: x.cast("double") / norm)).alias("i", name[0]))
+def nearest_by_cosine(left: DataFrame, right: DataFrame, block: int = 4096) -> DataFrame:
+    """For each row of left (id, vec) the row of right of the largest cosine, the lowest id of equals.
 
-    products = unit(left, "left_id").join(unit(right, "right_id"), "i").groupBy("left_id", "right_id").agg(F.sum(F.col("l") * F.col("r")).alias("cosine"))
-    best = F.max(F.struct("cosine", (-F.col("right_id")).alias("n"))).alias("m")
-    return products.groupBy("left_id").agg(best).select("left_id", (-F.col("m.n")).alias("right_id"), F.col("m.cosine").alias("cosine"))
+    Blocks of rows meet once each: a task multiplies one block of left with
+    one of right and keeps the best of each row, so that a vector is sent once
+    for each block of the other side and no pairs leave a task.
+    """
+    parts = lambda frame: max(1, -(-frame.count() // block))
+    rows, cols = parts(left), parts(right)
+    of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    vec = F.transform("vec", lambda x: x.cast("double"))
+    a = left.select(of(rows).alias("row"), F.explode(every(cols)).alias("col"), F.col("id").cast("long").alias("id"), vec.alias("vec"))
+    b = right.select(F.explode(every(rows)).alias("row"), of(cols).alias("col"), F.col("id").cast("long").alias("id"), vec.alias("vec"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names = ["left_id", "right_id", "cosine"]
+        if not a.num_rows or not b.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+        b = b.sort_by("id")
+        x, y = (np.stack(t.column("vec").to_numpy(zero_copy_only=False)) for t in (a, b))
+        x, y = (m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + 1e-12) for m in (x, y))
+        product = np.round(x @ y.T, 12)  # equal vectors have equal cosines whatever the block
+        at = product.argmax(axis=1)
+        return pa.table({"left_id": a.column("id"), "right_id": b.column("id").take(pa.array(at)), "cosine": pa.array(product[np.arange(len(at)), at])})
+
+    found = a.groupBy("row", "col").cogroup(b.groupBy("row", "col")).applyInArrow(best, "left_id long, right_id long, cosine double")
+    first = F.max(F.struct("cosine", (-F.col("right_id")).alias("n"))).alias("m")
+    return found.groupBy("left_id").agg(first).select("left_id", (-F.col("m.n")).alias("right_id"), F.col("m.cosine").alias("cosine"))

@@ -460,15 +460,6 @@ def seed_agreement_cosine(spark: SparkSession, sf: str) -> DataFrame:
 RATES = f"{CHANNELS}, {CODES}, rt AS (SELECT feature, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings) AS rate FROM codes GROUP BY feature)"
 
 
-@query(
-    f"WITH {RATES}, c AS (SELECT a.feature AS target, b.feature AS control, row_number() OVER (PARTITION BY a.feature ORDER BY {draw_sql("concat_ws('|', 'controls', CAST(a.feature AS VARCHAR), CAST(b.feature AS VARCHAR))")}, b.feature) AS rank FROM rt a JOIN rt b ON a.feature < 4 AND b.feature >= 4 AND abs(a.rate - b.rate) <= 0.25 * greatest(abs(a.rate), 1e-12)) SELECT target, control, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 3"
-)
-def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "embeddings").agg(F.count("*").cast("double").alias("n"))
-    rates = codes(spark, sf).groupBy("feature").agg(F.count("*").alias("c")).join(n, F.lit(True)).select("feature", (F.col("c") / F.col("n")).alias("rate"))
-    return vectors.matched_controls(rates, rates.where("feature < 4").select("feature"), 3)
-
-
 @query(f"WITH {RATES}, l2 AS (SELECT feature, sqrt(sum(CAST(value AS DOUBLE) ** 2)) AS l2 FROM codes GROUP BY feature), p AS (SELECT a.feature AS target, b.feature AS control, a.l2 / b.l2 AS scale, row_number() OVER (PARTITION BY a.feature ORDER BY abs(ln(round(b.l2 / a.l2, 9))), b.feature) AS r FROM l2 a JOIN l2 b ON a.feature < 8 AND b.feature >= 8) SELECT target, control, round(scale, 6) AS scale, scale BETWEEN 0.75 AND 1.25 AS within FROM p WHERE r = 1")
 def dose_matched_control(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value").cast("double")

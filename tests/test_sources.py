@@ -47,8 +47,10 @@ def test_fasta_fetch_pads(spark, tmp_path):
     open(path, "w").write(">chr1 note\nacgt\nAC\n>chr2\nGGG\n")
     seqs = an.read_fasta(spark, path)
     assert {r["chrom"]: r["sequence"] for r in seqs.collect()} == {"chr1": "ACGTAC", "chr2": "GGG"}
-    places = spark.createDataFrame([("chr1", 4, 8)], "chrom string, start long, end long")
-    assert an.fetch(seqs, places).first()["bases"] == "ACNN"
+    places = spark.createDataFrame([("chr1", 4, 8), ("chr1", 0, 6), ("chr1", 9, 11), ("chr3", 0, 2), ("chr2", 1, 1)], "chrom string, start long, end long")
+    for size in (2, 3, 100):
+        out = {(r["chrom"], r["start"]): r["bases"] for r in an.fetch(seqs, places, size).collect()}
+        assert out == {("chr1", 4): "ACNN", ("chr1", 0): "ACGTAC", ("chr1", 9): "NN", ("chr3", 0): None, ("chr2", 1): ""}
 
 
 def test_matrices(spark, tmp_path):
@@ -76,13 +78,67 @@ def test_bedgraph_and_resume(spark, tmp_path):
     sinks.write_bedgraph(bins, path, name="x")
     lines = [r["value"] for r in spark.read.text(path).collect()]
     assert len(lines) == 3 and lines[0].startswith("track") and lines[1] == "chr7\t1128\t1256\t1.5"
-    acts = spark.createDataFrame([("a", "test", 0, [1.0]), ("a", "test", 1, [2.0])], "tap string, split string, shard int, vec array<double>")
-    done = spark.createDataFrame([("a", 0)], "tap string, shard int")
-    sinks.write_partitioned(acts, str(tmp_path / "acts"), done)
-    assert [r["shard"] for r in spark.read.parquet(str(tmp_path / "acts")).collect()] == [1]
+    assert lines[0] == 'track type=bedGraph name="x" description="x" color=42,120,214 visibility=full autoScale=on'
     assert sinks.receipts(bins, "chrom").select("sha256").distinct().count() == 6
 
 
 def test_digests(spark, tmp_path):
     (tmp_path / "x").write_bytes(b"abc")
     assert an.file_digests(spark, str(tmp_path / "x")).first()["md5"] == "900150983cd24fb0d6963f7d28e17f72"
+
+
+def test_numbers_as_in_c(spark):
+    import math
+
+    values = [0.0, 1e-7, 1234567.5, 100000.0, 999999.5, 0.0001, 0.0000999999951, -2.5, 1 / 3, 123456.0, 1e100, 5e-300, 1e22, -0.00012345678]
+    rows = spark.createDataFrame([(v,) for v in values], "value double").select("value", sinks.short_number("value").alias("t")).collect()
+    assert all(r["t"] == "%.6g" % r["value"] or (r["value"] == 0 and r["t"] == "0") for r in rows), [(r["t"], "%.6g" % r["value"]) for r in rows]
+    bad = spark.createDataFrame([("c", 0, 5, math.inf)], "chrom string, start long, end long, value double")
+    with pytest.raises(Exception, match="bad bin"):
+        sinks.bedgraph_lines(bad, "x").collect()
+    with pytest.raises(Exception, match="bad bin"):
+        sinks.bedgraph_lines(bad.withColumns({"value": bad["value"] * 0 + 1, "end": bad["start"]}), "x").collect()
+
+
+def test_tables_and_documents(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    spans = spark.createDataFrame([("chr2", 5, 9), ("chr1", 7, 8)], "chrom string, start long, end long")
+    sinks.write_bed(spans, str(tmp_path / "b"), "n", "#010203")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "b")).collect()] == ['track name="n" itemRgb="On" color=1,2,3', "chr1\t7\t8\tn\t0\t.", "chr2\t5\t9\tn\t0\t."]
+    assert sinks.write_concept_bed(spans, str(tmp_path / "c"), "n") == 2
+    sinks.write_csv(spans, str(tmp_path / "t"))
+    assert an.read_results(spark, str(tmp_path / "t")).count() == 2
+    sinks.write_json({"a": 1}, str(tmp_path / "j"))
+    assert json.load(open(tmp_path / "j")) == {"a": 1}
+    with pytest.raises(ValueError):
+        sinks.write_json({"a": float("nan")}, str(tmp_path / "j"))
+    with pytest.raises(ValueError):
+        sinks.write_matrix(np.array([np.inf]), str(tmp_path / "m"))
+    sinks.write_matrix(np.eye(2), str(tmp_path / "m"))
+    assert np.load(tmp_path / "m").sum() == 2 and json.load(open(tmp_path / "j")) == {"a": 1}
+    with pytest.raises(ValueError):
+        sinks.igv_session("g", "l", [sinks.igv_track("a", "u"), sinks.igv_track("a", "v")])
+
+
+def test_empty_sources_fail(spark, tmp_path):
+    (tmp_path / "e.bed").write_text("")
+    with pytest.raises(ValueError, match="folds"):
+        an.read_folds(spark, str(tmp_path / "e.bed"))
+    exons = an.read_gtf(spark, gtf(tmp_path), ["exon"])
+    with pytest.raises(ValueError, match="records"):
+        an.read_gtf(spark, gtf(tmp_path), ["gene"])
+    with pytest.raises(ValueError, match="introns"):
+        an.splice_sites(an.first_exons(exons), "donor", 5)
+    assert an.first_exons(exons).count() == 2
+    (tmp_path / "s.json").write_text('{"assembly": "GRCh38", "sources": {"a": {}}}')
+    assert an.read_sources(str(tmp_path / "s.json"), {"a"}) == {"a": {}}
+    for known, assembly in ((set(), "GRCh38"), ({"a"}, "hg19")):
+        with pytest.raises(ValueError):
+            an.read_sources(str(tmp_path / "s.json"), known, assembly)
+    (tmp_path / "x").write_bytes(b"abc")
+    an.check_files(spark, str(tmp_path / "x"), {"x": "900150983cd24fb0d6963f7d28e17f72"})
+    with pytest.raises(ValueError, match="x"):
+        an.check_files(spark, str(tmp_path / "x"), {"x": "0" * 32})
