@@ -3,10 +3,11 @@
 A rolling hash over the last bytes cuts every text at places that depend on
 the content alone, so that a passage that many documents share falls into the
 same chunks in each of them. A chunk's inside is encoded once and kept in a
-table; what stands across a cut (the tail of one chunk and the head of the
-next) is re-encoded as one piece, wider and wider until the piece begins and
-ends beside white space. The vocabulary's pre-tokenizer never joins across
-white space, so from there the tokens agree with those of the whole text.
+table. The join of two chunks is repaired by re-encoding: a window from some
+words before the cut to some words after it goes through the tokenizer, and
+its ids have to begin and end with those that the two chunks have for these
+words. Where they don't, the window grows until they do, and the text is
+encoded whole if it never happens.
 
 The tables belong to the Python worker, which serves many tasks: nothing is
 shuffled, and a lost executor costs only its own tasks. Both tables are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillon.llm.words import splitmix
 
 #: Mean distance of two cuts is 2 ** CUT_BITS bytes; a cut looks at CUT_WINDOW bytes.
-CUT_BITS = 8
+CUT_BITS = 10
 CUT_WINDOW = 16
 MAX_PIECES = 400_000
 MAX_CHUNKS = 40_000
@@ -68,7 +69,7 @@ class ChunkCodec:
         self.max_pieces, self.max_chunks = max_pieces, max_chunks
         self.pieces: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple[int, str, str]] = {}
-        self.encoded_chunks = self.reused_chunks = self.repaired = 0
+        self.encoded_chunks = self.reused_chunks = self.repaired = self.widened = self.whole = 0
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
@@ -111,8 +112,7 @@ class ChunkCodec:
     def encode(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of tokens, ids in decimal and the decoded text."""
         if self.joint is None:  # a decoder that looks across tokens: no parts to join
-            for e in self.tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False):
-                yield len(e.ids), " ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False)
+            yield from map(self._whole, texts)
             return
         plans, missing, insides_new = [], {}, {}
         if len(self.chunks) > self.max_chunks:
@@ -126,26 +126,66 @@ class ChunkCodec:
                 else:
                     insides_new[inside] = words = self.words(inside)
                     missing.update(dict.fromkeys(words))
-            for joint in joints:
-                self.repaired += 1
-                missing.update(dict.fromkeys(self.words(joint)))
-        new = [w for w in missing if w not in self.pieces]
-        if len(self.pieces) + len(new) > self.max_pieces:
-            self.pieces.clear()
-            new = list(missing)
-        if new:
-            self._learn(new)
+        self._know(missing)
         self.encoded_chunks += len(insides_new)
         for inside, words in insides_new.items():
             self.chunks[inside] = self._render(words)
-        for insides, joints in plans:
+        repaired = self._repair(plans)
+        for at, (text, (insides, joints)) in enumerate(zip(texts, plans, strict=True)):
             parts = [self.chunks[insides[0]]]
-            for joint, inside in zip(joints, insides[1:], strict=True):
-                parts.append(self._render(self.words(joint)))
+            for i, inside in enumerate(insides[1:]):
+                parts.append(repaired[at, i])
                 parts.append(self.chunks[inside])
+            if None in parts:
+                self.whole += 1
+                yield self._whole(text)
+                continue
             parts = [p for p in parts if p[0]]
             yield sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
+    def _whole(self, text: bytes) -> tuple[int, str, str]:
+        e = self.tokenizer.encode(text.decode(), add_special_tokens=False)
+        return len(e.ids), " ".join(map(str, e.ids)), self.tokenizer.decode(e.ids, skip_special_tokens=False)
+
+    def _know(self, words: dict[bytes, None]) -> None:
+        new = [w for w in words if w not in self.pieces]
+        if len(self.pieces) + len(new) > self.max_pieces:
+            self.pieces.clear()
+            new = list(words)
+        if new:
+            self._learn(new)
+
+    def _repair(self, plans: list[tuple[list[bytes], list[bytes]]]) -> dict[tuple[int, int], tuple[int, str, str] | None]:
+        """By text and join: what stands between the two chunks' own tokens; None where no window agrees."""
+        out: dict[tuple[int, int], tuple[int, str, str] | None] = {}
+        open_, k = [(at, i) for at, (_, joints) in enumerate(plans) for i in range(len(joints))], 1
+        while open_:
+            windows, sides, words = [], [], {}
+            for at, i in open_:
+                before, joint, after = plans[at][0][i], plans[at][1][i], plans[at][0][i + 1]
+                rest = before.rsplit(None, k)
+                tail = before[len(rest[0]) :] if len(rest) > k else before
+                rest = after.split(None, k)
+                head = after[: len(after) - len(rest[-1])] if len(rest) > k else after
+                windows.append((tail + joint + head).decode())
+                sides.append((self.words(tail), self.words(head), tail == before and head == after))
+                words.update(dict.fromkeys([*sides[-1][0], *sides[-1][1]]))
+            self._know(words)
+            again = []
+            for place, e, (tail, head, all_) in zip(open_, self.tokenizer.encode_batch(windows, add_special_tokens=False), sides, strict=True):
+                self.repaired += 1
+                (n_tail, tail_ids, _), (n_head, head_ids, _) = self._render(tail), self._render(head)
+                ids, end = e.ids, len(e.ids) - n_head
+                if n_tail <= end and " ".join(map(str, ids[:n_tail])) == tail_ids and " ".join(map(str, ids[end:])) == head_ids:
+                    out[place] = (end - n_tail, " ".join(map(str, ids[n_tail:end])), " ".join(e.tokens[n_tail:end]))
+                elif all_:
+                    out[place] = None
+                else:
+                    self.widened += 1
+                    again.append(place)
+            open_, k = again, 4 * k
+        return out
+
 
 _BLANK_BYTES = [bytes([b]) for b in _BLANK]
 _CODECS: dict[str, ChunkCodec] = {}
@@ -176,6 +216,7 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> I
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", with_ids: bool = True, with_decoded: bool = True) -> DataFrame:
     """Every row of docs (same columns) with n_tokens, ids (array<int>) and decoded.
 
+    Texts of any length are encoded whole; a run of texts is held at a time.
     Null text counts as empty: 0 tokens, no ids, empty decoded text. Rows are
     independent, so repeated rows and ties give equal values, and an empty
     table gives an empty one. Columns of docs named like the results are

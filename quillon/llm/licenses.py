@@ -97,6 +97,7 @@ BSD_CLAUSES = (("bsd-1-clause", "1|one"), ("bsd-2-clause", "2|two|simplified"),
 CC_PARTS = (("by", "attribution"), ("by-sa", "attribution share ?alike"), ("by-nd", "attribution no ?deriv(?:ative)?s(?: works)?"), ("by-nc", "attribution non ?commercial"), ("by-nc-sa", "attribution non ?commercial share ?alike"), ("by-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?"))
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: Sentences of license texts and notices: label, keyword, pattern, confidence.
+#: Two hold a gap for a name (.{1,80}?, .{1,60}?): these signatures are defined with names of up to that length.
 PASSAGES = (
     ("mit", "granted", "permission is hereby granted free of charge to any person obtaining a copy", 0.95),
     ("mit", "warranty", "the software is provided as is without warranty of any kind express or implied", 0.7),
@@ -171,20 +172,40 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
+#: Marks the starts of a rule's places; no word contains it.
+_MARK = "\x01"
+
+
 def _places(words: Column, rule: Column) -> Column:
-    """Where a rule's pattern stands in ' w0 w1 ... ': array of start and end, in words."""
+    """Where a rule's pattern stands in ' w0 w1 ... ': array of start and end, in words.
+
+    Every place is marked in the text, whose words are then counted once: the
+    work is in proportion to the text, however many places there are.
+    """
+    none = F.array().cast("array<struct<start:int,end:int>>")
     pattern = F.concat(F.lit("(?i)(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    found = F.regexp_extract_all(words, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.split(words, pattern, -1).alias("gap"), found.alias("match"))
-    state = "struct<at:int,places:array<struct<start:int,n:int>>>"
-    step = lambda s, x: F.when(x["match"].isNull(), s).otherwise(
-        F.struct(
-            (s["at"] + _spaces(x["gap"]) + _spaces(x["match"])).alias("at"),
-            F.concat(s["places"], F.array(F.struct((s["at"] + _spaces(x["gap"]) - 1).alias("start"), (_spaces(x["match"]) + 1).alias("n")))).alias("places"),
-        )
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,n:int>>").alias("places")).cast(state)
-    return F.when(F.rlike(words, pattern), F.aggregate(pairs, start, lambda s, x: step(s, x).cast(state), lambda s: s["places"])).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
+    marked = F.split(F.regexp_replace(words, pattern, F.lit(f"{_MARK}$0")), " ", -1)
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(w.startswith(_MARK), i - 1)), lambda i: i.isNotNull())
+    sizes = F.transform(F.regexp_extract_all(words, pattern, F.lit(0)), lambda m: (_spaces(m) + 1).cast("int"))
+    pairs = F.zip_with(starts, sizes, lambda a, n: F.struct(a.cast("int").alias("start"), (a + n).cast("int").alias("end")))
+    return F.when(F.rlike(words, pattern), pairs).otherwise(none)
+
+
+def _sweep(hits: Column, state: str, step) -> Column:
+    """The places kept by one pass over hits in order, in runs of about the root of their number.
+
+    A run starts from the furthest end before it, so that no array grows by
+    copying beyond a run's length.
+    """
+    n = F.size(hits)
+    length = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+
+    def run(i: Column) -> Column:
+        before = F.coalesce(F.array_max(F.transform(F.slice(hits, F.lit(1), i * length), lambda h: -h["until"])), F.lit(-1))
+        first = F.struct(before.alias("until"), F.array().alias("kept")).cast(state)
+        return F.aggregate(F.slice(hits, i * length + 1, length), first, lambda s, h: step(s, h).cast(state), lambda s: s["kept"])
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / length).cast("int") - 1), run)))
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[Rule] | None = None) -> DataFrame:
@@ -192,7 +213,11 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[
 
     detections: the places that stay (label, start, n_words, priority).
     Null and empty texts have no words and no labels (empty strings), score 0.
-    Rows are independent of each other.
+    Rows are independent of each other: repeated rows give equal results, an
+    empty table an empty one; ids of any type go through, other columns of
+    docs, whatever their names, don't. Texts are scanned whole, in time nearly
+    in proportion to their length. Equal places: the higher priority stays,
+    then the first label by name.
     """
     ruleset = rules() if ruleset is None else ruleset
     kind = "array<struct<label:string,keyword:string,pattern:string,priority:int,confidence:double,base:boolean>>"
@@ -207,7 +232,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[
     gated = gated.withColumn("__low", F.lower("__all"))
     own = gated.withColumn("__keys", F.when(F.col("__low").isNotNull(), F.filter(keywords, lambda k: F.contains(F.col("__low"), F.concat(F.lit(" "), k, F.lit(" ")))))).drop("__low")
     chosen = own.withColumn("__rules", F.when(F.size("__keys") > 0, F.filter(table, lambda r: F.array_contains(F.col("__keys"), r["keyword"]))))
-    hit = lambda r: F.transform(_places(F.col("__all"), r), lambda p: F.struct(p["start"].alias("start"), (p["start"] + p["n"]).alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"), r["base"].alias("base")))
+    hit = lambda r: F.transform(_places(F.col("__all"), r), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"), r["base"].alias("base")))
     found = chosen.withColumn("__hits", F.flatten(F.transform("__rules", hit))).drop("__rules", "__keys", "__all")
     # By start, then longest, then highest priority: a place stays if it ends after all before it.
     order = F.transform("__hits", lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("until"), (-h["priority"]).alias("low"), h["label"].alias("label"), h["confidence"].alias("confidence"), h["base"].alias("base")))
@@ -217,8 +242,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", ruleset: list[
     step = lambda s, h: F.when(-h["until"] <= s["until"], s).otherwise(
         F.struct((-h["until"]).alias("until"), F.concat(s["kept"], F.array(F.struct(h["label"].alias("label"), h["start"].alias("start"), (-h["until"] - h["start"]).alias("n_words"), (-h["low"]).alias("priority"), h["confidence"].alias("confidence")))).alias("kept"))
     )
-    first = F.struct(F.lit(-1).alias("until"), F.array().cast(kept).alias("kept")).cast(state)
-    swept = ordered.withColumn("detections", F.coalesce(F.aggregate("__order", first, lambda s, h: step(s, h).cast(state), lambda s: s["kept"]), F.array().cast(kept)))
+    swept = ordered.withColumn("detections", F.coalesce(_sweep(F.col("__order"), state, step), F.array().cast(kept)))
     base = swept.withColumn("__base", F.coalesce(F.filter("__order", lambda h: h["base"]), F.filter("__order", lambda h: F.lit(False)))).drop("__order")
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     none = F.array().cast("array<string>")

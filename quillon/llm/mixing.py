@@ -1,14 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
 Every document of a source expects target / source_size copies. Documents are
-put in an order (size class, salt, id), their expected copies are summed up
-along it, one offset per source is added, and a document is taken once for
-each integer that its step crosses. As documents of near sizes stand together,
+put in an order (size, salt, id), their expected copies are summed up
+along it, one random offset per source is added, and a document is taken once for
+each integer that its step crosses. As documents of next sizes stand together,
 the words taken come near the target.
 
 The order's ranks come in three steps, none of which brings a source into one
-task: counts by (source, size class), by salt within these, and row numbers
-within a salt. The tables of counts are small and bounded by classes and salts.
+task: counts by (source, size), by salt within these, and row numbers within a
+salt. A source's table of counts has one row for each different size.
 """
 
 from __future__ import annotations
@@ -23,13 +23,10 @@ from quillon.llm.common import cut_lineage, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
-SALTS = 64
+SALTS = 8
 ROWS_A_SALT = 1_000_000
-
-
-def size_class(size: Column) -> Column:
-    """Sizes below 16 as they are, then eight classes for each doubling."""
-    return F.when(size < 16, size).otherwise((F.lit(16) + F.floor(8 * F.log2(size / F.lit(16.0)))).cast("long"))
+#: Random offsets drawn for each source; the one whose words come nearest to the target is taken.
+OFFSETS = 16
 
 
 def salt_of(id: Column, salts: int) -> Column:
@@ -69,12 +66,14 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
 
     Null and empty texts have size 0 and are taken with 0 words. Null sources
     form a source of their own. Rows with equal id and size are exchangeable,
-    so reruns agree. An empty table gives an empty result.
+    so reruns agree. Texts of any length are counted whole; a clash of names
+    with other columns of docs doesn't matter, as only those in keep go through.
+    An empty table gives an empty result.
     """
     sized = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
     sized = cut_lineage(sized)
     salts = max(SALTS, math.ceil(sized.count() / ROWS_A_SALT))
-    sized = sized.select("*", F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), size_class(F.col("size")).alias("__class"), salt_of(F.col("__id"), salts).alias("__salt"))
+    sized = sized.select("*", F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), F.col("size").alias("__class"), salt_of(F.col("__id"), salts).alias("__salt"))
     of_source, of_class = ["__s", "__none"], ["__s", "__none", "__class"]
     by_salt = sized.groupBy(*of_class, "__salt").agg(F.count("*").alias("n"))
     by_class = sized.groupBy(*of_class).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -86,10 +85,18 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     ranked = sized.withColumn("__row", F.row_number().over(Window.partitionBy(*of_class, "__salt").orderBy(F.col("__id"), "size")))
     joined = ranked.join(by_salt, [*of_class, "__salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = salt_of(F.concat(F.lit(f"{seed}/"), F.col("__none").cast("string"), F.lit("/"), F.col("__s")), 1_000_000) / F.lit(1_000_000.0)
-    rank = F.col("__before_class") + F.col("__before_salt") + F.col("__row")
-    crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    copies = F.least(F.greatest(crossed, F.lit(0)), F.ceil(rate)).cast("long")
+    joined = joined.withColumns({"__rate": rate, "__rank": F.col("__before_class") + F.col("__before_salt") + F.col("__row")})
+
+    def copies(offset: Column) -> Column:
+        at = lambda rank: F.floor(rank * F.col("__rate") + offset)
+        return F.least(F.greatest(at(F.col("__rank")) - at(F.col("__rank") - 1), F.lit(0)), F.ceil("__rate")).cast("long")
+
+    offsets = [salt_of(F.concat(F.lit(f"{seed}/{i}/"), F.col("__none").cast("string"), F.lit("/"), F.col("__s")), 1_000_000) / F.lit(1_000_000.0) for i in range(OFFSETS)]
+    # One row a source: the words that each offset would take.
+    tried = joined.groupBy(*of_source, "target").agg(*[F.sum(copies(x) * F.col("size")).alias(f"__t{i}") for i, x in enumerate(offsets)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"__t{i}") - F.col("target")).alias("off"), F.lit(i).alias("i"), x.alias("offset")) for i, x in enumerate(offsets)]))
+    joined = joined.join(tried.select(*of_source, best["offset"].alias("__offset")), of_source)
+    copies = copies(F.col("__offset"))
     return joined.select(F.col("__id").alias(id), F.col("source").alias(source), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

@@ -54,9 +54,11 @@ SELECT w.doc_id, len(ws) AS n_words, round(coalesce(v, 0), 6) AS log_score, roun
 
 _SALT = lambda text, n: f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT) % {n}"
 
+_COPIES = "CAST(least(greatest(floor(pos * rate + off) - floor((pos - 1) * rate + off), 0), ceil(rate)) AS BIGINT)"
+
 OP10 = f"""WITH {WORDS},
 d AS (SELECT doc_id, source, len(ws) AS size FROM w),
-k AS (SELECT *, CASE WHEN size < 16 THEN size ELSE CAST(16 + floor(8 * log2(size / 16.0)) AS BIGINT) END AS cl, {_SALT("coalesce(CAST(doc_id AS VARCHAR), '')", f"(SELECT greatest({mixing.SALTS}, CAST(ceil(count(*) / {float(mixing.ROWS_A_SALT)}) AS BIGINT)) FROM documents)")} AS salt FROM d),
+k AS (SELECT *, size AS cl, {_SALT("coalesce(CAST(doc_id AS VARCHAR), '')", f"(SELECT greatest({mixing.SALTS}, CAST(ceil(count(*) / {float(mixing.ROWS_A_SALT)}) AS BIGINT)) FROM documents)")} AS salt FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cl, salt, doc_id, size) AS pos FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 g AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS wt FROM s),
@@ -64,8 +66,10 @@ l AS (SELECT *, source_size * 2.0::DOUBLE AS most, source_size * 2.0::DOUBLE / w
 a AS (SELECT *, sum(most) OVER u AS filled, sum(wt) OVER () - sum(wt) OVER u AS above, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM l WINDOW u AS (ORDER BY lv, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, filled + lv * above <= total AS isfull FROM a),
 t AS (SELECT source, source_size, round(CASE WHEN isfull THEN most ELSE least(most, (total - coalesce(sum(most) FILTER (isfull) OVER (), 0)) * wt / sum(wt) FILTER (NOT isfull) OVER ()) END, 6) AS target FROM b),
-e AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, {_SALT("'17/' || CASE WHEN r.source IS NULL THEN 'true' ELSE 'false' END || '/' || coalesce(r.source, '')", 1_000_000)} / 1000000.0::DOUBLE AS off FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, CAST(least(greatest(floor(pos * rate + off) - floor((pos - 1) * rate + off), 0), ceil(rate)) AS BIGINT) AS copies FROM e)
+e AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source),
+n AS (SELECT source, target, i, {_SALT("'17/' || i || '/' || CASE WHEN source IS NULL THEN 'true' ELSE 'false' END || '/' || coalesce(source, '')", 1_000_000)} / 1000000.0::DOUBLE AS off FROM t, range(0, {mixing.OFFSETS}) o(i)),
+v AS (SELECT n.source, n.off, row_number() OVER (PARTITION BY n.source ORDER BY abs(sum({_COPIES} * size) - any_value(n.target)), n.i) AS k FROM e JOIN n ON n.source IS NOT DISTINCT FROM e.source GROUP BY n.source, n.i, n.off),
+c AS (SELECT e.*, {_COPIES} AS copies FROM e JOIN v ON v.source IS NOT DISTINCT FROM e.source AND k = 1)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"""
 
 ORACLES = {"op1_substring_dedup": OP1, "op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op8_lm_backoff": OP8, "op10_mix_sources": OP10}

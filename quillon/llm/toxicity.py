@@ -7,7 +7,9 @@ mean something, which no sum of weights can.
 
 The machine is fitted on the driver by AdaGrad, on at most MAX_TRAIN
 labelled rows, those whose ids hash lowest; the buckets are at most
-MAX_TERMS, those whose counts differ most between the labels (chi square).
+MAX_TERMS: those whose counts differ most between the labels (chi square), and
+the MOST_FREQUENT most frequent ones, which alone may tell nothing and yet
+do so in pairs.
 Both bounds are parameters; the model's size does not grow with the data, so
 it is sent to all executors. Scoring covers all rows and all of their text.
 """
@@ -29,6 +31,7 @@ BUCKET_BITS = 20
 MAX_TRAIN = 12_000
 MAX_TERMS = 4_096
 MIN_DOCS = 3
+MOST_FREQUENT = 256
 #: Terms whose counts differ less between the labels are noise (p about 0.0002).
 LEAST_CHI = 14.0
 RANK = 6
@@ -62,8 +65,8 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_docs: int = MIN_DOCS) -> np.ndarray:
-    """The buckets that tell the labels apart best, ascending."""
+def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_docs: int = MIN_DOCS, frequent: int = MOST_FREQUENT) -> np.ndarray:
+    """The buckets that tell the labels apart best, and the most frequent ones, ascending."""
     if not rows:
         return np.empty(0, dtype=np.int64)
     size = 1 << BUCKET_BITS
@@ -75,8 +78,10 @@ def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_d
     expected = with_term * k / n
     chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - k / n) * (1 - with_term / n), 1e-9)
     chi[(with_term < least_docs) | (with_term >= n)] = 0
-    best = np.lexsort((np.arange(size), -chi))[:most]
-    return np.sort(best[chi[best] > LEAST_CHI])
+    best = np.lexsort((np.arange(size), -chi))[: most - frequent]
+    common = np.where((with_term < least_docs) | (with_term >= n), 0, with_term)
+    first = np.lexsort((np.arange(size), -common))[:frequent]
+    return np.union1d(best[chi[best] > LEAST_CHI], first[common[first] > 0])
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
@@ -123,8 +128,10 @@ def held_out(id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_TRAIN) -> Machine:
     """Fits on labelled rows that are not held out; null labels and ids don't count.
 
-    A repeated label row counts as often as it stands there. Without any
-    labelled row the machine scores everything 0.5 or less.
+    A repeated label row counts as often as it stands there, and so does a
+    document whose id is repeated; never more than `most` of them are gathered,
+    those of lowest hash. Without any labelled row, or on empty tables, the
+    machine scores everything 0.5 or less. Texts are read whole.
     """
     rows = labels.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL").where(~held_out(F.col("__id")))
     chosen = rows.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
@@ -138,7 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     kind = docs.schema[id].dataType.simpleString()
     # At most `most` rows of two numbers: their size is bounded by the parameter.
-    found = texts.join(F.broadcast(chosen), "__id").mapInArrow(terms, f"__id {kind}, __y int, __terms binary").toArrow().combine_chunks().sort_by([("__id", "ascending"), ("__y", "ascending")])
+    own = texts.join(F.broadcast(chosen), "__id").mapInArrow(terms, f"__id {kind}, __y int, __terms binary")
+    # Ids may be repeated in docs: a top-n keeps what is gathered within the parameter.
+    found = own.orderBy(F.xxhash64("__id"), "__id", "__y", F.xxhash64("__terms")).limit(most).toArrow().combine_chunks().sort_by([("__id", "ascending"), ("__y", "ascending"), ("__terms", "ascending")])
     rows = [np.frombuffer(t.as_buffer(), dtype=np.int32) if t.is_valid and len(t.as_py()) else np.empty(0, dtype=np.int32) for t in found.column("__terms")]
     return fit(rows, found.column("__y").to_numpy().clip(0, 1))
 
@@ -147,7 +156,7 @@ def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     """docs (same columns) with score and predicted; null text counts as empty.
 
     Columns of docs named score or predicted are replaced. Equal texts get
-    equal scores; an empty table gives an empty one.
+    equal scores, ties at 0.5 are predicted 1; an empty table gives an empty one.
     """
     docs = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
