@@ -18,15 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session without that setting (as in tests) gets a temporary one.
+    Only a session in one process that lacks the setting (as in tests) gets a
+    temporary one; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillon-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch named, with all it holds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the caller removes it when its results are no longer read."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 

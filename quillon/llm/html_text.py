@@ -237,8 +237,8 @@ def _nearest(own: list[Block]) -> list[tuple[str, int]]:
     for b in own:
         away += 1
         out.append((label, away))
-        if b.first in ("good", "bad"):
-            label, away = b.first, 0
+        if b.label in ("good", "bad"):
+            label, away = b.label, 0
     return out
 
 
@@ -249,9 +249,12 @@ def second_pass(found: list[Block]) -> None:
     articles = any(b.within and not b.marked for b in found)
     for within in (True, False):
         own = [b for b in found if b.within == within and not b.marked]
+        if (within or not articles) and not any(b.first == "good" for b in own):
+            for b in own:  # nothing stands out: what reads like prose is the text there is
+                b.label = "good" if b.first == "prose" else b.label
         before, after = _nearest(own), _nearest(own[::-1])[::-1]
         for b, (left, l_away), (right, r_away) in zip(own, before, after, strict=True):
-            if b.first in ("good", "bad"):
+            if b.label in ("good", "bad"):
                 continue
             if articles and not within:  # beside an article, prose has to stand among prose
                 b.label = "good" if left == right == "good" else "bad"

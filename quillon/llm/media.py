@@ -33,6 +33,8 @@ from quillon.llm.common import cut_lineage, scratch
 
 ROW = 64
 SHARD_BYTES = 64 << 20
+#: Stored bytes that one task reads back.
+RANGE_BYTES = 8 << 20
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -80,11 +82,11 @@ def from_png(media: bytes) -> bytes:
 
 
 def feature(payload: bytes) -> str:
-    """Mean, spread, byte entropy and the four most frequent samples of a payload."""
+    """Mean, spread, byte entropy and the most frequent samples of a payload, four at most, the lower of equals first."""
     x = np.frombuffer(payload, dtype=np.uint8)
     counts = np.bincount(x, minlength=256)
     p = counts[counts > 0] / len(x)
-    top = np.lexsort((np.arange(256), -counts))[:4]
+    top = np.lexsort((np.arange(256), -counts))[: min(4, len(p))]
     return f"mean={x.mean():.4f};std={x.std():.4f};entropy={-(p * np.log2(p)).sum():.4f};top={'/'.join(map(str, top.tolist()))}"
 
 
@@ -148,8 +150,12 @@ def store(docs: DataFrame, folder: str, text: str = "text", shard_bytes: int = S
         shards.close()
 
     written = docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(write, "digest binary, shard string, offset long, length long")
-    places = cut_lineage(written).groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
-    return places.select("digest", "at.*").repartition("shard").sortWithinPartitions("shard", "offset")
+    members = cut_lineage(written)
+    total = members.agg(F.sum("length").alias("n")).first()["n"] or 0
+    places = members.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"))
+    # Reading is dealt by bytes of the shards, not by rows of the index.
+    parts = max(1, -(-total // RANGE_BYTES))
+    return places.select("digest", "at.*").repartition(parts, F.col("shard"), F.floor(F.col("offset") / RANGE_BYTES)).sortWithinPartitions("shard", "offset")
 
 
 def _ranges(folder: str, batch: pa.RecordBatch, most: int | None = None) -> Iterator[bytes]:
@@ -199,7 +205,13 @@ def features(index: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Per row: id, n_bytes and the stored payload's place, header and features.
 
-    folder: where the shards go (a new one in the shared folder if None).
+    folder: where the shards go (a new one in the shared folder if None); they
+    stay there, for the rows that point into them, until the caller removes it.
+    Null and empty texts have n_bytes 0 and share one padded payload. Repeated
+    rows and equal texts get equal values; ids of any type, null too, go
+    through, other columns of docs, whatever their names, don't. A text of any
+    length is one member, which a task holds whole. An empty table gives an
+    empty result and no shard.
     """
     folder = folder or scratch(docs.sparkSession, "media")
     rows = docs.select(F.col(f"`{id}`").alias("__id"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload_of(F.col(f"`{text}`")), 256)).alias("digest"))

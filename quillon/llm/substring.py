@@ -212,15 +212,16 @@ def _kept(width: int, whole: bool, as_is: bool, rest: list[str]):
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into: str = "kept_text", width: int = WIDTH, n_rounds: int = ROUNDS, digest: bool = False, as_is: bool = False) -> DataFrame:
     """docs without text, with n_words, n_removed and the kept words joined by spaces (digest: their SHA-256).
 
-    as_is: texts that lose nothing stay as they are. Other columns of docs go
-    through; those of the results' names are replaced.
+    as_is: texts that lose nothing stay as they are (null ones become empty).
+    Other columns of docs go through; those of the results' names are replaced.
 
     A word goes if a window of width words that covers it starts earlier
     elsewhere: in a smaller id, or earlier in the same text. Windows are judged
     on the input. Null and empty texts, and texts of fewer than width words,
     keep all they have. The id is an integer; null ids come last. Rows with
     equal ids count as one document: a window at the same start in two of them
-    removes nothing.
+    removes nothing. A text longer than a block is a block of its own. An empty
+    table gives an empty result.
     """
     n_blocks, bits = plan(docs, text)
     made = {"n_words", "n_removed", into.lower()}

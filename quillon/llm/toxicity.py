@@ -31,7 +31,8 @@ BUCKET_BITS = 20
 MAX_TRAIN = 12_000
 MAX_TERMS = 4_096
 MIN_DOCS = 3
-MOST_FREQUENT = 256
+#: Bound of the frequent terms, and the rows that each of them needs: fewer rows can't tell so many pairs.
+MOST_FREQUENT, ROWS_A_FREQUENT = 256, 32
 #: Terms whose counts differ less between the labels are noise (p about 0.0002).
 LEAST_CHI = 14.0
 RANK = 6
@@ -78,6 +79,7 @@ def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_d
     expected = with_term * k / n
     chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - k / n) * (1 - with_term / n), 1e-9)
     chi[(with_term < least_docs) | (with_term >= n)] = 0
+    frequent = min(frequent, n // ROWS_A_FREQUENT)
     best = np.lexsort((np.arange(size), -chi))[: most - frequent]
     common = np.where((with_term < least_docs) | (with_term >= n), 0, with_term)
     first = np.lexsort((np.arange(size), -common))[:frequent]

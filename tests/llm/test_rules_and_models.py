@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quillon.llm import html_text, licenses, media, mixing, quality, toxicity
@@ -101,6 +102,68 @@ def test_blocks_of_pages():
     assert html_text.main_text("<article><p a='1>2'>x&nbsp;&#233;</article><p>out") == "x é"
 
 
+def labelled_page(rng, article, tagged):
+    """A page of blocks whose labels are known: (html, the good texts)."""
+    prose = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "in", "is", "that", "it", "river", "stone", "walks", "green", "house", "letters"]) for _ in range(n)) + "."
+    links = "".join(f"<li><a href='/{i}'>{rng.choice(['Home', 'News', 'About us', 'Contact'])}</a></li>" for i in range(5))
+    title = prose(5)[:-1].capitalize()
+    good, body = [title], [f"<h1>{title}</h1>"]
+    for _ in range(rng.randint(1, 6)):
+        text = prose(rng.choice([3, 8, 40, 120]))
+        good.append(text)
+        body.append(rng.choice([f"<p>{text}</p>", f"<p>{text}", f"<div><p><b>{text}</b></p></div>", f"<blockquote>{text}</blockquote>"]))
+    inner = "".join(body)
+    if article:
+        inner = f"<article>{inner}</article>"
+    around = f"<nav><ul>{links}</ul></nav><div class='cookie-notice'>{prose(30)}</div>"
+    after = f"<aside>{prose(60)}</aside><section class=comments><p>{prose(80)}</p></section><form>{prose(9)}<input></form><footer>{prose(25)}</footer>"
+    if not tagged:  # without any mark, only links and stop words tell
+        around, after = f"<ul>{links}</ul>", f"<ul>{links}</ul><script>var x = '<p>{prose(9)}</p>'</script>"
+    return f"<html><head><title>x</title></head><body>{around}{inner}{after}</body></html>", good
+
+
+@pytest.mark.parametrize("article", [True, False])
+@pytest.mark.parametrize("tagged", [True, False])
+def test_labelled_pages(article, tagged):
+    rng = random.Random(6)
+    first = collections.Counter()
+    for _ in range(60):
+        page, good = labelled_page(rng, article, tagged)
+        assert html_text.main_text(page) == "\n\n".join(good)
+        found = html_text.blocks(page)
+        html_text.first_pass(found)
+        first.update(b.first for b in found)
+    assert first["good"] > 20 and first["prose"] + first["odd"] > 20  # both passes decide
+    assert first["bad"] > 20 or tagged
+
+
+def test_passes_decide_blocks_by_their_words():
+    prose = "the cat and the dog of a man is in it " * 8
+    odd = "lorem ipsum dolor amet consectetur " * 4
+    link = "<p><a href=x>one two three</a> four</p>"
+    text = lambda *parts: html_text.main_text("".join(parts)).split("\n\n")
+    assert text(f"<p>{prose}</p><p>{odd}</p><p>{prose}</p>")[1] == odd.strip()
+    assert odd.strip() not in text(link, f"<p>{odd}</p>", link, f"<p>{prose}</p>")
+    assert text(f"<p>{odd}</p>") == [odd.strip()] and text("plain words without any tag " * 12)[0].startswith("plain")
+    assert text("<p>a<b>b</b>c</p>") == ["abc"] and text("<body><p>Das ist gut.</p><p>Mehr nicht</p>") == ["Das ist gut.", "Mehr nicht"]
+    assert text(f"<div><h2>Links</h2>{link}{link}{link}<p>{prose}</p><h2>Part</h2><p>{prose}</p></div>") == [prose.strip(), "Part", prose.strip()]
+    assert text("<p class='ad'>Buy it now.</p><p>Stays here.</p><p title='class ad'>Stays too.</p>") == ["Stays here.", "Stays too."]
+    assert text("a &lt; b <3 and x<y, 1 &amp; 2") == ["a < b <3 and x<y, 1 & 2"]
+
+
+@pytest.mark.parametrize("part", ['<a "x', "<div>", '<a">"', "<svg>", "<!-- ", "</div ", "<p>&amp;a", "<p a='\"'>", "<", "<p class='x"])
+def test_long_broken_pages_take_time_in_proportion(part):
+    import time
+
+    def seconds(n):
+        page, begin = part * n + "end", time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - begin
+
+    seconds(100)
+    assert seconds(80_000) < 20 * seconds(8_000) + 1
+
+
 def test_extract_keeps_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<article><p>a</p></article>", "y")], "page_id long, url string, html string, text string")
     out = sorted((r["text"], r["n_chars"]) for r in html_text.extract(rows).collect())
@@ -131,6 +194,84 @@ def test_media_round_trip(spark, tmp_path):
         media.png_header(b"no image")
 
 
+def test_media_columns_against_direct_values(spark, tmp_path):
+    import hashlib
+
+    texts = [None, "", "abc", "abc", "é" * 500, " ".join(map(str, range(3000))), "abc"]
+    rows = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, "abc", 1, "x")], "doc_id long, text string, digest int, feature string").repartition(4)
+    out = media.media_columns(rows, folder=f"file://{tmp_path}/m").collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        payload = media.pad(("abc" if r["doc_id"] is None else texts[r["doc_id"]] or "").encode())
+        stored = media.to_png(payload)
+        assert (r["length"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        counts = collections.Counter(payload)
+        mean = sum(payload) / len(payload)
+        top = sorted(counts, key=lambda b: (-counts[b], b))[:4]
+        entropy = -sum(c / len(payload) * np.log2(c / len(payload)) for c in counts.values())
+        assert r["feature"] == f"mean={mean:.4f};std={np.std(list(payload)):.4f};entropy={entropy:.4f};top={'/'.join(map(str, top))}"
+
+
+def license_labels(text):
+    """Labels and score by trying every rule at every place, then dropping places within others."""
+    w = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text or "")
+    joined = " " + " ".join(w) + " "
+    hits = []
+    for r in licenses.rules():
+        for m in regex.finditer(f"(?i)(?<= )(?:{r.pattern})(?= )", joined):
+            start = joined[: m.start()].count(" ") - 1
+            hits.append((start, -(start + m[0].count(" ") + 1), -r.priority, r.label, r.confidence))
+    kept = []
+    for h in sorted(set(hits)):
+        if not any(k[1] <= h[1] for k in kept):
+            kept.append(h)
+    base = {label for label, _, phrase in licenses.BASE if f" {phrase} " in re.sub("[A-Z]", lambda m: m[0].lower(), joined)}
+    return ",".join(sorted({k[3] for k in kept} | base)), max((k[4] for k in kept), default=0.0)
+
+
+def test_license_labels_against_every_rule_at_every_place(spark):
+    rng = random.Random(4)
+    rules = licenses.rules()
+    texts = [None, "", "nothing here", "mit license " * 3000, "GPL-2.0-or-later or MIT license"]
+    for _ in range(120):
+        parts = [rng.choice([shortest(rng.choice(rules).pattern), "some words", "MIT License", "version 2.0", "the", "or later"]) for _ in range(rng.randint(1, 6))]
+        texts.append(rng.choice([" ", "\n", ", "]).join(parts))
+    out = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert (out[i]["labels"], out[i]["score"]) == license_labels(t), t
+
+
+def test_scores_are_the_machine_s_formula(spark):
+    rows = toxic_corpus(300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"))
+    out = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    at = {int(b): i for i, b in enumerate(model.buckets)}
+    from quillon.llm.words import term_hashes
+
+    for i, text, _ in rows[:60]:
+        own = sorted({at[int(h) >> (64 - toxicity.BUCKET_BITS)] for h in term_hashes(text.encode()) if (int(h) >> (64 - toxicity.BUCKET_BITS)) in at})
+        total = model.w0 + sum(model.w[a] for a in own) + sum(float(model.v[a] @ model.v[b]) for k, a in enumerate(own) for b in own[k + 1 :])
+        assert out[i]["score"] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9) and out[i]["predicted"] == int(total >= 0)
+
+
+def test_repeated_ids_stay_within_the_training_bound(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, most=20)
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(docs, model).collect())
+
+
+def test_balanced_pairs_are_learned(spark):
+    """Neither word alone tells anything; both or none together do."""
+    rng = random.Random(2)
+    noise = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(20))
+    rows = [(i, noise() + ("" if a else " alpha") + ("" if b else " bravo"), int(a != b)) for i, (a, b) in enumerate((i // 2 % 2, i % 2) for i in range(1600))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    out = toxicity.score(docs, toxicity.train(docs, docs.select("doc_id", "toxic"))).where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert np.mean([r["predicted"] == r["toxic"] for r in out]) > 0.9
+
+
 def toxic_corpus(n=900, seed=1):
     rng = random.Random(seed)
     noise = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(40))

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,7 +42,7 @@ def test_cuts_depend_on_content():
     rng = np.random.default_rng(0)
     body = rng.integers(97, 123, 20_000).astype(np.uint8)
     moved = np.concatenate((rng.integers(97, 123, 777).astype(np.uint8), body))
-    a, b = bpe.cut_points(body), bpe.cut_points(moved) - 777
+    a, b = bpe.cut_points(body, 8), bpe.cut_points(moved, 8) - 777
     assert set(a[a > 64]) == set(b[b > 64]) and 30 < len(a) < 200
 
 
@@ -116,3 +117,45 @@ def test_run_equals_steps(spark, tables):
 def test_decomposed_capitals_encode_as_whole(letters):
     text = f"A {letters} b"
     assert list(CODEC.encode([text.encode()])) == [plain(text)]
+
+
+def test_joins_are_encoded_until_they_agree():
+    """A chunk whose ids are not those of its words in the text can't be joined: the window grows, then the text is encoded whole."""
+    codec = bpe.ChunkCodec(WORD_VOCABULARY)
+    plan = ([b"one two three four five ", b" six seven eight nine ten"], [b"join ed"])
+    own = codec._repair([plan])[0, 0]
+    assert own[1] == plain("join ed")[1] and (codec.repaired, codec.widened) == (1, 0)
+    codec.pieces[b"five"] = (1, "5", "x")
+    assert codec._repair([plan])[0, 0] is None and codec.widened > 0
+    rng = random.Random(8)
+    text = " ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(3000)).encode()
+    insides, joints = codec.split(text)
+    assert len(joints) > 3 and b"".join(x for p in zip(insides, [*joints, b""], strict=True) for x in p) == text
+    codec.pieces[insides[1].split()[-1]] = (1, "5", "x")
+    assert list(codec.encode([text])) == [plain(text.decode())] and codec.whole == 1
+
+
+def test_stages_on_odd_tables(spark, tables, tmp_path):
+    """Empty tables, null texts, ids and sources, repeated rows, and columns named like the operators' results."""
+    folder, _ = tables
+    full = spark.read.parquet(f"{folder}/documents.parquet")
+    extra = {c: F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in ("score", "predicted", "N_words", "n_removed", "kept", "rep", "size", "copies", "__block")}
+    odd = full.where("doc_id IN (0, 15, 400, 500, 501)").unionByName(full.where("doc_id = 7")).unionByName(full.where("doc_id = 7"))
+    odd = odd.unionByName(full.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long"))).unionByName(full.where("doc_id = 11").withColumn("text", F.concat("text", F.expr("repeat(' long tail', 30000)"))))
+    docs = odd.withColumns(extra)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        for label, given in (("odd", docs), ("empty", docs.where("false"))):
+            out = stage(spark, given, folder)
+            out.write.parquet(f"{tmp_path}/{label}{n}")
+            if label == "empty":
+                assert spark.read.parquet(f"{tmp_path}/{label}{n}").count() == 0
+        docs = spark.read.parquet(f"{tmp_path}/odd{n}")
+        if name != "bpe":
+            assert docs.columns == [*full.columns, *extra]
+            for r in docs.collect():
+                assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for c in extra)
+    assert docs.count() > 0 and {r["n_tokens"] for r in docs.where("doc_id IN (500, 501)").collect()} <= {0}
+    bare = str(tmp_path / "bare")
+    full.where("false").write.parquet(f"{bare}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").where("false").write.parquet(f"{bare}/labels.parquet")
+    assert corpus_pipeline.run(spark, bare).collect() == []
