@@ -15,6 +15,7 @@ time in proportion to the page, unclosed tags and deep nesting included.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -155,6 +156,17 @@ def _marked(name: str, attributes: dict[str, str], within: bool) -> bool:
     return False
 
 
+@functools.lru_cache(maxsize=4096)
+def _short_place(name: str, raw: str, within: bool) -> tuple[bool, bool]:
+    attributes = _attributes(raw)
+    return name in ("article", "main") or attributes.get("role", "").lower() == "main", _marked(name, attributes, within)
+
+
+def _place(name: str, raw: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element begins an article, and whether it is marked as none of one. The same few tags come again and again."""
+    return _short_place(name, raw, within) if len(raw) < 256 else _short_place.__wrapped__(name, raw, within)
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
@@ -201,31 +213,36 @@ def blocks(page: str) -> list[Block]:
             else:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
                 within, marked = stack[-1][1:] if stack else (False, False)
-                attributes = _attributes(raw)
+                inside, mark = _place(name, raw, within)
                 if name not in HOLDERS:
-                    own_mark = _marked(name, attributes, within)
+                    own_mark = mark
                 elif not raw.endswith("/"):
-                    inside = within or name in ("article", "main") or attributes.get("role", "").lower() == "main"
-                    stack.append((name, inside, marked or _marked(name, attributes, within)))
+                    stack.append((name, within or inside, marked or mark))
                     is_open[name] += 1
     add(page[at:])
     close()
     return found
 
 
+def stop_share(text: str) -> float:
+    """Stop words among the words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+
+
 def first_pass(found: list[Block]) -> None:
     """Labels from place, link density, length and stop-word density."""
     for b in found:
         n = len(b.text)
-        words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
         if b.marked:
             b.first = "marked"
-        elif b.link_chars > LINKS * n:
+            continue
+        stop = stop_share(b.text) if n >= SHORT else 0.0  # too few words to tell otherwise
+        if b.link_chars > LINKS * n:
             b.first = "bad" if n < LONG or stop < STOP_LOW else "odd"
         elif n >= LONG and stop >= STOP_HIGH:
             b.first = "good"
-        elif (n >= SHORT and stop >= STOP_LOW) or (words and not b.link_chars and b.text.endswith(_SENTENCE_END)):
+        elif stop >= STOP_LOW or (not b.link_chars and b.text.endswith(_SENTENCE_END) and any(map(str.isalpha, b.text))):
             b.first = "prose"
         else:
             b.first = "odd"
