@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
 BUCKET_BLOCKS = 4
+#: Bytes of text that a task takes, whatever the session's number of shuffle partitions.
+TASK_BYTES = 32 << 20
 
 
 def plan(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
@@ -26,11 +28,12 @@ def plan(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[in
     return n, max(4, math.ceil(math.log2(n / BUCKET_BLOCKS)))
 
 
-def in_blocks(docs: DataFrame, id: str, text: str, n: int, rest: dict[str, str] | None = None) -> DataFrame:
-    """(__block, __id, __text) and further columns by new names; null texts as they are."""
+def in_blocks(docs: DataFrame, id: str, text: str, n: int, rest: dict[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(__block, __id, __text) and further columns by new names, dealt by block to tasks of TASK_BYTES; null texts as they are."""
     id_, text_ = F.col(f"`{id}`"), F.col(f"`{text}`")
     more = [F.col(f"`{old}`").alias(new) for new, old in (rest or {}).items()]
-    return docs.select(F.pmod(F.xxhash64(id_, text_), F.lit(n)).cast("int").alias("__block"), id_.alias("__id"), text_.alias("__text"), *more)
+    blocked = docs.select(F.pmod(F.xxhash64(id_, text_), F.lit(n)).cast("int").alias("__block"), id_.alias("__id"), text_.alias("__text"), *more)
+    return blocked.repartition(max(1, math.ceil(n * block_bytes / TASK_BYTES)), "__block")
 
 
 def pack(values: np.ndarray) -> bytes:

@@ -137,7 +137,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     """
     n_blocks, bits = plan(docs, text, BLOCK_BYTES)
     bits += 2  # a block has more n-grams than windows or names: smaller buckets
-    blocks = in_blocks(docs, id, text, n_blocks).groupBy("__block")
+    blocks = in_blocks(docs, id, text, n_blocks, block_bytes=BLOCK_BYTES).groupBy("__block")
     count = lambda asked: asked.groupBy("gram", "bucket").applyInArrow(_count, _ANSWER)
     known = count(blocks.applyInArrow(_ask(order, bits, min_count, list(range(1, min(order, 2) + 1))), _ASK))
     for k in range(3, order + 1):
