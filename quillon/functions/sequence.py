@@ -9,10 +9,21 @@ BASES = ("A", "C", "G", "T")
 
 
 def sequence_windows(sequences: DataFrame, width: int, step: int) -> DataFrame:
-    """(id, start, window) of sequences (id, sequence): whole windows every step bases."""
-    n = F.length("sequence")
-    starts = F.when(n >= width, F.sequence(F.lit(0), n - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return sequences.select("id", "sequence", F.explode(starts).alias("start")).select("id", "start", F.substring("sequence", F.col("start") + 1, F.lit(width)).alias("window"))
+    """(id, start, window) of sequences (id, sequence): whole windows every step bases.
+
+    A sequence is cut in one pass into pieces of a few thousand bases, each
+    with what its last windows need of the next, so that no row of a window
+    carries the sequence and the work is in proportion to its length.
+    """
+    size = step * max(1, -(-max(4096, width) // step))
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = sequences.where(F.length("sequence") >= width).select("id", pieces.alias("p"))
+    longer = F.transform("p", lambda x, i: F.struct(F.length(x).alias("n"), F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, width - 1), F.lit(""))).alias("bases")))
+    chunks = cut.select("id", F.posexplode(longer).alias("chunk", "c")).select("id", "chunk", "c.*")
+    last = F.least(F.col("n") - 1, F.length("bases") - width)
+    starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
+    placed = chunks.select("id", "chunk", "bases", F.explode(starts).alias("at"))
+    return placed.select("id", (F.col("chunk") * size + F.col("at")).alias("start"), F.substring("bases", F.col("at") + 1, F.lit(width)).alias("window"))
 
 
 def cpg_windows(sequences: DataFrame, width: int = 200, step: int = 100, least_gc: float = 0.5, least_ratio: float = 0.6) -> DataFrame:

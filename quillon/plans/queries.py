@@ -91,7 +91,7 @@ def auroc_sparse_ceiling_captured(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHANNELS}, {ONE_HOT}, g AS (SELECT feature, concept, value, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM ch JOIN lab USING (id) WHERE feature < 8 GROUP BY ALL),
+    f"""WITH {CHANNELS}, {ONE_HOT}, g AS (SELECT feature, concept, value, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM ch JOIN lab USING (id) GROUP BY ALL),
 c AS (SELECT feature, concept, p, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY feature, concept) AS al FROM g WINDOW w AS (PARTITION BY feature, concept ORDER BY value DESC ROWS UNBOUNDED PRECEDING))
 SELECT feature, concept, round(sum(CASE WHEN al > 0 THEN p / al * tp / seen END), 6) AS ap FROM c GROUP BY feature, concept"""
 )
@@ -342,7 +342,7 @@ NULLS = f"""{CHANNELS}, {ONE_HOT}, rk AS (SELECT *, rank() OVER (PARTITION BY fe
 pl AS (SELECT vec_id AS id, vec_id % 5 AS run, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY vec_id % 5) AS n FROM embeddings),
 of AS (SELECT draw, run, max(n) AS n, {draw_sql("concat_ws('|', 'null', CAST(draw AS VARCHAR), CAST(run AS VARCHAR))")} % max(n) AS off FROM pl, range(0, 20) r(draw) GROUP BY draw, run),
 mv AS (SELECT draw, pl.id, p2.id AS src FROM pl JOIN of USING (run) JOIN pl p2 ON p2.run = pl.run AND p2.i = (pl.i - off + of.n) % of.n),
-dl AS (SELECT draw, mv.id, concept, y FROM mv JOIN lab ON lab.id = mv.src WHERE concept < 3),
+dl AS (SELECT draw, mv.id, concept, y FROM mv JOIN lab ON lab.id = mv.src),
 nu AS (SELECT draw, concept, feature, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) - sum(y) AS DOUBLE) AS q, sum(CASE WHEN y = 1 THEN rk END) AS rs FROM rk JOIN dl USING (id) GROUP BY ALL),
 mx AS (SELECT draw, concept, max(greatest((rs - p * (p + 1) / 2) / (p * q), 1 - (rs - p * (p + 1) / 2) / (p * q))) AS v FROM nu GROUP BY draw, concept)"""
 
@@ -367,7 +367,7 @@ def max_feature_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {NULLS}, ob AS (SELECT concept, max(greatest(a, 1 - a)) AS o FROM (SELECT concept, feature, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) WHERE concept < 3 GROUP BY ALL) GROUP BY concept) SELECT concept, round(o, 6) AS observed, round((1 + sum(CASE WHEN v >= o THEN 1 ELSE 0 END)) / (1.0 + count(*)), 6) AS p, round(quantile_cont(v, 0.95), 6) AS null_p95 FROM ob JOIN mx USING (concept) GROUP BY concept, o"
+    f"WITH {NULLS}, ob AS (SELECT concept, max(greatest(a, 1 - a)) AS o FROM (SELECT concept, feature, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) GROUP BY ALL) GROUP BY concept) SELECT concept, round(o, 6) AS observed, round((1 + sum(CASE WHEN v >= o THEN 1 ELSE 0 END)) / (1.0 + count(*)), 6) AS p, round(quantile_cont(v, 0.95), 6) AS null_p95 FROM ob JOIN mx USING (concept) GROUP BY concept, o"
 )
 def empirical_p(spark: SparkSession, sf: str) -> DataFrame:
     best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), one_hot(spark, sf))).select("concept", F.col("best_auroc").alias("value"))
@@ -450,7 +450,7 @@ def memorisation_gap(spark: SparkSession, sf: str) -> DataFrame:
 HALVES = "nrm AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT id, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda z: z * z))) + 1e-12)) AS v FROM nrm)"
 
 
-@query(f"WITH {HALVES}, c AS (SELECT a.id AS left_id, b.id AS right_id, list_dot_product(a.v, b.v) AS c FROM u a JOIN u b ON a.id % 10 = 0 AND b.id % 10 = 5) SELECT left_id, right_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS r FROM c) WHERE r = 1")
+@query(f"WITH {HALVES}, c AS (SELECT a.id AS left_id, b.id AS right_id, list_dot_product(a.v, b.v) AS c FROM u a JOIN u b ON a.id % 2 = 0 AND b.id % 2 <> 0) SELECT left_id, right_id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY c DESC, right_id) AS r FROM c) WHERE r = 1")
 def seed_agreement_cosine(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     two = (rows.where("id % 2 = 0"), rows.where("id % 2 <> 0"))  # every row is in one of the two dictionaries
@@ -628,7 +628,7 @@ def encode_topk_udf(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NULLS}, au AS (SELECT concept, feature, CAST(sum(y) AS BIGINT) AS n_pos, avg(y) AS prevalence, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) WHERE concept < 3 GROUP BY concept, feature),
+    f"""WITH {NULLS}, au AS (SELECT concept, feature, CAST(sum(y) AS BIGINT) AS n_pos, avg(y) AS prevalence, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (CAST(sum(y) AS DOUBLE) * sum(1 - y)) AS a FROM rk JOIN lab USING (id) GROUP BY concept, feature),
 b AS (SELECT * FROM (SELECT *, greatest(a, 1 - a) AS f, row_number() OVER (PARTITION BY concept ORDER BY greatest(a, 1 - a) DESC, feature) AS r FROM au) WHERE r = 1),
 e AS (SELECT concept, feature, n_pos, prevalence, a, f, (1 + sum(CASE WHEN v >= f THEN 1 ELSE 0 END)) / (1.0 + count(*)) AS p, quantile_cont(v, 0.95) AS p95 FROM b JOIN mx USING (concept) GROUP BY ALL),
 q AS (SELECT *, row_number() OVER (ORDER BY p, concept) AS rank, CAST(count(*) OVER () AS DOUBLE) AS m FROM e), k AS (SELECT max(CASE WHEN p <= 0.05 * rank / m THEN rank END) AS k FROM q)

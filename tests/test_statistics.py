@@ -112,3 +112,16 @@ def test_motif_scan_and_strings(spark):
     assert [(h["start"], h["strand"], h["window"]) for h in hits] == [(4, "+", "TGGCC"), (13, "-", "GGCCA")]
     assert spark.range(1).select(scalar.reverse_complement(F.lit("TGGCC"))).first()[0] == "GGCCA"
     assert spark.range(1).select(scalar.gc_fraction(F.lit("ACNG"))).first()[0] is None
+
+
+def test_windows_of_long_sequences(spark):
+    import random
+
+    from quillon.functions.sequence import sequence_windows
+
+    rng = random.Random(1)
+    texts = {i: "".join(rng.choice("ACGT") for _ in range(n)) for i, n in enumerate((0, 5, 6, 7, 4095, 4096, 4101, 12_000))}
+    rows = spark.createDataFrame(list(texts.items()), "id long, sequence string")
+    for width, step in ((6, 1), (6, 4), (64, 64), (200, 100), (5000, 700)):
+        out = sorted((r["id"], r["start"], r["window"]) for r in sequence_windows(rows, width, step).collect())
+        assert out == sorted((i, s, t[s : s + width]) for i, t in texts.items() for s in range(0, len(t) - width + 1, step)), (width, step)
