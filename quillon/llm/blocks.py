@@ -29,11 +29,19 @@ def plan(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[in
 
 
 def in_blocks(docs: DataFrame, id: str, text: str, n: int, rest: dict[str, str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(__block, __id, __text) and further columns by new names, dealt by block to tasks of TASK_BYTES; null texts as they are."""
+    """(__block, __id, __text) and further columns by new names, dealt by block to tasks; null texts as they are."""
     id_, text_ = F.col(f"`{id}`"), F.col(f"`{text}`")
     more = [F.col(f"`{old}`").alias(new) for new, old in (rest or {}).items()]
     blocked = docs.select(F.pmod(F.xxhash64(id_, text_), F.lit(n)).cast("int").alias("__block"), id_.alias("__id"), text_.alias("__text"), *more)
-    return blocked.repartition(max(1, math.ceil(n * block_bytes / TASK_BYTES)), "__block")
+    return dealt(blocked, n, block_bytes)
+
+
+def dealt(rows: DataFrame, n: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows in tasks of TASK_BYTES of text: block b in task b modulo their number, so that all have as many blocks.
+
+    Answers dealt alike meet their texts without moving these again.
+    """
+    return rows.repartitionById(max(1, math.ceil(n * block_bytes / TASK_BYTES)), F.col("__block"))
 
 
 def pack(values: np.ndarray) -> bytes:

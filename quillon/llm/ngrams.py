@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import bucket_bounds, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
+from quillon.llm.blocks import bucket_bounds, dealt, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
 from quillon.llm.words import window_hashes, window_starts, word_hashes
 
 ORDER = 3
@@ -132,7 +132,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     Null and empty texts have log_score 0 and a null mean. Repeated rows count
     in the tables as often as they stand there and get equal scores. Ids of
     any type, null too, go through as they are; other columns of docs, whatever
-    their names, don't. A text longer than a block is a block of its own. An
+    their names, don't. A text longer than a block makes its block larger. An
     empty table gives an empty result.
     """
     n_blocks, bits = plan(docs, text, BLOCK_BYTES)
@@ -141,8 +141,8 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     count = lambda asked: asked.groupBy("gram", "bucket").applyInArrow(_count, _ANSWER)
     known = count(blocks.applyInArrow(_ask(order, bits, min_count, list(range(1, min(order, 2) + 1))), _ASK))
     for k in range(3, order + 1):
-        asked = blocks.cogroup(known.groupBy("__block")).applyInArrow(_ask(order, bits, min_count, [k]), _ASK)
+        asked = blocks.cogroup(dealt(known, n_blocks, BLOCK_BYTES).groupBy("__block")).applyInArrow(_ask(order, bits, min_count, [k]), _ASK)
         known = known.union(count(asked))
     kind = docs.schema[id].dataType.simpleString()
-    scored = blocks.cogroup(known.groupBy("__block")).applyInArrow(_score(order, bits, min_count, backoff), f"__id {kind}, n_words long, log_score double")
+    scored = blocks.cogroup(dealt(known, n_blocks, BLOCK_BYTES).groupBy("__block")).applyInArrow(_score(order, bits, min_count, backoff), f"__id {kind}, n_words long, log_score double")
     return scored.select(F.col("__id").alias(id), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.blocks import bucket_bounds, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
+from quillon.llm.blocks import bucket_bounds, dealt, in_blocks, pack, pack_sorted, plan, unpack, unpack_sorted
 from quillon.llm.recompress import open_windows, rounds
 from quillon.llm.words import U, splitmix, window_hashes, window_starts, word_hashes
 
@@ -220,7 +220,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into
     on the input. Null and empty texts, and texts of fewer than width words,
     keep all they have. The id is an integer; null ids come last. Rows with
     equal ids count as one document: a window at the same start in two of them
-    removes nothing. A text longer than a block is a block of its own. An empty
+    removes nothing. A text longer than a block makes its block larger. An empty
     table gives an empty result.
     """
     n_blocks, bits = plan(docs, text)
@@ -231,8 +231,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", into
     blocks = rows.groupBy("__block")
     names = blocks.applyInArrow(_names(width, n_rounds, bits), "bucket int, __block int, names binary, twice binary")
     flags = names.groupBy("bucket").applyInArrow(_repeated, "__block int, bucket int, flags binary")
-    some = blocks.cogroup(flags.groupBy("__block")).applyInArrow(_candidates(width, n_rounds, bits), "bucket int, __block int, keys binary, checks binary, ids binary, docs binary, starts binary")
+    some = blocks.cogroup(dealt(flags, n_blocks).groupBy("__block")).applyInArrow(_candidates(width, n_rounds, bits), "bucket int, __block int, keys binary, checks binary, ids binary, docs binary, starts binary")
     late = some.groupBy("bucket").applyInArrow(_earlier, "__block int, late_ids binary, late_starts binary")
     schema = ", ".join(["__id long", *[f"{c} {f.dataType.simpleString()}" for c, f in zip(rest, others, strict=True)], "n_words long, n_removed long, __out string"])
-    kept = blocks.cogroup(late.groupBy("__block")).applyInArrow(_kept(width, not digest, as_is, rest), schema)
+    kept = blocks.cogroup(dealt(late, n_blocks).groupBy("__block")).applyInArrow(_kept(width, not digest, as_is, rest), schema)
     return kept.select(F.col("__id").cast(docs.schema[id].dataType).alias(id), *[F.col(c).alias(f.name) for c, f in zip(rest, others, strict=True)], "n_words", "n_removed", F.col("__out").alias(into))
