@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, html_text, licenses, media, minhash, mixing, ngrams, quality, substring, toxicity
+from quillon.llm import bpe, conversations, html_text, licenses, lloyd, media, minhash, mixing, ngrams, quality, substring, toxicity
 from quillon.llm.common import table
 from quillon.llm.oracles import ORACLES
 
@@ -62,8 +62,16 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources, op11_delta_lloyd, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
