@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, conversations, html_text, licenses, lloyd, media, minhash, mixing, ngrams, quality, substring, toxicity
+from quillon.llm import bpe, conversations, html_text, licenses, lloyd, media, minhash, mixing, ngrams, quality, substring, suffixes, toxicity
 from quillon.llm.common import table
 from quillon.llm.oracles import ORACLES
 
@@ -70,8 +70,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeated_bytes(docs, into="kept_sha256", digest=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources, op11_delta_lloyd, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_minhash_dedup, op3_quality_rules, op4_html_text, op5_license_rules, op6_media_shards, op7_toxicity_fm, op8_lm_backoff, op9_bpe_chunks, op10_mix_sources, op11_delta_lloyd, op12_conversation_repair, op13_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
