@@ -8,11 +8,13 @@ beside it, are sorted and ranked again, so that runs double until they are
 unique or past the threshold. Unique runs are not sent again. Ranks number the
 repeated runs, in the order of their sorted pairs within a bucket.
 
-What the ranks say about windows of WIDTH bytes that start in one phrase:
-* they all lie in a repeated run: all occur twice;
-* the run that lies in all of them occurs once: none does;
+What the ranks say about the windows of WIDTH bytes that start in one phrase:
+* all lie in a run that occurs twice: all of them go;
+* a run that all of them hold occurs once: none goes;
 * else, at the ends of repeated passages, the windows themselves are sent as
-  hashes of 96 bits, once for each different one of a block.
+  hashes of 96 bits, once for each different one of a block. So that they meet
+  the same windows within longer runs, one phrase of each such run sends its
+  windows too, unless all places of what they have in common lie in that run.
 """
 
 from __future__ import annotations
@@ -38,6 +40,14 @@ EVERY, APART, AHEAD = 12, 8, 8
 BASE = 4
 
 _ODD = U(0xD6E8FEB86659FD93)
+_MANY = np.iinfo(np.int64).max
+#: More phrases than a run that decides has: anchors are APART, and windows below this many phrases of that.
+_LONGEST = 1 << 12
+
+
+def levels(width: int) -> int:
+    """How often runs double, the first included, until they hold as many phrases as a window with one on each side can."""
+    return max(1, ((width // (APART + 1) + 3) // BASE).bit_length())
 
 
 def _eight(data: np.ndarray) -> np.ndarray:
@@ -82,66 +92,50 @@ class Runs:
 
     def __init__(self, p: Phrases, width: int):
         n = len(p.start)
-        self.phrases = p
         self.low, self.high = p.start, np.minimum(p.end - 1, p.stop - width)
-        some = self.high >= self.low
-        k = np.arange(n)
-        # The least run from k that holds all these windows.
-        self.outer = np.where(some, np.searchsorted(p.end, self.high + width) - k + 1, 0)
+        self.some = self.high >= self.low
+        self.ended = self.some & (self.high < p.end - 1)  # by the text's end
+        # The least run from a phrase that holds all these windows.
+        self.outer = np.where(self.some, np.searchsorted(p.end, self.high + width) - np.arange(n) + 1, 0)
         # The largest run between anchors that all of them hold with the bytes that make these anchors.
         self.first = np.searchsorted(p.start, self.high + APART)
-        self.inner = np.where(some, np.searchsorted(p.start, self.low + width - AHEAD, side="right") - 1 - self.first, 0)
-        self.some = some
-        top = int(self.outer.max(initial=0)) // BASE
-        self.levels = max(1, top.bit_length())  # level j: runs of BASE << j phrases
-        self.need = [np.zeros(n + 1, dtype=bool) for _ in range(self.levels)]
-        for at, length in ((k, self.outer), (self.first, self.inner)):
-            level = self.level(length)
-            for j in range(self.levels):
-                own = np.flatnonzero(some & (level == j))
-                self.need[j][at[own]] = True
-                self.need[j][at[own] + length[own] - (BASE << j)] = True
-        for j in range(self.levels - 1, 0, -1):
-            own = np.flatnonzero(self.need[j])
-            self.need[j - 1][own] = True
-            self.need[j - 1][own + (BASE << (j - 1))] = True
-
-    @staticmethod
-    def level(length: np.ndarray) -> np.ndarray:
-        """The largest j with BASE << j phrases within length; -1 if there is none."""
-        return np.where(length >= BASE, np.floor(np.log2(np.maximum(length, 1) / BASE)), -1).astype(np.int64)
-
-    def wanted(self, j: int) -> np.ndarray:
-        return np.flatnonzero(self.need[j]) if j < self.levels else np.zeros(0, dtype=np.int64)
+        self.inner = np.where(self.some, np.searchsorted(p.start, self.low + width - AHEAD, side="right") - 1 - self.first, 0)
+        self.left = np.repeat(np.cumsum(p.counts), p.counts) - np.arange(n)  # phrases from here to the text's end
+
+    def starts(self, j: int) -> np.ndarray:
+        """Phrases that begin a run of level j, of BASE << j phrases."""
+        return np.flatnonzero(self.left >= (BASE << j))
+
+    def ends_of(self, which: str, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases whose outer or inner run is covered by two runs of level j, and where these begin."""
+        length = getattr(self, which)
+        own = np.flatnonzero(self.some & (length >= BASE << j) & (length < BASE << (j + 1)))
+        at = own if which == "outer" else self.first[own]
+        return own, at, at + length[own] - (BASE << j)
 
     def pairs(self, ranks: list[np.ndarray], j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases from which a run of level j may be repeated, and the ranks of its halves."""
-        at = self.wanted(j)
+        at = self.starts(j)
         a, b = ranks[j - 1][at], ranks[j - 1][at + (BASE << (j - 1))]
         ok = (a > 0) & (b > 0)
         return at[ok], a[ok], b[ok]
 
     def outer_pairs(self, ranks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases whose outer run may be repeated; ranks of its first and last part, the latter with its length."""
-        level = self.level(self.outer)
-        at, a, b = [], [], []
-        for j in range(min(self.levels, len(ranks))):
-            own = np.flatnonzero(self.some & (level == j))
-            x, y = ranks[j][own], ranks[j][own + self.outer[own] - (BASE << j)]
-            ok = (x > 0) & (y > 0)
-            at.append(own[ok])
-            a.append(x[ok])
-            b.append(y[ok] * U(64) + self.outer[own][ok].astype(np.uint64))
-        return np.concatenate(at), np.concatenate(a), np.concatenate(b)
-
-    def maybe(self, ranks: list[np.ndarray]) -> np.ndarray:
-        """Phrases whose inner run may be repeated, or which have none."""
-        level = self.level(self.inner)
-        out = self.some & (level < 0)
-        for j in range(self.levels):
-            own = np.flatnonzero(self.some & (level == j))
-            if j < len(ranks):
-                out[own] = (ranks[j][self.first[own]] > 0) & (ranks[j][self.first[own] + self.inner[own] - (BASE << j)] > 0)
+        """Phrases whose outer run may be repeated; ranks of its first and last part, the latter with its length and whether the text ended it."""
+        found = []
+        for j, r in enumerate(ranks):
+            own, x, y = self.ends_of("outer", j)
+            ok = (r[x] > 0) & (r[y] > 0)
+            own, x, y = own[ok], x[ok], y[ok]
+            found.append((own, r[x], (r[y] * U(_LONGEST) + self.outer[own].astype(np.uint64)) * U(2) + self.ended[own].astype(np.uint64)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))  # type: ignore[return-value]
+
+    def common(self, counts: list[np.ndarray]) -> np.ndarray:
+        """For each phrase: how often a run occurs that all its windows hold, as far as ranks tell; 0 if it occurs once."""
+        out = np.where(self.some, _MANY, 0)
+        for j in range(len(counts)):
+            own, x, y = self.ends_of("inner", j)
+            out[own] = np.minimum(counts[j][x], counts[j][y])
         return out
 
 
@@ -157,7 +151,8 @@ class Keys:
         head = np.flatnonzero(new)
         self.inverse = np.empty(len(a), dtype=np.int64)
         self.inverse[order] = np.cumsum(new) - 1
-        self.a, self.b, self.twice = a[head], b[head], np.diff(np.append(head, len(a))) > 1
+        self.leader = order[head]  # lexsort is stable: the first of those that were given
+        self.a, self.b, self.times = a[head], b[head], np.diff(np.append(head, len(a)))
         self.bounds = np.searchsorted(bucket[head], np.arange((1 << bits) + 1, dtype=np.uint64))
         self.used = np.flatnonzero(np.diff(self.bounds))
 
@@ -169,46 +164,63 @@ class Keys:
                 "__block": pa.array([block] * len(parts), pa.int32()),
                 "a": pa.array([pack_sorted(self.a[p]) for p in parts], pa.binary()),
                 "b": pa.array([pack(self.b[p]) for p in parts], pa.binary()),
-                "twice": pa.array([np.packbits(self.twice[p]).tobytes() for p in parts], pa.binary()),
+                "times": pa.array([pack(self.times[p]) for p in parts], pa.binary()),
             }
         )
 
-    def ranks(self, answers: pa.Table) -> np.ndarray:
-        """For each pair that was given: its rank, 0 if it occurs once."""
-        rows = dict(zip(answers.column("bucket").to_pylist(), zip(answers.column("flags").to_pylist(), answers.column("ranks").to_pylist(), strict=True), strict=True))
-        out = np.zeros(len(self.a), dtype=np.uint64)
+    def answers(self, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair that was given, 0 if it occurs once: its rank (1 if there are none) and how often it occurs (or 0); whether it leads."""
+        rows = {r["bucket"]: r for r in table.select(["bucket", "flags", "ranks", "counts", "leads"]).to_pylist()}
+        rank, count = np.zeros(len(self.a), dtype=np.uint64), np.zeros(len(self.a), dtype=np.int64)
+        leads = np.zeros(len(self.a), dtype=bool)
         for i in self.used.tolist():
-            part = slice(self.bounds[i], self.bounds[i + 1])
-            flags, ranks = rows[i]
-            on = np.unpackbits(np.frombuffer(flags, np.uint8))[: part.stop - part.start].astype(bool)
-            out[part][on] = unpack_sorted(ranks) if ranks else U(1)
-        return out[self.inverse]
+            part, r = slice(self.bounds[i], self.bounds[i + 1]), rows[i]
+            bits = lambda x: np.unpackbits(np.frombuffer(x, np.uint8))[: part.stop - part.start].astype(bool)  # noqa: B023, E731
+            on = bits(r["flags"])
+            rank[part][on] = unpack_sorted(r["ranks"]) if r["ranks"] else U(1)
+            count[part][on] = unpack(r["counts"]).astype(np.int64) if r["counts"] else 0
+            if r["leads"]:
+                leads[part] = bits(r["leads"])
+        first = np.zeros(len(self.inverse), dtype=bool)
+        first[self.leader] = leads
+        return rank[self.inverse], count[self.inverse], first
 
 
-_MESSAGE = "bucket int, __block int, a binary, b binary, twice binary"
-_ANSWER = "__block int, bucket int, flags binary, ranks binary"
+_MESSAGE = "bucket int, __block int, a binary, b binary, times binary"
+_ANSWER = "__block int, bucket int, flags binary, ranks binary, counts binary, leads binary"
+#: What blocks want to know of a pair besides whether it occurs twice.
+_RANKS, _LEADS, _FLAGS = "ranks", "leads", "flags"
 
 
-def _rerank(bits: int, with_ranks: bool = True) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
-    """Bucket to blocks: which pairs occur twice or more, and their ranks in sorted order."""
+def _rerank(bits: int, want: str) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    """Bucket to blocks: which pairs occur twice or more; their ranks in sorted order, or which block leads."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
         a = [unpack_sorted(x) for x in table.column("a").to_pylist()]
         sizes = [len(x) for x in a]
-        a, b = np.concatenate(a), np.concatenate([unpack(x) for x in table.column("b").to_pylist()])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8))[:n] for x, n in zip(table.column("twice").to_pylist(), sizes, strict=True)])
-        order = np.lexsort((b, a))
+        block = np.repeat(table.column("__block").to_numpy(), sizes)
+        a, b, times = np.concatenate(a), *(np.concatenate([unpack(x) for x in table.column(c).to_pylist()]) for c in ("b", "times"))
+        order = np.lexsort((block, b, a))
         new = np.ones(len(a), dtype=bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
         group = np.cumsum(new) - 1
-        many = np.bincount(group, weights=1.0 + twice[order]) > 1
-        rank = np.where(many, (np.cumsum(many) - 1) * (1 << bits) + bucket + 1, 0).astype(np.uint64)
-        out = np.empty(len(a), dtype=np.uint64)
-        out[order] = rank[group]
-        parts = np.split(out, np.cumsum(sizes)[:-1])
-        ranks = [pack_sorted(x[x > 0]) if with_ranks and x.any() else b"" for x in parts]
-        return pa.table({"__block": table.column("__block"), "bucket": pa.array([bucket] * len(parts), pa.int32()), "flags": pa.array([np.packbits(x > 0).tobytes() for x in parts], pa.binary()), "ranks": pa.array(ranks, pa.binary())})
+        count = np.add.reduceat(times[order].astype(np.int64), np.flatnonzero(new))
+        of = np.empty(len(a), dtype=np.int64)
+        of[order] = group
+        lead = np.zeros(len(a), dtype=bool)
+        lead[order[new]] = True
+        rank = (np.cumsum(count > 1) - 1) * (1 << bits) + bucket + 1
+        ends = np.cumsum(sizes)
+        rows: dict[str, list[bytes]] = {"flags": [], "ranks": [], "counts": [], "leads": []}
+        for i, j in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            on = count[of[i:j]] > 1
+            some = of[i:j][on]
+            rows["flags"].append(np.packbits(on).tobytes())
+            rows["ranks"].append(pack_sorted(rank[some].astype(np.uint64)) if want == _RANKS and len(some) else b"")
+            rows["counts"].append(pack(count[some]) if want != _FLAGS else b"")
+            rows["leads"].append(np.packbits(lead[i:j]).tobytes() if want == _LEADS else b"")
+        return pa.table({"__block": table.column("__block"), "bucket": pa.array([bucket] * len(sizes), pa.int32()), **{c: pa.array(x, pa.binary()) for c, x in rows.items()}})
 
     return work
 
@@ -230,54 +242,59 @@ class _Block:
         return window_hashes(span_hashes(self.data, self.phrases.start, self.phrases.end), BASE)
 
 
-def _first_keys(b: _Block, width: int, bits: int) -> tuple[Runs, np.ndarray, Keys]:
-    runs = Runs(b.phrases, width)
-    at = runs.wanted(0)
-    own = b.first_runs()[at]
-    return runs, at, Keys(own, np.zeros(len(at), dtype=np.uint64), bits)
+def _first_keys(b: _Block, width: int, bits: int) -> tuple[np.ndarray, Keys]:
+    at = Runs(b.phrases, width).starts(0)
+    return at, Keys(b.first_runs()[at], np.zeros(len(at), dtype=np.uint64), bits)
 
 
 def _first(width: int, bits: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return _first_keys(_Block(table, width), width, bits)[2].messages(key[0].as_py())
+        return _first_keys(_Block(table, width), width, bits)[1].messages(key[0].as_py())
 
     return work
 
 
-_STATE = "__block int, lengths binary, counts binary, ranks array<binary>, open boolean"
-
+_STATE = "__block int, lengths binary, counts binary, ranks array<binary>, times array<binary>"
 
-def _state(block: int, p: Phrases, runs: Runs, ranks: list[np.ndarray]) -> pa.Table:
-    """A block's row: its phrases, and the ranks of the runs of each level so far, where these are wanted."""
-    held = []
-    for j, r in enumerate(ranks):
-        own = r[runs.wanted(j)]
-        held.append(np.packbits(own > 0).tobytes() + pack(own[own > 0]))
-    going = len(ranks) < runs.levels and len(runs.pairs(ranks, len(ranks))[0]) > 0
-    return pa.table({"__block": pa.array([block], pa.int32()), "lengths": pa.array([pack(p.end - p.start)], pa.binary()), "counts": pa.array([pack(p.counts)], pa.binary()), "ranks": pa.array([held], pa.list_(pa.binary())), "open": pa.array([going])})
 
+class _State:
+    """A block's phrases, and for each level the ranks of the runs that are repeated and how often they occur."""
 
-def _unstate(row: dict, width: int) -> tuple[Phrases, Runs, list[np.ndarray]]:
-    p = phrases_of(unpack(row["lengths"]).astype(np.int64), unpack(row["counts"]).astype(np.int64))
-    runs = Runs(p, width)
-    ranks = []
-    for j, data in enumerate(row["ranks"]):
-        at = runs.wanted(j)
-        bits = (len(at) + 7) // 8
-        on = np.unpackbits(np.frombuffer(data[:bits], np.uint8))[: len(at)].astype(bool)
-        r = np.zeros(len(p.start) + 1, dtype=np.uint64)
-        r[at[on]] = unpack(data[bits:])
-        ranks.append(r)
-    return p, runs, ranks
+    def __init__(self, p: Phrases, width: int):
+        self.phrases, self.runs = p, Runs(p, width)
+        self.ranks: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+
+    def add(self, at: np.ndarray, ranks: np.ndarray, times: np.ndarray) -> None:
+        for held, new, kind in ((self.ranks, ranks, np.uint64), (self.times, times, np.int64)):
+            held.append(np.zeros(len(self.phrases.start) + 1, dtype=kind))
+            held[-1][at] = new
+
+    def row(self, block: int) -> pa.Table:
+        p = self.phrases
+        on = [r > 0 for r in self.ranks]
+        ranks = [np.packbits(x).tobytes() + pack(r[x]) for x, r in zip(on, self.ranks, strict=True)]
+        times = [pack(r[x]) for x, r in zip(on, self.times, strict=True)]
+        return pa.table({"__block": pa.array([block], pa.int32()), "lengths": pa.array([pack(p.end - p.start)], pa.binary()), "counts": pa.array([pack(p.counts)], pa.binary()), "ranks": pa.array([ranks], pa.list_(pa.binary())), "times": pa.array([times], pa.list_(pa.binary()))})
+
+    @classmethod
+    def of(cls, row: dict, width: int) -> _State:
+        s = cls(phrases_of(unpack(row["lengths"]).astype(np.int64), unpack(row["counts"]).astype(np.int64)), width)
+        n = len(s.phrases.start) + 1
+        for ranks, times in zip(row["ranks"], row["times"], strict=True):
+            bits = (n + 7) // 8
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(ranks[:bits], np.uint8))[:n])
+            s.add(at, unpack(ranks[bits:]), unpack(times).astype(np.int64))
+        return s
 
 
 def _ranked(width: int, bits: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _Block(table, width)
-        runs, at, keys = _first_keys(b, width, bits)
-        r = np.zeros(len(b.phrases.start) + 1, dtype=np.uint64)
-        r[at] = keys.ranks(answers)
-        return _state(key[0].as_py(), b.phrases, runs, [r])
+        at, keys = _first_keys(b, width, bits)
+        state = _State(b.phrases, width)
+        state.add(at, *keys.answers(answers)[:2])
+        return state.row(key[0].as_py())
 
     return work
 
@@ -289,8 +306,8 @@ def _pairs(width: int, bits: int, level: int | None):
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                _, runs, ranks = _unstate(row, width)
-                _, a, b = runs.outer_pairs(ranks) if level is None else runs.pairs(ranks, level)
+                s = _State.of(row, width)
+                _, a, b = s.runs.outer_pairs(s.ranks) if level is None else s.runs.pairs(s.ranks, level)
                 yield from Keys(a, b, bits).messages(row["__block"]).to_batches()
 
     return work
@@ -299,26 +316,28 @@ def _pairs(width: int, bits: int, level: int | None):
 def _doubled(width: int, bits: int, level: int):
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
-        p, runs, ranks = _unstate(row, width)
-        at, a, b = runs.pairs(ranks, level)
-        r = np.zeros(len(p.start) + 1, dtype=np.uint64)
-        r[at] = Keys(a, b, bits).ranks(answers)
-        return _state(row["__block"], p, runs, [*ranks, r])
+        s = _State.of(row, width)
+        at, a, b = s.runs.pairs(s.ranks, level)
+        s.add(at, *Keys(a, b, bits).answers(answers)[:2])
+        return s.row(row["__block"])
 
     return work
 
 
 def _decided(width: int, bits: int):
-    """A block's phrases whose windows all occur twice, and those that the ranks leave open."""
+    """A block's phrases whose windows all go, those that the ranks leave open, and those that send their windows."""
 
     def work(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
-        p, runs, ranks = _unstate(row, width)
-        at, a, b = runs.outer_pairs(ranks)
-        sure = np.zeros(len(p.start), dtype=bool)
-        sure[at] = Keys(a, b, bits).ranks(answers) > 0
-        left = runs.maybe(ranks) & ~sure
-        return pa.table({"__block": pa.array([row["__block"]], pa.int32()), "sure": pa.array([np.packbits(sure).tobytes()], pa.binary()), "left": pa.array([np.packbits(left).tobytes()], pa.binary())})
+        s = _State.of(row, width)
+        at, a, b = s.runs.outer_pairs(s.ranks)
+        _, count, leads = Keys(a, b, bits).answers(answers)
+        n = len(s.phrases.start)
+        outer, first = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=bool)
+        outer[at], first[at] = count, leads
+        common, sure = s.runs.common(s.times), outer > 1
+        sent = (common > 0) & (~sure | s.runs.ended | (first & (common > outer)))
+        return pa.table({"__block": pa.array([row["__block"]], pa.int32()), **{c: pa.array([np.packbits(x).tobytes()], pa.binary()) for c, x in (("sure", sure), ("sent", sent))}})
 
     return work
 
@@ -358,12 +377,12 @@ def byte_window_hashes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np
 
 
 def _open_keys(b: _Block, flags: dict, width: int, bits: int) -> tuple[np.ndarray, np.ndarray, Keys]:
-    """Phrases whose windows all go, windows that are open, and their keys."""
+    """Phrases whose windows all go, the windows that are sent, and their keys."""
     n = len(b.phrases.start)
     of = lambda name: np.flatnonzero(np.unpackbits(np.frombuffer(flags[name], np.uint8))[:n])
-    left = of("left")
+    sent = of("sent")
     high = np.minimum(b.phrases.end - 1, b.phrases.stop - width)
-    at = _spread(b.phrases.start[left], high[left])
+    at = _spread(b.phrases.start[sent], high[sent])
     return of("sure"), at, Keys(*byte_window_hashes(b.data, at, width), bits)
 
 
@@ -381,7 +400,7 @@ def _cut(width: int, bits: int, digest: bool, rest: list[str]):
         b = _Block(table, width)
         decided = answers.filter(pc.is_valid(answers.column("sure"))).to_pylist()[0]
         sure, at, keys = _open_keys(b, decided, width, bits)
-        late = at[keys.ranks(answers.filter(pc.is_valid(answers.column("flags")))) > 0]
+        late = at[keys.answers(answers.filter(pc.is_valid(answers.column("flags"))))[0] > 0]
         high = np.minimum(b.phrases.end - 1, b.phrases.stop - width)
         change = np.zeros(len(b.data) + 1, dtype=np.int32)
         np.add.at(change, b.phrases.start[sure], 1)
@@ -428,25 +447,24 @@ def remove_repeated_bytes(docs: DataFrame, id: str = "doc_id", text: str = "text
     rows = in_blocks(docs.withColumn(id, F.col(f"`{id}`").cast("long")), id, text, n_blocks, {c: f.name for c, f in zip(rest, others, strict=True)})
     blocks = rows.groupBy("__block")
     by_block = lambda df: dealt(df, n_blocks).groupBy("__block")
-    ask = lambda messages, with_ranks=True: messages.groupBy("bucket").applyInArrow(_rerank(bits, with_ranks), _ANSWER)
+    ask = lambda messages, want: messages.groupBy("bucket").applyInArrow(_rerank(bits, want), _ANSWER)
 
-    first = ask(blocks.applyInArrow(_first(width, bits), _MESSAGE))
+    first = ask(blocks.applyInArrow(_first(width, bits), _MESSAGE), _RANKS)
     path = scratch(spark, "ranks")
     blocks.cogroup(by_block(first)).applyInArrow(_ranked(width, bits), _STATE).write.parquet(path)
-    level = 1
-    while not spark.read.parquet(path).where("open").isEmpty():
+    for level in range(1, levels(width)):
         state = spark.read.parquet(path)
-        answers = ask(state.mapInArrow(_pairs(width, bits, level), _MESSAGE))
+        answers = ask(state.mapInArrow(_pairs(width, bits, level), _MESSAGE), _RANKS)
         new = scratch(spark, "ranks")
         by_block(state).cogroup(by_block(answers)).applyInArrow(_doubled(width, bits, level), _STATE).write.parquet(new)
         remove(spark, path)
-        path, level = new, level + 1
+        path = new
     state = spark.read.parquet(path)
-    answers = ask(state.mapInArrow(_pairs(width, bits, None), _MESSAGE), False)
-    decided = cut_lineage(by_block(state).cogroup(by_block(answers)).applyInArrow(_decided(width, bits), "__block int, sure binary, left binary"))
+    answers = ask(state.mapInArrow(_pairs(width, bits, None), _MESSAGE), _LEADS)
+    decided = cut_lineage(by_block(state).cogroup(by_block(answers)).applyInArrow(_decided(width, bits), "__block int, sure binary, sent binary"))
     remove(spark, path)
 
-    windows = ask(blocks.cogroup(by_block(decided)).applyInArrow(_windows(width, bits), _MESSAGE), False)
+    windows = ask(blocks.cogroup(by_block(decided)).applyInArrow(_windows(width, bits), _MESSAGE), _FLAGS)
     said = decided.unionByName(windows, allowMissingColumns=True)
     schema = ", ".join(["__id long", *[f"{c} {f.dataType.simpleString()}" for c, f in zip(rest, others, strict=True)], "n_bytes long, n_removed long, n_spans long", f"__out {'string' if digest else 'binary'}"])
     kept = blocks.cogroup(by_block(said)).applyInArrow(_cut(width, bits, digest, rest), schema)
