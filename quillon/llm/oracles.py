@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import mixing, ngrams, quality, substring
+from quillon.llm import conversations, lloyd, mixing, ngrams, quality, substring, suffixes
 
 BREAK = r"[\x20\x09-\x0D]+"
 WORDS = f"w AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '{BREAK}'), lambda x: x <> '') AS ws FROM documents)"
@@ -72,4 +72,77 @@ v AS (SELECT n.source, n.off, row_number() OVER (PARTITION BY n.source ORDER BY
 c AS (SELECT e.*, {_COPIES} AS copies FROM e JOIN v ON v.source IS NOT DISTINCT FROM e.source AND k = 1)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c"""
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_minhash_dedup": OP2, "op3_quality_rules": OP3, "op8_lm_backoff": OP8, "op10_mix_sources": OP10}
+
+
+def _lloyd() -> str:
+    floor = "CAST((s - ((s % n) + n) % n) // n AS BIGINT)"
+    out = [
+        f"p AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {lloyd.WIDTH} AND len(list_filter(embedding, lambda x: isfinite(x))) = {lloyd.WIDTH})",
+        f"x AS MATERIALIZED (SELECT vec_id, unnest(range({lloyd.WIDTH})) AS j, unnest(v) AS x FROM p)",
+        f"c0 AS MATERIALIZED (SELECT k, j, x AS c FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM p) JOIN x USING (vec_id) WHERE k < {lloyd.K})",
+    ]
+    for r in range(lloyd.ROUNDS + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT vec_id, CAST(min(d * 64 + k) AS BIGINT) AS m FROM (SELECT vec_id, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM x JOIN c{r} USING (j) GROUP BY ALL) GROUP BY vec_id)")
+        if r < lloyd.ROUNDS:
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.k, c{r}.j, coalesce({floor}, c) AS c FROM c{r} LEFT JOIN (SELECT m % 64 AS k, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY ALL) USING (k, j))")
+    last = lloyd.ROUNDS
+    return (
+        "WITH " + ",\n".join(out) + f""",
+h AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY j)) AS h FROM c{last} GROUP BY k)
+SELECT vec_id, CAST(m % 64 AS INTEGER) AS cluster, m // 64 AS distance, CAST(sum(m // 64) OVER (PARTITION BY m % 64) AS BIGINT) AS cluster_inertia, CAST(sum(m // 64) OVER () AS BIGINT) AS inertia, h AS centroid_sha256 FROM a{last} JOIN h ON h.k = m % 64"""
+    )
+
+
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda q: CAST(ascii(q) AS BIGINT))), lambda c, q: list_reduce(list_prepend(xor(c, q), range(8)), lambda e, i: xor(e >> 1, 3988292384 * (e & 1)))), 4294967295)"
+
+
+def _conversations() -> str:
+    """Forward in time: for each state the least (cost, audit) so far, with its lines."""
+    c = conversations
+    put = lambda v, cost, letter, line: f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', 't': {v}.t{line}}} END"
+    insert = lambda v, role: put(v, c.INSERT, "I", f" || ['{role}:']")
+    first = lambda *x: f"list_min([{', '.join(x)}])"
+    # Rows: inserts, then what happens to the row.
+    once = f"SELECT conv_id, i, s, st, {first('u', insert('s', 'user'), insert('st', 'user'), insert('a', 'user'))} AS u, {first('a', insert('u', 'assistant'))} AS a FROM"
+    own = "[role || ':' || text]"
+    keep = lambda v, who: f"CASE WHEN NOT gone AND who = '{who}' THEN {put(v, 'extra', 'K', ' || ' + own)} END"
+    role = lambda v, to: f"CASE WHEN NOT gone THEN {put(v, f'{c.REROLE} + extra', 'R', f' || [{chr(39)}{to}:{chr(39)} || text]')} END"
+    drop = lambda v: put(v, c.DELETE, "D", "")
+    step = f"SELECT conv_id, r.i, {drop('s')} AS s, {first(drop('st'), keep('s', 's'))} AS st, {first(drop('u'), *[f(v, w) for v in ('s', 'st', 'a') for f, w in ((keep, 'u'), (role, 'user'))])} AS u, {first(drop('a'), keep('u', 'a'), role('u', 'assistant'))} AS a"
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]))"
+    return f"""WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM base WHERE f <> 0),
+num AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS who, regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g') AS ink FROM dam),
+flt AS (SELECT *, ink = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(right(ink, 1), '[.!?]') AS cut FROM num),
+r AS MATERIALIZED (SELECT conv_id, i, turn, role, text, who, blank OR again AS gone, CASE WHEN cut THEN {c.CUT} ELSE 0 END AS extra, blank, again AND NOT blank AS duplicate, cut AND NOT blank AND NOT again AS truncated, lead(who) OVER (PARTITION BY conv_id ORDER BY i) AS after FROM flt),
+n AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated, count(*) FILTER (after IS NOT NULL AND who || after NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+dp AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'a': '', 't': CAST([] AS VARCHAR[])}} AS s, {none} AS st, {none} AS u, {none} AS a FROM n
+UNION ALL {step} FROM ({once} ({once} dp)) z JOIN r USING (conv_id) WHERE r.i = z.i + 1),
+fin AS (SELECT conv_id, i, {first('s', 'a')} AS best FROM ({once} ({once} dp)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN n ON n.conv_id = o.conv_id LEFT JOIN fin ON fin.conv_id = n.conv_id AND fin.i = n.rows"""
+
+
+_W = suffixes.WIDTH
+OP13 = f"""WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - {_W} + 1)) AS i FROM d WHERE len(h) >= {2 * _W}),
+k AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * _W})) AS m FROM p),
+again AS (SELECT doc_id, i FROM k JOIN (SELECT m FROM k GROUP BY m HAVING count(*) > 1) USING (m)),
+cut AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {_W} THEN 0 ELSE 1 END AS new FROM again),
+grp AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM cut),
+s AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + {_W} AS b FROM grp GROUP BY doc_id, g),
+parts AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM s),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+ORACLES = {
+    "op1_substring_dedup": OP1,
+    "op2_minhash_dedup": OP2,
+    "op3_quality_rules": OP3,
+    "op8_lm_backoff": OP8,
+    "op10_mix_sources": OP10,
+    "op11_delta_lloyd": _lloyd(),
+    "op12_conversation_repair": _conversations(),
+    "op13_suffix_dedup": OP13,
+}
