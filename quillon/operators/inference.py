@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import draw
+from quillon.operators.orders import before, same, tied_ranks
 
 
 def empirical_p(observed: DataFrame, null: DataFrame, on: str) -> DataFrame:
@@ -20,11 +21,21 @@ def empirical_p(observed: DataFrame, null: DataFrame, on: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str | None = None) -> DataFrame:
-    """tests (id, p, ...) with rank and significant; equal p in the order of id."""
-    own = Window.partitionBy(*([family] if family else []))
-    ranked = tests.withColumn("rank", F.row_number().over(own.orderBy("p", "id"))).withColumn("__m", F.count("*").over(own))
-    last = F.max(F.when(F.col("p") <= F.lit(q) * F.col("rank") / F.col("__m").cast("double"), F.col("rank"))).over(own)
-    return ranked.withColumn("significant", F.coalesce(F.col("rank") <= last, F.lit(False))).drop("__m")
+    """tests (id, p, ...) with rank and significant; equal p in the order of id.
+
+    family: a column; the tests of each of its values are ranked and counted
+    apart. Null p are no tests: their rank is null, and they aren't significant.
+    """
+    keys = (family,) if family else ()
+    known = tests.where("p IS NOT NULL")
+    counts = before(known.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("__n")), keys, "p", {"__b": ("sum", "__n")})
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    upto = F.col("__b") + F.col("__n")
+    last = same(counts, sizes, list(keys)).groupBy(*keys).agg(F.max(F.when(F.col("p") <= F.lit(q) * upto / F.col("__m").cast("double"), upto)).alias("__last"))
+    tied = same(same(tests, counts.drop("__n"), [*keys, "p"], "left"), last, list(keys), "left") if keys else same(tests, counts.drop("__n"), ["p"], "left").join(last, F.lit(True), "left")
+    within = Window.partitionBy(*keys, "p").orderBy("id")
+    rank = F.when(F.col("p").isNotNull(), F.col("__b").cast("int") + F.row_number().over(within))
+    return tied.withColumn("rank", rank).withColumn("significant", F.coalesce(F.col("rank") <= F.col("__last"), F.lit(False))).drop("__b", "__last")
 
 
 def hashed_offsets(runs: DataFrame, draws: int, seed: str) -> DataFrame:
@@ -73,11 +84,11 @@ def paired_stats(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def wilcoxon_w(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per keys: pairs that aren't zero, the smaller signed rank sum and the sum over tie groups of t^3 - t."""
-    some = deltas.where("delta <> 0").withColumn("__a", F.abs("delta"))
-    order, ties = Window.partitionBy(*keys).orderBy("__a"), Window.partitionBy(*keys, "__a")
-    ranked = some.withColumn("rk", F.rank().over(order) + (F.count("*").over(ties) - 1) / F.lit(2.0)).withColumn("__t", F.count("*").over(ties).cast("double"))
-    up, down = (F.coalesce(F.sum(F.when(c, F.col("rk"))), F.lit(0.0)) for c in (F.col("delta") > 0, F.col("delta") < 0))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.least(up, down).alias("w"), F.sum(F.col("__t") * F.col("__t") - 1).alias("ties"))
+    some = deltas.where("delta <> 0").select(*keys, F.abs("delta").alias("__a"), (F.col("delta") > 0).cast("long").alias("up"))
+    tied = tied_ranks(some, keys, "__a", ("up",))
+    n, t = F.col("n"), F.col("n").cast("double")
+    up, down = F.sum(F.col("rk") * F.col("up")), F.sum(F.col("rk") * (n - F.col("up")))
+    return tied.groupBy(*keys).agg(F.sum("n").alias("n"), F.least(up, down).alias("w"), F.sum(t * t * t - t).alias("ties"))
 
 
 def wilcoxon_p(n: int, w: float, ties: float = 0.0) -> float:

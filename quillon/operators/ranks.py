@@ -5,10 +5,11 @@ Long form throughout: scores (id, feature, value) and labels (id, concept, y).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import directed
+from quillon.operators.orders import before, same, tied_ranks
 
 
 def explode_vectors(frame: DataFrame, id: str, vector: str) -> DataFrame:
@@ -17,10 +18,9 @@ def explode_vectors(frame: DataFrame, id: str, vector: str) -> DataFrame:
 
 def average_rank(scores: DataFrame, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
     """scores with rk: ranks of value (as float32) within keys, ties averaged."""
-    value = F.col("value").cast("float")
-    ordered = Window.partitionBy(*keys).orderBy("__v")
-    ties = Window.partitionBy(*keys, "__v")
-    return scores.withColumn("__v", value).withColumn("rk", F.rank().over(ordered) + (F.count("*").over(ties) - 1) / F.lit(2.0)).drop("__v")
+    rows = scores.withColumn("__v", F.col("value").cast("float"))
+    ranked = tied_ranks(rows.select(*keys, "__v"), keys, "__v").drop("n")
+    return same(rows, ranked, [*keys, "__v"]).drop("__v")
 
 
 def auroc_dense(scores: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("feature",)) -> DataFrame:
@@ -56,25 +56,38 @@ def best_feature(aurocs: DataFrame) -> DataFrame:
     return aurocs.where("auroc IS NOT NULL").groupBy("concept").agg(best).select("concept", (-F.col("m.f")).alias("best_feature"), F.col("m.best").alias("best_auroc"), F.col("m.raw").alias("raw_auroc"), (F.col("m.raw") < 0.5).alias("inverse"))
 
 
+def _wins(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, p, q, wins) of (keys, value, y): positives, negatives, and pairs that the positive wins, ties by half."""
+    tied = tied_ranks(rows.select(*keys, F.col("value").cast("float").alias("value"), F.col("y").cast("long").alias("y")), keys, "value", ("y",))
+    p = F.sum("y").cast("double")
+    sums = tied.groupBy(*keys).agg(p.alias("p"), (F.sum("n") - F.sum("y")).cast("double").alias("q"), F.sum(F.col("rk") * F.col("y")).alias("rs"))
+    return sums.select(*keys, "p", "q", (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2).alias("wins"))
+
+
+def auroc_by_stratum(scored: DataFrame, least: int = 10) -> DataFrame:
+    """(stratum, p, q, auroc, used) of (stratum, value, y); strata below 0 are left out, null areas where a class is empty."""
+    per = _wins(scored.where("stratum >= 0"), ("stratum",))
+    area = F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("wins") / (F.col("p") * F.col("q")))
+    return per.select("stratum", "p", "q", area.alias("auroc"), ((F.col("p") >= least) & (F.col("q") >= least)).alias("used"))
+
+
 def stratified_auroc(scored: DataFrame, least: int = 10) -> DataFrame:
     """Of (stratum, value, y): pooled area over strata with enough of both classes, and the unadjusted one."""
-    rows = scored.select(F.monotonically_increasing_id().alias("__i"), "stratum", "value", "y")
-    within = average_rank(rows.where("stratum >= 0"), ("stratum",))
-    per = within.groupBy("stratum").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"), F.sum(F.when(F.col("y") == 1, F.col("rk"))).alias("rs"))
-    ok = (F.col("p") >= least) & (F.col("q") >= least)
-    wins = F.col("rs") - F.col("p") * (F.col("p") + 1) / 2
-    pooled = per.agg((F.sum(F.when(ok, wins)) / F.sum(F.when(ok, F.col("p") * F.col("q")))).alias("adjusted"), F.sum(ok.cast("long")).alias("used"), F.sum((~ok).cast("long")).alias("skipped"))
-    overall = average_rank(rows.withColumn("one", F.lit(1)), ("one",)).agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"), F.sum(F.when(F.col("y") == 1, F.col("rk"))).alias("rs"))
-    overall = overall.select((wins / (F.col("p") * F.col("q"))).alias("unadjusted"))
+    per = auroc_by_stratum(scored, least)
+    ok, pairs = F.col("used"), F.col("p") * F.col("q")
+    pooled = per.agg((F.sum(F.when(ok, F.col("auroc") * pairs)) / F.sum(F.when(ok, pairs))).alias("adjusted"), F.sum(ok.cast("long")).alias("used"), F.sum((~ok).cast("long")).alias("skipped"))
+    overall = _wins(scored, ()).select((F.col("wins") / (F.col("p") * F.col("q"))).alias("unadjusted"))
     return overall.join(pooled, F.lit(True))
 
 
 def average_precision(scored: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per keys of (keys, value, y): average precision, tied values counted together."""
     by_value = scored.groupBy(*keys, "value").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0)
-    summed = by_value.select(*keys, "p", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("seen"), F.sum("p").over(Window.partitionBy(*keys)).alias("all"))
-    return summed.groupBy(*keys).agg(F.sum(F.when(F.col("all") > 0, F.col("p") / F.col("all") * F.col("tp") / F.col("seen"))).alias("ap"))
+    below = before(by_value, keys, "value", {"p_below": ("sum", "p"), "n_below": ("sum", "n")})
+    totals = by_value.groupBy(*keys).agg(F.sum("p").alias("all"), F.sum("n").alias("rows"))
+    tp, seen = F.col("all") - F.col("p_below"), F.col("rows") - F.col("n_below")
+    term = F.when(F.col("all") > 0, F.col("p") / F.col("all") * tp / seen)
+    return same(below, totals, list(keys)).groupBy(*keys).agg(F.sum(term).alias("ap"))
 
 
 def domain_f1(predicted: DataFrame) -> DataFrame:

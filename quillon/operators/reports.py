@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.orders import before, same
+
 
 def top_rows(codes: DataFrame, n: int) -> DataFrame:
     """The n rows of largest value for each feature of (id, feature, value), with rank."""
@@ -27,16 +29,20 @@ def memorisation_gap(unseen: DataFrame, trained: DataFrame) -> DataFrame:
 
 
 def pareto(points: DataFrame, cost: str, loss: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Points for which no cheaper one has as low a loss."""
-    order = Window.partitionBy(*keys).orderBy(cost, loss).rowsBetween(Window.unboundedPreceding, -1)
-    least = points.withColumn("__least", F.min(loss).over(order))
-    return least.where(F.col("__least").isNull() | (F.col(loss) < F.col("__least"))).drop("__least")
+    """Points for which no cheaper one has as low a loss; one of those of equal cost and loss."""
+    least = points.groupBy(*keys, F.col(cost).alias("__cost")).agg(F.min(F.struct(loss, *[c for c in points.columns if c != loss])).alias("__p"))
+    best = before(least.withColumn("__loss", F.col("__p").getField(loss)), keys, "__cost", {"__least": ("min", "__loss")})
+    kept = best.where(F.col("__least").isNull() | (F.col("__loss") < F.col("__least")))
+    return kept.select(*[F.col("__p").getField(c).alias(c) for c in points.columns])
 
 
 def ecdf(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, value, above): the share of values at or after each, in order."""
-    own = Window.partitionBy(*keys)
-    return values.withColumn("above", 1 - (F.row_number().over(own.orderBy("value", "id")) - 1) / F.count("*").over(own).cast("double"))
+    """(keys, value, above): the share of values at or after each, in order of value and, for equal ones, id."""
+    counts = before(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n")), keys, "value", {"__b": ("sum", "__n")}).drop("__n")
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__m"))
+    placed = same(same(values, counts, [*keys, "value"]), sizes, list(keys))
+    at = F.col("__b") + F.row_number().over(Window.partitionBy(*keys, "value").orderBy("id")) - 1
+    return placed.withColumn("above", 1 - at / F.col("__m")).drop("__b", "__m")
 
 
 def max_pool(profile: DataFrame, points: int, keys: tuple[str, ...]) -> DataFrame:
