@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import draw
+from quillon.functions.scalar import directed, draw
+from quillon.operators.intervals import circular_shift, overlaps
 from quillon.operators.orders import before, same, tied_ranks
+from quillon.operators.ranks import average_rank
 
 
 def empirical_p(observed: DataFrame, null: DataFrame, on: str) -> DataFrame:
@@ -25,7 +27,9 @@ def benjamini_hochberg(tests: DataFrame, q: float = 0.05, family: str | None = N
 
     family: a column; the tests of each of its values are ranked and counted
     apart. Null p are no tests: their rank is null, and they aren't significant.
+    The tests are persisted, as they are read several times.
     """
+    tests = tests.persist()
     keys = (family,) if family else ()
     known = tests.where("p IS NOT NULL")
     counts = before(known.groupBy(*keys, "p").agg(F.count(F.lit(1)).alias("__n")), keys, "p", {"__b": ("sum", "__n")})
@@ -51,6 +55,73 @@ def roll_labels(labels: DataFrame, offsets: DataFrame) -> DataFrame:
     return turned.join(labels.select("run", "i", "concept", "y"), ["run", "i"]).select("draw", "id", "concept", "y")
 
 
+def rolled_positives(labels: DataFrame, places: DataFrame, offsets: DataFrame) -> DataFrame:
+    """(draw, concept, id) of the positives of roll_labels alone: labels (run, i, concept, y), places (run, i, id)."""
+    moved = labels.where("y = 1").select("run", "i", "concept").join(offsets, "run")
+    return moved.select("draw", "concept", "run", F.pmod(F.col("i") + F.col("offset"), F.col("n")).alias("i")).join(places.select("run", "i", "id"), ["run", "i"]).select("draw", "concept", "id")
+
+
+def shift_offsets(domains: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(draw, chrom, low, high, offset): for each draw how far the elements of each domain (chrom, low, high) slide."""
+    each = domains.where("high > low").select("chrom", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    return each.withColumn("offset", F.pmod(draw(F.lit(seed), F.col("draw"), F.col("chrom"), F.col("low")), F.col("high") - F.col("low")))
+
+
+def shifted_positives(bins: DataFrame, elements: DataFrame, domains: DataFrame, draws: int, seed: str, cell: int = 1 << 10) -> DataFrame:
+    """(draw, concept, id): bins (id, chrom, bin_start, bin_end) that a draw's elements (concept, chrom, start, end) overlap.
+
+    In a draw all elements of a domain slide by one offset and wrap at its ends,
+    so that their number, lengths and distances stay. All draws are labelled by
+    one join on (chrom, cell).
+    """
+    own = overlaps(domains.select("chrom", F.col("low").alias("start"), F.col("high").alias("end")), elements.select("chrom", "start", "end", "concept"))
+    spans = own.select("chrom", F.col("start").alias("low"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_concept").alias("concept"))
+    moved = circular_shift(spans.join(shift_offsets(domains, draws, seed), ["chrom", "low"]).select("draw", "concept", "chrom", "low", "high", "offset", "start", "end"))
+    found = overlaps(moved, bins.select("id", "chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end")), cell=cell)
+    return found.select("draw", "concept", F.col("r_id").alias("id")).distinct()
+
+
+def _every_draw(concepts: DataFrame, draws: int) -> DataFrame:
+    return concepts.select("concept", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+
+
+def sparse_null(codes: DataFrame, positives: DataFrame, concepts: DataFrame, bins: DataFrame, draws: int) -> DataFrame:
+    """(draw, concept, value): the largest folded area over all features that fire, for each draw's positives (draw, concept, id).
+
+    codes (id, feature, value) are ranked once for all draws, and only bins that
+    are positive in a draw meet them. A feature that fires on none of them has
+    the area 1/2 + m / 2n, of m bins on which it fires and n negatives: of these
+    the one with the largest m counts, the first in the order of m that the
+    draw's features leave out. A draw without both classes is worth 1/2.
+    """
+    ranked = average_rank(codes.where("value > 0")).select("id", "feature", "rk")
+    sizes = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("m"))
+    falling = before(sizes.groupBy((-F.col("m")).alias("__f")).agg(F.count(F.lit(1)).alias("__n")), (), "__f", {"__b": ("sum", "__n")})
+    at = F.col("__b") + F.row_number().over(Window.partitionBy("m").orderBy("feature"))
+    placed = sizes.join(falling, -F.col("m") == F.col("__f")).select("feature", "m", at.alias("place"))
+    total = bins.agg(F.count(F.lit(1)).alias("__all"))
+    n = positives.groupBy("draw", "concept").agg(F.count(F.lit(1)).alias("p"))
+    n = n.join(total, F.lit(True)).where("p < __all").select("draw", "concept", F.col("p").cast("double").alias("p"), (F.col("__all") - F.col("p")).cast("double").alias("q"))
+    hits = positives.join(ranked, "id").groupBy("draw", "concept", "feature").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("rk").alias("rs"))
+    hits = hits.join(placed, "feature").withColumn("__i", F.row_number().over(Window.partitionBy("draw", "concept").orderBy("place")))
+    a, b, p, q = F.col("a"), F.col("m") - F.col("a"), F.col("p"), F.col("q")
+    wins = a * (q - b) + 0.5 * (p - a) * (q - b) + F.col("rs") - a * (a + 1) / 2
+    scored = hits.join(n, ["draw", "concept"]).groupBy("draw", "concept").agg(F.max(directed(wins / (p * q))).alias("__v"), F.count_if(F.col("place") == F.col("__i")).alias("__first"))
+    rest = n.join(scored, ["draw", "concept"], "left").withColumn("place", F.coalesce("__first", F.lit(0)) + 1).join(placed.select("place", "m"), "place", "left")
+    value = rest.select("draw", "concept", F.greatest("__v", F.lit(0.5) + F.col("m") / (2 * F.col("q")), F.lit(0.5)).alias("value"))
+    return _every_draw(concepts, draws).join(value, ["draw", "concept"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+
+
+def dense_null(ranked: DataFrame, positives: DataFrame, concepts: DataFrame, bins: DataFrame, draws: int) -> DataFrame:
+    """As sparse_null, of ranks (id, feature, rk) that every bin has for every feature; these too are made once."""
+    total = bins.agg(F.count(F.lit(1)).cast("double").alias("__all"))
+    sums = positives.join(ranked.select("id", "feature", "rk"), "id").groupBy("draw", "concept", "feature").agg(F.count(F.lit(1)).cast("double").alias("p"), F.sum("rk").alias("rs"))
+    p, q = F.col("p"), F.col("__all") - F.col("p")
+    area = F.when(q > 0, (F.col("rs") - p * (p + 1) / 2) / (p * q))
+    value = sums.join(total, F.lit(True)).groupBy("draw", "concept").agg(F.max(directed(area)).alias("value"))
+    return _every_draw(concepts, draws).join(value, ["draw", "concept"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+
+
 def cluster_permutation(sites: DataFrame, draws: int, seed: str) -> DataFrame:
     """Of sites (cluster, i, effect, y), equal-sized clusters: observed mean difference, p.
 

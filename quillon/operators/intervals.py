@@ -2,7 +2,9 @@
 
 All operators keep to one partitioning, by chrom, so that a chain of them
 shuffles once. Orders within a chrom come from window functions, never from
-collected groups.
+collected groups. Where a chrom holds too much for one task, cell splits the
+order: each cell is summed up, the sums are carried over from cell to cell (one
+row for each), and then every cell is ordered by itself.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.orders import same
+
 BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -19,25 +23,59 @@ def checked(frame: DataFrame) -> DataFrame:
     return frame.withColumn("end", F.when(F.col("end") > F.col("start"), F.col("end")).otherwise(F.raise_error(bad).cast("long")))
 
 
-def islands(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), gap: int = 0) -> DataFrame:
+def scan(frame: DataFrame, keys: tuple[str, ...], pos: str, into: dict[str, tuple[str, str]], cell: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """frame with running values in the order of pos and ties within keys.
+
+    into: name to (what, column), where what is sum or max (with the own row),
+    sum_before or max_before (without it; null at first), lag or lead (of the
+    row before or after). cell: width of the parts of pos that are ordered
+    apart; lagging and leading columns are not null then.
+    """
+    order, parts = [pos, *ties], [*keys, *(["__cell"] if cell else [])]
+    own = Window.partitionBy(*parts).orderBy(*order)
+    upto, before_ = own.rowsBetween(Window.unboundedPreceding, 0), own.rowsBetween(*BEFORE)
+    local = {
+        "sum": lambda c: F.sum(c).over(upto),
+        "max": lambda c: F.max(c).over(upto),
+        "sum_before": lambda c: F.sum(c).over(before_),
+        "max_before": lambda c: F.max(c).over(before_),
+        "lag": lambda c: F.lag(c).over(own),
+        "lead": lambda c: F.lead(c).over(own),
+    }
+    if not cell:
+        return frame.withColumns({name: local[what](c) for name, (what, c) in into.items()})
+    cut = frame.withColumn("__cell", F.floor(F.col(pos) / cell))
+    at = F.struct(*order)
+    whole = {"sum": F.sum, "max": F.max, "lag": lambda c: F.max_by(F.col(c), at), "lead": lambda c: F.min_by(F.col(c), at)}
+    kind = {name: what.removesuffix("_before") for name, (what, _) in into.items()}
+    sums = cut.groupBy(*parts).agg(*[whole[kind[name]](c).alias(f"__w_{name}") for name, (_, c) in into.items()])
+    along = Window.partitionBy(*keys).orderBy("__cell")
+    past = along.rowsBetween(*BEFORE)
+    carry = {"sum": lambda c: F.sum(c).over(past), "max": lambda c: F.max(c).over(past), "lag": lambda c: F.lag(c).over(along), "lead": lambda c: F.lead(c).over(along)}
+    carried = sums.select(*parts, *[carry[kind[name]](f"__w_{name}").alias(f"__c_{name}") for name in into])
+    both = same(cut, carried, parts).withColumns({name: local[what](c) for name, (what, c) in into.items()})
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "max": F.greatest, "lag": F.coalesce, "lead": F.coalesce}
+    return both.withColumns({name: join[kind[name]](F.col(name), F.col(f"__c_{name}")) for name in into}).drop("__cell", *[f"__c_{name}" for name in into])
+
+
+def islands(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), gap: int = 0, cell: int | None = None) -> DataFrame:
     """frame with island: rows that overlap, abut or lie within gap of what came before share one."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = frame.withColumn("__reach", F.max("end").over(order.rowsBetween(*BEFORE)))
+    reach = scan(frame, keys, "start", {"__reach": ("max_before", "end")}, cell, ("end",))
     new = (F.col("__reach").isNull() | (F.col("start") > F.col("__reach") + gap)).cast("long")
-    return reach.withColumn("island", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__reach")
+    return scan(reach.withColumn("__new", new), keys, "start", {"island": ("sum", "__new")}, cell, ("end",)).drop("__reach", "__new")
 
 
 def merge(frame: DataFrame, keys: tuple[str, ...] = ("chrom",), validate: bool = True, cell: int | None = None) -> DataFrame:
     """Union of overlapping or abutting intervals.
 
-    cell: merge within cells of that width first, so that a key with a large
-    share of the rows is ordered by many tasks, and only merged pieces meet.
+    cell: merge within cells of that width first, and order by cells, so that a
+    key with a large share of the rows is spread over tasks.
     """
     frame = checked(frame) if validate else frame
     if cell is not None:
         cut = frame.withColumn("__cell", F.floor(F.col("start") / cell))
         frame = merge(cut, (*keys, "__cell"), validate=False).drop("__cell")
-    found = islands(frame, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = islands(frame, keys, cell=cell).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return found.drop("island")
 
 
@@ -45,7 +83,7 @@ def span(frame: DataFrame) -> DataFrame:
     return frame.agg(F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).cast("long").alias("bases"))
 
 
-def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
+def subtract(left: DataFrame, right: DataFrame, cell: int | None = None) -> DataFrame:
     """The parts of left that right doesn't cover: one sweep over both sides' ends."""
     ends = None
     for side, frame in (("l", left), ("r", right)):
@@ -53,10 +91,9 @@ def subtract(left: DataFrame, right: DataFrame) -> DataFrame:
             part = frame.select("chrom", F.col(column).alias("pos"), F.lit(step if side == "l" else 0).alias("l"), F.lit(step if side == "r" else 0).alias("r"))
             ends = part if ends is None else ends.union(part)
     ends = ends.groupBy("chrom", "pos").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    order = Window.partitionBy("chrom").orderBy("pos")
-    depth = ends.select("chrom", F.col("pos").alias("start"), F.lead("pos").over(order).alias("end"), F.sum("l").over(order).alias("l"), F.sum("r").over(order).alias("r"))
-    pieces = depth.where("l > 0 AND r = 0 AND end IS NOT NULL").select("chrom", "start", "end")
-    return merge(pieces, validate=False)
+    depth = scan(ends, ("chrom",), "pos", {"end": ("lead", "pos"), "in_l": ("sum", "l"), "in_r": ("sum", "r")}, cell)
+    pieces = depth.where("in_l > 0 AND in_r = 0 AND end IS NOT NULL").select("chrom", F.col("pos").alias("start"), "end")
+    return merge(pieces, validate=False, cell=cell)
 
 
 def pad(frame: DataFrame, margin: int) -> DataFrame:
@@ -95,43 +132,42 @@ def label_bins(bins: DataFrame, intervals: DataFrame, into: str = "label", width
     return bins.join(found, ["chrom", "bin_start", "bin_end"], "left").withColumn(into, F.coalesce(into, F.lit(False)))
 
 
-def label_bins_sweep(bins: DataFrame, intervals: DataFrame, into: str = "label") -> DataFrame:
+def label_bins_sweep(bins: DataFrame, intervals: DataFrame, into: str = "label", cell: int | None = None) -> DataFrame:
     """As label_bins by one ordered pass: the farthest end among intervals that start before the bin ends."""
     own = bins.select("chrom", "bin_start", "bin_end").distinct().select("chrom", F.col("bin_end").alias("pos"), F.lit(0).alias("kind"), "bin_start", F.lit(None).cast("long").alias("reach"))
     starts = intervals.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("bin_start"), F.col("end").alias("reach"))
-    order = Window.partitionBy("chrom").orderBy("pos", "kind").rowsBetween(*BEFORE)
-    swept = own.unionByName(starts).withColumn("far", F.max("reach").over(order)).where("kind = 0")
+    swept = scan(own.unionByName(starts), ("chrom",), "pos", {"far": ("max_before", "reach")}, cell, ("kind",)).where("kind = 0")
     found = swept.select("chrom", "bin_start", F.col("pos").alias("bin_end"), F.coalesce(F.col("far") > F.col("bin_start"), F.lit(False)).alias(into))
     return bins.join(found, ["chrom", "bin_start", "bin_end"])
 
 
-def as_of(bins: DataFrame, intervals: DataFrame) -> DataFrame:
+def as_of(bins: DataFrame, intervals: DataFrame, cell: int | None = None) -> DataFrame:
     """bins with last_start: the last start of an interval before the bin's end."""
     own = bins.select("chrom", F.col("bin_end").alias("pos"), F.lit(0).alias("kind"), "bin_start", F.lit(None).cast("long").alias("at"))
     starts = intervals.select("chrom", F.col("start").alias("pos"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("bin_start"), F.col("start").alias("at"))
-    order = Window.partitionBy("chrom").orderBy("pos", "kind").rowsBetween(*BEFORE)
-    return own.unionByName(starts).withColumn("last_start", F.max("at").over(order)).where("kind = 0").select("chrom", "bin_start", F.col("pos").alias("bin_end"), "last_start")
+    found = scan(own.unionByName(starts), ("chrom",), "pos", {"last_start": ("max_before", "at")}, cell, ("kind",))
+    return found.where("kind = 0").select("chrom", "bin_start", F.col("pos").alias("bin_end"), "last_start")
 
 
-def contiguous_runs(bins: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+def contiguous_runs(bins: DataFrame, keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
     """bins with run, cut where a bin doesn't begin at the end of the one before."""
-    order = Window.partitionBy(*keys).orderBy("bin_start")
-    new = F.coalesce((F.col("bin_start") != F.lag("bin_end").over(order)).cast("long"), F.lit(1))
-    return bins.withColumn("__new", new).withColumn("run", F.sum("__new").over(order)).drop("__new")
+    last = scan(bins, keys, "bin_start", {"__last": ("lag", "bin_end")}, cell)
+    new = last.withColumn("__new", F.coalesce((F.col("bin_start") != F.col("__last")).cast("long"), F.lit(1)))
+    return scan(new, keys, "bin_start", {"run": ("sum", "__new")}, cell).drop("__last", "__new")
 
 
-def domains(labelled: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+def domains(labelled: DataFrame, keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
     """Runs of positive bins (label true): (keys, run, start, end, n_bins)."""
-    runs = contiguous_runs(labelled.where("label"), keys)
+    runs = contiguous_runs(labelled.where("label"), keys, cell)
     return runs.groupBy(*keys, "run").agg(F.min("bin_start").alias("start"), F.max("bin_end").alias("end"), F.count("*").alias("n_bins"))
 
 
-def domain_centres(labelled: DataFrame, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+def domain_centres(labelled: DataFrame, keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
     """The lower middle bin of each run of positive bins."""
-    runs = contiguous_runs(labelled.where("label"), keys)
-    within = Window.partitionBy(*keys, "run")
-    numbered = runs.withColumn("__n", F.count("*").over(within)).withColumn("__i", F.row_number().over(within.orderBy("bin_start")))
-    return numbered.where(F.col("__i") == F.floor((F.col("__n") + 1) / 2)).select(*keys, "run", F.col("bin_start").alias("centre"))
+    runs = contiguous_runs(labelled.where("label"), keys, cell).withColumn("__one", F.lit(1))
+    numbered = scan(runs, keys, "bin_start", {"__i": ("sum", "__one")}, cell)
+    middle = numbered.groupBy(*keys, "run").agg((F.min("__i") + F.floor((F.count("*") + 1) / 2) - 1).alias("__middle"))
+    return same(numbered, middle, [*keys, "run"]).where("__i = __middle").select(*keys, "run", F.col("bin_start").alias("centre"))
 
 
 def block_id(start: Column, width: int) -> Column:
@@ -175,15 +211,36 @@ def map_to_grid(grid: DataFrame, bins: DataFrame, column: str) -> DataFrame:
     return grid.join(seen, ["chrom", "bin_start"], "left").withColumn("positive", F.coalesce(F.col("__value"), F.lit(False))).withColumn("observed", F.col("__seen").isNotNull()).drop("__value", "__seen")
 
 
-def first_containing(points: DataFrame, windows: DataFrame, margin: int) -> DataFrame:
-    """For each point (chrom, pos, ...), the first window (chrom, start, end) that holds it at least margin from both ends."""
-    w = windows.select(F.col("chrom").alias("__c"), F.col("start").alias("win_start"), F.col("end").alias("win_end"))
-    inside = (points["chrom"] == w["__c"]) & (points["pos"] >= w["win_start"] + margin) & (points["pos"] < w["win_end"] - margin)
-    joined = points.join(w, inside).drop("__c")
-    first = joined.groupBy(*points.columns).agg(F.min(F.struct("win_start", "win_end")).alias("w"))
+def first_containing(points: DataFrame, windows: DataFrame, margin: int, cell: int = 1 << 20) -> DataFrame:
+    """For each point (chrom, pos, ...), the first window (chrom, start, end) that holds it at least margin from both ends.
+
+    Windows less their margins are cut into cells of that width, on which they
+    meet the points; best where cell is about a window's width.
+    """
+    low, high = F.col("start") + margin, F.col("end") - margin
+    w = windows.where(high > low).select(F.col("chrom").alias("__c"), F.col("start").alias("win_start"), F.col("end").alias("win_end"), F.explode(F.sequence(F.floor(low / cell), F.floor((high - 1) / cell))).alias("__cell"))
+    placed = points.withColumn("__at", F.floor(F.col("pos") / cell))
+    inside = (placed["chrom"] == w["__c"]) & (placed["__at"] == w["__cell"]) & (placed["pos"] >= w["win_start"] + margin) & (placed["pos"] < w["win_end"] - margin)
+    first = placed.join(w, inside).groupBy(*points.columns).agg(F.min(F.struct("win_start", "win_end")).alias("w"))
     return first.select(*points.columns, "w.win_start", "w.win_end")
 
 
+def overlaps(left: DataFrame, right: DataFrame, on: tuple[str, ...] = ("chrom",), cell: int = 1 << 16) -> DataFrame:
+    """Pairs of rows of left and right that overlap, each once; right's columns come with r_ before their names.
+
+    An equi join on (on, cell): a pair is found in the cell where the later of
+    the two begins, or in left's first cell.
+    """
+    cells = lambda: F.explode(F.sequence(F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)))
+    a = left.where("end > start").withColumn("__cell", cells())
+    b = right.where("end > start").select(*[F.col(c).alias(f"r_{c}") for c in right.columns], cells().alias("__cell_r"))
+    meet = F.col("__cell") == F.col("__cell_r")
+    for c in on:
+        meet = meet & (F.col(c) == F.col(f"r_{c}"))
+    once = F.col("__cell") == F.floor(F.greatest(F.col("start"), F.col("r_start")) / cell)
+    return a.join(b, meet & once & (F.col("start") < F.col("r_end")) & (F.col("end") > F.col("r_start"))).drop("__cell", "__cell_r")
+
+
 def largest_gap(gaps: DataFrame) -> DataFrame:
     """Per chrom the widest interval, the first of equals."""
     best = F.max(F.struct((F.col("end") - F.col("start")).alias("width"), (-F.col("start")).alias("first"), F.col("end").alias("end"))).alias("g")
@@ -216,15 +273,10 @@ def n_runs(sequences: DataFrame, least: int, letter: str = "N") -> DataFrame:
     """Runs of a letter of at least `least` in sequences (chrom, offset, sequence), joined across pieces."""
     parts = F.split("sequence", f"(?i){letter}+", -1)
     found = F.regexp_extract_all("sequence", F.lit(f"((?i){letter}+)"), 1)
-    pairs = F.arrays_zip(parts.alias("gap"), found.alias("run"))
-    kind = "struct<at:long,runs:array<struct<start:long,end:long>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().alias("runs")).cast(kind)
-
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + F.length(x["gap"])
-        stop = begin + F.length(x["run"])
-        return F.when(x["run"].isNull(), s).otherwise(F.struct(stop.alias("at"), F.concat(s["runs"], F.array(F.struct(begin.alias("start"), stop.alias("end")))).alias("runs")).cast(kind))
-
-    runs = sequences.select("chrom", "offset", F.explode(F.aggregate(pairs, zero, step, lambda s: s["runs"])).alias("r"))
-    placed = runs.select("chrom", (F.col("offset") + F.col("r.start")).alias("start"), (F.col("offset") + F.col("r.end")).alias("end"))
+    size = lambda x: F.coalesce(F.length(x), F.lit(0))
+    sizes = F.transform(F.arrays_zip(parts.alias("gap"), found.alias("run")), lambda x: F.struct(size(x["gap"]).alias("gap"), size(x["run"]).alias("run")))
+    piece = sequences.select("chrom", "offset", F.posexplode(sizes).alias("i", "s")).select("chrom", "offset", "i", "s.gap", "s.run")
+    upto = Window.partitionBy("chrom", "offset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("offset") + F.sum(F.col("gap") + F.col("run")).over(upto)
+    placed = piece.withColumn("end", end).where("run > 0").select("chrom", (F.col("end") - F.col("run")).alias("start"), "end")
     return merge(placed, validate=False).where(F.col("end") - F.col("start") >= least)

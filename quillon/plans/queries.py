@@ -12,6 +12,9 @@ from quillon.functions import scalar, sequence
 from quillon.operators import inference, intervals, ranks, reports, vectors
 from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table
 
+#: Two weeks: the parts of a chrom's seconds that are ordered apart.
+CELL = 14 * 86400
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -147,7 +150,8 @@ CLICKS = "cl AS (SELECT * FROM ev WHERE concept = 'click'), pu AS (SELECT * FROM
 @query(f'WITH {EV}, {CLICKS}, {merged_sql("cl", "a")}, {merged_sql("pu", "b")}, {subtracted_sql("a", "b", "d")} SELECT chrom, s AS "start", e AS "end" FROM d')
 def interval_subtract(spark: SparkSession, sf: str) -> DataFrame:
     ev = spans(spark, sf)
-    return intervals.subtract(intervals.merge(ev.where("concept = 'click'")), intervals.merge(ev.where("concept <> 'click'")))
+    own, other = (intervals.merge(ev.where(f"concept {op} 'click'"), cell=CELL) for op in ("=", "<>"))
+    return intervals.subtract(own, other, CELL)
 
 
 @query(f'WITH {EV}, p AS (SELECT chrom, greatest(s - 600, 0) AS s, e + 600 AS e FROM ev), {merged_sql("p", "m")} SELECT chrom, s AS "start", e AS "end" FROM m')
@@ -180,12 +184,12 @@ def label_bins_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(LABELLED + " SELECT chrom, b AS bin_start, be AS bin_end, label FROM l")
 def label_bins_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.label_bins_sweep(hours(spark, sf), spans(spark, sf).where("concept = 'purchase'"))
+    return intervals.label_bins_sweep(hours(spark, sf), spans(spark, sf).where("concept = 'purchase'"), cell=CELL)
 
 
 @query(f"WITH {EV}, {HOURS} SELECT chrom, b AS bin_start, be AS bin_end, (SELECT max(s) FROM ev WHERE ev.chrom = hours.chrom AND concept = 'purchase' AND s < be) AS last_start FROM hours")
 def as_of_join(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.as_of(hours(spark, sf), spans(spark, sf).where("concept = 'purchase'"))
+    return intervals.as_of(hours(spark, sf), spans(spark, sf).where("concept = 'purchase'"), CELL)
 
 
 RUNS = f"WITH {EV}, {HOURS}, g AS (SELECT *, coalesce(CAST(b <> lag(be) OVER (PARTITION BY chrom ORDER BY b) AS INTEGER), 1) AS new FROM hours), r AS (SELECT *, CAST(sum(new) OVER (PARTITION BY chrom ORDER BY b ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM g)"
@@ -193,7 +197,7 @@ RUNS = f"WITH {EV}, {HOURS}, g AS (SELECT *, coalesce(CAST(b <> lag(be) OVER (PA
 
 @query(RUNS + " SELECT chrom, b AS bin_start, be AS bin_end, run FROM r")
 def contiguous_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.contiguous_runs(hours(spark, sf))
+    return intervals.contiguous_runs(hours(spark, sf), cell=CELL)
 
 
 @query(f"WITH {EV}, {HOURS} SELECT chrom, b // 86400 AS block, count(*) AS n_bins FROM hours GROUP BY ALL")
@@ -246,7 +250,7 @@ def exon_bin_weights(spark: SparkSession, sf: str) -> DataFrame:
 def containment_first_window(spark: SparkSession, sf: str) -> DataFrame:
     ev = spans(spark, sf)
     points = ev.where("concept = 'purchase'").select("event_id", "chrom", F.col("start").alias("pos"))
-    return intervals.first_containing(points, intervals.pad(ev.where("concept = 'click'"), 7200), 900)
+    return intervals.first_containing(points, intervals.pad(ev.where("concept = 'click'"), 7200), 900, 14400)
 
 
 @query(LABELLED + ", d AS (SELECT chrom, min(b) AS lo, max(be) AS hi FROM hours GROUP BY chrom), g AS (SELECT chrom, unnest(range(lo, hi, 3600)) AS b FROM d) SELECT g.chrom, g.b AS bin_start, g.b + 3600 AS bin_end, coalesce(label, false) AS positive, label IS NOT NULL AS observed FROM g LEFT JOIN l ON g.chrom = l.chrom AND g.b = l.b")
@@ -338,13 +342,15 @@ def event_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(numbered.agg(value.alias("log_enrichment")).join(ci, F.lit(True)), "log_enrichment", "low", "high")
 
 
-NULLS = f"""{CHANNELS}, {ONE_HOT}, rk AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ch),
+#: Draws of a null: with ten concepts the least p has to be below .005 for a discovery at .05.
+DRAWS = 319
+NULLS = f"""{CHANNELS}, {ONE_HOT}, rk AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM ch),
 pl AS (SELECT vec_id AS id, vec_id % 5 AS run, row_number() OVER (PARTITION BY vec_id % 5 ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY vec_id % 5) AS n FROM embeddings),
-of AS (SELECT draw, run, max(n) AS n, {draw_sql("concat_ws('|', 'null', CAST(draw AS VARCHAR), CAST(run AS VARCHAR))")} % max(n) AS off FROM pl, range(0, 20) r(draw) GROUP BY draw, run),
-mv AS (SELECT draw, pl.id, p2.id AS src FROM pl JOIN of USING (run) JOIN pl p2 ON p2.run = pl.run AND p2.i = (pl.i - off + of.n) % of.n),
-dl AS (SELECT draw, mv.id, concept, y FROM mv JOIN lab ON lab.id = mv.src),
-nu AS (SELECT draw, concept, feature, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) - sum(y) AS DOUBLE) AS q, sum(CASE WHEN y = 1 THEN rk END) AS rs FROM rk JOIN dl USING (id) GROUP BY ALL),
-mx AS (SELECT draw, concept, max(greatest((rs - p * (p + 1) / 2) / (p * q), 1 - (rs - p * (p + 1) / 2) / (p * q))) AS v FROM nu GROUP BY draw, concept)"""
+of AS (SELECT draw, run, max(n) AS n, {draw_sql("concat_ws('|', 'null', CAST(draw AS VARCHAR), CAST(run AS VARCHAR))")} % max(n) AS off FROM pl, range(0, {DRAWS}) r(draw) GROUP BY draw, run),
+ps AS MATERIALIZED (SELECT draw, lab.concept, p2.id FROM lab JOIN pl USING (id) JOIN of USING (run) JOIN pl p2 ON p2.run = pl.run AND p2.i = (pl.i + off) % of.n WHERE y = 1),
+nu AS (SELECT draw, concept, feature, CAST(count(*) AS DOUBLE) AS p, (SELECT count(*) FROM pl) - CAST(count(*) AS DOUBLE) AS q, sum(rk) AS rs FROM rk JOIN ps USING (id) GROUP BY ALL),
+sc AS (SELECT draw, concept, max(greatest((rs - p * (p + 1) / 2) / (p * q), 1 - (rs - p * (p + 1) / 2) / (p * q))) AS v FROM nu GROUP BY draw, concept),
+mx AS MATERIALIZED (SELECT draw, concept, coalesce(v, 0.5) AS v FROM (SELECT DISTINCT concept FROM lab) c CROSS JOIN range(0, {DRAWS}) r(draw) LEFT JOIN sc USING (draw, concept))"""
 
 
 def _null(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,13 +358,10 @@ def _null(spark: SparkSession, sf: str) -> DataFrame:
     own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.pmod("vec_id", F.lit(5)).alias("run"))
     order = Window.partitionBy("run")
     places = own.withColumn("i", (F.row_number().over(order.orderBy("id")) - 1).cast("long")).withColumn("n", F.count("*").over(order))
-    labels = places.join(one_hot(spark, sf), "id")
-    offsets = inference.hashed_offsets(places.groupBy("run").agg(F.max("n").alias("n")), 20, "null")
-    rolled = inference.roll_labels(labels, offsets)
-    ranked = ranks.average_rank(channels(spark, sf)).select("id", "feature", "rk")
-    sums = ranked.join(rolled, "id").groupBy("draw", "concept", "feature").agg(F.sum("y").cast("double").alias("p"), F.sum(1 - F.col("y")).cast("double").alias("q"), F.sum(F.when(F.col("y") == 1, F.col("rk"))).alias("rs"))
-    area = F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))  # null for a label that no row has
-    return sums.groupBy("draw", "concept").agg(F.max(scalar.directed(area)).alias("value"))
+    labels = one_hot(spark, sf)
+    offsets = inference.hashed_offsets(places.groupBy("run").agg(F.max("n").alias("n")), DRAWS, "null")
+    positives = inference.rolled_positives(places.join(labels, "id"), places, offsets)
+    return inference.dense_null(ranks.average_rank(channels(spark, sf)), positives, labels.select("concept").distinct(), places, DRAWS)
 
 
 @query(f"WITH {NULLS} SELECT concept, CAST(draw AS INTEGER) AS draw, round(v, 6) AS value FROM mx")
@@ -377,6 +380,61 @@ def empirical_p(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found, "observed", "p", "null_p95").select("concept", "observed", "p", "null_p95")
 
 
+SHIFTED = f"""{CHANNELS}, {CODES}, rk AS MATERIALIZED (SELECT *, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS rk FROM codes), sz AS (SELECT feature, count(*) AS m FROM codes GROUP BY feature),
+bi AS (SELECT vec_id AS id, 'c' || vec_id // 128 AS chrom, vec_id % 128 * 128 AS s, label AS concept FROM embeddings),
+el AS (SELECT concept, chrom, min(s) AS s, max(s) + 128 AS e FROM (SELECT *, s - 128 * row_number() OVER (PARTITION BY concept, chrom ORDER BY s) AS g FROM bi) GROUP BY concept, chrom, g),
+doms AS (SELECT chrom, min(s) AS lo, max(s) + 128 AS hi FROM bi GROUP BY chrom),
+dr AS (SELECT chrom, lo, hi, draw, {draw_sql("concat_ws('|', 'shift', CAST(draw AS VARCHAR), chrom, CAST(lo AS VARCHAR))")} % (hi - lo) AS off FROM doms, range(0, {DRAWS}) r(draw)),
+sh AS (SELECT draw, concept, chrom, lo, hi, lo + (s - lo + off) % (hi - lo) AS a, least(e - s, hi - lo) AS w FROM el JOIN dr USING (chrom)),
+pc AS (SELECT draw, concept, chrom, a AS s, least(a + w, hi) AS e FROM sh UNION ALL SELECT draw, concept, chrom, lo, lo + a + w - hi FROM sh WHERE a + w > hi),
+ps AS MATERIALIZED (SELECT DISTINCT draw, pc.concept, id FROM pc JOIN bi ON pc.chrom = bi.chrom AND pc.s < bi.s + 128 AND pc.e > bi.s),
+np AS (SELECT draw, concept, CAST(count(*) AS DOUBLE) AS p, (SELECT count(*) FROM bi) - CAST(count(*) AS DOUBLE) AS q FROM ps GROUP BY ALL),
+hh AS (SELECT draw, concept, feature, CAST(count(*) AS DOUBLE) AS a, sum(rk) AS rs FROM ps JOIN rk USING (id) GROUP BY ALL),
+fu AS (SELECT np.draw, np.concept, p, q, m, coalesce(a, 0) AS a, coalesce(rs, 0) AS rs FROM np CROSS JOIN sz LEFT JOIN hh ON hh.draw = np.draw AND hh.concept = np.concept AND hh.feature = sz.feature WHERE q > 0),
+ar AS (SELECT draw, concept, (a * (q - m + a) + 0.5 * (p - a) * (q - m + a) + rs - a * (a + 1) / 2) / (p * q) AS v FROM fu),
+be AS MATERIALIZED (SELECT draw, concept, max(greatest(v, 1 - v)) AS v FROM ar GROUP BY ALL),
+nv AS MATERIALIZED (SELECT draw, concept, coalesce(v, 0.5) AS v FROM (SELECT DISTINCT concept FROM el) c CROSS JOIN range(0, {DRAWS}) r(draw) LEFT JOIN be USING (draw, concept))"""
+
+
+def _positional(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vectors as bins of 128 bases, 128 to a chrom; each label's neighbouring bins as its elements; and the domains."""
+    at = F.pmod("vec_id", F.lit(128)) * 128
+    bins = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("c"), F.floor(F.col("vec_id") / 128)).alias("chrom"), at.alias("bin_start"), (at + 128).alias("bin_end"), F.col("label").alias("concept"))
+    elements = intervals.merge(bins.select("concept", "chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end")), ("concept", "chrom"))
+    return bins, elements, intervals.concept_domains(bins)
+
+
+def _shifted_null(spark: SparkSession, sf: str) -> DataFrame:
+    bins, elements, domains = _positional(spark, sf)
+    positives = inference.shifted_positives(bins, elements, domains, DRAWS, "shift")
+    return inference.sparse_null(codes(spark, sf), positives, elements.select("concept").distinct(), bins, DRAWS)
+
+
+@query(f"WITH {SHIFTED} SELECT concept, CAST(draw AS INTEGER) AS draw, round(v, 6) AS value FROM nv")
+def shifted_sparse_null(spark: SparkSession, sf: str) -> DataFrame:
+    """The best feature's area for elements that slide along their domains, for every draw."""
+    return rounded(_shifted_null(spark, sf), "value").select("concept", "draw", "value")
+
+
+@query(
+    f"""WITH {SHIFTED}, la AS (SELECT concept, id, p, (SELECT count(*) FROM bi) - p AS q FROM bi JOIN (SELECT concept, CAST(count(*) AS DOUBLE) AS p FROM bi GROUP BY concept) USING (concept)),
+oh AS (SELECT concept, feature, CAST(count(*) AS DOUBLE) AS a, sum(rk) AS rs FROM la JOIN rk USING (id) GROUP BY ALL),
+oa AS (SELECT c.concept, sz.feature, (coalesce(a, 0) * (q - m + coalesce(a, 0)) + 0.5 * (p - coalesce(a, 0)) * (q - m + coalesce(a, 0)) + coalesce(rs, 0) - coalesce(a, 0) * (coalesce(a, 0) + 1) / 2) / (p * q) AS v FROM (SELECT DISTINCT concept, p, q FROM la) c CROSS JOIN sz LEFT JOIN oh ON oh.concept = c.concept AND oh.feature = sz.feature),
+ob AS (SELECT concept, max(greatest(v, 1 - v)) AS o FROM oa GROUP BY concept),
+pv AS (SELECT concept, o, (1 + count(*) FILTER (v >= o)) / (1.0 + count(*)) AS p FROM ob JOIN nv USING (concept) GROUP BY ALL),
+rn AS (SELECT *, row_number() OVER (ORDER BY p, concept) AS rank, CAST(count(*) OVER () AS DOUBLE) AS m FROM pv), kk AS (SELECT max(CASE WHEN p <= 0.05 * rank / m THEN rank END) AS k FROM rn)
+SELECT concept, round(o, 6) AS observed, round(p, 6) AS p, CAST(rank AS INTEGER) AS rank, coalesce(rank <= k, false) AS significant FROM rn, kk"""
+)
+def shifted_null_discoveries(spark: SparkSession, sf: str) -> DataFrame:
+    """Each concept's best feature against its sliding elements, with its false discovery rank."""
+    bins, _, _ = _positional(spark, sf)
+    labels = one_hot(spark, sf)
+    fired = codes(spark, sf)
+    best = ranks.best_feature(ranks.auroc_sparse(fired, labels, fired)).select("concept", F.col("best_auroc").alias("value"))
+    p = inference.empirical_p(best, _shifted_null(spark, sf), "concept").select(F.col("concept").alias("id"), F.col("value").alias("observed"), "p")
+    return rounded(inference.benjamini_hochberg(p), "observed", "p").withColumnRenamed("id", "concept")
+
+
 CL = draw_sql("concat_ws('|', 'swap', CAST(draw AS VARCHAR), CAST(cluster AS VARCHAR))")
 SITES = "st AS (SELECT * FROM (SELECT vec_id % 20 AS cluster, row_number() OVER (PARTITION BY vec_id % 20 ORDER BY vec_id) AS i, CAST(embedding[1] AS DOUBLE) AS effect, CAST(label < 5 AS INTEGER) AS y FROM embeddings) WHERE i <= (SELECT count(*) // 20 FROM embeddings))"
 
