@@ -17,6 +17,7 @@ bounded; a full one is emptied, which costs time but changes no result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -35,6 +36,18 @@ CUT_WINDOW = 16
 MAX_PIECES = 400_000
 MAX_CHUNKS = 40_000
 
+#: The normalizer and pre-tokenizer whose words may be encoded apart (fixed values of the vocabulary file); others are encoded whole.
+_WORDWISE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _BLANK = b" \t\n\r"
 #: ASCII signs at a word's end after a letter: the pre-tokenizer splits there in any case.
 _TAIL = re.compile(rb"(?<=[A-Za-z])[!-&(-/:;=?@\[-`{-~]+(?=[ \n\t\r]|$)")
@@ -65,7 +78,9 @@ class ChunkCodec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.joint = " " if self.tokenizer.decoder is None else None
+        steps = json.loads(self.tokenizer.to_str())
+        wordwise = self.tokenizer.decoder is None and all(steps[k] == v for k, v in _WORDWISE.items())
+        self.joint = " " if wordwise else None
         self.max_pieces, self.max_chunks = max_pieces, max_chunks
         self.pieces: dict[bytes, tuple[int, str, str]] = {}
         self.chunks: dict[bytes, tuple[int, str, str]] = {}
@@ -111,7 +126,7 @@ class ChunkCodec:
 
     def encode(self, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
         """Per text: number of tokens, ids in decimal and the decoded text."""
-        if self.joint is None:  # a decoder that looks across tokens: no parts to join
+        if self.joint is None:  # tokens may depend on more than a word: no parts to join
             yield from map(self._whole, texts)
             return
         plans, missing, insides_new = [], {}, {}

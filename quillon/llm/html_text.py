@@ -1,12 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. Blocks of a place that is
-never part of an article (menu, footer, advert, form, comments ...) go. Of the
-others, the first pass labels those good or bad whose length, share of stop
-words and share of characters within links say so, and leaves the rest
-undecided: short ones, and longer ones without the marks of prose. The second
-pass gives these the label of their nearest decided neighbours of the same
-region (an article, or what is outside all of them).
+The page is cut into blocks at block-level tags. The first pass labels every
+block, wherever it stands, by length, share of stop words and share of
+characters within links: good, bad, or undecided where these don't say (short
+ones, and longer ones without the marks of prose). A short block with a
+copyright sign is bad. The second pass gives the undecided ones the label of
+their nearest decided neighbours of the same region (an article, or what is
+outside all of them); one that stands before the first heading takes the
+nearest's, so that a notice between menu and heading goes with the menu.
+
+Places are a further sign. What stands in elements that are never part of an
+article (menu, footer, form ...) goes, prose too. Words of class, id and role
+(advert, sidebar, comments ...) count likewise, unless they mark all of the
+page's text: then they name the whole of it, and contents decide.
 
 What nothing speaks against stays: a page without tags, with two short
 sentences or in a language of other stop words keeps its text. All steps take
@@ -74,9 +80,10 @@ class Block:
     text: str
     link_chars: int
     within: bool  # an article
-    marked: bool  # by an element or mark that is never part of one
+    marked: bool  # by an element that is never part of one
+    named: bool  # the same by words of class, id or role
     heading: bool
-    first: str = ""  # label of the first pass: good, bad, marked, or undecided: prose, odd
+    first: str = ""  # label of the first pass: good, bad, foot (bad, but no neighbour to inherit from), or undecided: prose, odd
     label: str = ""
 
 
@@ -147,8 +154,10 @@ def _attributes(raw: str) -> dict[str, str]:
 def _marked(name: str, attributes: dict[str, str], within: bool) -> bool:
     if name in OUTSIDE or (name == "header" and not within) or "hidden" in attributes:
         return True
-    if attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
+    return attributes.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I))
+
+
+def _named(attributes: dict[str, str], within: bool) -> bool:
     for key in ("class", "id", "role"):
         for part in map(str.lower, _PART.findall(attributes.get(key, ""))):
             if part in MARKS or part.startswith(MARK_STEMS) or (part in HEADER_MARKS and not within):
@@ -157,13 +166,13 @@ def _marked(name: str, attributes: dict[str, str], within: bool) -> bool:
 
 
 @functools.lru_cache(maxsize=4096)
-def _short_place(name: str, raw: str, within: bool) -> tuple[bool, bool]:
+def _short_place(name: str, raw: str, within: bool) -> tuple[bool, bool, bool]:
     attributes = _attributes(raw)
-    return name in ("article", "main") or attributes.get("role", "").lower() == "main", _marked(name, attributes, within)
+    return name in ("article", "main") or attributes.get("role", "").lower() == "main", _marked(name, attributes, within), _named(attributes, within)
 
 
-def _place(name: str, raw: str, within: bool) -> tuple[bool, bool]:
-    """Whether an element begins an article, and whether it is marked as none of one. The same few tags come again and again."""
+def _place(name: str, raw: str, within: bool) -> tuple[bool, bool, bool]:
+    """Whether an element begins an article, and whether it is marked or named as none of one. The same few tags come again and again."""
     return _short_place(name, raw, within) if len(raw) < 256 else _short_place.__wrapped__(name, raw, within)
 
 
@@ -171,15 +180,15 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that have text, in page order."""
     found: list[Block] = []
     parts: list[str] = []
-    link_chars, links, heading, own_mark = 0, 0, False, False
-    stack: list[tuple[str, bool, bool]] = []  # name, within an article, marked
+    link_chars, links, heading, own_mark, own_name = 0, 0, False, False, False
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, within an article, marked, named
     is_open: Counter[str] = Counter()
 
     def close() -> None:
         nonlocal link_chars
         if text := " ".join("".join(parts).split()):
-            _, within, marked = stack[-1] if stack else ("", False, False)
-            found.append(Block(text, link_chars, within, marked or own_mark, heading))
+            _, within, marked, named = stack[-1] if stack else ("", False, False, False)
+            found.append(Block(text, link_chars, within, marked or own_mark, named or own_name, heading))
         parts.clear()
         link_chars = 0
 
@@ -200,7 +209,7 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif name in BLOCKS:
             close()
-            own_mark = False
+            own_mark = own_name = False
             links = 0 if name in HOLDERS else links
             if closing:
                 heading = False
@@ -212,12 +221,12 @@ def blocks(page: str) -> list[Block]:
                             break
             else:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-                within, marked = stack[-1][1:] if stack else (False, False)
-                inside, mark = _place(name, raw, within)
+                within, marked, named = stack[-1][1:] if stack else (False, False, False)
+                inside, mark, word = _place(name, raw, within)
                 if name not in HOLDERS:
-                    own_mark = mark
+                    own_mark, own_name = mark, word
                 elif not raw.endswith("/"):
-                    stack.append((name, within or inside, marked or mark))
+                    stack.append((name, within or inside, marked or mark, named or word))
                     is_open[name] += 1
     add(page[at:])
     close()
@@ -231,15 +240,14 @@ def stop_share(text: str) -> float:
 
 
 def first_pass(found: list[Block]) -> None:
-    """Labels from place, link density, length and stop-word density."""
+    """Labels from link density, length and stop-word density, whatever the place."""
     for b in found:
         n = len(b.text)
-        if b.marked:
-            b.first = "marked"
-            continue
         stop = stop_share(b.text) if n >= SHORT else 0.0  # too few words to tell otherwise
         if b.link_chars > LINKS * n:
             b.first = "bad" if n < LONG or stop < STOP_LOW else "odd"
+        elif n < LONG and "©" in b.text:
+            b.first = "foot"
         elif n >= LONG and stop >= STOP_HIGH:
             b.first = "good"
         elif stop >= STOP_LOW or (not b.link_chars and b.text.endswith(_SENTENCE_END) and any(map(str.isalpha, b.text))):
@@ -254,23 +262,29 @@ def _nearest(own: list[Block]) -> list[tuple[str, int]]:
     for b in own:
         away += 1
         out.append((label, away))
-        if b.label in ("good", "bad"):
+        if b.label in ("good", "bad") and b.first != "foot":
             label, away = b.label, 0
     return out
 
 
 def second_pass(found: list[Block]) -> None:
-    """Undecided blocks inherit from their nearest decided neighbours, within an article or outside of all."""
-    for b in found:
-        b.label = {"marked": "bad"}.get(b.first, b.first)
-    articles = any(b.within and not b.marked for b in found)
+    """Undecided blocks inherit from their nearest decided neighbours, within an article or outside of all; places outrank contents."""
+    text = ("good", "prose")
+    named = any(b.first in text and not b.marked and not b.named for b in found)  # else the words of class and id mark all there is
+    out = [b.marked or (named and b.named) for b in found]
+    for b, gone in zip(found, out, strict=True):
+        b.label = "bad" if gone or b.first == "foot" else b.first
+    inside = [b for b, gone in zip(found, out, strict=True) if not gone]
+    articles = any(b.within for b in inside)
     for within in (True, False):
-        own = [b for b in found if b.within == within and not b.marked]
+        own = [b for b in inside if b.within == within]
         if (within or not articles) and not any(b.first == "good" for b in own):
             for b in own:  # nothing stands out: what reads like prose is the text there is
                 b.label = "good" if b.first == "prose" else b.label
         before, after = _nearest(own), _nearest(own[::-1])[::-1]
+        ahead = any(b.heading for b in own)
         for b, (left, l_away), (right, r_away) in zip(own, before, after, strict=True):
+            ahead = ahead and not b.heading
             if b.label in ("good", "bad"):
                 continue
             if articles and not within:  # beside an article, prose has to stand among prose
@@ -278,7 +292,7 @@ def second_pass(found: list[Block]) -> None:
             elif b.heading and right:
                 b.label = right
             elif b.first == "prose":
-                b.label = "bad" if left == right == "bad" else "good"
+                b.label = "bad" if left == "bad" and (right == "bad" or (ahead and l_away <= r_away)) else "good"
             elif left and right:
                 b.label = left if left == right else (left if l_away < r_away else right if r_away < l_away else "good")
             else:

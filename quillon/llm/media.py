@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import slices
-from quillon.llm.common import cut_lineage, scratch
+from quillon.llm.common import cut_lineage, remove, scratch
 
 ROW = 64
 SHARD_BYTES = 64 << 20
@@ -203,10 +203,10 @@ def features(index: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
-    """Per row: id, n_bytes and the stored payload's place, header and features.
+    """Per row: id, n_bytes and the stored payload's place (folder, shard, offset, length), header and features.
 
-    folder: where the shards go (a new one in the shared folder if None); they
-    stay there, for the rows that point into them, until the caller removes it.
+    folder: where the shards go (a new one in the shared folder if None). They
+    stay there for the rows that point into them; discard(rows) removes them.
     Null and empty texts have n_bytes 0 and share one padded payload. Repeated
     rows and equal texts get equal values; ids of any type, null too, go
     through, other columns of docs, whatever their names, don't. A text of any
@@ -216,4 +216,27 @@ def media_columns(docs: DataFrame, id: str = "doc_id", text: str = "text", folde
     folder = folder or scratch(docs.sparkSession, "media")
     rows = docs.select(F.col(f"`{id}`").alias("__id"), F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")).cast("long").alias("n_bytes"), F.unhex(F.sha2(payload_of(F.col(f"`{text}`")), 256)).alias("digest"))
     found = features(describe(store(docs, folder, text), folder), folder)
-    return rows.join(found, "digest").withColumnRenamed("__id", id)
+    return rows.join(found, "digest").withColumns({id: F.col("__id"), "folder": F.lit(folder)}).drop("__id")
+
+
+def fetch(rows: DataFrame) -> DataFrame:
+    """rows of media_columns (any columns; folder, shard, offset, length) with media, the member's bytes, read by range."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[bytes] = [b""] * batch.num_rows
+            folders = batch.column("folder").to_pylist()
+            for one in sorted(set(folders)):
+                own = pa.array([i for i, f in enumerate(folders) if f == one])
+                for i, media in zip(own.to_pylist(), _ranges(one, batch.take(own)), strict=True):
+                    found[i] = media
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "media"])
+
+    rows = rows.drop("media")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(work, f"{schema}, media binary")
+
+
+def discard(rows: DataFrame) -> None:
+    """Removes the shards that rows of media_columns point to; the rows' other columns stay of use."""
+    for r in rows.select("folder").distinct().collect():  # one a run of media_columns
+        remove(rows.sparkSession, r["folder"])

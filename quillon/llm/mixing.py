@@ -13,8 +13,6 @@ salt. A source's table of counts has one row for each different size.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +21,8 @@ from quillon.llm.common import cut_lineage, word_count
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
-SALTS = 8
-ROWS_A_SALT = 1_000_000
+#: Parts of a source's documents of one size, by hash; as many at every size of the input.
+SALTS = 1024
 #: Random offsets drawn for each source; the one whose words come nearest to the target is taken.
 OFFSETS = 16
 
@@ -72,8 +70,7 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     """
     sized = docs.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"), *[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)])
     sized = cut_lineage(sized)
-    salts = max(SALTS, math.ceil(sized.count() / ROWS_A_SALT))
-    sized = sized.select("*", F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), F.col("size").alias("__class"), salt_of(F.col("__id"), salts).alias("__salt"))
+    sized = sized.select("*", F.coalesce("source", F.lit("")).alias("__s"), F.col("source").isNull().alias("__none"), F.col("size").alias("__class"), salt_of(F.col("__id"), SALTS).alias("__salt"))
     of_source, of_class = ["__s", "__none"], ["__s", "__none", "__class"]
     by_salt = sized.groupBy(*of_class, "__salt").agg(F.count("*").alias("n"))
     by_class = sized.groupBy(*of_class).agg(F.count("*").alias("n"), F.sum("size").alias("words"))

@@ -58,7 +58,7 @@ _COPIES = "CAST(least(greatest(floor(pos * rate + off) - floor((pos - 1) * rate
 
 OP10 = f"""WITH {WORDS},
 d AS (SELECT doc_id, source, len(ws) AS size FROM w),
-k AS (SELECT *, size AS cl, {_SALT("coalesce(CAST(doc_id AS VARCHAR), '')", f"(SELECT greatest({mixing.SALTS}, CAST(ceil(count(*) / {float(mixing.ROWS_A_SALT)}) AS BIGINT)) FROM documents)")} AS salt FROM d),
+k AS (SELECT *, size AS cl, {_SALT("coalesce(CAST(doc_id AS VARCHAR), '')", mixing.SALTS)} AS salt FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cl, salt, doc_id, size) AS pos FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 g AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS wt FROM s),

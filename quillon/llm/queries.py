@@ -38,7 +38,7 @@ def op5_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.media_columns(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bits")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height", "bits", "folder", "shard", "offset")
 
 
 def op7_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 """The queries themselves over the test tables, against their SQL or against plain Python."""
 
 import hashlib
+import re
+from collections import Counter
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -55,18 +58,156 @@ def test_media_query_equals_direct_values(spark, documents):
         assert r["media_sha256"] == hashlib.sha256(media.to_png(payload)).hexdigest() and r["feature"] == media.feature(payload)
 
 
-def test_page_query_and_what_its_passes_decide(spark):
-    found = queries.op4_html_text(spark, str(TABLES)).collect()
+def test_media_rows_say_where_payloads_are(spark, documents):
+    rows = queries.op6_media_shards(spark, str(TABLES)).withColumnRenamed("media_bytes", "length")
+    found = media.fetch(rows.limit(40)).collect()
+    assert len(found) == 40
+    for r in found:
+        assert hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] and media.from_png(r["media"]).startswith((documents[r["doc_id"]] or "").encode())
+    folder = Path(found[0]["folder"].removeprefix("file:"))
+    assert folder.exists()
+    media.discard(rows)
+    assert not folder.exists()
+
+
+def stripped(page):
+    """The page without classes, ids and roles, and with nothing but div where elements name places."""
+    page = re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+    return re.sub(r"<(/?)(article|nav|header|footer|aside|main)\b", r"<\1div", page)
+
+
+class PlainPage(HTMLParser):
+    """Blocks of a page by the standard library's parser: [text, link characters, in an article, out by its place, heading]."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.linked, self.links, self.stack, self.raw, self.heading = [], "", 0, 0, [], 0, False
+        self.feed(page)
+        self.close()
+        self.cut()
+
+    def cut(self):
+        if text := " ".join(self.text.split()):
+            self.blocks.append([text, self.linked, any(t in ("article", "main") for t, _ in self.stack), any(out for _, out in self.stack), self.heading])
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.RAW | html_text.EMBEDDED:
+            self.raw += 1
+        elif tag == "a":
+            self.links = 1
+        elif tag == "br":
+            self.text += " "
+        elif tag in html_text.BLOCKS:
+            self.cut()
+            self.heading = bool(re.fullmatch("h[1-6]", tag))
+            if tag in html_text.HOLDERS:
+                self.links = 0
+                words = [w.lower() for k, v in attrs if k in ("class", "id", "role") for w in re.findall("[A-Z]?[a-z]+|[A-Z]+|[0-9]+", v or "")]
+                within = any(t in ("article", "main") for t, _ in self.stack)
+                out = tag in html_text.OUTSIDE or (tag == "header" and not within) or any(w in html_text.MARKS or w.startswith(html_text.MARK_STEMS) or (not within and w in html_text.HEADER_MARKS) for w in words)
+                self.stack.append((tag, out))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.RAW | html_text.EMBEDDED:
+            self.raw -= 1
+        elif tag == "a":
+            self.links = 0
+        elif tag in html_text.BLOCKS:
+            self.cut()
+            self.heading = False
+            if tag in html_text.HOLDERS and tag in [t for t, _ in self.stack]:
+                self.links = 0
+                while self.stack.pop()[0] != tag:
+                    pass
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.text += data
+            self.linked += len(data) * self.links
+
+
+def plain_text(page):
+    """The two passes over PlainPage's blocks, each neighbour looked for anew. True: good, False: bad, else undecided."""
+    own, label = PlainPage(page).blocks, []
+    for text, linked, *_ in own:
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        stop = sum(w in html_text.STOP_WORDS for w in words) / max(1, len(words)) if len(text) >= 70 else 0
+        if linked > len(text) / 2:
+            label.append(False if len(text) < 140 or stop < 0.1 else "odd")
+        elif len(text) < 140 and "©" in text:
+            label.append(None)
+        elif len(text) >= 140 and stop >= 0.25:
+            label.append(True)
+        else:
+            label.append("prose" if stop >= 0.1 or (not linked and text.endswith(html_text._SENTENCE_END) and re.search(r"[^\W\d_]", text)) else "odd")
+    keep = [i for i, b in enumerate(own) if not b[3]]
+    articles = any(own[i][2] for i in keep)
+    good = {}
+    for within in (True, False):
+        part = [i for i in keep if own[i][2] == within]
+        alone = (within or not articles) and not any(label[i] is True for i in part)
+        first = {i: True if alone and label[i] == "prose" else label[i] for i in part}
+        headings = [i for i in part if own[i][4]]
+        for k, i in enumerate(part):
+            if not isinstance(first[i], str):
+                good[i] = bool(first[i])
+                continue
+            left = next(((first[j], k - n) for n, j in reversed(list(enumerate(part[:k]))) if first[j] in (True, False) and not isinstance(first[j], str)), (None, 0))
+            right = next(((first[j], n + 1) for n, j in enumerate(part[k + 1 :]) if first[j] in (True, False) and not isinstance(first[j], str)), (None, 0))
+            early = bool(headings) and i < headings[0]
+            if articles and not within:
+                good[i] = left[0] is True and right[0] is True
+            elif own[i][4] and right[0] is not None:
+                good[i] = right[0]
+            elif label[i] == "prose":
+                good[i] = not (left[0] is False and (right[0] is False or (early and (left[1] <= right[1]))))
+            elif left[0] is not None and right[0] is not None:
+                good[i] = left[0] if left[0] == right[0] else left[0] if left[1] < right[1] else right[0] if right[1] < left[1] else True
+            else:
+                good[i] = next((x for x in (left[0], right[0]) if x is not None), True)
+    return "\n\n".join(b[0] for i, b in enumerate(own) if good.get(i))
+
+
+def test_pages_equal_a_plain_reading(spark):
+    """The query against a parser and rules of its own, on the pages as given and without what names places."""
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{TABLES}/pages.parquet").collect()}
-    assert len(found) == len(pages) and all(r["text"] == html_text.main_text(pages[r["page_id"]]) and r["n_chars"] == len(r["text"]) for r in found)
-    passes = [b.first for p in pages.values() for b in _first(p)]
-    assert passes.count("good") > 10 and passes.count("prose") + passes.count("odd") > 10
-
-
-def _first(page):
-    found = html_text.blocks(page or "")
-    html_text.first_pass(found)
-    return found
+    found = queries.op4_html_text(spark, str(TABLES)).collect()
+    assert len(found) == len(pages)
+    for r in found:
+        assert r["text"] == plain_text(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+    for page in pages.values():
+        assert html_text.main_text(stripped(page)) == plain_text(stripped(page))
+
+
+def test_passes_decide_where_no_place_is_named(spark):
+    """Contents alone find the text that places name: precision .95 and recall .999 of blocks, where keeping all has far less."""
+    pages = [r["html"] for r in spark.read.parquet(str(TABLES.parent / "sf0.01" / "pages.parquet")).collect()]
+    kept = right = wanted = every = outside = by_content = 0
+    for page in pages:
+        want = Counter(html_text.main_text(page).split("\n\n"))
+        bare = html_text.blocks(stripped(page))
+        html_text.first_pass(bare)
+        html_text.second_pass(bare)
+        every += len(bare)
+        wanted += want.total()
+        good = Counter(b.text for b in bare if b.label == "good")
+        kept += good.total()
+        right += (good & want).total()
+        for b in html_text.blocks(page):
+            if b.marked or b.named:
+                html_text.first_pass([b])
+                outside += 1
+                by_content += b.first in ("bad", "foot")
+    assert right / kept >= 0.95 and right / wanted >= 0.999 and wanted / every < 0.7
+    assert by_content / outside > 0.8  # of the blocks in places that are never part of an article
+
+
+def test_a_name_that_marks_all_text_says_nothing():
+    prose = "This is a long sentence that the reader of an article would find here, and it has all of the words that such a text is made of."
+    page = f"<div class='page sidebar-left'><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul><h1>Title</h1><p>{prose} {prose}</p></div>"
+    assert html_text.main_text(page) == f"Title\n\n{prose} {prose}"
+    assert html_text.main_text(page + f"<p>{prose} {prose}</p>") == f"{prose} {prose}"
 
 
 def test_hosts_decide_documents(spark):

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -159,3 +160,16 @@ def test_stages_on_odd_tables(spark, tables, tmp_path):
     full.where("false").write.parquet(f"{bare}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").where("false").write.parquet(f"{bare}/labels.parquet")
     assert corpus_pipeline.run(spark, bare).collect() == []
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path):
+    """A vocabulary that keeps letter case gets the library's ids too."""
+    steps = json.loads(Tokenizer.from_file(WORD_VOCABULARY).to_str())
+    steps["normalizer"] = {"type": "NFC"}
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(steps))
+    text = "Upper CASE Words, e.g. U.S. and more  spaces\n" * 300
+    library = Tokenizer.from_file(str(path))
+    e = library.encode(text, add_special_tokens=False)
+    (n, ids, decoded), = bpe.ChunkCodec(str(path)).encode([text.encode()])
+    assert (n, ids, decoded) == (len(e.ids), " ".join(map(str, e.ids)), library.decode(e.ids, skip_special_tokens=False))
