@@ -6,7 +6,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from quillon.plans.queries import QUERIES
+from quillon.plans.cohorts import QUERIES
 
 
 def main(args: list[str]) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,12 +30,30 @@ def reverse_complement(sequence: Column) -> Column:
     return F.translate(F.reverse(sequence), "ACGTNacgtn", "TGCANtgcan")
 
 
-def mutate_anchor(sequence: Column, start: Column, width: Column, seed: Column) -> Column:
-    """sequence whose part [start, start + width) is turned by an offset drawn from seed."""
+def mutate_anchor(sequence: Column, start: Column, width: Column, seed: Column, tries: int = 10) -> Column:
+    """sequence whose part [start, start + width) has its letters in another order, drawn from seed.
+
+    The first of some drawn orders that reads differently is taken, else the
+    first turn of the part that does; null where all letters of the part are
+    the same, or there is none.
+    """
     part = F.substring(sequence, start + 1, width)
-    turn = F.pmod(draw(seed), F.greatest(width - 1, F.lit(1))) + 1
-    turned = F.concat(F.substring(part, turn.cast("int") + 1, width), F.substring(part, F.lit(1), turn.cast("int")))
-    return F.overlay(sequence, turned, start + 1)
+    letters = F.filter(F.split(part, ""), lambda x: x != "")
+
+    def order(k: Column) -> Column:
+        keyed = F.transform(letters, lambda x, i: F.struct(draw(seed, k, i).alias("key"), i.alias("i"), x.alias("x")))
+        return F.array_join(F.transform(F.array_sort(keyed), lambda x: x["x"]), "")
+
+    turn = lambda k: F.concat(F.substring(part, k + 1, F.length(part)), F.substring(part, F.lit(1), k))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), order)
+    turned = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part) - 1, F.lit(1))), turn)
+    other = F.get(F.filter(F.concat(drawn, turned), lambda x: x != part), F.lit(0))
+    return F.concat(F.substring(sequence, F.lit(1), start), other, F.substring(sequence, start + width + 1, F.length(sequence)))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,26 +69,75 @@ def consensus(weights: DataFrame) -> DataFrame:
     return best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
 
 
-def scan_motif(sequences: DataFrame, scores: DataFrame, width: int, ratio: float = 0.8) -> DataFrame:
-    """Places of sequences (id, sequence) where either strand scores ratio of the motif's maximum or more.
+def _pieces(sequences: DataFrame, width: int, size: int) -> DataFrame:
+    """(id, at, bases) of (id, sequence): pieces of size places with what their last windows need of the next."""
+    parts = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut = sequences.where(F.length("sequence") >= width).select("id", parts.alias("p"))
+    longer = F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.substring(F.get("p", i + 1), 1, width - 1), F.lit(""))))
+    return cut.select("id", F.posexplode(longer).alias("i", "bases")).select("id", (F.col("i").cast("long") * size).alias("at"), "bases")
+
+
+def scan_motif(sequences: DataFrame, scores: DataFrame, width: int, ratio: float = 0.8, threshold: float | None = None, piece: int = 1 << 16) -> DataFrame:
+    """Places of sequences (id, sequence) where either strand scores ratio of the motif's maximum (or threshold) or more.
 
-    A motif is a small literal array: its rows become one column expression,
-    so that the scan is a single pass without a join.
+    Result: id, start, end, strand, score, window. Windows with other letters
+    than A, C, G and T score nowhere; letters of either case count. A piece of a
+    sequence is a row; its letters become numbers and its places' scores one
+    array, position by position of the motif. Places that can't reach the
+    threshold with the best of what is left are dropped on the way, and only
+    hits leave the scan. A motif is a small table: width rows of four scores.
     """
-    table = [{b: 0.0 for b in BASES} for _ in range(width)]
+    table = np.zeros((width, 5))
     for row in scores.collect():  # width * 4 rows
-        table[row["pos"]][row["base"]] = row["score"]
-    most = sum(max(t.values()) for t in table)
-    pair = {"A": "T", "C": "G", "G": "C", "T": "A"}
-    back = [{b: table[width - 1 - i][pair[b]] for b in BASES} for i in range(width)]
-    windows = sequence_windows(sequences, width, 1).where(~F.col("window").rlike("[^ACGT]"))
-
-    def total(rows: list[dict[str, float]]):
-        out = F.lit(0.0)
-        for i, r in enumerate(rows):
-            letter = F.substring("window", i + 1, 1)
-            out = out + F.when(letter == "A", r["A"]).when(letter == "C", r["C"]).when(letter == "G", r["G"]).otherwise(r["T"])
-        return out
-
-    both = windows.select("id", "start", "window", F.explode(F.array(F.struct(F.lit("+").alias("strand"), total(table).alias("score")), F.struct(F.lit("-").alias("strand"), total(back).alias("score")))).alias("h"))
-    return both.where(F.col("h.score") >= most * ratio).select("id", "start", (F.col("start") + width).alias("end"), "h.strand", "h.score", "window")
+        table[row["pos"], BASES.index(row["base"])] = row["score"]
+    most = float(table[:, :4].max(axis=1).sum())
+    least = most * ratio if threshold is None else threshold
+    flip = table[::-1][:, [3, 2, 1, 0, 4]]
+    code = np.full(256, 4, dtype=np.uint8)
+    for i, b in enumerate(BASES):
+        code[[ord(b), ord(b.lower())]] = i
+
+    def strand(codes: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rest = np.append(np.cumsum(t[::-1, :4].max(axis=1))[::-1][1:], 0.0) + 1e-9
+        at = np.arange(len(codes) - width + 1)
+        total = np.zeros(len(at))
+        for j in range(width):
+            letter = codes[at + j]
+            total = total + t[j][letter]
+            go = (letter < 4) & (total + rest[j] >= least)
+            at, total = at[go], total[go]
+        hit = total >= least
+        return at[hit], total[hit]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, start, sign, score, window = [], [], [], [], []
+            for i, (at, bases) in enumerate(zip(batch.column("at").to_pylist(), batch.column("bases").to_pylist(), strict=True)):
+                if len(bases) < width:
+                    continue
+                letters = bases.upper()
+                codes = code[np.frombuffer(letters.encode("ascii", "replace"), dtype=np.uint8)]
+                for name, t in (("+", table), ("-", flip)):
+                    found, value = strand(codes, t)
+                    rows += [i] * len(found)
+                    start += (found + at).tolist()
+                    sign += [name] * len(found)
+                    score += value.tolist()
+                    window += [letters[x : x + width] for x in found.tolist()]
+            begin = np.array(start, dtype=np.int64)
+            columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(begin), pa.array(begin + width), pa.array(sign, pa.string()), pa.array(score, pa.float64()), pa.array(window, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "end", "strand", "score", "window"])
+
+    kind = sequences.schema["id"].dataType.simpleString()
+    return _pieces(sequences, width, piece).mapInArrow(work, f"id {kind}, start long, end long, strand string, score double, window string")
+
+
+def in_scan_order(hits: DataFrame) -> DataFrame:
+    """Hits by sequence, start, and falling score."""
+    return hits.orderBy("id", "start", F.desc("score"), "strand")
+
+
+def best_hits(hits: DataFrame) -> DataFrame:
+    """Each sequence's hit of the largest score, the first of equals (forward strand first)."""
+    best = F.max(F.struct("score", (-F.col("start")).alias("s"), (F.col("strand") == "+").alias("plus"), "end", "strand", "window")).alias("h")
+    return hits.groupBy("id").agg(best).select("id", (-F.col("h.s")).alias("start"), "h.end", "h.strand", "h.score", "h.window")

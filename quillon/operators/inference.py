@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import directed, draw
@@ -162,57 +161,94 @@ def wilcoxon_w(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return tied.groupBy(*keys).agg(F.sum("n").alias("n"), F.least(up, down).alias("w"), F.sum(t * t * t - t).alias("ties"))
 
 
-def wilcoxon_p(n: int, w: float, ties: float = 0.0) -> float:
-    """Two-sided p of the signed rank sum: exact up to 50 pairs without ties, normal otherwise."""
-    if n == 0:
-        return 1.0
-    if ties == 0 and n <= 50:
-        counts = [1]
-        for k in range(1, n + 1):
-            counts = [(counts[i] if i < len(counts) else 0) + (counts[i - k] if 0 <= i - k < len(counts) else 0) for i in range(len(counts) + k)]
-        return min(1.0, 2 * sum(counts[: int(math.floor(w)) + 1]) / 2**n)
-    mean, spread = n * (n + 1) / 4, math.sqrt(max(n * (n + 1) * (2 * n + 1) / 24 - ties / 48, 0.0))
-    return 1.0 if spread == 0 else math.erfc(abs(w - mean) / spread / math.sqrt(2))
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """The continued fraction of the incomplete beta function, by Lentz's method."""
-    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 + term * d, 1 + term / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
-
-
-def student_p(t: float | None, n: int) -> float:
-    """Two-sided p of a one-sample t statistic with n - 1 degrees of freedom."""
-    if t is None or n < 2:
-        return 1.0
-    if math.isinf(t):
-        return 0.0
-    df = n - 1
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) if 0 < x < 1 else 0.0
-    if x <= 0 or x >= 1:
-        return 1.0 if x >= 1 else 0.0
-    return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
-def with_p_values(stats: DataFrame, rows: str = "n", t: str = "t", w: str = "w", ties: str = "ties") -> DataFrame:
-    """stats with t_p and w_p; as many rows as groups, in Arrow batches."""
-    @F.pandas_udf("double")
-    def of_t(t: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([student_p(None if pd.isna(a) else a, int(b)) for a, b in zip(t, n, strict=True)])
-
-    @F.pandas_udf("double")
-    def of_w(n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([wilcoxon_p(int(a), b, c) if pd.notna(b) else 1.0 for a, b, c in zip(n.fillna(0), w, ties, strict=True)])
-
-    return stats.withColumn("t_p", of_t(t, rows)).withColumn("w_p", of_w(F.col("w_n"), w, ties))
+def erfc(x: Column) -> Column:
+    """1 less the error function, for x of 0 or more: a series up to 2, a continued fraction above."""
+    square = x * x
+    begin = F.struct(x.alias("term"), x.alias("sum"))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * 2 * square / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = 1 - F.aggregate(F.sequence(F.lit(1), F.lit(60)), begin, add, lambda s: s["sum"]) * F.exp(-square) * (2 / math.sqrt(math.pi))
+    fraction = F.aggregate(F.sequence(F.lit(80), F.lit(1)), F.lit(0.0), lambda t, k: k / 2 / (x + t), lambda t: F.exp(-square) / (x + t) / math.sqrt(math.pi))
+    return F.when(x <= 2, series).otherwise(fraction)
+
+
+def _log_gamma_step(a: Column) -> Column:
+    """log of gamma(a + 1/2) / gamma(a): an asymptotic series sixteen steps further on, and the steps back."""
+    b = a + 16
+    far = F.log(b) / 2 - 1 / (8 * b) + 1 / (192 * F.pow(b, F.lit(3))) - 1 / (640 * F.pow(b, F.lit(5))) + 17 / (14336 * F.pow(b, F.lit(7)))
+    for i in range(16):
+        far = far + F.log((a + i) / (a + (i + 0.5)))
+    return far
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """The continued fraction of the incomplete beta function, by Lentz's method; as many steps as the larger argument needs."""
+    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    first = 1 / safe(1 - (a + b) * x / (a + 1))
+
+    def step(s: Column, m: Column) -> Column:
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        d = 1 / safe(1 + even * s["d"])
+        c = safe(1 + even / s["c"])
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d2, c2 = 1 / safe(1 + odd * d), safe(1 + odd / c)
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d * c * d2 * c2).alias("h"))
+
+    steps = F.sequence(F.lit(1), (60 + 3 * F.sqrt(F.greatest(a, b))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda s: s["h"])
+
+
+def student_p(t: Column, n: Column) -> Column:
+    """Two-sided p of a one-sample t statistic with n - 1 degrees of freedom; 1 for a null t or fewer than two rows, 0 for an infinite t."""
+    df = (n - 1).cast("double")
+    a, half = F.greatest(df, F.lit(1.0)) / 2, F.lit(0.5)
+    x = df / (df + t * t)
+    front = F.exp(_log_gamma_step(a) - 0.5 * math.log(math.pi) + a * F.log(x) + F.log1p(-x) / 2)
+    inner = F.when(x < (a + 1) / (a + 2.5), front * _beta_fraction(a, half, x) / a).otherwise(1 - front * _beta_fraction(half, a, 1 - x) / 0.5)
+    p = F.when(x >= 1, 1.0).when(x <= 0, 0.0).otherwise(inner)
+    return F.when(t.isNull() | (n < 2), 1.0).when(F.abs(t) == float("inf"), 0.0).otherwise(p)
+
+
+#: Pairs up to which signed ranks without ties have their exact distribution.
+EXACT = 50
+
+
+def signed_rank_table(rows: DataFrame) -> DataFrame:
+    """(n, below): for 1 to EXACT pairs, how likely a signed rank sum of 0, 1, ... or less is. rows: any frame of the session."""
+    n = rows.sparkSession.range(1, EXACT + 1).select(F.col("id").alias("n"))
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(0.0))
+
+    def longer(c: Column, k: Column) -> Column:  # how many subsets of 1..k have each sum
+        return F.transform(F.sequence(F.lit(0), F.size(c) + k - 1), lambda i: at(c, i) + at(c, i - k))
+
+    counts = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.array(F.lit(1.0)), longer)
+    share = n.select("n", F.posexplode(F.transform(counts, lambda c: c / F.pow(F.lit(2.0), F.col("n")))).alias("w", "share"))
+    summed = share.withColumn("below", F.sum("share").over(Window.partitionBy("n").orderBy("w")))
+    return summed.groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "below"))), lambda s: s["below"]).alias("below"))
+
+
+def with_p_values(stats: DataFrame, rows: str = "n", t: str = "t", pairs: str = "w_n", w: str = "w", ties: str = "ties") -> DataFrame:
+    """stats with t_p and w_p, both two-sided.
+
+    w_p: exact up to EXACT pairs without ties, by a table of EXACT rows; the
+    normal approximation with tie correction otherwise; 1 without pairs.
+    """
+    n, w_, tied = F.col(pairs).cast("double"), F.col(w), F.coalesce(F.col(ties), F.lit(0.0))
+    table = signed_rank_table(stats).select(F.col("n").alias("__n"), "below")  # EXACT rows
+    joined = stats.join(F.broadcast(table), F.col(pairs).cast("long") == F.col("__n"), "left")
+    exact = F.least(F.lit(1.0), 2 * F.get("below", F.floor(w_).cast("int")))
+    spread = F.sqrt(F.greatest(n * (n + 1) * (2 * n + 1) / 24 - tied / 48, F.lit(0.0)))
+    normal = F.when(spread == 0, 1.0).otherwise(erfc(F.abs(w_ - n * (n + 1) / 4) / spread / math.sqrt(2)))
+    p = F.when(F.coalesce(n, F.lit(0.0)) == 0, 1.0).when((n <= EXACT) & (tied == 0), exact).otherwise(normal)
+    return joined.withColumn("t_p", student_p(F.col(t), F.col(rows))).withColumn("w_p", p).drop("__n", "below")
+
+
+def paired_tests(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Per keys of (keys, delta): paired_stats, w, w_n (pairs that aren't zero), t_p and w_p; w is 0 where no pair is left."""
+    signed = wilcoxon_w(deltas, keys).withColumnRenamed("n", "w_n")
+    both = same(paired_stats(deltas, keys), signed, list(keys), "left")
+    tested = with_p_values(both)
+    return tested.withColumns({"w": F.coalesce("w", F.lit(0.0)), "w_n": F.coalesce("w_n", F.lit(0))}).drop("ties")

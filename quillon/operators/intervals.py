@@ -269,6 +269,38 @@ def shuffle_within(spans: DataFrame, seed: str) -> DataFrame:
     return spans.where(room >= 0).select("chrom", at.alias("start"), (at + F.col("end") - F.col("start")).alias("end"))
 
 
+def shuffle_avoiding(spans: DataFrame, sizes: DataFrame, exclude: DataFrame, seed: str, strict: bool = True) -> DataFrame:
+    """Each span (chrom, start, end) at a free place of its chrom (chrom, size), drawn by hash among all places.
+
+    A place is free if no excluded interval (chrom, start, end) overlaps it. The
+    places of each length are counted over the gaps between excluded parts, a
+    draw is a place's number, and the last gap that begins at or before it has
+    the place: no tries, and one order for gaps and draws together. Spans for
+    which nothing is free, or whose chrom has no size, fail (strict) or have a
+    null start. Result: chrom, old_start, old_end, start, end.
+    """
+    from quillon.functions.scalar import draw
+
+    whole = sizes.where("size > 0").select("chrom", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
+    free = subtract(whole, merge(exclude.select("chrom", F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end")).where("end > start"), validate=False))
+    own = spans.select("chrom", F.col("start").cast("long").alias("old_start"), F.col("end").cast("long").alias("old_end"), (F.col("end") - F.col("start")).cast("long").alias("length"))
+    lengths = own.select("chrom", "length").distinct()
+    gaps = lengths.join(free, "chrom").withColumn("places", F.col("end") - F.col("start") - F.col("length") + 1).where("places > 0")
+    order = Window.partitionBy("chrom", "length").orderBy("start")
+    gaps = gaps.withColumn("first", F.coalesce(F.sum("places").over(order.rowsBetween(*BEFORE)), F.lit(0)))
+    total = gaps.groupBy("chrom", "length").agg(F.sum("places").alias("total"))
+    asked = own.join(total, ["chrom", "length"], "left").withColumn("at", F.pmod(draw(F.lit(seed), F.col("chrom"), F.col("old_start"), F.col("old_end")) * (1 << 20) + draw(F.lit(f"{seed}+"), F.col("chrom"), F.col("old_start"), F.col("old_end")), F.col("total")))
+    none = F.lit(None).cast("long")
+    both = gaps.select("chrom", "length", F.col("first").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("first"), F.col("start").alias("gap")).alias("g"), none.alias("old_start"), none.alias("old_end")).unionByName(
+        asked.select("chrom", "length", "at", F.lit(1).alias("kind"), F.lit(None).cast("struct<first:long,gap:long>").alias("g"), "old_start", "old_end")
+    )
+    placed = both.withColumn("g", F.max("g").over(Window.partitionBy("chrom", "length").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))).where("kind = 1")
+    start = F.when(F.col("at").isNotNull(), F.col("g.gap") + F.col("at") - F.col("g.first"))
+    if strict:
+        start = F.coalesce(start, F.raise_error(F.concat(F.lit("no free place on "), F.col("chrom"))).cast("long"))
+    return placed.select("chrom", "old_start", "old_end", start.alias("start"), (start + F.col("length")).alias("end"))
+
+
 def n_runs(sequences: DataFrame, least: int, letter: str = "N") -> DataFrame:
     """Runs of a letter of at least `least` in sequences (chrom, offset, sequence), joined across pieces."""
     parts = F.split("sequence", f"(?i){letter}+", -1)

@@ -14,15 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.validators import check, content_hash
+from quillon.operators.validators import check, content_hash, row_text, text_hash
 
 KEYS = ["tap", "split", "shard"]
 
 
-def shard_index(rows: DataFrame) -> DataFrame:
-    """Per shard: rows, different coordinates and an order-free hash of the coordinates."""
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", "chrom", F.col("bin_start").cast("string"))), 1, 8), 16, 10).cast("long")
-    return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(part).alias("hash"))
+def shard_index(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Per shard: rows, and an order-free hash of their values, vectors included (or of columns alone)."""
+    own = columns or [c for c in rows.columns if c not in KEYS]
+    return rows.groupBy(*KEYS).agg(F.count("*").alias("n"), text_hash(row_text(rows, own)).alias("hash"))
 
 
 def write_store(rows: DataFrame, path: str, identity: str) -> None:
@@ -32,14 +32,16 @@ def write_store(rows: DataFrame, path: str, identity: str) -> None:
     fails. Shards are whole partitions: a rewritten one replaces itself.
     """
     spark = rows.sparkSession
-    rest = rows
+    rest, index = rows, None
     if exists(spark, f"{path}/index"):
         index = spark.read.parquet(f"{path}/index")
         if other := index.where(F.col("identity") != identity).limit(1).count():
             raise ValueError(f"the store belongs to another run: {other}")
         rest = rows.join(F.broadcast(index.select(*KEYS)), KEYS, "left_anti")  # one row a shard
     rest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{path}/activations")
-    done = shard_index(rest).withColumn("identity", F.lit(identity))
+    # The index is of what was written, not of a second run of its source.
+    written = spark.read.parquet(f"{path}/activations").join(F.broadcast(index.select(*KEYS)), KEYS, "left_anti") if index is not None else spark.read.parquet(f"{path}/activations")
+    done = shard_index(written).withColumn("identity", F.lit(identity))
     done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(f"{path}/index")
 
 
@@ -72,11 +74,32 @@ def take(store: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(store, "row_id", "left")
 
 
-def batches(store: DataFrame, column: str = "vec") -> Iterator[pa.Table]:
-    """A sequential pass over a store on the driver, one partition after the other."""
-    names = ["row_id", column]
-    for row in store.select(*names).toLocalIterator(prefetchPartitions=True):
-        yield pa.table({n: [row[n]] for n in names})
+def batches(store: DataFrame, size: int, columns: tuple[str, ...] = ("row_id", "vec")) -> Iterator[pa.Table]:
+    """A sequential pass over a store on the driver: tables of size rows, the last one of the rest.
+
+    Partitions come one after the other, as Arrow streams of at most size rows.
+    """
+
+    def packed(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in given:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+
+    held: list[pa.Table] = []
+    rows = 0
+    for r in store.select(*columns).mapInArrow(packed, "stream binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(r["stream"]).read_all())
+        rows += held[-1].num_rows
+        while rows >= size:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, size)
+            held, rows = [whole.slice(size)], rows - size
+    if rows:
+        yield pa.concat_tables(held)
 
 
 def window_coordinates(store: DataFrame, chrom: str, win_start: int) -> DataFrame:

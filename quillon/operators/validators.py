@@ -170,14 +170,28 @@ def melt(frame: DataFrame, id: str, concepts: list[str]) -> DataFrame:
     return frame.select(F.col(id).alias("id"), F.explode(pairs).alias("p")).select("id", "p.concept", "p.y")
 
 
+def row_text(frame: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row's values as one text from which they can be told: each with its length, null apart, by column name."""
+    parts = []
+    for c in sorted(columns or frame.columns):
+        kind = frame.schema[c].dataType.typeName()
+        value = F.to_json(F.struct(F.col(f"`{c}`"))) if kind in ("array", "map", "struct") else F.col(f"`{c}`").cast("string")
+        parts.append(F.when(F.col(f"`{c}`").isNull(), F.lit("-")).otherwise(F.concat(F.length(value).cast("string"), F.lit(":"), value)))
+    return F.concat(*parts)
+
+
+def text_hash(text: Column) -> Column:
+    """An aggregate over rows, whatever their order: the sums of two 60-bit halves of their MD5, as text."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(text), at, 15), 16, 10).cast("decimal(20,0)"))
+    return F.concat_ws("/", F.coalesce(half(1), F.lit(0)).cast("string"), F.coalesce(half(16), F.lit(0)).cast("string"))
+
+
 def content_hash(frame: DataFrame) -> DataFrame:
-    """(n, hash) of a table whatever its order: the number of rows and the sum of 32-bit hashes of their JSON-free text."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("null")) for c in sorted(frame.columns)])
-    part = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-    return frame.agg(F.count("*").alias("n"), F.coalesce(F.sum(part), F.lit(0).cast("long")).alias("hash"))
+    """(n, hash) of a table whatever its order: the number of rows, and text_hash of their values."""
+    return frame.agg(F.count("*").alias("n"), text_hash(row_text(frame)).alias("hash"))
 
 
-def check_frozen(frame: DataFrame, n: int, hash: int) -> DataFrame:
+def check_frozen(frame: DataFrame, n: int, hash: str) -> DataFrame:
     """frame, if it is what was frozen."""
     row = content_hash(frame).first()
     if (row["n"], row["hash"]) != (n, hash):

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.scalar import let
 
 
 def topk_codes(frame: DataFrame, id: str, vector: str, k: int) -> DataFrame:
@@ -82,22 +83,24 @@ def intervention_norms(delta: DataFrame) -> DataFrame:
     return delta.select("site", F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)).alias("l2"))
 
 
-def encode_topk(frame: DataFrame, vector: str, w: np.ndarray, bias: np.ndarray, pre: np.ndarray, k: int, scale: np.ndarray | None = None, layernorm: bool = False) -> DataFrame:
+def encode_topk(frame: DataFrame, vector: str, w: np.ndarray, bias: np.ndarray, pre: np.ndarray, k: int, scale: np.ndarray | None = None, layernorm: bool = False, exact: bool = False) -> DataFrame:
     """frame without vector, with features and values: scale, layer norm, affine map, k largest, positive ones.
 
     The matrix product has no SQL form: one product for each Arrow batch. The
-    weights are a model of fixed size, sent once to each executor.
+    weights are a model of fixed size, sent once to each executor. exact: in
+    doubles, as the relational form has them.
     """
+    kind, value_kind = (np.float64, pa.float64()) if exact else (np.float32, pa.float32())
     weights = frame.sparkSession.sparkContext.broadcast((w, bias, pre, scale))
     keep = [c for c in frame.columns if c != vector]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != vector) + ", features array<int>, code_values array<float>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name != vector) + f", features array<int>, code_values array<{'double' if exact else 'float'}>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, pre, scale = weights.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float32)
+            x = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(kind)
             x = x / scale if scale is not None else x
             if layernorm:
                 x = (x - x.mean(axis=1, keepdims=True)) / (x.std(axis=1, ddof=1, keepdims=True) + 1e-5)
@@ -105,12 +108,84 @@ def encode_topk(frame: DataFrame, vector: str, w: np.ndarray, bias: np.ndarray,
             order = np.argsort(-h, axis=1, kind="stable")[:, :k]
             value = np.take_along_axis(h, order, axis=1)
             features = [o[v > 0].astype(np.int32) for o, v in zip(order, value, strict=True)]
-            values = [v[v > 0].astype(np.float32) for v in value]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=[*keep, "features", "code_values"])
+            values = [v[v > 0].astype(kind) for v in value]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(features, pa.list_(pa.int32())), pa.array(values, pa.list_(value_kind))], names=[*keep, "features", "code_values"])
 
     return frame.mapInArrow(work, schema)
 
 
+def layer_norm(vec: Column) -> Column:
+    """A vector less its mean, over its spread (n - 1) and 1e-5."""
+    x, n = F.transform(vec, lambda v: v.cast("double")), F.size(vec).cast("double")
+    square = lambda m: F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m))
+    sums = let(F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n, lambda m: F.struct(m.alias("mean"), (F.sqrt(square(m) / (n - 1)) + 1e-5).alias("spread")))
+    return let(sums, lambda s: F.transform(x, lambda v: (v - s["mean"]) / s["spread"]))
+
+
+def encode_relational(frame: DataFrame, weights: DataFrame, bias: DataFrame | None = None, pre: DataFrame | None = None, k: int = 16) -> DataFrame:
+    """(id, feature, value) of (id, vec): the k largest of vec x weights + bias that are positive, the lower feature of equals.
+
+    weights (channel, feature, w), bias (feature, b) and pre (channel, b, taken
+    off before) are tables of any size: the product is a join on channel, with
+    weights of 0 and components of 0 left out, and a sum by (id, feature). For a
+    dictionary that fits into memory encode_topk gives the same by Arrow batch.
+    """
+    x = frame.select("id", F.posexplode("vec").alias("channel", "v"))
+    if pre is not None:
+        x = x.join(pre.select("channel", F.col("b").alias("__b")), "channel", "left").withColumn("v", F.col("v") - F.coalesce("__b", F.lit(0.0)))
+    terms = x.where("v <> 0").join(weights.where("w <> 0"), "channel").select("id", "feature", (F.col("v").cast("double") * F.col("w")).alias("t"))
+    if bias is not None:  # a feature of no term still has its bias
+        terms = terms.unionByName(frame.select("id").join(bias.where("b > 0"), F.lit(True)).select("id", "feature", F.lit(0.0).alias("t")))
+    sums = terms.groupBy("id", "feature").agg(F.sum("t").alias("value"))
+    if bias is not None:
+        sums = sums.join(bias, "feature", "left").withColumn("value", F.col("value") + F.coalesce("b", F.lit(0.0))).drop("b")
+    order = Window.partitionBy("id").orderBy(F.desc("value"), "feature")
+    return sums.where("value > 0").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select("id", "feature", "value")
+
+
+def decode_relational(codes: DataFrame, weights: DataFrame, pre: DataFrame | None = None) -> DataFrame:
+    """(id, channel, value) of codes (id, feature, value): codes x weights (feature, channel, w), and pre (channel, b) on top where something is decoded."""
+    found = codes.join(weights, "feature").groupBy("id", "channel").agg(F.sum(F.col("value").cast("double") * F.col("w")).alias("value"))
+    if pre is None:
+        return found
+    return found.join(pre, "channel", "left").withColumn("value", F.col("value") + F.coalesce("b", F.lit(0.0))).drop("b")
+
+
+def _finite(weights: DataFrame, columns: list[str]) -> DataFrame:
+    bad = None
+    for c in columns:
+        v = F.col(c).cast("double")
+        one = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+        bad = one if bad is None else bad | one
+    if n := weights.where(bad).count():
+        raise ValueError(f"{n} weights are not finite")
+    return weights
+
+
+def write_weights(weights: DataFrame, path: str, columns: tuple[str, ...] = ("w",)) -> None:
+    """A table of weights as Parquet; ValueError, and nothing written, if one isn't finite."""
+    _finite(weights, list(columns)).write.mode("error").parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str, columns: tuple[str, ...] = ("w",)) -> DataFrame:
+    """A table of weights; ValueError if one isn't finite or a place has two."""
+    weights = _finite(spark.read.parquet(path), list(columns))
+    keys = [c for c in weights.columns if c not in columns]
+    if weights.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("a place has two weights")
+    return weights
+
+
+def weight_matrix(weights: DataFrame, rows: int, columns: int, most: int = 1 << 26) -> np.ndarray:
+    """Weights (channel, feature, w) as a matrix on the driver, for encode_topk; ValueError if it has more than most places."""
+    if rows * columns > most:
+        raise ValueError(f"{rows} x {columns} weights are too many for one machine: use encode_relational")
+    out = np.zeros((rows, columns))
+    table = weights.select(F.col("channel").cast("int"), F.col("feature").cast("int"), F.col("w").cast("double")).toArrow()
+    out[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
+    return out
+
+
 def nearest_by_cosine(left: DataFrame, right: DataFrame, block: int = 4096) -> DataFrame:
     """For each row of left (id, vec) the row of right of the largest cosine, the lowest id of equals.
 

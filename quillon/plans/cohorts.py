@@ -83,7 +83,11 @@ def element_masks(spark: SparkSession, sf: str) -> DataFrame:
     return validators.element_masks(masks, 64)
 
 
-@query(f"SELECT count(*) AS n, CAST(coalesce(sum({draw_sql("concat_ws('|', CAST(o_custkey AS VARCHAR), CAST(o_orderkey AS VARCHAR), o_orderstatus)")}), 0) AS BIGINT) AS hash FROM orders")
+TEXT = lambda *cs: " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cs)
+HASH = lambda text: "concat_ws('/', " + ", ".join(f"CAST(coalesce(sum(CAST(CAST('0x' || substr(md5({text}), {at}, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR)" for at in (1, 16)) + ")"
+
+
+@query(f"SELECT count(*) AS n, {HASH(TEXT('o_custkey', 'o_orderkey', 'o_orderstatus'))} AS hash FROM orders")
 def frame_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     return validators.content_hash(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"))
 
@@ -162,9 +166,9 @@ def _store(spark: SparkSession, sf: str) -> DataFrame:
     return grid.select(F.concat_ws(":", "chrom", F.col("bin_start").cast("string")).alias("row_id"), F.lit("t").alias("tap"), "split", F.pmod(F.floor(F.col("win_start") / DAY), F.lit(5)).cast("int").alias("shard"), "chrom", "win_start", "bin_start", "bin_end", "kept", F.array(F.col("y").cast("double")).alias("vec"))
 
 
-@query(f"WITH {GRID} SELECT split, CAST(win_start // {DAY} % 5 AS INTEGER) AS shard, count(*) AS n, CAST(sum({draw_sql("concat_ws('|', chrom, CAST(bin_start AS VARCHAR))")}) AS BIGINT) AS hash FROM grid GROUP BY ALL")
+@query(f"WITH {GRID} SELECT split, CAST(win_start // {DAY} % 5 AS INTEGER) AS shard, count(*) AS n, {HASH(TEXT('bin_start', 'chrom'))} AS hash FROM grid GROUP BY ALL")
 def store_index(spark: SparkSession, sf: str) -> DataFrame:
-    return stores.shard_index(_store(spark, sf)).drop("tap")
+    return stores.shard_index(_store(spark, sf), ["chrom", "bin_start"]).drop("tap")
 
 
 @query(f"WITH {GRID}, q AS (SELECT 'u' || user_id || ':' || CAST(CAST(floor(epoch(ts)) AS BIGINT) // {WIDTH} * {WIDTH} AS VARCHAR) AS row_id, event_id FROM events) SELECT event_id AS \"at\", y AS value FROM q LEFT JOIN grid ON row_id = chrom || ':' || CAST(bin_start AS VARCHAR)")
@@ -442,9 +446,9 @@ def mask_algebra(spark: SparkSession, sf: str) -> DataFrame:
     return _grid(spark, sf).select("chrom", "bin_start", (y | F.col("kept")).alias("either"), (y & F.col("kept")).alias("both"))
 
 
-@query(f"WITH {GRID}, w AS (SELECT chrom, s, e FROM ev WHERE event_id % 50 = 0) SELECT w.chrom, s AS low, e AS high, count(*) AS n FROM w JOIN grid ON grid.chrom = w.chrom AND bin_start >= s AND bin_start < e + {DAY} GROUP BY ALL")
+@query(f"WITH {GRID}, w AS (SELECT DISTINCT chrom, s, e FROM ev) SELECT w.chrom, s AS low, e AS high, count(*) AS n FROM w JOIN grid ON grid.chrom = w.chrom AND bin_start >= s AND bin_start < e + {DAY} GROUP BY ALL")
 def window_slices(spark: SparkSession, sf: str) -> DataFrame:
-    windows = spans(spark, sf).where("event_id % 50 = 0").select("chrom", F.col("start").alias("low"), F.col("end").alias("high"))
+    windows = spans(spark, sf).select("chrom", F.col("start").alias("low"), F.col("end").alias("high")).distinct()
     days = F.explode(F.sequence(F.floor(F.col("low") / DAY) * DAY, F.floor((F.col("high") + DAY) / DAY) * DAY, F.lit(DAY).cast("long")))
     joined = windows.withColumn("win_start", days).join(_grid(spark, sf), ["chrom", "win_start"])  # by whole days first, then exactly
     return joined.where((F.col("bin_start") >= F.col("low")) & (F.col("bin_start") < F.col("high") + DAY)).groupBy("chrom", "low", "high").agg(F.count("*").alias("n"))

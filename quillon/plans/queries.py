@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar, sequence
 from quillon.operators import inference, intervals, ranks, reports, vectors
-from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table
+from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table, weights
+from quillon.sources import receipts
 
 #: Two weeks: the parts of a chrom's seconds that are ordered apart.
 CELL = 14 * 86400
@@ -482,10 +483,32 @@ def wilcoxon_w(spark: SparkSession, sf: str) -> DataFrame:
     return inference.wilcoxon_w(_deltas(spark, sf), ("flag", "status"))
 
 
-@query()
+#: Two-sided p values in other terms than the operator's: the finite series of the t distribution, counts of subsets, and erf's series.
+TESTS = """o AS (SELECT k1, k2, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd FROM d GROUP BY ALL),
+t AS (SELECT *, CASE WHEN n < 2 OR (sd = 0 AND mean = 0) THEN NULL WHEN sd = 0 THEN sign(mean) * 'inf'::DOUBLE ELSE mean / (sd / sqrt(n)) END AS t FROM o),
+th AS (SELECT *, atan(abs(t) / sqrt(n - 1)) AS h, n - 1 AS v FROM t),
+tp AS (SELECT k1, k2, n, t, CASE WHEN t IS NULL OR n < 2 THEN 1.0 WHEN isinf(t) THEN 0.0 WHEN v % 2 = 0 THEN 1 - sin(h) * list_sum(list_transform(range(0, v // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1) + 2 * j * ln(cos(h))) / sqrt(pi())))
+ELSE 1 - 2 / pi() * (h + sin(h) * coalesce(list_sum(list_transform(range(0, (v - 1) // 2), lambda j: exp(lgamma(j + 1) - lgamma(j + 1.5) + (2 * j + 1) * ln(cos(h))) * sqrt(pi()) / 2)), 0)) END AS t_p FROM th),
+rk AS (SELECT *, rank() OVER (PARTITION BY k1, k2 ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY k1, k2, abs(delta)) - 1) / 2.0 AS rk, CAST(count(*) OVER (PARTITION BY k1, k2, abs(delta)) AS DOUBLE) AS tie FROM d WHERE delta <> 0),
+w AS (SELECT k1, k2, count(*) AS m, least(sum(CASE WHEN delta > 0 THEN rk ELSE 0 END), sum(CASE WHEN delta < 0 THEN rk ELSE 0 END)) AS w, sum(tie * tie - 1) AS ties FROM rk GROUP BY ALL),
+su(m, c) AS (SELECT CAST(0 AS BIGINT), [1.0::DOUBLE] UNION ALL SELECT m + 1, list_transform(range(0, len(c) + m + 1), lambda i: coalesce(c[i + 1], 0) + CASE WHEN i > m THEN coalesce(c[i - m], 0) ELSE 0 END) FROM su WHERE m < 50),
+z AS (SELECT tp.k1, tp.k2, tp.n, t, t_p, coalesce(m, 0) AS m, w, ties, least(abs(w - m * (m + 1) / 4.0) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0 - ties / 48) / sqrt(2), 12) AS z FROM tp LEFT JOIN w ON w.k1 = tp.k1 AND w.k2 = tp.k2),
+r AS (SELECT z.*, CASE WHEN z.m = 0 THEN 1.0 WHEN z.m <= 50 AND ties = 0 THEN least(1.0, 2 * list_sum(c[1:CAST(floor(w) AS BIGINT) + 1]) / pow(2, z.m)) WHEN z.m * (z.m + 1) * (2 * z.m + 1) / 24.0 - ties / 48 <= 0 THEN 1.0 WHEN z = 0 THEN 1.0
+ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(0, 500), lambda j: exp(j * ln(2) + (2 * j + 1) * ln(z) - lgamma(j + 1.5) - (j + 1) * ln(2) + ln(pi()) / 2))) END AS w_p FROM z LEFT JOIN su ON su.m = z.m)"""
+
+
+@query(f"WITH RECURSIVE {DELTAS.replace('AS flag', 'AS k1').replace('AS status', 'AS k2')}, {TESTS} SELECT k1 AS flag, k2 AS status, n, round(t, 6) AS t, m AS w_n, coalesce(w, 0) AS w, round(t_p, 6) AS t_p, round(w_p, 6) AS w_p FROM r")
 def paired_p_values(spark: SparkSession, sf: str) -> DataFrame:
-    both = inference.paired_stats(_deltas(spark, sf), ("flag", "status")).join(inference.wilcoxon_w(_deltas(spark, sf), ("flag", "status")).withColumnRenamed("n", "w_n"), ["flag", "status"], "left")
-    return inference.with_p_values(both)
+    tested = inference.paired_tests(_deltas(spark, sf), ("flag", "status"))
+    return rounded(tested.select("flag", "status", "n", "t", "w_n", "w", "t_p", "w_p"), "t", "t_p", "w_p")
+
+
+@query(f"WITH RECURSIVE d AS (SELECT l_partkey AS k1, 0 AS k2, CAST(round(l_extendedprice * (l_discount - l_tax) * 100) AS BIGINT) AS delta FROM lineitem), {TESTS} SELECT k1 AS part, n, round(t, 6) AS t, m AS w_n, coalesce(w, 0) AS w, round(t_p, 6) AS t_p, round(w_p, 6) AS w_p FROM r")
+def paired_p_values_by_part(spark: SparkSession, sf: str) -> DataFrame:
+    """Many small groups: exact signed ranks where no two pairs tie."""
+    delta = F.round(F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")) * 100).cast("long")
+    tested = inference.paired_tests(table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part"), delta.alias("delta")), ("part",))
+    return rounded(tested.select("part", "n", "t", "w_n", "w", "t_p", "w_p"), "t", "t_p", "w_p")
 
 
 @query(f"WITH {CHANNELS}, {CODES} SELECT id, feature, round(CAST(value AS DOUBLE), 6) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC, id) AS rank FROM codes) WHERE rank <= 10")
@@ -600,9 +623,30 @@ def pwm_information(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(w.join(sequence.information(w), ["pos", "base"]), "p", "height")
 
 
-@query()
+@query(
+    f"""WITH {PWM}, sc AS MATERIALIZED (SELECT pos, base, log2(p / 0.25) AS v FROM pw), bk AS (SELECT 5 - pos AS pos, translate(base, 'ACGT', 'TGCA') AS base, v FROM sc), th AS (SELECT 0.8 * sum(m) AS t FROM (SELECT max(v) AS m FROM sc GROUP BY pos)),
+wn AS MATERIALIZED (SELECT id, CAST(i AS BIGINT) AS i, substr(sequence, CAST(i + 1 AS BIGINT), 6) AS w FROM (SELECT id, sequence, unnest(range(0, length(sequence) - 5)) AS i FROM seq WHERE length(sequence) >= 6)),
+kinds AS (SELECT DISTINCT w FROM wn), le AS (SELECT w, CAST(j AS INTEGER) AS pos, substr(w, CAST(j + 1 AS BIGINT), 1) AS base FROM kinds, range(0, 6) r(j)),
+tot AS (SELECT w, '+' AS strand, sum(v) AS score FROM le JOIN sc USING (pos, base) GROUP BY w UNION ALL SELECT w, '-', sum(v) FROM le JOIN bk USING (pos, base) GROUP BY w)
+SELECT id, i AS "start", i + 6 AS "end", strand, round(score, 6) AS score, w AS "window" FROM wn JOIN tot USING (w), th WHERE score >= t"""
+)
 def motif_scan_both_strands(spark: SparkSession, sf: str) -> DataFrame:
-    return sequence.scan_motif(sequences(spark, sf), sequence.log_odds(_weights(spark, sf)), 6, 0.8)
+    return rounded(sequence.scan_motif(sequences(spark, sf), sequence.log_odds(_weights(spark, sf)), 6, 0.8), "score")
+
+
+LETTERS = "substr(sequence, 3, 6)"
+_ORDER = draw_sql("concat_ws('|', CAST(id AS VARCHAR), CAST(k AS VARCHAR), CAST(i AS VARCHAR))")
+
+
+@query(
+    f"""WITH {SEQ}, pt AS (SELECT id, sequence, {LETTERS} AS part FROM seq WHERE length(sequence) >= 8),
+c AS (SELECT id, sequence, part, list_concat(list_transform(range(0, 10), lambda k: array_to_string(list_transform(list_sort(list_transform(range(0, length(part)), lambda i: {{'key': {_ORDER}, 'i': i, 'x': part[i + 1]}})), lambda s: s.x), '')), list_transform(range(1, length(part)), lambda k: part[k + 1:] || part[1:k])) AS others FROM pt)
+SELECT id, substr(sequence, 1, 2) || list_filter(others, lambda x: x <> part)[1] || substr(sequence, 9) AS mutated FROM c"""
+)
+def anchor_mutation(spark: SparkSession, sf: str) -> DataFrame:
+    """Six letters of each sequence in another order."""
+    own = sequences(spark, sf).where(F.length("sequence") >= 8)
+    return own.select("id", scalar.mutate_anchor(F.col("sequence"), F.lit(2), F.lit(6), F.col("id")).alias("mutated"))
 
 
 @query("WITH p AS (SELECT user_id, count(*) AS cost, round(avg(value), 9) AS loss FROM events GROUP BY user_id), m AS (SELECT *, min(loss) OVER (ORDER BY cost, loss ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least FROM p) SELECT user_id, cost, round(loss, 6) AS loss FROM m WHERE least IS NULL OR loss < least")
@@ -677,12 +721,34 @@ def json_properties(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query()
+W_SQL = f"wt AS MATERIALIZED (SELECT CAST(c AS INTEGER) AS channel, CAST(f AS INTEGER) AS feature, ({draw_sql("concat_ws('|', 'w', CAST(c AS VARCHAR), CAST(f AS VARCHAR))")} % 20001 - 10000) / 10000.0::DOUBLE AS w FROM range(0, 64) a(c), range(0, 256) b(f))"
+ENCODED = f"""{CHANNELS}, {W_SQL}, mo AS (SELECT id, avg(CAST(value AS DOUBLE)) AS m, stddev_samp(CAST(value AS DOUBLE)) + 1e-5 AS s FROM ch GROUP BY id),
+xs AS (SELECT id, ch.feature AS channel, (CAST(value AS DOUBLE) - m) / s AS v FROM ch JOIN mo USING (id)), hs AS (SELECT id, wt.feature, sum(v * w) AS value FROM xs JOIN wt USING (channel) GROUP BY id, wt.feature),
+en AS (SELECT id, feature, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value DESC, feature) AS r FROM hs) WHERE r <= 16 AND value > 0)"""
+
+
+@query(f"WITH {ENCODED} SELECT id, feature, round(value, 6) AS value FROM en")
 def encode_topk_udf(spark: SparkSession, sf: str) -> DataFrame:
-    rng = np.random.default_rng(11)
-    w = rng.normal(size=(64, 256)).astype(np.float32)
-    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return vectors.encode_topk(rows, "embedding", w, np.zeros(256, np.float32), np.zeros(64, np.float32), 16, layernorm=True)
+    """The encoder by Arrow batch: one matrix product a batch."""
+    w = vectors.weight_matrix(weights(spark), 64, 256)
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    codes_ = vectors.encode_topk(rows, "embedding", w, np.zeros(256), np.zeros(64), 16, layernorm=True, exact=True)
+    each = codes_.select("id", F.explode(F.arrays_zip("features", "code_values")).alias("c"))
+    return rounded(each.select("id", F.col("c.features").alias("feature"), F.col("c.code_values").alias("value")), "value")
+
+
+@query(f"WITH {ENCODED} SELECT id, feature, round(value, 6) AS value FROM en")
+def encode_relational(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoder as a join and a sum, for dictionaries of any size."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), vectors.layer_norm(F.col("embedding")).alias("vec"))
+    return rounded(vectors.encode_relational(rows, weights(spark), k=16), "value")
+
+
+@query(f"WITH {CHANNELS}, {CODES}, {W_SQL} SELECT id, wt.feature AS channel, round(sum(CAST(value AS DOUBLE) * w), 6) AS value FROM codes JOIN wt ON wt.channel = codes.feature GROUP BY ALL")
+def decode_relational(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes back to channels by a dictionary's columns."""
+    back = weights(spark).select(F.col("channel").alias("feature"), F.col("feature").alias("channel"), "w")
+    return rounded(vectors.decode_relational(codes(spark, sf), back), "value")
 
 
 @query(
@@ -737,6 +803,53 @@ def shuffled_intervals(spark: SparkSession, sf: str) -> DataFrame:
     return intervals.shuffle_within(spans(spark, sf).join(domain, "chrom").select("chrom", "low", "high", "start", "end"), "shuffle")
 
 
+AV = lambda seed: draw_sql(f"concat_ws('|', '{seed}', x.chrom, CAST(x.s AS VARCHAR), CAST(x.e AS VARCHAR))")
+
+
+@query(
+    f"""WITH {EV}, ex AS (SELECT chrom, s, e FROM ev WHERE concept = 'purchase'), {merged_sql("ex", "mx")}, wh AS (SELECT chrom, CAST(0 AS BIGINT) AS s, max(e) AS e FROM ev GROUP BY chrom), {subtracted_sql("wh", "mx", "fr")},
+x AS (SELECT chrom, s, e, e - s AS n FROM ev WHERE concept = 'click'), ln AS (SELECT DISTINCT chrom, n FROM x),
+gp AS (SELECT ln.chrom, ln.n, fr.s, fr.e - fr.s - ln.n + 1 AS c FROM ln JOIN fr ON fr.chrom = ln.chrom AND fr.e - fr.s >= ln.n),
+pf AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY chrom, n ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f, sum(c) OVER (PARTITION BY chrom, n) AS total FROM gp),
+dr AS (SELECT DISTINCT x.chrom, x.s, x.e, x.n, ({AV("avoid")} * 1048576 + {AV("avoid+")}) % total AS at FROM x JOIN pf ON pf.chrom = x.chrom AND pf.n = x.n),
+pl AS (SELECT dr.chrom, dr.s AS old_start, dr.e AS old_end, CAST(pf.s + dr.at - pf.f AS BIGINT) AS st, dr.n FROM dr JOIN pf ON pf.chrom = dr.chrom AND pf.n = dr.n AND dr.at >= pf.f AND dr.at < pf.f + pf.c)
+SELECT chrom, old_start, old_end, st AS "start", st + n AS "end" FROM pl"""
+)
+def shuffled_avoiding(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks at drawn places of their chrom that no purchase overlaps."""
+    ev = spans(spark, sf)
+    clicks = ev.where("concept = 'click'").select("chrom", "start", "end").distinct()
+    sizes = ev.groupBy("chrom").agg(F.max("end").alias("size"))
+    return intervals.shuffle_avoiding(clicks, sizes, ev.where("concept = 'purchase'"), "avoid")
+
+
+RECEIPTS = """rc AS MATERIALIZED (SELECT row_number() OVER (ORDER BY o_orderkey) AS seq, CAST(o_orderkey AS VARCHAR) AS key, concat_ws('|', CAST(o_custkey AS VARCHAR), o_orderstatus) AS body FROM orders),
+sl AS MATERIALIZED (SELECT *, sha256(concat_ws('|', CAST(seq AS VARCHAR), key, body)) AS sha256 FROM rc), ch AS MATERIALIZED (SELECT *, coalesce(lag(sha256) OVER (ORDER BY seq), 'plan') AS previous FROM sl)"""
+
+
+def _receipts(spark: SparkSession, sf: str) -> DataFrame:
+    body = F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus")
+    return receipts.freeze(table(spark, sf, "orders"), "o_orderkey", "o_orderkey", "plan", body)
+
+
+@query(f"WITH {RECEIPTS} SELECT seq, key, body, sha256, previous FROM ch")
+def receipt_chain(spark: SparkSession, sf: str) -> DataFrame:
+    return _receipts(spark, sf)
+
+
+@query(
+    f"""WITH {RECEIPTS}, tm AS MATERIALIZED (SELECT seq, key, CASE WHEN body LIKE '%|P' THEN body || '?' ELSE body END AS body, sha256, previous FROM ch WHERE key NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'))
+SELECT 'changed' AS fault, seq, key FROM tm WHERE sha256 <> sha256(concat_ws('|', CAST(seq AS VARCHAR), key, body)) UNION ALL SELECT 'gap', seq, key FROM tm WHERE seq > 1 AND seq - 1 NOT IN (SELECT seq FROM tm)
+UNION ALL SELECT 'missing', NULL, CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT'"""
+)
+def receipt_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """What an audit finds when urgent orders' receipts are gone and those of status P have other content."""
+    urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").cast("string").alias("key"))
+    held = _receipts(spark, sf).join(urgent, "key", "left_anti")
+    damaged = held.withColumn("body", F.when(F.col("body").endswith("|P"), F.concat("body", F.lit("?"))).otherwise(F.col("body")))
+    return receipts.audit(damaged, "plan", table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")))
+
+
 @query(f"WITH {EV} SELECT concept, count(*) AS n, min(s) AS low, max(e) AS high, CAST(sum(e - s) AS BIGINT) AS bases FROM ev GROUP BY concept")
 def quantity_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return spans(spark, sf).groupBy("concept").agg(F.count("*").alias("n"), F.min("start").alias("low"), F.max("end").alias("high"), F.sum(F.col("end") - F.col("start")).cast("long").alias("bases"))

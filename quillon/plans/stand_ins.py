@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import epoch_seconds
+from quillon.functions.scalar import draw, epoch_seconds
 from quillon.operators.ranks import explode_vectors
 from quillon.operators.vectors import topk_codes
 
@@ -44,6 +44,12 @@ def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("id", "concept", (F.col("label") == F.col("concept")).cast("int").alias("y"))
 
 
+def weights(spark: SparkSession, channels: int = 64, features: int = 256) -> DataFrame:
+    """(channel, feature, w): a dictionary drawn by hash, from -1 to 1."""
+    grid = spark.range(channels * features).select((F.col("id") % channels).cast("int").alias("channel"), F.floor(F.col("id") / channels).cast("int").alias("feature"))
+    return grid.withColumn("w", (draw(F.lit("w"), F.col("channel"), F.col("feature")) % 20001 - 10000) / 10000.0)
+
+
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     text = F.regexp_replace(F.upper("text"), "[^ACGT]", "")
     return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("sequence"))

@@ -54,6 +54,8 @@ def test_labels_and_frozen_content(spark):
     assert validators.check_frozen(labels.orderBy(F.desc("id")), one["n"], one["hash"]) is not None
     with pytest.raises(ValueError):
         validators.check_frozen(labels.where("id > 0"), one["n"], one["hash"])
+    table = lambda *rows: spark.createDataFrame(list(rows), "a string, b string")
+    assert not stores.same_content(table(("a|b", "c")), table(("a", "b|c"))) and not stores.same_content(table((None, "x")), table(("null", "x"))) and not stores.same_content(table(("", "x")), table((None, "x")))
     assert stores.same_content(labels, labels.repartition(3)) and not stores.same_content(labels, labels.limit(3))
 
 
@@ -87,13 +89,20 @@ def test_store_round_trip(spark, tmp_path):
     asked = spark.createDataFrame([(0, "r11"), (1, "r3"), (2, "r11"), (3, "r0"), (4, "zz")], "at int, row_id string")
     got = {r["at"]: r["vec"] for r in stores.take(store, asked).collect()}
     assert got == {0: [11.0], 1: [3.0], 2: [11.0], 3: None, 4: None}
-    assert sum(t.num_rows for t in stores.batches(store)) == store.count()
+    sizes = [t.num_rows for t in stores.batches(store, 7)]
+    assert sizes[:-1] == [7] * (len(sizes) - 1) and sum(sizes) == store.count() and 0 < sizes[-1] <= 7
     assert [r["bin_start"] for r in stores.window_coordinates(store, "c", 40).collect()] == [4 * i for i in range(10, 20) if i % 7]
     every = stores.coordinates(rows)
     windows = every.select("chrom", "win_start", F.lit(10).alias("n_bins")).distinct()
     assert stores.check_windows(every, windows, 4).count() == 4
     with pytest.raises(ValueError, match="incomplete"):
         stores.check_windows(stores.coordinates(store), windows, 4)
+    flipped = rows.where("shard = 3").withColumn("vec", F.when(F.col("row_id") == "r33", F.array(F.lit(0.5).cast("float"))).otherwise(F.col("vec")))
+    flipped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tap", "split", "shard").parquet(f"{path}/activations")
+    with pytest.raises(ValueError, match="differs"):  # one value of one vector
+        stores.open_store(spark, path, "t8", "test")
+    rows.where("shard = 3").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tap", "split", "shard").parquet(f"{path}/activations")
+    assert stores.open_store(spark, path, "t8", "test").count() == store.count()
     damaged = spark.read.parquet(f"{path}/activations").where("row_id = 'r5'")
     damaged.withColumn("row_id", F.lit("rx")).write.mode("append").partitionBy("tap", "split", "shard").parquet(f"{path}/activations")
     with pytest.raises(ValueError, match="differs"):

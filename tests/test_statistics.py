@@ -52,12 +52,12 @@ def test_paired_statistics_degenerate(spark):
     assert w["mixed"]["w"] == 2.0 and "zero" not in w
 
 
-def test_p_values():
-    assert inference.student_p(2.0, 11) == pytest.approx(0.07338803, abs=1e-7)
-    assert inference.student_p(math.inf, 5) == 0.0
-    assert inference.wilcoxon_p(0, 0.0) == 1.0
-    assert inference.wilcoxon_p(5, 0.0) == pytest.approx(2 / 32)
-    assert inference.wilcoxon_p(15, 0.0, 15 * (15**2 - 1)) < 0.01
+def test_p_values(spark):
+    one = spark.createDataFrame([(2.0, 11, 0, None, None), (math.inf, 5, 5, 0.0, 0.0), (None, 20, 15, 0.0, 15.0 * (15**2 - 1))], "t double, n long, w_n long, w double, ties double")
+    got = {r["n"]: (r["t_p"], r["w_p"]) for r in inference.with_p_values(one).collect()}
+    assert got[11] == (pytest.approx(0.07338803, abs=1e-7), 1.0)
+    assert got[5] == (0.0, pytest.approx(2 / 32))
+    assert got[20][0] == 1.0 and got[20][1] < 0.01
 
 
 def test_benjamini_hochberg(spark):
