@@ -6,12 +6,13 @@ text contains. The pair part finds texts in which two terms only together
 mean something, which no sum of weights can.
 
 The machine is fitted on the driver by AdaGrad, on at most MAX_TRAIN
-labelled rows, those whose ids hash lowest; the buckets are at most
-MAX_TERMS: those whose counts differ most between the labels (chi square), and
-the MOST_FREQUENT most frequent ones, which alone may tell nothing and yet
-do so in pairs.
-Both bounds are parameters; the model's size does not grow with the data, so
-it is sent to all executors. Scoring covers all rows and all of their text.
+labelled rows, those whose ids hash lowest: the only bound, and a parameter.
+All terms of these rows take part. A term's input is a weight between 0 and 1
+instead of presence alone: near 1 where its counts differ between the labels
+(chi square) far more than chance has it, or where it is frequent, as such a
+term may tell nothing alone and yet do so in pairs; near 0 where neither holds.
+The model has a row for each bucket at most, so it is sent to all executors.
+Scoring covers all rows and all of their text.
 """
 
 from __future__ import annotations
@@ -29,12 +30,8 @@ from quillon.llm.words import term_hashes
 
 BUCKET_BITS = 20
 MAX_TRAIN = 12_000
-MAX_TERMS = 4_096
-MIN_DOCS = 3
-#: Bound of the frequent terms, and the rows that each of them needs: fewer rows can't tell so many pairs.
-MOST_FREQUENT, ROWS_A_FREQUENT = 256, 32
-#: Terms whose counts differ less between the labels are noise (p about 0.0002).
-LEAST_CHI = 14.0
+#: Chi square, and share of rows, at which a term's weight is a quarter.
+CHI, SHARE = 14.0, 0.05
 RANK = 6
 EPOCHS = 12
 LEAST_STEPS = 500
@@ -61,29 +58,24 @@ class Machine:
 
     def score(self, text: bytes) -> float:
         at = self.places(text)
-        v = self.v[at]
-        total = self.w0 + float(self.w[at].sum()) + 0.5 * float(((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum())
+        v = self.v[at].astype(np.float64)
+        total = self.w0 + float(self.w[at].sum(dtype=np.float64)) + 0.5 * float(((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum())
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def choose(rows: list[np.ndarray], y: np.ndarray, most: int = MAX_TERMS, least_docs: int = MIN_DOCS, frequent: int = MOST_FREQUENT) -> np.ndarray:
-    """The buckets that tell the labels apart best, and the most frequent ones, ascending."""
-    if not rows:
-        return np.empty(0, dtype=np.int64)
-    size = 1 << BUCKET_BITS
+def weigh(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of the rows that not every row has, ascending, and their weights."""
+    size, n, k = 1 << BUCKET_BITS, len(y), float(y.sum())
     with_term, toxic = np.zeros(size), np.zeros(size)
     for r, label in zip(rows, y, strict=True):  # a row names a bucket once
         with_term[r] += 1
         toxic[r] += label
-    n, k = len(y), float(y.sum())
     expected = with_term * k / n
     chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - k / n) * (1 - with_term / n), 1e-9)
-    chi[(with_term < least_docs) | (with_term >= n)] = 0
-    frequent = min(frequent, n // ROWS_A_FREQUENT)
-    best = np.lexsort((np.arange(size), -chi))[: most - frequent]
-    common = np.where((with_term < least_docs) | (with_term >= n), 0, with_term)
-    first = np.lexsort((np.arange(size), -common))[:frequent]
-    return np.union1d(best[chi[best] > LEAST_CHI], first[common[first] > 0])
+    share = with_term / n
+    weight = np.maximum(chi / (chi + CHI), share / (share + SHARE)) ** 2
+    buckets = np.flatnonzero((with_term > 0) & (with_term < n))
+    return buckets, weight[buckets]
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
@@ -91,12 +83,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
     y = np.asarray(y, dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     w0 = float(np.log(share / (1 - share)))
-    buckets = choose(rows, y) if 0 < y.sum() < len(y) else np.empty(0, dtype=np.int64)
+    buckets, x = weigh(rows, y) if 0 < y.sum() < len(y) else (np.empty(0, dtype=np.int64), np.empty(0))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), RANK))
-    if not len(buckets):
-        return Machine(buckets, w0, w, v)
     model = Machine(buckets, w0, w, v)
+    if not len(buckets):
+        return model
     places = [at[at >= 0] for at in (model.slot[r] for r in rows)]
     g0, gw, gv = 1e-3, np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
     weight = np.where(y == 1, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05))
@@ -106,20 +98,22 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
             own = order[first : first + BATCH]
             doc = np.repeat(np.arange(len(own)), [len(places[i]) for i in own])
             at = np.concatenate([places[i] for i in own])
-            sums = np.stack([np.bincount(doc, v[at, f], len(own)) for f in range(RANK)], axis=1)
-            square = np.bincount(doc, (v[at] ** 2).sum(axis=1), len(own))
-            total = w0 + np.bincount(doc, w[at], len(own)) + 0.5 * ((sums**2).sum(axis=1) - square)
+            xs = x[at]
+            vx = v[at] * xs[:, None]
+            sums = np.stack([np.bincount(doc, vx[:, f], len(own)) for f in range(RANK)], axis=1)
+            square = np.bincount(doc, (vx**2).sum(axis=1), len(own))
+            total = w0 + np.bincount(doc, w[at] * xs, len(own)) + 0.5 * ((sums**2).sum(axis=1) - square)
             error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - y[own]) * weight[own] / len(own)
-            e = error[doc]
-            used = np.unique(at)
-            dw = np.bincount(at, e, len(w))[used] + DECAY * w[used]
-            dv = np.stack([np.bincount(at, e * (sums[doc, f] - v[at, f]), len(w)) for f in range(RANK)], axis=1)[used] + DECAY * v[used]
+            e = error[doc] * xs
+            used, back = np.unique(at, return_inverse=True)
+            dw = np.bincount(back, e, len(used)) + DECAY * w[used]
+            dv = np.stack([np.bincount(back, e * (sums[doc, f] - vx[:, f]), len(used)) for f in range(RANK)], axis=1) + DECAY * v[used]
             g0, gw[used], gv[used] = g0 + error.sum() ** 2, gw[used] + dw**2, gv[used] + dv**2
             w0 -= RATE * error.sum() / np.sqrt(g0)
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= RATE / 4 * dv / np.sqrt(gv[used])
-    model.w0 = float(w0)
-    return model
+    # A term's weight is the same in every text: it goes into the model's rows.
+    return Machine(buckets, float(w0), (w * x).astype(np.float32), (v * x[:, None]).astype(np.float32))
 
 
 def held_out(id: Column) -> Column:
@@ -133,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     A repeated label row counts as often as it stands there, and so does a
     document whose id is repeated; never more than `most` of them are gathered,
     those of lowest hash. Without any labelled row, or on empty tables, the
-    machine scores everything 0.5 or less. Texts are read whole.
+    machine scores everything 0.5 or less. Texts of any length are read whole;
+    what is gathered is a row's set of buckets, of 2^BUCKET_BITS at most.
     """
     rows = labels.select(F.col(f"`{id}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL").where(~held_out(F.col("__id")))
     chosen = rows.orderBy(F.xxhash64("__id"), "__id", "__y").limit(most)
@@ -157,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 def score(docs: DataFrame, model: Machine, text: str = "text") -> DataFrame:
     """docs (same columns) with score and predicted; null text counts as empty.
 
-    Columns of docs named score or predicted are replaced. Equal texts get
+    Texts are scored whole, however long. Columns of docs named score or
+    predicted are replaced. Equal texts get
     equal scores, ties at 0.5 are predicted 1; an empty table gives an empty one.
     """
     docs = docs.drop("score", "predicted")
