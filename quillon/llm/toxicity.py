@@ -58,8 +58,8 @@ class Machine:
 
     def score(self, text: bytes) -> float:
         at = self.places(text)
-        v = self.v[at].astype(np.float64)
-        total = self.w0 + float(self.w[at].sum(dtype=np.float64)) + 0.5 * float(((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum())
+        v = self.v[at]
+        total = self.w0 + float(self.w[at].sum()) + 0.5 * float(((v.sum(axis=0) ** 2) - (v**2).sum(axis=0)).sum())
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
@@ -113,7 +113,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= RATE / 4 * dv / np.sqrt(gv[used])
     # A term's weight is the same in every text: it goes into the model's rows.
-    return Machine(buckets, float(w0), (w * x).astype(np.float32), (v * x[:, None]).astype(np.float32))
+    return Machine(buckets, float(w0), w * x, v * x[:, None])
 
 
 def held_out(id: Column) -> Column:
