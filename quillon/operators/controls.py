@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import draw
+from quillon.operators.orders import before, numbered
 from quillon.operators.validators import count_if
 
 MAX_AUROC = 0.55
@@ -51,7 +52,7 @@ def activity_matched(activity: DataFrame, targets: DataFrame, n: int, tolerance:
     order = Window.partitionBy("target").orderBy(draw(F.lit(seed), F.col("target"), F.col("feature")), "feature")
     picked = close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("target", F.col("feature").alias("control"), "rank")
     lonely = want.select(F.col("feature").alias("target")).join(close.select("target").distinct(), "target", "left_anti")
-    ring = pool.select("feature", (F.row_number().over(Window.orderBy(draw(F.lit(seed), F.col("feature")), "feature")) - 1).alias("place"))  # a dictionary
+    ring = numbered(pool.withColumn("__d", draw(F.lit(seed), F.col("feature"))), (), "__d", ("feature",)).select("feature", (F.col("number") - 1).cast("int").alias("place"))
     size = pool.agg(F.count("*").alias("size"))
     steps = lonely.join(size, F.lit(True)).where("size > 0").select("target", "size", F.explode(F.sequence(F.lit(1), F.least(F.lit(n), F.col("size").cast("int")))).alias("rank"))
     steps = steps.withColumn("place", F.pmod(draw(F.lit(seed), F.col("target")) + F.col("rank") - 1, F.col("size")).cast("int"))
@@ -93,6 +94,29 @@ def local_strength_control(features: DataFrame, targets: DataFrame, tolerance: f
     return best.select("target", F.col("feature").alias("control"), "rate_difference", "strength_difference")
 
 
+def nearest_dose(norms: DataFrame, low: float = 0.75, high: float = 1.25) -> DataFrame:
+    """(target, control, scale, within): for each feature of (feature, l2) the other one of nearest size, by the ratio's logarithm; the lower feature of equals.
+
+    In the order of sizes the nearest one is the next smaller or larger size, or
+    one of the same; each size is one row, so that no pairs are formed.
+    """
+    sizes = norms.where("l2 > 0").groupBy("l2").agg(F.min("feature").alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = before(sizes, (), "l2", {"down": ("max", "l2")}).withColumn("fall", -F.col("l2"))
+    sizes = before(sizes, (), "fall", {"up": ("max", "fall")}).withColumn("up", -F.col("up"))
+    second = norms.join(sizes.where("n > 1").select("l2", "first"), "l2").where(F.col("feature") > F.col("first")).groupBy("l2").agg(F.min("feature").alias("second"))
+    of = sizes.select(F.col("l2").alias("c"), F.col("first").alias("control"))
+    own = norms.select(F.col("feature").alias("target"), "l2").join(sizes, "l2").join(second, "l2", "left")
+    equal = own.select("target", F.col("l2").alias("t"), F.col("l2").alias("c"), F.when(F.col("target") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("control")).where("control IS NOT NULL")
+    beside = None
+    for side in ("down", "up"):
+        one = own.where(F.col(side).isNotNull()).select("target", F.col("l2").alias("t"), F.col(side).alias("c")).join(of, "c").select("target", "t", "c", "control")
+        beside = one if beside is None else beside.unionByName(one)
+    d = F.abs(F.log(F.round(F.col("c") / F.col("t"), 9)))
+    best = first_by(equal.unionByName(beside).withColumn("d", d), "target", "d", "control")
+    scale = F.col("t") / F.col("c")
+    return best.select("target", "control", scale.alias("scale"), scale.between(low, high).alias("within"))
+
+
 def window_controls(target: DataFrame, candidates: DataFrame, order: DataFrame, low: float = 0.75, high: float = 1.25, least: float = 1e-8) -> DataFrame:
     """Per window the candidate feature that is active wherever the target is and moves as much there.
 

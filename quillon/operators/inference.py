@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalar import directed, draw
 from quillon.operators.intervals import circular_shift, overlaps
-from quillon.operators.orders import before, same, tied_ranks
+from quillon.operators.orders import before, numbered, same, tied_ranks
 from quillon.operators.ranks import average_rank
 
 
@@ -130,7 +130,7 @@ def cluster_permutation(sites: DataFrame, draws: int, seed: str) -> DataFrame:
     diff = F.avg(F.when(F.col("y") == 1, F.col("effect"))) - F.avg(F.when(F.col("y") == 0, F.col("effect")))
     observed = sites.agg(diff.alias("observed"))
     clusters = sites.select("cluster").distinct()
-    slots = clusters.select(F.col("cluster").alias("to"), F.row_number().over(Window.orderBy("cluster")).alias("slot"))
+    slots = numbered(clusters, (), "cluster", (), "slot").select(F.col("cluster").alias("to"), "slot")
     each = clusters.select("cluster", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     mixed = each.withColumn("slot", F.row_number().over(Window.partitionBy("draw").orderBy(draw(F.lit(seed), F.col("draw"), F.col("cluster")), "cluster")))
     plan = mixed.join(slots, "slot").select("draw", "to", "cluster")

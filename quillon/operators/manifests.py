@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import draw
-from quillon.operators.intervals import subtract, tile
+from quillon.operators.intervals import scan, subtract, tile
+from quillon.operators.orders import before, numbered
 
 
 def deal(pool: DataFrame, key: tuple[str, ...], counts: dict[str, int], seed: str = "manifest") -> DataFrame:
     """Rows of pool dealt to splits, without replacement, in the order of a hash of their key.
 
     A count of 0 takes what is left and has to come last. Asking for more than
-    there is fails. Only as many rows as are asked for are put in order.
+    there is fails.
     """
     names, asked = list(counts), sum(counts.values())
     if any(n == 0 for n in list(counts.values())[:-1]):
@@ -21,8 +22,7 @@ def deal(pool: DataFrame, key: tuple[str, ...], counts: dict[str, int], seed: st
     if asked > (have := pool.count()):
         raise ValueError(f"{asked} windows asked for, {have} there")
     keyed = pool.withColumn("__key", draw(F.lit(seed), *[F.col(k) for k in key]))
-    first = keyed.orderBy("__key", *key).limit(asked)  # a top-n: no global sort of the pool
-    ranked = first.withColumn("__r", F.row_number().over(Window.orderBy("__key", *key)))
+    ranked = numbered(keyed, (), "__key", key, "__r").where(F.col("__r") <= asked)
     split, at = F.lit(None).cast("string"), 0
     for name in names:
         split = F.when((F.col("__r") > at) & (F.col("__r") <= at + counts[name]), name).otherwise(split)
@@ -46,10 +46,10 @@ def build_manifest(held_out: DataFrame, trained: DataFrame, exclude: DataFrame,
     return held.unionByName(own)
 
 
-def overlaps(manifest: DataFrame) -> DataFrame:
-    """Windows that begin before the one before them on their chrom ends."""
-    before = F.max("win_end").over(Window.partitionBy("chrom").orderBy("win_start", "win_end").rowsBetween(Window.unboundedPreceding, -1))
-    return manifest.withColumn("reach", before).where(F.col("win_start") < F.col("reach"))
+def overlaps(manifest: DataFrame, cell: int | None = None) -> DataFrame:
+    """Windows that begin before the ones before them on their chrom end."""
+    reach = scan(manifest, ("chrom",), "win_start", {"reach": ("max_before", "win_end")}, cell, ("win_end",))
+    return reach.where(F.col("win_start") < F.col("reach"))
 
 
 def expand(manifest: DataFrame, width: int) -> DataFrame:
@@ -71,8 +71,8 @@ def shards(manifest: DataFrame, per_shard: int) -> DataFrame:
     Numbers come from counts of each (split, chrom) first, so that no task sorts the whole table.
     """
     counts = manifest.groupBy("split", "chrom").agg(F.count("*").alias("n"))  # one row a chrom and split
-    before = F.coalesce(F.sum("n").over(Window.orderBy("split", "chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("split", "chrom", before.alias("before"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("split", "chrom").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("split", "chrom", earlier.alias("before"))
     own = F.row_number().over(Window.partitionBy("split", "chrom").orderBy("win_start")) - 1
     return manifest.withColumn("__own", own).join(F.broadcast(offsets), ["split", "chrom"]).withColumn("shard", F.floor((F.col("before") + F.col("__own")) / per_shard)).drop("__own", "before")
 
@@ -83,10 +83,21 @@ def epoch_order(rows: DataFrame, seed: str, epoch: int) -> tuple[Column, ...]:
     return draw(at, F.col("shard")), F.col("shard"), draw(at, F.col("shard"), F.col("row")), F.col("row")
 
 
+def in_epoch_order(rows: DataFrame, seed: str, epoch: int, into: str = "at") -> DataFrame:
+    """rows (shard, row) numbered in the order of an epoch: shards first, then the rows of each."""
+    at = F.lit(f"{seed}/{epoch}")
+    keyed = rows.withColumns({"__shard": draw(at, F.col("shard")), "__row": draw(at, F.col("shard"), F.col("row"))})
+    sizes = keyed.groupBy("shard", "__shard").agg(F.count(F.lit(1)).alias("__n"))  # one row a shard
+    first = numbered(sizes, (), "__shard", ("shard",), "__place")
+    first = before(first, (), "__place", {"__b": ("sum", "__n")}).select("shard", "__b")
+    within = numbered(keyed, ("shard",), "__row", ("row",), "__i")
+    return within.join(first, "shard").withColumn(into, F.col("__b") + F.col("__i")).drop("__shard", "__row", "__i", "__b")
+
+
 def one_per_slice(sites: DataFrame, slices: int, seed: str = "slices") -> DataFrame:
-    """One site (id, value) drawn from each of so many slices of equal counts by value; table of a report's size."""
-    n = F.count("*").over(Window.partitionBy())
-    at = F.row_number().over(Window.orderBy("value", "id")) - 1
-    sliced = sites.withColumn("slice", F.floor(at * slices / n).cast("long"))
-    first = Window.partitionBy("slice").orderBy(draw(F.lit(seed), F.col("id")), "id")
-    return sliced.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
+    """One site (id, value) drawn from each of so many slices of equal counts by value."""
+    n = sites.agg(F.count(F.lit(1)).alias("__n"))
+    placed = numbered(sites, (), "value", ("id",), "__i").join(n, F.lit(True))
+    sliced = placed.withColumn("slice", F.floor((F.col("__i") - 1) * slices / F.col("__n")).cast("long"))
+    best = F.min(F.struct(draw(F.lit(seed), F.col("id")).alias("__d"), *sites.columns)).alias("__s")
+    return sliced.groupBy("slice").agg(best).select(*[F.col(f"__s.{c}").alias(c) for c in sites.columns], "slice")

@@ -93,3 +93,14 @@ def tied_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, sums: tuple[s
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
     ranked = before(counts, keys, value, {"__b": ("sum", "n")})
     return ranked.withColumn("rk", F.col("__b") + (F.col("n") + 1) / F.lit(2.0)).drop("__b")
+
+
+def numbered(rows: DataFrame, keys: tuple[str, ...], value: str, ties: tuple[str, ...], into: str = "number") -> DataFrame:
+    """rows with their number, from 1, in the order of value and, for equal ones, of ties, within keys.
+
+    Only rows of one value are ordered together.
+    """
+    counts = before(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")), keys, value, {"__b": ("sum", "__n")}).drop("__n")
+    placed = same(rows, counts, [*keys, value])
+    within = Window.partitionBy(*keys, value).orderBy(*ties) if ties else Window.partitionBy(*keys, value).orderBy(value)
+    return placed.withColumn(into, (F.col("__b") + F.row_number().over(within)).cast("long")).drop("__b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.operators.orders import before, same
+from quillon.operators.orders import before, numbered, same
 
 
 def top_rows(codes: DataFrame, n: int) -> DataFrame:
@@ -38,19 +38,18 @@ def pareto(points: DataFrame, cost: str, loss: str, keys: tuple[str, ...] = ())
 
 def ecdf(values: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """(keys, value, above): the share of values at or after each, in order of value and, for equal ones, id."""
-    counts = before(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n")), keys, "value", {"__b": ("sum", "__n")}).drop("__n")
     sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__m"))
-    placed = same(same(values, counts, [*keys, "value"]), sizes, list(keys))
-    at = F.col("__b") + F.row_number().over(Window.partitionBy(*keys, "value").orderBy("id")) - 1
-    return placed.withColumn("above", 1 - at / F.col("__m")).drop("__b", "__m")
+    placed = same(numbered(values, keys, "value", ("id",), "__i"), sizes, list(keys))
+    return placed.withColumn("above", 1 - (F.col("__i") - 1) / F.col("__m")).drop("__i", "__m")
 
 
 def max_pool(profile: DataFrame, points: int, keys: tuple[str, ...]) -> DataFrame:
     """Profile (keys, start, value) as at most points groups of neighbours: first start and largest value."""
-    own = Window.partitionBy(*keys)
-    n, i = F.count("*").over(own), F.row_number().over(own.orderBy("start")) - 1
+    sizes = profile.groupBy(*keys).agg(F.count(F.lit(1)).alias("__m"))
+    placed = same(numbered(profile, keys, "start", ("value",), "__i"), sizes, list(keys))
+    i, n = F.col("__i") - 1, F.col("__m")
     part = F.when(n <= points, i).otherwise(F.floor(i * points / n)).cast("long")
-    return profile.withColumn("part", part).groupBy(*keys, "part").agg(F.min("start").alias("start"), F.max("value").alias("value"))
+    return placed.withColumn("part", part).groupBy(*keys, "part").agg(F.min("start").alias("start"), F.max("value").alias("value"))
 
 
 def role(concept: Column, prevalence: Column, low: float = 0.001, high: float = 0.03) -> Column:
@@ -64,9 +63,9 @@ def role(concept: Column, prevalence: Column, low: float = 0.001, high: float =
     )
 
 
-def draw_splits(pool: DataFrame, order: Column, counts: list[tuple[str, int]]) -> DataFrame:
-    """The first rows of pool in the given order, dealt to splits without replacement."""
-    ranked = pool.withColumn("__r", F.row_number().over(Window.orderBy(order)))
+def draw_splits(pool: DataFrame, key: str, counts: list[tuple[str, int]], ties: tuple[str, ...] = ()) -> DataFrame:
+    """The first rows of pool in the order of key (and ties), dealt to splits without replacement."""
+    ranked = numbered(pool, (), key, ties, "__r")
     split, at = F.lit(None).cast("string"), 0
     for name, n in counts:
         split = F.when((F.col("__r") > at) & (F.col("__r") <= at + n), name).otherwise(split)

@@ -71,11 +71,21 @@ def selectivity(sites: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return means.withColumn("ratio", F.when(F.col("off_effect") == 0, float("inf")).otherwise(F.col("on_effect") / F.col("off_effect")))
 
 
-def contrastive_feature(rows: DataFrame) -> DataFrame:
-    """Of (window, feature, value, y): the feature with the largest mean over windows of positive less negative mean."""
+def contrastive_feature(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per keys and feature of (keys, window, feature, value, y): the mean over windows of positive less negative mean, over windows that have both."""
     on, off = F.avg(F.when(F.col("y") == 1, F.col("value"))), F.avg(F.when(F.col("y") == 0, F.col("value")))
-    per = rows.groupBy("window", "feature").agg((on - off).alias("contrast")).where("contrast IS NOT NULL")
-    return per.groupBy("feature").agg(F.avg("contrast").alias("contrast"), F.count("*").alias("n_windows"))
+    per = rows.groupBy(*keys, "window", "feature").agg((on - off).alias("contrast")).where("contrast IS NOT NULL")
+    return per.groupBy(*keys, "feature").agg(F.avg("contrast").alias("contrast"), F.count("*").alias("n_windows"))
+
+
+def discovered(contrasts: DataFrame, keys: tuple[str, ...] = ("concept",)) -> DataFrame:
+    """(keys, feature, contrast): the feature of the largest contrast, the first of equals; fails for keys without any contrast.
+
+    contrasts: those of contrastive_feature, joined to all keys that are asked for.
+    """
+    best = contrasts.groupBy(*keys).agg(F.max(F.struct("contrast", (-F.col("feature")).alias("f"))).alias("m"))
+    missing = F.raise_error(F.concat(F.lit("no window has both classes: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys]))).cast("int")
+    return best.select(*keys, F.when(F.col("m.contrast").isNull(), missing).otherwise(-F.col("m.f")).alias("feature"), F.col("m.contrast").alias("contrast"))
 
 
 def intervention_norms(delta: DataFrame) -> DataFrame:

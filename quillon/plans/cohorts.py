@@ -9,6 +9,7 @@ from quillon.functions import scalar
 from quillon.operators import controls, genes, interventions, intervals, manifests, panels, ranks, stores, validators
 from quillon.plans.queries import ORACLES, QUERIES, RATES, query, rounded
 from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table
+from quillon.sources import fasta, files, shards
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -124,9 +125,11 @@ def manifest_build(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf).select("chrom", "win_start", "win_end", "split")
 
 
-@query(_MANIFEST + ", o AS (SELECT *, max(win_end) OVER (PARTITION BY chrom ORDER BY win_start, win_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM man) SELECT chrom, win_start, reach FROM o WHERE win_start < reach")
+@query(f"WITH {EV}, man AS (SELECT DISTINCT chrom, s AS win_start, e AS win_end FROM ev), o AS (SELECT *, max(win_end) OVER (PARTITION BY chrom ORDER BY win_start, win_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM man) SELECT chrom, win_start, reach FROM o WHERE win_start < reach")
 def manifest_overlaps(spark: SparkSession, sf: str) -> DataFrame:
-    return manifests.overlaps(_manifest(spark, sf)).select("chrom", "win_start", "reach")
+    """Windows around every event that overlap those before them."""
+    windows = spans(spark, sf).select("chrom", F.col("start").alias("win_start"), F.col("end").alias("win_end")).distinct()
+    return manifests.overlaps(windows, 14 * DAY).select("chrom", "win_start", "reach")
 
 
 @query(_MANIFEST + " SELECT split, count(*) AS n_bins, min(b) AS low FROM (SELECT split, win_start + unnest(range(0, 5)) * 60 AS b FROM man) GROUP BY split")
@@ -146,10 +149,8 @@ def choose_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH s AS (SELECT vec_id, vec_id % 7 AS shard FROM embeddings) SELECT vec_id, shard, row_number() OVER (ORDER BY {draw_sql("concat_ws('|', '1/0', CAST(shard AS VARCHAR))")}, shard, {draw_sql("concat_ws('|', '1/0', CAST(shard AS VARCHAR), CAST(vec_id AS VARCHAR))")}, vec_id) AS at FROM s")
 def epoch_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 7).alias("shard"), F.col("vec_id").alias("row"))
-    return rows.withColumn("at", F.row_number().over(Window.orderBy(*manifests.epoch_order(rows, "1", 0))).cast("long")).drop("row")
+    return manifests.in_epoch_order(rows, "1", 0).drop("row")
 
 
 @query(f"WITH s AS (SELECT s_suppkey AS id, s_acctbal AS value FROM supplier), n AS (SELECT *, CAST((row_number() OVER (ORDER BY value, id) - 1) * 10 // count(*) OVER () AS BIGINT) AS slice FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY {draw_sql("concat_ws('|', 'slices', CAST(id AS VARCHAR))")}, id) AS r FROM n) SELECT id, slice FROM r WHERE r = 1")
@@ -158,6 +159,33 @@ def one_per_slice(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.one_per_slice(sites, 10).select("id", "slice")
 
 
+# Files
+
+
+@query(f"WITH {SEQ} SELECT CAST(id AS VARCHAR) AS chrom, CAST(length(sequence) AS BIGINT) AS n, " + ", ".join(f"CAST(length(sequence) - length(replace(sequence, '{b}', '')) AS BIGINT) AS n_{b.lower()}" for b in "ACGT") + " FROM seq WHERE length(sequence) > 0")
+def fasta_bases(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sequence's letters, from FASTA files written of the documents and read by ranges, in several partitions a record."""
+    path = files.shared_path(spark, "fasta")
+    lines = F.array_join(F.regexp_extract_all("sequence", F.lit("(.{1,60})"), 1), "\n")
+    sequences(spark, sf).where("sequence <> ''").select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit(" bases\n"), lines).alias("value")).write.text(path)
+    chunks = fasta.read_chunks(spark, fasta.index_fasta(spark, path), chunk=1024, range_bytes=1 << 14)
+    count = lambda b: F.sum(F.length("bases") - F.length(F.replace("bases", F.lit(b), F.lit("")))).cast("long").alias(f"n_{b.lower()}")
+    return chunks.groupBy("chrom").agg(F.sum(F.length("bases")).cast("long").alias("n"), *[count(b) for b in "ACGT"])
+
+
+@query("WITH e AS (SELECT vec_id, vec_id // 100 AS shard, row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1 AS row, embedding FROM embeddings) SELECT CAST(shard AS INTEGER) AS shard, row, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM e")
+def shard_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors written as NPY shards and read back by blocks whose digests hold."""
+    from pyspark.sql import Window
+
+    own = table(spark, sf, "embeddings").withColumn("shard", F.floor(F.col("vec_id") / 100).cast("int"))
+    rows = own.select(F.lit("t").alias("tap"), F.lit("test").alias("split"), "shard", (F.row_number().over(Window.partitionBy("shard").orderBy("vec_id")) - 1).cast("long").alias("row"), F.col("embedding").alias("vec"))
+    folder = files.shared_path(spark, "shards")
+    shards.write_shards(rows, folder, "float32", block=64)
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x)
+    return rounded(shards.read_shards(spark, folder, "t", "test", partition_bytes=1 << 16).select("shard", "row", total.alias("total")), "total", digits=5)
+
+
 # Stores
 
 
@@ -254,35 +282,36 @@ def firing_strengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {RATES}, near AS (SELECT a.feature AS target, b.feature AS control FROM rt a JOIN rt b ON a.feature < 4 AND b.feature >= 4 AND abs(a.rate - b.rate) <= (0.25 + 1e-12) * greatest(abs(a.rate), 1e-12)), c AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {draw_sql("concat_ws('|', 'controls', CAST(target AS VARCHAR), CAST(control AS VARCHAR))")}, control) AS rank FROM near),"
-    f" ring AS (SELECT feature, row_number() OVER (ORDER BY {draw_sql("concat_ws('|', 'controls', CAST(feature AS VARCHAR))")}, feature) - 1 AS place, count(*) OVER () AS size FROM rt WHERE feature >= 4), lone AS (SELECT feature AS target, unnest(range(1, 4)) AS rank FROM rt WHERE feature < 4 AND feature NOT IN (SELECT target FROM near))"
+    f"WITH {RATES}, near AS (SELECT a.feature AS target, b.feature AS control FROM rt a JOIN rt b ON a.rate > (SELECT avg(rate) FROM rt) AND b.rate <= (SELECT avg(rate) FROM rt) AND abs(a.rate - b.rate) <= (0.25 + 1e-12) * greatest(abs(a.rate), 1e-12)), c AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY {draw_sql("concat_ws('|', 'controls', CAST(target AS VARCHAR), CAST(control AS VARCHAR))")}, control) AS rank FROM near),"
+    f" ring AS (SELECT feature, row_number() OVER (ORDER BY {draw_sql("concat_ws('|', 'controls', CAST(feature AS VARCHAR))")}, feature) - 1 AS place, count(*) OVER () AS size FROM rt WHERE rate <= (SELECT avg(rate) FROM rt)), lone AS (SELECT feature AS target, unnest(range(1, 4)) AS rank FROM rt WHERE rate > (SELECT avg(rate) FROM rt) AND feature NOT IN (SELECT target FROM near))"
     f" SELECT target, control, CAST(rank AS INTEGER) AS rank FROM c WHERE rank <= 3 UNION ALL SELECT target, feature, CAST(rank AS INTEGER) FROM lone JOIN ring ON rank <= size AND place = ({draw_sql("concat_ws('|', 'controls', CAST(target AS VARCHAR))")} + rank - 1) % size"
 )
 def matched_controls(spark: SparkSession, sf: str) -> DataFrame:
     rates = _features(spark, sf).select("feature", "rate")
-    return controls.activity_matched(rates, rates.where("feature < 4").select("feature"), 3)
+    mean = rates.agg(F.avg("rate").alias("mean"))
+    return controls.activity_matched(rates, rates.join(mean, F.col("rate") > F.col("mean")).select("feature"), 3)
 
 
-_PAIR = "JOIN f b ON a.feature < 16 AND b.feature <> a.feature AND b.max_auroc < 0.55"
+_PAIR = "JOIN f b ON b.feature <> a.feature AND b.max_auroc < 0.55"
 _NEAR = "abs(b.rate - a.rate) <= (0.25 + 1e-12) * a.rate"
 
 
 @query(f"{_FEATURES}, p AS (SELECT a.feature AS target, b.feature AS control, count(*) OVER (PARTITION BY a.feature) AS n_candidates, row_number() OVER (PARTITION BY a.feature ORDER BY {draw_sql("concat_ws('|', '1234', CAST(a.feature AS VARCHAR), CAST(b.feature AS VARCHAR))")}, b.feature) AS r FROM f a {_PAIR} AND {_NEAR}) SELECT target, control, n_candidates FROM p WHERE r = 1")
 def low_auroc_control(spark: SparkSession, sf: str) -> DataFrame:
     own = _features(spark, sf)
-    return controls.low_auroc_control(own, own.where("feature < 16"))
+    return controls.low_auroc_control(own, own)
 
 
 @query(f"{_FEATURES}, p AS (SELECT a.feature AS target, b.feature AS control, abs(b.fired - a.fired) / CAST(a.fired AS DOUBLE) AS difference, row_number() OVER (PARTITION BY a.feature ORDER BY abs(b.fired - a.fired) / CAST(a.fired AS DOUBLE), abs(b.rate - a.rate), b.feature) AS r FROM f a {_PAIR} AND {_NEAR} AND a.fired > 0 AND b.fired > 0 AND abs(b.fired - a.fired) / CAST(a.fired AS DOUBLE) <= 0.25 + 1e-12) SELECT target, control, round(difference, 6) AS difference FROM p WHERE r = 1")
 def local_rate_control(spark: SparkSession, sf: str) -> DataFrame:
     own = _features(spark, sf)
-    return rounded(controls.local_rate_control(own, own.where("feature < 16")), "difference")
+    return rounded(controls.local_rate_control(own, own), "difference")
 
 
 @query(f"{_FEATURES}, d AS (SELECT a.feature AS target, b.feature AS control, abs(b.fired - a.fired) / CAST(a.fired AS DOUBLE) AS x, abs(b.strength - a.strength) / a.strength AS y FROM f a {_PAIR} AND a.fired > 0 AND b.fired > 0), p AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY greatest(x, y), x + y, control) AS r FROM d WHERE x <= 0.25 + 1e-12 AND y <= 0.25 + 1e-12) SELECT target, control, round(x, 6) AS rate_difference, round(y, 6) AS strength_difference FROM p WHERE r = 1")
 def local_strength_control(spark: SparkSession, sf: str) -> DataFrame:
     own = _features(spark, sf)
-    return rounded(controls.local_strength_control(own, own.where("feature < 16")), "rate_difference", "strength_difference")
+    return rounded(controls.local_strength_control(own, own), "rate_difference", "strength_difference")
 
 
 @query(f"WITH {CHANNELS}, {CODES}, c AS (SELECT id // 2 AS win, id % 2 AS bin, feature, CAST(value AS DOUBLE) AS l2 FROM codes), t AS (SELECT win, bin, min(l2) AS l2 FROM c GROUP BY ALL), n AS (SELECT win, count(*) AS n, sum(l2) AS s FROM t GROUP BY win), b AS (SELECT c.win, feature, count(*) AS n_both, sum(c.l2) AS s FROM c JOIN t USING (win, bin) GROUP BY ALL), r AS (SELECT win, feature, b.s / n.s AS ratio, n.n AS n_active FROM b JOIN n USING (win) WHERE n_both = n.n AND b.s / n.s BETWEEN 0.75 AND 1.25), o AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY abs(ln(round(ratio, 9))), 63 - feature, feature) AS k FROM r) SELECT win, feature AS control, round(ratio, 6) AS ratio, n_active FROM o WHERE k = 1")

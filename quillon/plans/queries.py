@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar, sequence
-from quillon.operators import inference, intervals, ranks, reports, vectors
+from quillon.operators import controls, inference, intervals, ranks, reports, vectors
 from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table, weights
 from quillon.sources import receipts
 
@@ -328,14 +328,14 @@ def event_enrichment_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     ENRICH
-    + f""", o AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM blocks), d AS (SELECT rep, slot, {draw_sql("concat_ws('|', 'boot', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))")} % (SELECT max(n) FROM o) AS i FROM range(0, 200) a(rep), range(0, (SELECT max(n) FROM o)) b(slot)),
+    + f""", o AS (SELECT *, row_number() OVER (ORDER BY block) - 1 AS i, count(*) OVER () AS n FROM blocks), d AS (SELECT rep, slot, {draw_sql("concat_ws('|', 'boot', CAST(rep AS VARCHAR), CAST(slot AS VARCHAR))")} % (SELECT max(n) FROM o) AS i FROM range(0, 2000) a(rep), range(0, (SELECT max(n) FROM o)) b(slot)),
 t AS (SELECT rep, ln((sum(es) / sum(en) + 1e-12) / (sum(bs) / sum(bn) + 1e-12)) AS v FROM d JOIN o USING (i) GROUP BY rep HAVING sum(en) > 0 AND sum(bn) > 0)
 SELECT round((SELECT ln((sum(es) / sum(en) + 1e-12) / (sum(bs) / sum(bn) + 1e-12)) FROM o), 6) AS log_enrichment, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM t"""
 )
 def event_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     blocks = _event_blocks(spark, sf)  # one row a day: bounded by the time that the data span
     numbered = blocks.withColumn("i", (F.row_number().over(Window.orderBy("block")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))
-    slots = numbered.select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("rep"))
+    slots = numbered.select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("rep"))
     drawn = slots.select("rep", F.pmod(scalar.draw(F.lit("boot"), F.col("rep"), F.col("slot")), F.col("n")).alias("i"))
     value = F.log((F.sum("es") / F.sum("en") + 1e-12) / (F.sum("bs") / F.sum("bn") + 1e-12))
     reps = drawn.join(numbered, "i").groupBy("rep").agg(F.when((F.sum("en") > 0) & (F.sum("bn") > 0), value).alias("v"))
@@ -541,15 +541,11 @@ def seed_agreement_cosine(spark: SparkSession, sf: str) -> DataFrame:
 RATES = f"{CHANNELS}, {CODES}, rt AS (SELECT feature, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM embeddings) AS rate FROM codes GROUP BY feature)"
 
 
-@query(f"WITH {RATES}, l2 AS (SELECT feature, sqrt(sum(CAST(value AS DOUBLE) ** 2)) AS l2 FROM codes GROUP BY feature), p AS (SELECT a.feature AS target, b.feature AS control, a.l2 / b.l2 AS scale, row_number() OVER (PARTITION BY a.feature ORDER BY abs(ln(round(b.l2 / a.l2, 9))), b.feature) AS r FROM l2 a JOIN l2 b ON a.feature < 8 AND b.feature >= 8) SELECT target, control, round(scale, 6) AS scale, scale BETWEEN 0.75 AND 1.25 AS within FROM p WHERE r = 1")
+@query(f"WITH {RATES}, l2 AS (SELECT feature, sqrt(sum(CAST(value AS DOUBLE) ** 2)) AS l2 FROM codes GROUP BY feature), p AS (SELECT a.feature AS target, b.feature AS control, a.l2 / b.l2 AS scale, row_number() OVER (PARTITION BY a.feature ORDER BY abs(ln(round(b.l2 / a.l2, 9))), b.feature) AS r FROM l2 a JOIN l2 b ON a.feature <> b.feature) SELECT target, control, round(scale, 6) AS scale, scale BETWEEN 0.75 AND 1.25 AS within FROM p WHERE r = 1")
 def dose_matched_control(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value").cast("double")
-    norm = codes(spark, sf).groupBy("feature").agg(F.sqrt(F.sum(v * v)).alias("l2"))  # one row a feature
-    target, control = norm.where("feature < 8").select(F.col("feature").alias("target"), F.col("l2").alias("t")), norm.where("feature >= 8").select(F.col("feature").alias("control"), F.col("l2").alias("c"))
-    pairs = target.join(control, F.lit(True)).withColumn("d", F.abs(F.log(F.round(F.col("c") / F.col("t"), 9))))
-    order = Window.partitionBy("target").orderBy("d", "control")
-    best = pairs.withColumn("r", F.row_number().over(order)).where("r = 1").withColumn("scale", vectors.dose_scale(F.col("t"), F.col("c")))
-    return rounded(best.select("target", "control", "scale", F.col("scale").between(0.75, 1.25).alias("within")), "scale")
+    norms = codes(spark, sf).groupBy("feature").agg(F.sqrt(F.sum(v * v)).alias("l2"))
+    return rounded(controls.nearest_dose(norms), "scale")
 
 
 @query("WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS before, round(list_sum(list_transform(list_zip(v, list_transform(range(0, 64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125 ELSE -0.125 END)), lambda z: (z[1] - v[1] * z[2]) ** 2)), 6) AS after FROM e")
@@ -560,11 +556,11 @@ def ablation_delta(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(e.select("vec_id", scalar.dot(F.col("embedding"), F.col("embedding")).alias("before"), scalar.dot(cut, cut).alias("after")), "before", "after")
 
 
-@query(f"WITH {CHANNELS}, s AS (SELECT feature, CAST(value AS DOUBLE) ** 2 AS effect, CAST(label = 0 AS INTEGER) AS y FROM ch JOIN embeddings ON id = vec_id) SELECT feature, round(avg(CASE WHEN y = 1 THEN effect END), 6) AS on_effect, round(avg(CASE WHEN y = 0 THEN effect END), 6) AS off_effect, round(avg(CASE WHEN y = 1 THEN effect END) / avg(CASE WHEN y = 0 THEN effect END), 6) AS ratio FROM s GROUP BY feature")
+@query(f"WITH {CHANNELS}, {ONE_HOT}, s AS (SELECT concept, feature, CAST(value AS DOUBLE) ** 2 AS effect, y FROM ch JOIN lab USING (id)) SELECT concept, feature, round(avg(CASE WHEN y = 1 THEN effect END), 6) AS on_effect, round(avg(CASE WHEN y = 0 THEN effect END), 6) AS off_effect, round(avg(CASE WHEN y = 1 THEN effect END) / avg(CASE WHEN y = 0 THEN effect END), 6) AS ratio FROM s GROUP BY ALL")
 def ablation_selectivity(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("value").cast("double")
-    sites = channels(spark, sf).select("id", "feature", (v * v).alias("effect")).join(one_hot(spark, sf).where("concept = 0"), "id")
-    return rounded(vectors.selectivity(sites, ("feature",)), "on_effect", "off_effect", "ratio")
+    sites = channels(spark, sf).select("id", "feature", (v * v).alias("effect")).join(one_hot(spark, sf), "id")
+    return rounded(vectors.selectivity(sites, ("concept", "feature")), "on_effect", "off_effect", "ratio")
 
 
 @query("WITH g AS (SELECT o_orderpriority AS modality, log2((o_totalprice + 1.0) / (c_acctbal + 1001.0)) AS r FROM orders JOIN customer ON o_custkey = c_custkey) SELECT modality, count(*) AS n, round(median(r), 6) AS median_log2, round(avg(CAST(r > 0 AS DOUBLE)), 6) AS increased FROM g GROUP BY modality")
@@ -579,10 +575,23 @@ def mediation_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", scalar.guarded_ratio(F.col("l_discount"), F.col("l_tax")).alias("ratio")), "ratio")
 
 
-@query(f"WITH {CHANNELS}, x AS (SELECT id % 7 AS win, feature, CAST(value AS DOUBLE) AS v, CAST(label = 1 AS INTEGER) AS y FROM ch JOIN embeddings ON id = vec_id), p AS (SELECT win, feature, avg(CASE WHEN y = 1 THEN v END) - avg(CASE WHEN y = 0 THEN v END) AS c FROM x GROUP BY ALL) SELECT feature, round(avg(c), 6) AS contrast, count(*) AS n_windows FROM p WHERE c IS NOT NULL GROUP BY feature")
+CONTRASTS = f"{CHANNELS}, {ONE_HOT}, x AS (SELECT concept, id % 7 AS win, feature, CAST(value AS DOUBLE) AS v, y FROM ch JOIN lab USING (id)), p AS (SELECT concept, win, feature, avg(CASE WHEN y = 1 THEN v END) - avg(CASE WHEN y = 0 THEN v END) AS c FROM x GROUP BY ALL), k AS (SELECT concept, feature, avg(c) AS contrast, count(*) AS n_windows FROM p WHERE c IS NOT NULL GROUP BY ALL)"
+
+
+def _contrasts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = channels(spark, sf).join(one_hot(spark, sf), "id").select("concept", (F.col("id") % 7).alias("window"), "feature", F.col("value").cast("double").alias("value"), "y")
+    return vectors.contrastive_feature(rows, ("concept",))
+
+
+@query(f"WITH {CONTRASTS} SELECT concept, feature, round(contrast, 6) AS contrast, n_windows FROM k")
 def contrastive_discovery(spark: SparkSession, sf: str) -> DataFrame:
-    rows = channels(spark, sf).join(one_hot(spark, sf).where("concept = 1"), "id").select((F.col("id") % 7).alias("window"), "feature", F.col("value").cast("double").alias("value"), "y")
-    return rounded(vectors.contrastive_feature(rows), "contrast")
+    return rounded(_contrasts(spark, sf), "contrast")
+
+
+@query(f"WITH {CONTRASTS}, r AS (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY contrast DESC, feature) AS r FROM k) SELECT concept, feature, round(contrast, 6) AS contrast FROM r WHERE r = 1")
+def discovered_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Each concept's feature of the largest contrast."""
+    return rounded(vectors.discovered(_contrasts(spark, sf)), "contrast")
 
 
 @query(f"WITH {SEQ} SELECT id, length(sequence) AS n, round(CASE WHEN length(sequence) > 0 THEN length(regexp_replace(sequence, '[^GC]', '', 'g')) / CAST(length(sequence) AS DOUBLE) END, 6) AS gc FROM seq")
@@ -667,11 +676,12 @@ def maxpool_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.max_pool(profile, 90, ("concept",)), "value")
 
 
-@query(f"WITH k AS (SELECT o_orderkey, {draw_sql("concat_ws('|', 'manifest', CAST(o_orderkey AS VARCHAR))")} AS d FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY d, o_orderkey) AS r FROM k) SELECT o_orderkey, CASE WHEN r <= 50 THEN 'test' WHEN r <= 75 THEN 'dev' ELSE 'train' END AS split FROM r WHERE r <= 175")
+@query(f"WITH k AS (SELECT o_orderkey, {draw_sql("concat_ws('|', 'manifest', CAST(o_orderkey AS VARCHAR))")} AS d FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY d, o_orderkey) AS r, count(*) OVER () AS n FROM k) SELECT o_orderkey, CASE WHEN r <= n // 4 THEN 'test' WHEN r <= n // 4 + n // 8 THEN 'dev' ELSE 'train' END AS split FROM r WHERE r <= n // 4 + n // 8 + n // 2")
 def manifest_draw(spark: SparkSession, sf: str) -> DataFrame:
-    pool = table(spark, sf, "orders").select("o_orderkey")
-    key = F.struct(scalar.draw(F.lit("manifest"), F.col("o_orderkey")), F.col("o_orderkey"))
-    return reports.draw_splits(pool, key, [("test", 50), ("dev", 25), ("train", 100)])
+    """A quarter, an eighth and a half of all orders, in hash order."""
+    pool = table(spark, sf, "orders").select("o_orderkey", scalar.draw(F.lit("manifest"), F.col("o_orderkey")).alias("key"))
+    n = pool.count()
+    return reports.draw_splits(pool, "key", [("test", n // 4), ("dev", n // 8), ("train", n // 2)], ("o_orderkey",)).drop("key")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('seed|' || o_orderkey), o_orderkey) AS r FROM orders) WHERE r <= 5")
@@ -681,15 +691,17 @@ def hash_rank_selection(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").withColumn("r", F.row_number().over(order)).where("r <= 5").select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT count(*) AS shared FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0 INTERSECT SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 1)")
+@query("SELECT count(*) AS shared FROM (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O')")
 def fold_intersection_empty(spark: SparkSession, sf: str) -> DataFrame:
-    keys = table(spark, sf, "orders").select("o_orderkey")
-    return keys.where("o_orderkey % 4 = 0").intersect(keys.where("o_orderkey % 4 = 1")).agg(F.count("*").alias("shared"))
+    """How many orders two sets share: those with returned lines, and those with open ones."""
+    lines = table(spark, sf, "lineitem")
+    return lines.where("l_returnflag = 'R'").select("l_orderkey").intersect(lines.where("l_linestatus = 'O'").select("l_orderkey")).agg(F.count("*").alias("shared"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IS NOT NULL)")
 def set_difference(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Orders without a returned line."""
+    return table(spark, sf, "orders").select("o_orderkey").subtract(table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")))
 
 
 TERR = f"rg AS (SELECT chrom, b AS s, be AS e, (b // 86400) % 8 AS fold FROM hours), hf AS (SELECT chrom, s, e FROM rg WHERE fold IN (3, 4)), tf AS (SELECT chrom, s, e FROM rg WHERE fold NOT IN (3, 4)), {merged_sql('hf', 'h0')}, {merged_sql('tf', 't0')}, tp AS (SELECT chrom, greatest(s - 1800, 0) AS s, e + 1800 AS e FROM t0), {merged_sql('tp', 'tq')}, {subtracted_sql('h0', 'tq', 'h1')}, {subtracted_sql('t0', 'h1', 't1')}"

@@ -98,7 +98,7 @@ def test_local_edit_baselines(spark):
 def test_roles_and_splits(spark):
     rows = spark.createDataFrame([("blacklist", 0.5), ("shuffled_x", 0.5), ("a", 0.5), ("b", 0.01), ("c", 1e-5)], "c string, p double")
     assert [r[0] for r in rows.select(reports.role(F.col("c"), F.col("p"))).collect()] == ["artifact_control", "negative_control", "exploratory", "confirmatory", "excluded_too_rare"]
-    out = reports.draw_splits(spark.range(10), F.col("id"), [("test", 2), ("train", 3)]).orderBy("id").collect()
+    out = reports.draw_splits(spark.range(10), "id", [("test", 2), ("train", 3)]).orderBy("id").collect()
     assert [r["split"] for r in out] == ["test", "test", "train", "train", "train"]
 
 
