@@ -68,8 +68,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the token ids of each row; null and empty texts have none."""
-    return bpe.encode(docs.select("doc_id", "source", "text"), WORD_VOCABULARY, with_decoded=False).select("doc_id", "source", "n_tokens", "ids")
+    """doc_id, source, n_tokens and the token ids of each row; null and empty texts have none.
+
+    The worker's tables are smaller than alone, as earlier stages' tables stay with it.
+    """
+    return bpe.encode(docs.select("doc_id", "source", "text"), WORD_VOCABULARY, with_decoded=False, max_pieces=150_000, max_chunks=8_000).select("doc_id", "source", "n_tokens", "ids")
 
 
 STAGES = [
