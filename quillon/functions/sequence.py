@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.scalar import gc_fraction
+from quillon.operators.intervals import merge
+
 BASES = ("A", "C", "G", "T")
 
 
@@ -141,3 +144,33 @@ def best_hits(hits: DataFrame) -> DataFrame:
     """Each sequence's hit of the largest score, the first of equals (forward strand first)."""
     best = F.max(F.struct("score", (-F.col("start")).alias("s"), (F.col("strand") == "+").alias("plus"), "end", "strand", "window")).alias("h")
     return hits.groupBy("id").agg(best).select("id", (-F.col("h.s")).alias("start"), "h.end", "h.strand", "h.score", "h.window")
+
+
+def gc_bins(chunks: DataFrame, width: int) -> DataFrame:
+    """(chrom, bin_start, gc) of chunks (chrom, start, bases): whole bins of width; gc is null with letters other than A, C, G, T.
+
+    Chunks begin at multiples of width, and all but a chrom's last are of whole bins.
+    """
+    bins = chunks.select("chrom", "start", F.posexplode(F.regexp_extract_all("bases", F.lit(f"(?s).{{{width}}}"), F.lit(0))).alias("i", "b"))
+    return bins.select("chrom", (F.col("start") + F.col("i") * width).cast("long").alias("bin_start"), gc_fraction(F.col("b")).alias("gc"))
+
+
+def gc_quantile_bins(chunks: DataFrame, width: int, quantile: float, least: int = 10) -> DataFrame:
+    """Merged bins (chrom, start, end) of chunks (chrom, start, bases) in the top share of GC of their own chrom.
+
+    The threshold is the exact quantile over a chrom's known bins; chroms with
+    fewer than least of them have none. A single histogram row for each value
+    of GC (at most width + 1 a chrom) decides it, whatever the chrom's length.
+    """
+    if not 0 < quantile < 1:
+        raise ValueError("quantile has to lie between 0 and 1")
+    bins = gc_bins(chunks, width).where("gc IS NOT NULL")
+    values = bins.groupBy("chrom", "gc").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("chrom").orderBy("gc")
+    ranked = values.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy("chrom"))})
+    at = F.lit(quantile) * (F.col("all") - 1)
+    of = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("gc")))  # noqa: E731  the value of that rank, from 0
+    edges = ranked.groupBy("chrom", "all").agg(of(F.floor(at)).alias("a"), of(F.ceil(at)).alias("b")).where(F.col("all") >= least)
+    edges = edges.select("chrom", (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("edge"))
+    high = bins.join(edges, "chrom").where("gc >= edge")
+    return merge(high.select("chrom", F.col("bin_start").alias("start"), (F.col("bin_start") + width).alias("end")), validate=False)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.scalar import aligned_chrom
 from quillon.operators.intervals import merge, span
 from quillon.operators.reports import role
 
@@ -65,3 +66,54 @@ def gaps(runs: DataFrame) -> DataFrame:
 
 def concept_bases(panel: DataFrame) -> DataFrame:
     return span(panel)
+
+
+def consensus(marked: DataFrame, keys: tuple[str, ...], least: int, strict: bool = False) -> DataFrame:
+    """Per bin (keys) and mark of marked (keys, mark, cell): how many cells have it, and whether least do.
+
+    strict: fails for marks of which fewer cells than least have any bin. Marks of
+    a cell named "-" stand for no cell line: their bins count as they are.
+    """
+    cells = marked.select(*keys, "mark", "cell").distinct()
+    if strict:
+        n = marked.where("cell <> '-'").groupBy("mark").agg(F.countDistinct("cell").alias("n"))
+        few = n.where(F.col("n") < least).collect()  # one row a mark
+        if few:
+            raise ValueError("; ".join(f"{r['mark']}: {r['n']} files can't meet {least}" for r in sorted(few)))
+    sums = cells.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias("cells"), F.max((F.col("cell") == "-").cast("int")).alias("__alone"))
+    return sums.withColumn("consensus", (F.col("cells") >= least) | (F.col("__alone") == 1)).drop("__alone")
+
+
+def align_chroms(intervals: DataFrame, bins: DataFrame) -> DataFrame:
+    """intervals (chrom, ...) under the names that bins (chrom) use, chr1 or 1 and chrM or MT; unknown ones go.
+
+    ValueError if bins have no chrom, or names with and without chr.
+    """
+    names = bins.select("chrom").distinct()
+    n = names.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("chrom").startswith("chr")).alias("prefixed")).first()
+    if not n["all"]:
+        raise ValueError("the bins have no chromosomes")
+    if n["prefixed"] not in (0, n["all"]):
+        raise ValueError("the bins mix names with and without chr")
+    return intervals.withColumn("chrom", aligned_chrom(F.col("chrom"), n["prefixed"] > 0)).join(names, "chrom", "left_semi")
+
+
+def select_tracks(catalogue: DataFrame, strand: str, assays: dict[str, str | None]) -> DataFrame:
+    """Tracks (output, index, name, biosample, assay, strand, modified) of one strand, unmodified, of the asked outputs.
+
+    assays: output to the only assay that counts, or None for any. ValueError for outputs of which no track is left.
+    """
+    wanted = None
+    for output, assay in assays.items():
+        one = (F.col("output") == output) & (F.lit(True) if assay is None else F.col("assay") == assay)
+        wanted = one if wanted is None else wanted | one
+    found = catalogue.where(wanted & (F.col("strand") == strand) & ~F.coalesce(F.col("modified"), F.lit(False)))
+    missing = set(assays) - {r["output"] for r in found.select("output").distinct().collect()}
+    if missing:
+        raise ValueError(f"no tracks of {sorted(missing)}")
+    return found.select("output", "index", "name", "biosample", "assay", "strand")
+
+
+def unfinished(grid: DataFrame, finished: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Configurations of grid that finished lacks, each once."""
+    return grid.dropDuplicates(list(keys)).join(finished.select(*keys).distinct(), list(keys), "left_anti")

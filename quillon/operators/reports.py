@@ -52,12 +52,21 @@ def max_pool(profile: DataFrame, points: int, keys: tuple[str, ...]) -> DataFram
     return placed.withColumn("part", part).groupBy(*keys, "part").agg(F.min("start").alias("start"), F.max("value").alias("value"))
 
 
-def role(concept: Column, prevalence: Column, low: float = 0.001, high: float = 0.03) -> Column:
+#: Concepts whose names begin so belong to one cell line (fixed values).
+CELL_LINES = ("K562", "GM12878", "HepG2", "A549", "H1", "MCF-7")
+#: Concepts that are exploratory whatever their prevalence (fixed values).
+EXPLORATORY = ("cCRE_pELS", "cCRE_dELS")
+
+
+def role(concept: Column, prevalence: Column, low: float = 0.001, high: float = 0.03, exploratory: tuple[str, ...] = EXPLORATORY, cell_lines: tuple[str, ...] = CELL_LINES) -> Column:
     """A concept's role in a panel from its name and prevalence."""
+    of_cell = F.lit(False)
+    for line in cell_lines:
+        of_cell = of_cell | concept.startswith(f"{line}_")
     return (
         F.when(concept == "blacklist", "artifact_control")
         .when(concept.startswith("shuffled_"), "negative_control")
-        .when(prevalence > high, "exploratory")
+        .when(concept.isin(*exploratory) | of_cell | (prevalence > high), "exploratory")
         .when(prevalence >= low, "confirmatory")
         .otherwise("excluded_too_rare")
     )

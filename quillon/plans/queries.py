@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scalar, sequence
-from quillon.operators import controls, inference, intervals, ranks, reports, vectors
+from quillon.operators import controls, enrichment, inference, intervals, panels, ranks, reports, vectors
 from quillon.plans.stand_ins import CHANNELS, CODES, EV, HOURS, ONE_HOT, SEQ, WIDTH, channels, codes, draw_sql, hours, merged_sql, one_hot, sequences, spans, subtracted_sql, table, weights
 from quillon.sources import receipts
 
@@ -261,9 +261,8 @@ def grid_left_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {EV}, n AS (SELECT DISTINCT concept, s // 3600 * 3600 AS b, chrom FROM ev), c AS (SELECT b, concept, count(*) AS cells FROM n GROUP BY b, concept) SELECT b AS bin_start, concept, cells, cells >= 4 AS consensus FROM c")
 def consensus_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    seen = spans(spark, sf).select("concept", (F.floor(F.col("start") / WIDTH) * WIDTH).alias("bin_start"), "chrom").distinct()
-    cells = seen.groupBy("bin_start", "concept").agg(F.count("*").alias("cells"))
-    return cells.withColumn("consensus", F.col("cells") >= 4)
+    marked = spans(spark, sf).select(F.col("concept").alias("mark"), F.col("chrom").alias("cell"), (F.floor(F.col("start") / WIDTH) * WIDTH).alias("bin_start"))
+    return panels.consensus(marked, ("bin_start",), 4).withColumnRenamed("mark", "concept")
 
 
 @query(
@@ -304,20 +303,9 @@ ENRICH = LABELLED + ", v AS (SELECT chrom, s // 3600 * 3600 AS b, avg(value) AS
 
 
 def _event_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Per day: sums and counts of kernel means around domain centres, and of bins outside kernels and labels."""
     ev = spans(spark, sf)
     means = ev.groupBy("chrom", (F.floor(F.col("start") / WIDTH) * WIDTH).alias("bin_start")).agg(F.avg("value").alias("score"))
-    bins = intervals.contiguous_runs(_labelled(spark, sf).join(means, ["chrom", "bin_start"])).withColumn("block", intervals.block_id(F.col("bin_start"), 86400))
-    centres = intervals.domain_centres(bins.drop("run")).select("chrom", "centre")
-    placed = centres.join(bins.select("chrom", F.col("bin_start").alias("centre"), "run", "block"), ["chrom", "centre"])
-    near = placed.withColumn("bin_start", F.explode(F.sequence(F.col("centre") - 2 * WIDTH, F.col("centre") + 2 * WIDTH, F.lit(WIDTH).cast("long"))))
-    kernel = near.join(bins.select("chrom", "run", "bin_start", "score"), ["chrom", "run", "bin_start"])
-    weight = F.exp(-F.pow((F.col("bin_start") - F.col("centre")) / F.lit(float(WIDTH)), 2) / 2)
-    events = kernel.groupBy("chrom", "centre", "block").agg((F.sum(weight * F.col("score")) / F.sum(weight)).alias("event"))
-    outside = bins.where("NOT label").join(kernel.select("chrom", "bin_start").distinct(), ["chrom", "bin_start"], "left_anti")
-    a = events.groupBy("block").agg(F.sum("event").alias("es"), F.count("*").alias("en"))
-    b = outside.groupBy("block").agg(F.sum("score").alias("bs"), F.count("*").alias("bn"))
-    return a.join(b, "block", "full").fillna(0)
+    return enrichment.event_blocks(_labelled(spark, sf).join(means, ["chrom", "bin_start"]), WIDTH, 86400, cell=CELL)
 
 
 @query(ENRICH + " SELECT block, round(es, 6) AS event_sum, en AS n_events, round(bs, 6) AS background_sum, bn AS n_background FROM blocks")
@@ -333,14 +321,8 @@ t AS (SELECT rep, ln((sum(es) / sum(en) + 1e-12) / (sum(bs) / sum(bn) + 1e-12))
 SELECT round((SELECT ln((sum(es) / sum(en) + 1e-12) / (sum(bs) / sum(bn) + 1e-12)) FROM o), 6) AS log_enrichment, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM t"""
 )
 def event_bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    blocks = _event_blocks(spark, sf)  # one row a day: bounded by the time that the data span
-    numbered = blocks.withColumn("i", (F.row_number().over(Window.orderBy("block")) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy()))
-    slots = numbered.select(F.col("i").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("rep"))
-    drawn = slots.select("rep", F.pmod(scalar.draw(F.lit("boot"), F.col("rep"), F.col("slot")), F.col("n")).alias("i"))
-    value = F.log((F.sum("es") / F.sum("en") + 1e-12) / (F.sum("bs") / F.sum("bn") + 1e-12))
-    reps = drawn.join(numbered, "i").groupBy("rep").agg(F.when((F.sum("en") > 0) & (F.sum("bn") > 0), value).alias("v"))
-    ci = reps.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
-    return rounded(numbered.agg(value.alias("log_enrichment")).join(ci, F.lit(True)), "log_enrichment", "low", "high")
+    return rounded(enrichment.log_enrichment(_event_blocks(spark, sf)).drop("n_draws"), "log_enrichment", "low", "high")
+
 
 
 #: Draws of a null: with ten concepts the least p has to be below .005 for a discovery at .05.
@@ -604,10 +586,8 @@ WIN = "w AS (SELECT id, st, substr(sequence, CAST(st + 1 AS BIGINT), 64) AS win
 
 @query(f"WITH {SEQ}, {WIN}, g AS (SELECT id, st, length(regexp_replace(win, '[^GC]', '', 'g')) / 64.0 AS gc FROM w), q AS (SELECT id, quantile_cont(gc, 0.75) AS q FROM g GROUP BY id HAVING count(*) >= 2), k AS (SELECT CAST(id AS VARCHAR) AS chrom, st AS s, st + 64 AS e FROM g JOIN q USING (id) WHERE gc >= q), {merged_sql('k', 'm')} SELECT chrom, s AS \"start\", e AS \"end\" FROM m")
 def gc_quantile(spark: SparkSession, sf: str) -> DataFrame:
-    bins = sequence.sequence_windows(sequences(spark, sf), 64, 64).select("id", "start", scalar.gc_fraction(F.col("window")).alias("gc"))
-    edge = bins.groupBy("id").agg(F.percentile("gc", 0.75).alias("q"), F.count("*").alias("n")).where("n >= 2")
-    high = bins.join(edge, "id").where("gc >= q").select(F.col("id").cast("string").alias("chrom"), F.col("start").cast("long").alias("start"), (F.col("start") + 64).cast("long").alias("end"))
-    return intervals.merge(high)
+    chunks = sequences(spark, sf).select(F.col("id").cast("string").alias("chrom"), F.lit(0).cast("long").alias("start"), F.col("sequence").alias("bases"))
+    return sequence.gc_quantile_bins(chunks, 64, 0.75, 2)
 
 
 @query(
