@@ -32,6 +32,8 @@ BUCKET_BITS = 20
 MAX_TRAIN = 12_000
 #: Chi square, and share of rows, at which a term's weight is a quarter.
 CHI, SHARE = 14.0, 0.05
+#: A weight below this is 0: it moves no score by as much as a thousandth of what a telling term does.
+LEAST_WEIGHT = 0.001
 RANK = 6
 EPOCHS = 12
 LEAST_STEPS = 500
@@ -64,7 +66,7 @@ class Machine:
 
 
 def weigh(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All buckets of the rows that not every row has, ascending, and their weights."""
+    """The buckets of the rows that have a weight and that not every row has, ascending, and their weights."""
     size, n, k = 1 << BUCKET_BITS, len(y), float(y.sum())
     with_term, toxic = np.zeros(size), np.zeros(size)
     for r, label in zip(rows, y, strict=True):  # a row names a bucket once
@@ -74,8 +76,8 @@ def weigh(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray
     chi = (toxic - expected) ** 2 / np.maximum(expected * (1 - k / n) * (1 - with_term / n), 1e-9)
     share = with_term / n
     weight = np.maximum(chi / (chi + CHI), share / (share + SHARE)) ** 2
-    buckets = np.flatnonzero((with_term > 0) & (with_term < n))
-    return buckets, weight[buckets]
+    buckets = np.flatnonzero((weight >= LEAST_WEIGHT) & (with_term > 0) & (with_term < n))
+    return buckets, weight[buckets].astype(np.float32)
 
 
 def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
@@ -83,14 +85,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
     y = np.asarray(y, dtype=np.float64)
     share = (y.sum() + 0.5) / (len(y) + 1)
     w0 = float(np.log(share / (1 - share)))
-    buckets, x = weigh(rows, y) if 0 < y.sum() < len(y) else (np.empty(0, dtype=np.int64), np.empty(0))
+    buckets, x = weigh(rows, y) if 0 < y.sum() < len(y) else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.float32))
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(len(buckets)), rng.normal(0, 0.01, (len(buckets), RANK))
+    w, v = np.zeros(len(buckets), dtype=np.float32), rng.normal(0, 0.01, (len(buckets), RANK)).astype(np.float32)
     model = Machine(buckets, w0, w, v)
     if not len(buckets):
         return model
     places = [at[at >= 0] for at in (model.slot[r] for r in rows)]
-    g0, gw, gv = 1e-3, np.full(len(w), 1e-3), np.full(v.shape, 1e-3)
+    g0, gw, gv = 1e-3, np.full(len(w), 1e-3, dtype=np.float32), np.full(v.shape, 1e-3, dtype=np.float32)
     weight = np.where(y == 1, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05))
     for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
@@ -113,7 +115,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Machine:
             w[used] -= RATE * dw / np.sqrt(gw[used])
             v[used] -= RATE / 4 * dv / np.sqrt(gv[used])
     # A term's weight is the same in every text: it goes into the model's rows.
-    return Machine(buckets, float(w0), w * x, v * x[:, None])
+    return Machine(buckets, float(w0), (w * x).astype(np.float64), (v * x[:, None]).astype(np.float64))
 
 
 def held_out(id: Column) -> Column:
