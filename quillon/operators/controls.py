@@ -98,8 +98,10 @@ def nearest_dose(norms: DataFrame, low: float = 0.75, high: float = 1.25) -> Dat
     """(target, control, scale, within): for each feature of (feature, l2) the other one of nearest size, by the ratio's logarithm; the lower feature of equals.
 
     In the order of sizes the nearest one is the next smaller or larger size, or
-    one of the same; each size is one row, so that no pairs are formed.
+    one of the same; each size is one row, so that no pairs are formed. The
+    sizes are persisted, as they are read several times.
     """
+    norms = norms.persist()
     sizes = norms.where("l2 > 0").groupBy("l2").agg(F.min("feature").alias("first"), F.count(F.lit(1)).alias("n"))
     sizes = before(sizes, (), "l2", {"down": ("max", "l2")}).withColumn("fall", -F.col("l2"))
     sizes = before(sizes, (), "fall", {"up": ("max", "fall")}).withColumn("up", -F.col("up"))

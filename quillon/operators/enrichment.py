@@ -38,7 +38,9 @@ def log_enrichment(blocks: DataFrame, draws: int = 2000, seed: str = "boot", con
     A draw takes as many blocks as there are, with replacement, by hash. Draws
     without events or background don't count. All are one table (draw, block)
     joined to the blocks and summed. Without events or background all is null.
+    The blocks are persisted, as they are read several times.
     """
+    blocks = blocks.persist()
     known = (F.sum("en") > 0) & (F.sum("bn") > 0)
     value = F.when(known, F.log((F.sum("es") / F.sum("en") + epsilon) / (F.sum("bs") / F.sum("bn") + epsilon)))
     own = numbered(blocks, (), "block", ()).withColumn("i", F.col("number") - 1).drop("number")
