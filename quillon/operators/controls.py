@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import draw
-from quillon.operators.orders import before, numbered
+from quillon.operators.orders import numbered
 from quillon.operators.validators import count_if
 
 MAX_AUROC = 0.55
@@ -103,8 +103,8 @@ def nearest_dose(norms: DataFrame, low: float = 0.75, high: float = 1.25) -> Dat
     """
     norms = norms.persist()
     sizes = norms.where("l2 > 0").groupBy("l2").agg(F.min("feature").alias("first"), F.count(F.lit(1)).alias("n"))
-    sizes = before(sizes, (), "l2", {"down": ("max", "l2")}).withColumn("fall", -F.col("l2"))
-    sizes = before(sizes, (), "fall", {"up": ("max", "fall")}).withColumn("up", -F.col("up"))
+    order = Window.orderBy("l2")  # a row a size: a dictionary's features at most
+    sizes = sizes.withColumns({"down": F.lag("l2").over(order), "up": F.lead("l2").over(order)})
     second = norms.join(sizes.where("n > 1").select("l2", "first"), "l2").where(F.col("feature") > F.col("first")).groupBy("l2").agg(F.min("feature").alias("second"))
     of = sizes.select(F.col("l2").alias("c"), F.col("first").alias("control"))
     own = norms.select(F.col("feature").alias("target"), "l2").join(sizes, "l2").join(second, "l2", "left")

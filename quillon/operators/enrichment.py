@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import draw
 from quillon.operators.intervals import block_id, contiguous_runs, domain_centres
-from quillon.operators.orders import numbered, same
+from quillon.operators.orders import same
 
 
 def event_blocks(bins: DataFrame, width: int, block: int, sigma: float = 1.0, radius: int = 2, cell: int | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def log_enrichment(blocks: DataFrame, draws: int = 2000, seed: str = "boot", con
     blocks = blocks.persist()
     known = (F.sum("en") > 0) & (F.sum("bn") > 0)
     value = F.when(known, F.log((F.sum("es") / F.sum("en") + epsilon) / (F.sum("bs") / F.sum("bn") + epsilon)))
-    own = numbered(blocks, (), "block", ()).withColumn("i", F.col("number") - 1).drop("number")
+    own = blocks.withColumn("i", (F.row_number().over(Window.orderBy("block")) - 1).cast("long"))  # a row a block: the genome's length over the block's
     size = blocks.agg(F.count(F.lit(1)).alias("n"))
     slots = own.select(F.col("i").alias("slot")).join(size, F.lit(True)).select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     drawn = slots.select("draw", F.pmod(draw(F.lit(seed), F.col("draw"), F.col("slot")), F.col("n")).alias("i"))
