@@ -22,7 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2
 #: Parts of a source's documents of one size, by hash; as many at every size of the input.
-SALTS = 1024
+SALTS = 64
 #: Random offsets drawn for each source; the one whose words come nearest to the target is taken.
 OFFSETS = 16
 
