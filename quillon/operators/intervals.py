@@ -84,12 +84,13 @@ def span(frame: DataFrame) -> DataFrame:
 
 
 def subtract(left: DataFrame, right: DataFrame, cell: int | None = None) -> DataFrame:
-    """The parts of left that right doesn't cover: one sweep over both sides' ends."""
-    ends = None
-    for side, frame in (("l", left), ("r", right)):
-        for column, step in (("start", 1), ("end", -1)):
-            part = frame.select("chrom", F.col(column).alias("pos"), F.lit(step if side == "l" else 0).alias("l"), F.lit(step if side == "r" else 0).alias("r"))
-            ends = part if ends is None else ends.union(part)
+    """The parts of left that right doesn't cover: one sweep over both sides' ends. Each side is made once."""
+
+    def steps(frame: DataFrame, l: int, r: int) -> DataFrame:  # noqa: E741
+        of = lambda c, sign: F.struct(F.col(c).alias("pos"), F.lit(sign * l).alias("l"), F.lit(sign * r).alias("r"))
+        return frame.select("chrom", F.inline(F.array(of("start", 1), of("end", -1))))
+
+    ends = steps(left, 1, 0).union(steps(right, 0, 1))
     ends = ends.groupBy("chrom", "pos").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     depth = scan(ends, ("chrom",), "pos", {"end": ("lead", "pos"), "in_l": ("sum", "l"), "in_r": ("sum", "r")}, cell)
     pieces = depth.where("in_l > 0 AND in_r = 0 AND end IS NOT NULL").select("chrom", F.col("pos").alias("start"), "end")
@@ -248,14 +249,17 @@ def largest_gap(gaps: DataFrame) -> DataFrame:
 
 
 def territory(regions: DataFrame, valid: str, test: str, margin: int, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Held-out and trained intervals of folds (chrom, start, end, fold): held out is valid and test less the padded rest."""
+    """Held-out and trained intervals of folds (chrom, start, end, fold): held out is valid and test less the padded rest.
+
+    Parts that are read several times are persisted.
+    """
     own = ["chrom", "start", "end"]
     held = merge(regions.where(F.col("fold").isin(valid, test)).select(*own))
-    train = merge(regions.where(~F.col("fold").isin(valid, test)).select(*own))
-    held = subtract(held, pad(train, margin))
+    train = merge(regions.where(~F.col("fold").isin(valid, test)).select(*own)).persist()
+    held = subtract(held, pad(train, margin)).persist()
     trained = subtract(train, held)
     if exclude is not None:
-        exclude = merge(exclude.select(*own))
+        exclude = merge(exclude.select(*own)).persist()
         held, trained = subtract(held, exclude), subtract(trained, exclude)
     return held, trained
 
