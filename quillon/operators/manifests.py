@@ -14,23 +14,31 @@ def deal(pool: DataFrame, key: tuple[str, ...], counts: dict[str, int], seed: st
     """Rows of pool dealt to splits, without replacement, in the order of a hash of their key.
 
     A count of 0 takes what is left and has to come last. Asking for more than
-    there is fails.
+    there is fails. Hashes have 32 bits: counts by their upper 16 (at most
+    65,536 rows) tell up to where rows are dealt, and only these are ordered,
+    by upper half. The pool is persisted, as it is read several times.
     """
     names, asked = list(counts), sum(counts.values())
     if any(n == 0 for n in list(counts.values())[:-1]):
         raise ValueError("only the last split can take what is left")
-    if asked > (have := pool.count()):
-        raise ValueError(f"{asked} windows asked for, {have} there")
-    keyed = pool.withColumn("__key", draw(F.lit(seed), *[F.col(k) for k in key]))
-    ranked = numbered(keyed, (), "__key", key, "__r").where(F.col("__r") <= asked)
+    keyed = pool.withColumn("__key", draw(F.lit(seed), *[F.col(k) for k in key])).withColumn("__upper", F.shiftright("__key", 16)).persist()
+    order = Window.orderBy("__upper")
+    sizes = keyed.groupBy("__upper").agg(F.count(F.lit(1)).alias("__n")).withColumn("__upto", F.sum("__n").over(order))
+    found = sizes.agg(F.coalesce(F.max("__upto"), F.lit(0)).alias("have"), F.min(F.when(F.col("__upto") >= asked, F.col("__upper"))).alias("last")).first()
+    if asked > found["have"]:
+        raise ValueError(f"{asked} windows asked for, {found['have']} there")
+    last = -1 if asked == 0 else found["last"]
+    before_ = sizes.where(F.col("__upper") <= last).select("__upper", (F.col("__upto") - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__upper").orderBy("__key", *key))
+    ranked = keyed.where(F.col("__upper") <= last).join(F.broadcast(before_), "__upper").withColumn("__r", F.col("__before") + within)
     split, at = F.lit(None).cast("string"), 0
     for name in names:
         split = F.when((F.col("__r") > at) & (F.col("__r") <= at + counts[name]), name).otherwise(split)
         at += counts[name]
-    dealt = ranked.withColumn("split", split).drop("__r", "__key")
     if counts[names[-1]]:
-        return dealt
-    left = pool.join(dealt.select(*key), list(key), "left_anti").withColumn("split", F.lit(names[-1]))
+        return ranked.where(F.col("__r") <= asked).withColumn("split", split).select(*pool.columns, "split")
+    dealt = ranked.withColumn("split", F.coalesce(split, F.lit(names[-1]))).select(*pool.columns, "split")
+    left = keyed.where(F.col("__upper") > last).select(*pool.columns, F.lit(names[-1]).alias("split"))
     return dealt.unionByName(left)
 
 
