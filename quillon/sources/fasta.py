@@ -1,4 +1,4 @@
-"""FASTA files as a data source: byte ranges, random access by an index, and ranges that are never read.
+"""FASTA files by ranges: byte ranges, random access by an index, and ranges that are never read.
 
     index = index_fasta(spark, path)
     read_chunks(spark, index, chroms=["chr1"], low=10_000_000, high=20_000_000)
@@ -11,21 +11,21 @@ is made by one pass over byte ranges. What isn't asked for is not read.
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillon.sources.files import file_sizes, located, read_range
 
 CHUNK = 1 << 16
 RANGE_BYTES = 32 << 20
+#: Partitions for each core at most, unless they would hold more than RANGE_BYTES.
+PARTITIONS = 8
+_BATCH = 4 << 20
 _SCHEMA = "chrom string, chunk int, start long, bases string"
 _NEWLINE, _HEADER = ord("\n"), ord(">")
 
@@ -114,76 +114,61 @@ def index_fasta(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES)
     return seen.select("path", "chrom", length.alias("length"), F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce(F.col("line_bytes") - F.col("break_bytes"), F.lit(0)).alias("line_bases"), F.coalesce("line_bytes", F.lit(0)).alias("line_bytes"))
 
 
-@dataclass
-class FastaRange(InputPartition):
-    path: str
-    chrom: str
-    length: int
-    offset: int
-    line_bases: int
-    line_bytes: int
-    first: int  # chunks from first to before last
-    last: int
-
-
-class FastaReader(DataSourceReader):
-    def __init__(self, index: list[dict], chunk: int, range_bytes: int, low: int, high: int):
-        self.index, self.chunk, self.range_bytes = index, chunk, range_bytes
-        self.low, self.high = low, high  # bases of each record that are asked for
-
-    def partitions(self) -> list[FastaRange]:
-        step = max(1, self.range_bytes // self.chunk)
-        found = []
-        for r in self.index:
-            first = max(0, self.low // self.chunk)
-            last = min(-(-r["length"] // self.chunk), -(-self.high // self.chunk))
-            for a in range(first, last, step):
-                found.append(FastaRange(**{k: r[k] for k in ("path", "chrom", "length", "offset", "line_bases", "line_bytes")}, first=a, last=min(last, a + step)))
-        return found or [FastaRange("", "", 0, 0, 1, 1, 0, 0)]
-
-    def read(self, partition: FastaRange) -> Iterator[pa.RecordBatch]:
-        p = partition
-        if p.first >= p.last:
-            return
-        files, name = located(p.path)
-        with files.open_input_file(name) as source:
-            for k in range(p.first, p.last):
-                a, b = k * self.chunk, min(p.length, (k + 1) * self.chunk)
-                place = lambda x: p.offset + x // p.line_bases * p.line_bytes + x % p.line_bases  # noqa: B023, E731
-                raw = source.read_at(place(b - 1) + 1 - place(a), place(a))
-                bases = raw.translate(None, b"\r\n").decode("ascii").upper()
-                yield pa.RecordBatch.from_arrays([pa.array([p.chrom]), pa.array([k], pa.int32()), pa.array([a], pa.int64()), pa.array([bases])], ["chrom", "chunk", "start", "bases"])
-
-
-class FastaSource(DataSource):
-    """Options: index (JSON rows of index_fasta), chunk (bases of a row), range_bytes (bases of a partition), low and high (bases asked for).
-
-    The places asked for are options, as filters that a Python source takes
-    over stay with it for later queries of the same frame (Spark 4.1).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return _SCHEMA
-
-    def reader(self, schema: object) -> FastaReader:
-        return FastaReader(json.loads(self.options["index"]), int(self.options.get("chunk", CHUNK)), int(self.options.get("range_bytes", RANGE_BYTES)), int(self.options.get("low", 0)), int(self.options.get("high", 1 << 62)))
-
-
 def read_chunks(spark: SparkSession, index: DataFrame, chunk: int = CHUNK, range_bytes: int = RANGE_BYTES, chroms: Iterable[str] | None = None, low: int = 0, high: int | None = None) -> DataFrame:
     """(chrom, chunk, start, bases) of indexed FASTA files, upper case.
 
     chroms, low and high: the records and bases asked for; other chunks are not
-    read. The index has a row a record: it goes through the driver.
+    read. A stretch of up to range_bytes bases of a record is one row of work.
+    Stretches that lie together in a file go to one partition, as many as fill
+    range_bytes, or more where that would make over PARTITIONS for each core.
+    The index stays on the executors; it is persisted, as it is read twice.
     """
-    spark.dataSource.register(FastaSource)
+    step = max(1, range_bytes // chunk)
     own = index if chroms is None else index.where(F.col("chrom").isin(list(chroms)))
-    rows = [r.asDict() for r in own.orderBy("path", "offset").collect()]
-    source = spark.read.format("fasta").option("index", json.dumps(rows)).option("chunk", str(chunk)).option("range_bytes", str(range_bytes)).option("low", str(low))
-    return (source if high is None else source.option("high", str(high))).load()
+    until = F.col("length") if high is None else F.least(F.col("length"), F.lit(high))
+    first, last = F.lit(max(0, low // chunk)).cast("long"), F.ceil(until / chunk)
+    asked = own.withColumns({"first": first, "last": last}).where("first < last").persist()
+    bases = asked.agg(F.coalesce(F.sum((F.col("last") - F.col("first")) * chunk), F.lit(0))).first()[0]
+    most = max(-(-bases // RANGE_BYTES), PARTITIONS * spark.sparkContext.defaultParallelism)
+    parts = max(1, min(-(-bases // range_bytes), most))
+    begins = F.explode(F.sequence(F.col("first"), F.col("last") - 1, F.lit(step).cast("long")))
+    stretches = asked.withColumn("a", begins).withColumn("b", F.least(F.col("a") + step, F.col("last")))
+    byte = F.col("offset") + F.floor(F.col("a") * chunk / F.greatest("line_bases", F.lit(1))) * F.col("line_bytes")
+    at = F.pmod(F.floor(byte / max(range_bytes, -(-bases // parts))) + F.hash("path"), F.lit(parts)).cast("int")
+    dealt = stretches.select("path", "chrom", "length", "offset", "line_bases", "line_bytes", "a", "b", at.alias("at")).repartitionById(parts, "at").sortWithinPartitions("path", "offset", "a")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, source = None, None
+        rows: list[tuple[str, int, int, str]] = []
+        size = 0
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["path"] != path:
+                    if source is not None:
+                        source.close()
+                    path = r["path"]
+                    files, name = located(path)
+                    source = files.open_input_file(name)
+                place = lambda x: r["offset"] + x // r["line_bases"] * r["line_bytes"] + x % r["line_bases"]  # noqa: B023, E731
+                for k in range(r["a"], r["b"]):
+                    a, b = k * chunk, min(r["length"], (k + 1) * chunk)
+                    raw = source.read_at(place(b - 1) + 1 - place(a), place(a))
+                    rows.append((r["chrom"], k, a, raw.translate(None, b"\r\n").decode("ascii").upper()))
+                    size += b - a
+                    if size > _BATCH or len(rows) >= 10_000:
+                        yield _chunks(rows)
+                        rows, size = [], 0
+        if rows:
+            yield _chunks(rows)
+        if source is not None:
+            source.close()
+
+    return dealt.mapInArrow(work, _SCHEMA)
+
+
+def _chunks(rows: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], ["chrom", "chunk", "start", "bases"])
 
 
 def chrom_sizes(index: DataFrame) -> DataFrame:
