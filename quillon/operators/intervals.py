@@ -306,12 +306,16 @@ def shuffle_avoiding(spans: DataFrame, sizes: DataFrame, exclude: DataFrame, see
 
 
 def n_runs(sequences: DataFrame, least: int, letter: str = "N") -> DataFrame:
-    """Runs of a letter of at least `least` in sequences (chrom, offset, sequence), joined across pieces."""
-    parts = F.split("sequence", f"(?i){letter}+", -1)
-    found = F.regexp_extract_all("sequence", F.lit(f"((?i){letter}+)"), 1)
+    """Runs of a letter of at least `least` in sequences (chrom, offset, sequence), joined across pieces.
+
+    Shorter ones leave the text only where they touch a piece's end.
+    """
+    wanted = f"(?i:{letter}{{{least},}}|\\A{letter}+|{letter}+\\z)"
+    parts = F.split("sequence", wanted, -1)
+    found = F.regexp_extract_all("sequence", F.lit(f"({wanted})"), 1)
     size = lambda x: F.coalesce(F.length(x), F.lit(0))
     sizes = F.transform(F.arrays_zip(parts.alias("gap"), found.alias("run")), lambda x: F.struct(size(x["gap"]).alias("gap"), size(x["run"]).alias("run")))
-    piece = sequences.select("chrom", "offset", F.posexplode(sizes).alias("i", "s")).select("chrom", "offset", "i", "s.gap", "s.run")
+    piece = sequences.where(F.regexp_like("sequence", F.lit(wanted))).select("chrom", "offset", F.posexplode(sizes).alias("i", "s")).select("chrom", "offset", "i", "s.gap", "s.run")
     upto = Window.partitionBy("chrom", "offset").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("offset") + F.sum(F.col("gap") + F.col("run")).over(upto)
     placed = piece.withColumn("end", end).where("run > 0").select("chrom", (F.col("end") - F.col("run")).alias("start"), "end")
