@@ -100,8 +100,7 @@ c AS (SELECT feature, concept, p, sum(p) OVER w AS tp, sum(n) OVER w AS seen, su
 SELECT feature, concept, round(sum(CASE WHEN al > 0 THEN p / al * tp / seen END), 6) AS ap FROM c GROUP BY feature, concept"""
 )
 def average_precision(spark: SparkSession, sf: str) -> DataFrame:
-    scored = channels(spark, sf).join(one_hot(spark, sf), "id")
-    return rounded(ranks.average_precision(scored, ("feature", "concept")), "ap")
+    return rounded(ranks.average_precision_dense(channels(spark, sf), one_hot(spark, sf)), "ap")
 
 
 @query(
