@@ -72,6 +72,10 @@ def consensus(weights: DataFrame) -> DataFrame:
     return best.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "base"))), lambda x: x["base"]), "").alias("consensus"))
 
 
+#: Hits of a motif that leave a scan together, at most.
+HITS = 1 << 14
+
+
 def _pieces(sequences: DataFrame, width: int, size: int) -> DataFrame:
     """(id, at, bases) of (id, sequence): pieces of size places with what their last windows need of the next."""
     parts = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
@@ -114,22 +118,20 @@ def scan_motif(sequences: DataFrame, scores: DataFrame, width: int, ratio: float
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, start, sign, score, window = [], [], [], [], []
-            for i, (at, bases) in enumerate(zip(batch.column("at").to_pylist(), batch.column("bases").to_pylist(), strict=True)):
-                if len(bases) < width:
+            ids, places, texts = batch.column("id"), batch.column("at"), batch.column("bases")
+            for i in range(batch.num_rows):  # a piece's hits at a time, whatever the batch holds
+                letters = texts[i].as_py().upper()
+                if len(letters) < width:
                     continue
-                letters = bases.upper()
                 codes = code[np.frombuffer(letters.encode("ascii", "replace"), dtype=np.uint8)]
                 for name, t in (("+", table), ("-", flip)):
                     found, value = strand(codes, t)
-                    rows += [i] * len(found)
-                    start += (found + at).tolist()
-                    sign += [name] * len(found)
-                    score += value.tolist()
-                    window += [letters[x : x + width] for x in found.tolist()]
-            begin = np.array(start, dtype=np.int64)
-            columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(begin), pa.array(begin + width), pa.array(sign, pa.string()), pa.array(score, pa.float64()), pa.array(window, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "end", "strand", "score", "window"])
+                    for x in range(0, len(found), HITS):
+                        some = found[x : x + HITS]
+                        begin = some + places[i].as_py()
+                        window = [letters[y : y + width] for y in some.tolist()]
+                        columns = [pa.repeat(ids[i], len(some)), pa.array(begin, pa.int64()), pa.array(begin + width), pa.repeat(name, len(some)), pa.array(value[x : x + HITS]), pa.array(window, pa.string())]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "start", "end", "strand", "score", "window"])
 
     kind = sequences.schema["id"].dataType.simpleString()
     return _pieces(sequences, width, piece).mapInArrow(work, f"id {kind}, start long, end long, strand string, score double, window string")
