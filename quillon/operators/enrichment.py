@@ -18,12 +18,13 @@ def event_blocks(bins: DataFrame, width: int, block: int, sigma: float = 1.0, ra
     contiguous run up to radius bins away by a normal kernel of sigma bins.
     Background are bins without label that no kernel reaches. Null scores count
     nowhere. Blocks are numbered by position, over all chroms together.
+    Runs and kernels are persisted, as they are read several times.
     """
-    runs = contiguous_runs(bins.where("score IS NOT NULL"), cell=cell).withColumn("block", block_id(F.col("bin_start"), block))
+    runs = contiguous_runs(bins.where("score IS NOT NULL"), cell=cell).withColumn("block", block_id(F.col("bin_start"), block)).persist()
     centres = domain_centres(runs.drop("run"), cell=cell).select("chrom", "centre")
     placed = centres.join(runs.select("chrom", F.col("bin_start").alias("centre"), "run", "block"), ["chrom", "centre"])
     steps = F.sequence(F.col("centre") - radius * width, F.col("centre") + radius * width, F.lit(width).cast("long"))
-    kernel = placed.withColumn("bin_start", F.explode(steps)).join(runs.select("chrom", "run", "bin_start", "score"), ["chrom", "run", "bin_start"])
+    kernel = placed.withColumn("bin_start", F.explode(steps)).join(runs.select("chrom", "run", "bin_start", "score"), ["chrom", "run", "bin_start"]).persist()
     weight = F.exp(-F.pow((F.col("bin_start") - F.col("centre")) / F.lit(width * sigma), 2) / 2)
     events = kernel.groupBy("chrom", "centre", "block").agg((F.sum(weight * F.col("score")) / F.sum(weight)).alias("event"))
     outside = runs.where("NOT label").join(kernel.select("chrom", "bin_start").distinct(), ["chrom", "bin_start"], "left_anti")
