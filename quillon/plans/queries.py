@@ -356,7 +356,7 @@ def max_feature_null(spark: SparkSession, sf: str) -> DataFrame:
 )
 def empirical_p(spark: SparkSession, sf: str) -> DataFrame:
     best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), one_hot(spark, sf))).select("concept", F.col("best_auroc").alias("value"))
-    null = _null(spark, sf)
+    null = _null(spark, sf).persist()  # a row a concept and draw, read twice
     p95 = null.groupBy("concept").agg(F.percentile("value", 0.95).alias("null_p95"))
     found = inference.empirical_p(best, null, "concept").join(p95, "concept").withColumnRenamed("value", "observed")
     return rounded(found, "observed", "p", "null_p95").select("concept", "observed", "p", "null_p95")
@@ -754,7 +754,7 @@ def match_table(spark: SparkSession, sf: str) -> DataFrame:
     labels = one_hot(spark, sf)
     best = ranks.best_feature(ranks.auroc_dense(channels(spark, sf), labels))
     totals = labels.groupBy("concept").agg(F.sum("y").cast("long").alias("n_pos"), F.avg("y").alias("prevalence"))
-    null = _null(spark, sf)
+    null = _null(spark, sf).persist()  # a row a concept and draw, read twice
     p = inference.empirical_p(best.select("concept", F.col("best_auroc").alias("value")), null, "concept").select(F.col("concept").alias("id"), "p")
     tested = inference.benjamini_hochberg(p).withColumnRenamed("id", "concept")
     table_ = best.join(totals, "concept").join(null.groupBy("concept").agg(F.percentile("value", 0.95).alias("null_p95")), "concept").join(tested, "concept")
