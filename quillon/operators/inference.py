@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import directed, draw
-from quillon.operators.intervals import circular_shift, overlaps
+from quillon.operators.intervals import circular_shift, merge, overlaps
 from quillon.operators.orders import before, numbered, same, tied_ranks
 from quillon.operators.ranks import average_rank
 
@@ -66,24 +66,87 @@ def shift_offsets(domains: DataFrame, draws: int, seed: str) -> DataFrame:
     return each.withColumn("offset", F.pmod(draw(F.lit(seed), F.col("draw"), F.col("chrom"), F.col("low")), F.col("high") - F.col("low")))
 
 
+#: Parts of a domain whose elements are moved by tasks of their own.
+_SPREAD = 16
+
+
+def _arcs(elements: DataFrame, domains: DataFrame) -> DataFrame:
+    """(chrom, low, high, concept, start, end, gap): what elements cover of each domain, as a circle, in disjoint parts.
+
+    gap is the way back to the end of the part before, round the domain's ends for the first one.
+    """
+    own = overlaps(domains.select("chrom", F.col("low").alias("start"), F.col("high").alias("end")), elements.select("chrom", "start", "end", "concept"))
+    spans = own.select("chrom", F.col("start").alias("low"), F.col("end").alias("high"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_concept").alias("concept"))
+    keys = ("chrom", "low", "high", "concept")
+    parts = merge(circular_shift(spans.withColumn("offset", F.lit(0).cast("long"))).drop("offset"), keys, validate=False)
+    each = Window.partitionBy(*keys)
+    last = F.lag("end").over(each.orderBy("start"))
+    return parts.withColumn("gap", F.col("start") - F.coalesce(last, F.col("low") - F.col("high") + F.max("end").over(each)))
+
+
+def _moved(arcs: DataFrame, domains: DataFrame, draws: int, seed: str) -> DataFrame:
+    """(draw, concept, chrom, low, start, end, before): arcs moved in every draw, and where what comes before in the domain ends.
+
+    A row becomes draws rows here, so the number of tasks is given: by the size of its input it would be one.
+    """
+    tasks = int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offset = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.pmod(draw(F.lit(seed), d, F.col("chrom"), F.col("low")), F.col("high") - F.col("low")))
+    offsets = domains.where("high > low").select("chrom", "low", offset.alias("offsets"), F.explode(F.sequence(F.lit(0), F.lit(_SPREAD - 1))).alias("__part"))
+    dealt = arcs.withColumn("__part", F.pmod(F.hash("concept", "start"), F.lit(_SPREAD))).repartition(tasks, "chrom", "low", "__part")
+    each = dealt.join(offsets, ["chrom", "low", "__part"]).select("chrom", "low", "high", "concept", "start", "end", "gap", F.posexplode("offsets").alias("draw", "offset"))
+    first = F.col("start") - F.col("low") + F.col("offset")
+    begin = F.col("low") + F.pmod(first, F.col("high") - F.col("low"))
+    moved = circular_shift(each.withColumn("before", begin - F.col("gap")))
+    # A wrapped end comes first in its domain; a whole that begins at low does too, as nothing ends between.
+    return moved.select("draw", "concept", "chrom", "low", "start", "end", F.when(F.col("start") == F.col("low"), F.col("low")).otherwise(F.col("before")).alias("before"))
+
+
 def shifted_positives(bins: DataFrame, elements: DataFrame, domains: DataFrame, draws: int, seed: str, cell: int = 1 << 10) -> DataFrame:
     """(draw, concept, id): bins (id, chrom, bin_start, bin_end) that a draw's elements (concept, chrom, start, end) overlap.
 
     In a draw all elements of a domain slide by one offset and wrap at its ends,
     so that their number, lengths and distances stay. All draws are labelled by
-    one join on (chrom, cell).
+    one join on (chrom, cell). Of the elements that overlap a bin the first one
+    gives the row, so that rows are not compared to be distinct, except for bins
+    of several domains. Further columns of bins, which its id determines, are kept.
     """
-    own = overlaps(domains.select("chrom", F.col("low").alias("start"), F.col("high").alias("end")), elements.select("chrom", "start", "end", "concept"))
-    spans = own.select("chrom", F.col("start").alias("low"), F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_concept").alias("concept"))
-    moved = circular_shift(spans.join(shift_offsets(domains, draws, seed), ["chrom", "low"]).select("draw", "concept", "chrom", "low", "high", "offset", "start", "end"))
-    found = overlaps(moved, bins.select("id", "chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end")), cell=cell)
-    return found.select("draw", "concept", F.col("r_id").alias("id")).distinct()
+    kept = [c for c in bins.columns if c not in ("id", "chrom", "bin_start", "bin_end")]
+    whole = domains.where("high > low").select("chrom", F.col("low").alias("start"), F.col("high").alias("end"))
+    met = overlaps(whole, bins.select("id", "chrom", F.col("bin_start").alias("start"), F.col("bin_end").alias("end"), *kept))
+    inside = met.select("chrom", F.col("start").alias("low"), F.greatest("start", "r_start").alias("start"), F.least("end", "r_end").alias("end"), F.col("r_id").alias("id"), *[F.col(f"r_{c}").alias(c) for c in kept])
+    marked = inside.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")) > 1)
+    moved = _moved(_arcs(elements, domains), domains, draws, seed)
+
+    def found(rows: DataFrame) -> DataFrame:  # the bins are few beside the moved elements, which are not ordered
+        pairs = overlaps(moved, rows.hint("shuffle_hash"), ("chrom", "low"), cell).where("r_start >= before")
+        return pairs.select("draw", "concept", F.col("r_id").alias("id"), *[F.col(f"r_{c}").alias(c) for c in kept])
+
+    return found(marked.where(~F.col("shared"))).union(found(marked.where("shared")).dropDuplicates(["draw", "concept", "id"]))
 
 
 def _every_draw(concepts: DataFrame, draws: int) -> DataFrame:
     return concepts.select("concept", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
 
 
+def _sparse_null(codes: DataFrame, sums: DataFrame, concepts: DataFrame, bins: DataFrame, draws: int) -> DataFrame:
+    """sparse_null of sums (draw, concept, feature, a, rs): a draw's positives that fire and their ranks' sum, and a row without feature and rs for all positives."""
+    sizes = codes.where("value > 0").groupBy("feature").agg(F.count(F.lit(1)).alias("m"))
+    falling = before(sizes.groupBy((-F.col("m")).alias("__f")).agg(F.count(F.lit(1)).alias("__n")), (), "__f", {"__b": ("sum", "__n")})
+    at = F.col("__b") + F.row_number().over(Window.partitionBy("m").orderBy("feature"))
+    placed = sizes.join(falling, -F.col("m") == F.col("__f")).select("feature", "m", at.alias("place"))
+    total = bins.agg(F.count(F.lit(1)).alias("__all"))
+    each = Window.partitionBy("draw", "concept")
+    own = sums.join(placed, "feature", "left").join(total, F.lit(True))
+    own = own.withColumn("p", F.max(F.when(F.col("feature").isNull(), F.col("a"))).over(each)).where("p < __all")
+    own = own.withColumn("q", (F.col("__all") - F.col("p")).cast("double")).withColumn("__i", F.row_number().over(each.orderBy(F.col("place").asc_nulls_last())))
+    a, b, p, q = F.col("a"), F.col("m") - F.col("a"), F.col("p"), F.col("q")
+    wins = a * (q - b) + 0.5 * (p - a) * (q - b) + F.col("rs") - a * (a + 1) / 2
+    scored = own.groupBy("draw", "concept").agg(F.max("q").alias("q"), F.max(directed(wins / (p * q))).alias("__v"), F.count_if(F.col("place") == F.col("__i")).alias("__first"))
+    rest = scored.withColumn("place", F.col("__first") + 1).join(placed.select("place", "m"), "place", "left")
+    value = rest.select("draw", "concept", F.greatest("__v", F.lit(0.5) + F.col("m") / (2 * F.col("q")), F.lit(0.5)).alias("value"))
+    return _every_draw(concepts, draws).join(value, ["draw", "concept"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+
+
 def sparse_null(codes: DataFrame, positives: DataFrame, concepts: DataFrame, bins: DataFrame, draws: int) -> DataFrame:
     """(draw, concept, value): the largest folded area over all features that fire, for each draw's positives (draw, concept, id).
 
@@ -94,21 +157,25 @@ def sparse_null(codes: DataFrame, positives: DataFrame, concepts: DataFrame, bin
     draw's features leave out. A draw without both classes is worth 1/2.
     """
     ranked = average_rank(codes.where("value > 0")).select("id", "feature", "rk")
-    sizes = ranked.groupBy("feature").agg(F.count(F.lit(1)).alias("m"))
-    falling = before(sizes.groupBy((-F.col("m")).alias("__f")).agg(F.count(F.lit(1)).alias("__n")), (), "__f", {"__b": ("sum", "__n")})
-    at = F.col("__b") + F.row_number().over(Window.partitionBy("m").orderBy("feature"))
-    placed = sizes.join(falling, -F.col("m") == F.col("__f")).select("feature", "m", at.alias("place"))
-    total = bins.agg(F.count(F.lit(1)).alias("__all"))
-    n = positives.groupBy("draw", "concept").agg(F.count(F.lit(1)).alias("p"))
-    n = n.join(total, F.lit(True)).where("p < __all").select("draw", "concept", F.col("p").cast("double").alias("p"), (F.col("__all") - F.col("p")).cast("double").alias("q"))
-    hits = positives.join(ranked, "id").groupBy("draw", "concept", "feature").agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("rk").alias("rs"))
-    hits = hits.join(placed, "feature").withColumn("__i", F.row_number().over(Window.partitionBy("draw", "concept").orderBy("place")))
-    a, b, p, q = F.col("a"), F.col("m") - F.col("a"), F.col("p"), F.col("q")
-    wins = a * (q - b) + 0.5 * (p - a) * (q - b) + F.col("rs") - a * (a + 1) / 2
-    scored = hits.join(n, ["draw", "concept"]).groupBy("draw", "concept").agg(F.max(directed(wins / (p * q))).alias("__v"), F.count_if(F.col("place") == F.col("__i")).alias("__first"))
-    rest = n.join(scored, ["draw", "concept"], "left").withColumn("place", F.coalesce("__first", F.lit(0)) + 1).join(placed.select("place", "m"), "place", "left")
-    value = rest.select("draw", "concept", F.greatest("__v", F.lit(0.5) + F.col("m") / (2 * F.col("q")), F.lit(0.5)).alias("value"))
-    return _every_draw(concepts, draws).join(value, ["draw", "concept"], "left").withColumn("value", F.coalesce("value", F.lit(0.5)))
+    count = F.count(F.lit(1)).cast("double").alias("a")
+    hits = positives.join(ranked, "id").groupBy("draw", "concept", "feature").agg(count, F.sum("rk").alias("rs"))
+    n = positives.groupBy("draw", "concept").agg(count)
+    return _sparse_null(codes, hits.unionByName(n, allowMissingColumns=True), concepts, bins, draws)
+
+
+def shifted_sparse_null(codes: DataFrame, bins: DataFrame, elements: DataFrame, domains: DataFrame, draws: int, seed: str, cell: int = 1 << 10) -> DataFrame:
+    """sparse_null of shifted_positives, for the concepts of elements.
+
+    Bins take their codes' ranks along, so that the positives of all draws
+    become sums where they are found; no row of a bin and draw is shuffled.
+    """
+    ranked = average_rank(codes.where("value > 0")).groupBy("id").agg(F.collect_list(F.struct("feature", "rk")).alias("fired"))
+    own = bins.select("id", "chrom", "bin_start", "bin_end").join(ranked, "id", "left")
+    itself = F.struct(F.lit(None).cast(codes.schema["feature"].dataType).alias("feature"), F.lit(None).cast("double").alias("rk"))
+    fired = F.explode(F.when(F.col("fired").isNull(), F.array(itself)).otherwise(F.concat(F.array(itself), F.col("fired"))))
+    positives = shifted_positives(own, elements, domains, draws, seed, cell)
+    sums = positives.select("draw", "concept", fired.alias("f")).groupBy("draw", "concept", F.col("f.feature").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("f.rk").alias("rs"))
+    return _sparse_null(codes, sums, elements.select("concept").distinct(), bins, draws)
 
 
 def dense_null(ranked: DataFrame, positives: DataFrame, concepts: DataFrame, bins: DataFrame, draws: int) -> DataFrame:

@@ -388,8 +388,7 @@ def _positional(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Dat
 
 def _shifted_null(spark: SparkSession, sf: str) -> DataFrame:
     bins, elements, domains = _positional(spark, sf)
-    positives = inference.shifted_positives(bins, elements, domains, DRAWS, "shift")
-    return inference.sparse_null(codes(spark, sf), positives, elements.select("concept").distinct(), bins, DRAWS)
+    return inference.shifted_sparse_null(codes(spark, sf), bins, elements, domains, DRAWS, "shift")
 
 
 @query(f"WITH {SHIFTED} SELECT concept, CAST(draw AS INTEGER) AS draw, round(v, 6) AS value FROM nv")
