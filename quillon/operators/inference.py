@@ -222,7 +222,7 @@ def paired_stats(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def wilcoxon_w(deltas: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Per keys: pairs that aren't zero, the smaller signed rank sum and the sum over tie groups of t^3 - t."""
     some = deltas.where("delta <> 0").select(*keys, F.abs("delta").alias("__a"), (F.col("delta") > 0).cast("long").alias("up"))
-    tied = tied_ranks(some, keys, "__a", ("up",))
+    tied = tied_ranks(some, keys, "__a", ("up",), split=True)
     n, t = F.col("n"), F.col("n").cast("double")
     up, down = F.sum(F.col("rk") * F.col("up")), F.sum(F.col("rk") * (n - F.col("up")))
     return tied.groupBy(*keys).agg(F.sum("n").alias("n"), F.least(up, down).alias("w"), F.sum(t * t * t - t).alias("ties"))
@@ -252,20 +252,22 @@ def _log_gamma_step(a: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """The continued fraction of the incomplete beta function, by Lentz's method; as many steps as the larger argument needs."""
-    safe = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
-    first = 1 / safe(1 - (a + b) * x / (a + 1))
-
-    def step(s: Column, m: Column) -> Column:
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1 / safe(1 + even * s["d"])
-        c = safe(1 + even / s["c"])
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d2, c2 = 1 / safe(1 + odd * d), safe(1 + odd / c)
-        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d * c * d2 * c2).alias("h"))
-
-    steps = F.sequence(F.lit(1), (60 + 3 * F.sqrt(F.greatest(a, b))).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h")), step, lambda s: s["h"])
+    """The continued fraction of the incomplete beta function, from its end; as many steps as the larger argument needs.
+
+    A step names what it carries once, and the arguments are made once a row, not once a step.
+    """
+
+    def fraction(s: Column) -> Column:
+        a, b, x = s["a"], s["b"], s["x"]
+
+        def step(t: Column, m: Column) -> Column:
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            return m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) / (1 + odd / (1 + t))
+
+        steps = F.sequence((60 + 3 * F.sqrt(F.greatest(a, b))).cast("int"), F.lit(1))
+        return F.aggregate(steps, F.lit(0.0), step, lambda t: 1 / (1 - (a + b) * x / (a + 1) / (1 + t)))
+
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"), x.alias("x"))), fraction), F.lit(0))
 
 
 def student_p(t: Column, n: Column) -> Column:

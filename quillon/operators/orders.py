@@ -88,11 +88,27 @@ def before(rows: DataFrame, keys: tuple[str, ...], value: str, into: dict[str, t
     raise AssertionError
 
 
-def tied_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, sums: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, value, n, sums, rk): each value once, how many rows have it, sums of columns over these, and their average rank."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
-    ranked = before(counts, keys, value, {"__b": ("sum", "n")})
-    return ranked.withColumn("rk", F.col("__b") + (F.col("n") + 1) / F.lit(2.0)).drop("__b")
+#: Rows of a key up to which one window orders them, as many as a digit has values.
+WHOLE = 1 << 16
+
+
+def tied_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, sums: tuple[str, ...] = (), split: bool = False) -> DataFrame:
+    """(keys, value, n, sums, rk): each value once, how many rows have it, sums of columns over these, and their average rank.
+
+    split: keys of at most WHOLE rows, which are dealt once, are ordered as they
+    are, and only larger ones by digits. Best for many keys; rows are read three times.
+    """
+    own = rows.select(*keys, value, *sums)
+    count = lambda part: part.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    rank = lambda ranked: ranked.withColumn("rk", F.col("__b") + (F.col("n") + 1) / F.lit(2.0)).drop("__b")
+    if not (split and keys):
+        return rank(before(count(own), keys, value, {"__b": ("sum", "n")}))
+    large = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > WHOLE).select(*keys)
+    large = F.broadcast(large)  # at most one of WHOLE rows
+    ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(*_BELOW)
+    few = count(same(own, large, list(keys), "left_anti").repartition(*keys)).withColumn("__b", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
+    many = before(count(same(own, large, list(keys), "left_semi")), keys, value, {"__b": ("sum", "n")})
+    return rank(few.unionByName(many))
 
 
 def numbered(rows: DataFrame, keys: tuple[str, ...], value: str, ties: tuple[str, ...], into: str = "number") -> DataFrame:
