@@ -106,7 +106,8 @@ def tied_ranks(rows: DataFrame, keys: tuple[str, ...], value: str, sums: tuple[s
     large = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > WHOLE).select(*keys)
     large = F.broadcast(large)  # at most one of WHOLE rows
     ordered = Window.partitionBy(*keys).orderBy(value).rowsBetween(*_BELOW)
-    few = count(same(own, large, list(keys), "left_anti").repartition(*keys)).withColumn("__b", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # all of them: a row takes many times its size there
+    few = count(same(own, large, list(keys), "left_anti").repartition(tasks, *keys)).withColumn("__b", F.coalesce(F.sum("n").over(ordered), F.lit(0)))
     many = before(count(same(own, large, list(keys), "left_semi")), keys, value, {"__b": ("sum", "n")})
     return rank(few.unionByName(many))
 
