@@ -1,6 +1,6 @@
 """Sums along an order, without a task that holds the whole order.
 
-A value becomes a 64-bit number of the same order, and that number a few
+A value becomes a 64-bit number of the same order (whole numbers are one), and that number a few
 digits of 16 bits. What stands below a value is what stands below its first
 digit, plus what stands below its second digit among values of the same first,
 and so on. Every window orders at most 65,536 rows (a digit's sums), whatever
@@ -36,7 +36,13 @@ def order_key(value: Column) -> Column:
 
 
 def digits(value: Column, kind: str) -> list[Column]:
-    """The digits of order_key: two for floats and bytes to ints, four for others (longs beyond 2^53 are compared as doubles)."""
+    """The digits of value, none null: two for floats and bytes to ints, four for others. Whole numbers have those of their own bits."""
+    if kind in ("tinyint", "smallint", "int"):
+        whole = F.coalesce(value.cast("long") + (1 << 31), F.lit(-1).cast("long"))
+        return [F.shiftright(whole, 16), whole.bitwiseAND(F.lit(0xFFFF).cast("long"))]
+    if kind == "bigint":
+        first = F.coalesce(F.shiftright(value, 48), F.lit(-(1 << 16)).cast("long"))  # null is below all
+        return [first, *[F.coalesce(F.shiftright(value, s).bitwiseAND(F.lit(0xFFFF).cast("long")), F.lit(0).cast("long")) for s in (32, 16, 0)]]
     key = order_key(value)
     if kind == "float":
         key = F.shiftright(key, 29)
@@ -45,14 +51,17 @@ def digits(value: Column, kind: str) -> list[Column]:
     return [F.shiftright(key, 48), *[F.shiftright(key, s).bitwiseAND(low) for s in (32, 16)], key.bitwiseAND(low)]
 
 
-def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Equi join on columns of both, in which null equals null; their columns come once, from left."""
+def same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", filled: tuple[str, ...] = ()) -> DataFrame:
+    """Equi join on columns of both, in which null equals null; their columns come once, from left.
+
+    filled: those of on that are never null. Where all are, rows that a window dealt by them stay where they are.
+    """
     renamed = right.select(*[F.col(c).alias(f"__r_{c}" if c in on else c) for c in right.columns])
     if not on:
         return left.crossJoin(renamed)
     match = None
     for c in on:
-        one = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        one = F.col(c) == F.col(f"__r_{c}") if c in filled else F.col(c).eqNullSafe(F.col(f"__r_{c}"))
         match = one if match is None else match & one
     return left.join(renamed, match, how).drop(*[f"__r_{c}" for c in on])
 
@@ -80,7 +89,7 @@ def before(rows: DataFrame, keys: tuple[str, ...], value: str, into: dict[str, t
         if not last:
             table = table.drop(*[f"__s_{name}" for name in into])
         if upper is not None:
-            table = same(table, upper, [*keys, *parent])
+            table = same(table, upper, [*keys, *parent], filled=tuple(parent))
         joined = {name: _OPS[op][1](F.col(f"__o_{name}"), F.col(f"__u_{name}") if upper is not None else (F.lit(0) if op == "sum" else F.col(f"__o_{name}"))) for name, (op, _) in into.items()}
         if last:
             return table.withColumns(joined).drop(*names, *[f"__{x}_{name}" for x in "ou" for name in into])

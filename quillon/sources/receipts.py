@@ -5,6 +5,9 @@ these, and the hash of the receipt before it; the first one holds that of the
 plan. Hashes are made where the rows are, and the link needs only the row
 before, so that neither writing nor checking follows the chain on one machine.
 The record's order is range-sorted; numbers come from counts of its parts.
+Neighbours meet in parts of PART numbers, each with a copy of what has the
+number before its first: records are sent once to be linked, and once to be
+checked against their neighbours.
 """
 
 from __future__ import annotations
@@ -26,18 +29,86 @@ def plan_hash(plan: DataFrame) -> str:
     return f"{row['n']}:{row['hash']}"
 
 
-def freeze(records: DataFrame, order: str, key: str, plan: str, body: Column | None = None) -> DataFrame:
-    """(seq, key, body, sha256, previous): the receipts of records in the order of the numeric column order.
+#: Numbers that are linked together, a power of two.
+PART = 1 << 12
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """rows by parts of their seq, __part; the last number of a part is in the next one too, where __copy is true."""
+    own = F.shiftright("seq", PART.bit_length() - 1)
+    last = F.col("seq").bitwiseAND(F.lit(PART - 1).cast("long")) == PART - 1
+    copied = rows.withColumn("__part", F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own))))
+    return copied.withColumn("__copy", ~F.col("__part").eqNullSafe(own))
+
+
+def freeze(records: DataFrame, order: str, key: str, plan: str, body: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(seq, key, body, sha256, previous, keep): the receipts of records in the order of the numeric column order.
 
     order tells all records apart; body is their content as text (that of all
-    columns unless given). plan is what the first receipt links to.
+    columns unless given). plan is what the first receipt links to. keep:
+    columns of records that go along beside the receipts.
     """
-    own = records.select(F.col(order).alias("__at"), F.col(key).cast("string").alias("key"), (body if body is not None else row_text(records)).alias("body"))
+    own = records.select(F.col(order).alias("__at"), F.col(key).cast("string").alias("key"), (body if body is not None else row_text(records)).alias("body"), *keep)
     numbered = before(own.withColumn("__one", F.lit(1)), (), "__at", {"__before": ("sum", "__one")})
-    sealed = numbered.select((F.col("__before") + 1).cast("long").alias("seq"), "key", "body").withColumn("sha256", _sha(F.col("seq"), F.col("key"), F.col("body")))
-    last = sealed.select((F.col("seq") + 1).alias("seq"), F.col("sha256").alias("previous"))
-    linked = sealed.join(last, "seq", "left")
-    return linked.withColumn("previous", F.when(F.col("seq") == 1, F.lit(plan)).otherwise(F.col("previous"))).select("seq", "key", "body", "sha256", "previous")
+    parts = _parts(numbered.select((F.col("__before") + 1).cast("long").alias("seq"), "key", "body", *keep))
+    beside = Window.partitionBy("__part").orderBy("seq")
+    met = parts.withColumns({f"__{c}": F.lag(c).over(beside) for c in ("key", "body")}).where(~F.col("__copy"))
+    # Hashes are made after the rows are sent, from the content of both.
+    previous = F.when(F.col("seq") == 1, F.lit(plan)).otherwise(_sha(F.col("seq") - 1, F.col("__key"), F.col("__body")))
+    return met.select("seq", "key", "body", _sha(F.col("seq"), F.col("key"), F.col("body")).alias("sha256"), previous.alias("previous"), *keep)
+
+
+def _each(rows: DataFrame, found: dict[str, tuple[Column, str]]) -> DataFrame:
+    """(fault, seq, key) for every row and every fault whose condition holds; found: fault to condition and column of the key."""
+    marks = [F.when(test, F.struct(F.lit(fault).alias("fault"), F.col(key).alias("key"))) for fault, (test, key) in found.items()]
+    return rows.select("seq", F.explode(F.array_compact(F.array(*marks))).alias("__m")).select("__m.fault", "seq", "__m.key")
+
+
+def _chain_faults(receipts: DataFrame, plan: str) -> DataFrame:
+    changed = ~F.col("sha256").eqNullSafe(_sha(F.col("seq"), F.col("key"), F.col("body")))
+    parts = _parts(receipts.select("seq", "key", "sha256", "previous", changed.alias("__changed")))
+    order = Window.partitionBy("__part").orderBy("seq")
+    peers, below = order.rangeBetween(0, 0), order.rangeBetween(-1, -1)
+    met = parts.withColumns(
+        {
+            "__n": F.count(F.lit(1)).over(peers),
+            "__least": F.min("key").over(peers),
+            "__first": F.row_number().over(order) == F.rank().over(order),
+            "__below": F.count(F.lit(1)).over(below),
+            "__held": F.collect_set("sha256").over(below),  # more than one only at a fork
+        }
+    ).where(~F.col("__copy"))
+    seq, previous = F.col("seq"), F.col("previous")
+    fits = F.when(seq == 1, previous.eqNullSafe(F.lit(plan))).otherwise(F.coalesce(F.array_contains("__held", previous), F.lit(False)))
+    return _each(
+        met,
+        {
+            "changed": (F.col("__changed"), "key"),
+            "fork": ((F.col("__n") > 1) & F.col("__first"), "__least"),
+            "gap": ((seq > 1) & (F.col("__below") == 0), "key"),
+            "unlinked": (seq.isNotNull() & ~fits & ((seq == 1) | (F.col("__below") > 0)), "key"),
+        },
+    )
+
+
+def _key_faults(receipts: DataFrame, planned: DataFrame | None) -> DataFrame:
+    if planned is None:
+        twice = receipts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq")).where("n > 1")
+        return twice.select(F.lit("repeated").alias("fault"), "seq", "key")
+    held = receipts.select("seq", "key", F.lit(0).alias("__wanted"))
+    named = held.unionByName(planned.select(F.lit(None).cast("long").alias("seq"), F.col("key").cast("string").alias("key"), F.lit(1).alias("__wanted")))
+    order = Window.partitionBy("key").orderBy("__wanted", F.col("seq").asc_nulls_last())  # receipts before plans
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = named.withColumns({"__n": F.sum(1 - F.col("__wanted")).over(whole), "__plans": F.sum("__wanted").over(whole), "__i": F.row_number().over(order)})
+    own, nameless = F.col("__wanted") == 0, F.col("key").isNull()  # null keys equal none
+    return _each(
+        met,
+        {
+            "repeated": (own & (F.col("__i") == 1) & (F.col("__n") > 1), "key"),
+            "missing": (~own & (F.col("__i") == F.col("__n") + 1) & ((F.col("__n") == 0) | nameless), "key"),
+            "unplanned": (own & ((F.col("__plans") == 0) | nameless), "key"),
+        },
+    )
 
 
 def audit(receipts: DataFrame, plan: str, planned: DataFrame | None = None) -> DataFrame:
@@ -48,23 +119,8 @@ def audit(receipts: DataFrame, plan: str, planned: DataFrame | None = None) -> D
     before (or of the plan) isn't its hash. repeated: a key twice. Against
     planned (key): missing and unplanned keys.
     """
-    numbered = receipts.select("seq", "key", "body", "sha256", "previous")
-    at = lambda fault, rows: rows.select(F.lit(fault).alias("fault"), "seq", "key")
-    changed = at("changed", numbered.where(~F.col("sha256").eqNullSafe(_sha(F.col("seq"), F.col("key"), F.col("body")))))
-    fork = at("fork", numbered.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).where("n > 1"))
-    links = numbered.groupBy((F.col("seq") + 1).alias("seq")).agg(F.collect_set("sha256").alias("held"))  # more than one only at a fork
-    joined = numbered.join(links, "seq", "left")
-    gap = at("gap", joined.where((F.col("seq") > 1) & F.col("held").isNull()))
-    fits = F.when(F.col("seq") == 1, F.col("previous").eqNullSafe(F.lit(plan))).otherwise(F.coalesce(F.array_contains("held", F.col("previous")), F.lit(False)))
-    unlinked = at("unlinked", joined.where(~fits & ((F.col("seq") == 1) | F.col("held").isNotNull())))
-    repeated = at("repeated", numbered.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq")).where("n > 1"))
-    faults = changed.unionByName(fork).unionByName(gap).unionByName(unlinked).unionByName(repeated)
-    if planned is not None:
-        wanted = planned.select(F.col("key").cast("string").alias("key")).distinct()
-        missing = wanted.join(numbered.select("key"), "key", "left_anti").select(F.lit("missing").alias("fault"), F.lit(None).cast("long").alias("seq"), "key")
-        unplanned = at("unplanned", numbered.join(wanted, "key", "left_anti"))
-        faults = faults.unionByName(missing).unionByName(unplanned)
-    return faults
+    own = receipts.select(F.col("seq").cast("long").alias("seq"), "key", "body", "sha256", "previous")
+    return _chain_faults(own, plan).unionByName(_key_faults(own, planned))
 
 
 def finalize(receipts: DataFrame, plan: str, planned: DataFrame | None = None) -> dict[str, object]:
