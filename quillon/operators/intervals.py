@@ -150,11 +150,35 @@ def as_of(bins: DataFrame, intervals: DataFrame, cell: int | None = None) -> Dat
     return found.where("kind = 0").select("chrom", "bin_start", F.col("pos").alias("bin_end"), "last_start")
 
 
+def numbered_runs(bins: DataFrame, among: dict[str, Column], keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
+    """bins with a number for each name of among: that of its run among the bins that meet the condition; null for others.
+
+    A run is cut where a bin doesn't begin at the end of the one before that meets
+    the condition too. With cell, bins are read twice, however many names there
+    are: once for the sums of cells, once to be numbered.
+    """
+    own = Window.partitionBy(*keys, *(["__cell"] if cell else [])).orderBy("bin_start")
+    marked = bins.withColumns(({"__cell": F.floor(F.col("bin_start") / cell)} if cell else {}) | {f"__in_{name}": F.coalesce(one, F.lit(False)) for name, one in among.items()})
+    known = {name: F.col(f"__in_{name}") for name in among}
+    first = F.lit(0) if cell else F.lit(1)  # a cell's first one depends on the cells before it
+    last = marked.withColumns({f"__last_{name}": F.last(F.when(one, F.col("bin_end")), ignorenulls=True).over(own.rowsBetween(*BEFORE)) for name, one in known.items()})
+    new = {name: F.when(one, F.coalesce((F.col("bin_start") != F.col(f"__last_{name}")).cast("int"), first)) for name, one in known.items()}
+    local = last.withColumns({name: F.sum(x).over(own.rowsBetween(Window.unboundedPreceding, 0)) for name, x in new.items()}).drop(*[f"__last_{name}" for name in among])
+    if not cell:
+        return local.withColumns({name: F.when(one, F.col(name)) for name, one in known.items()}).drop(*[f"__in_{name}" for name in among])
+    parts, along = [*keys, "__cell"], Window.partitionBy(*keys).orderBy("__cell")
+    at = {name: F.when(one, F.col("bin_start")) for name, one in known.items()}
+    sums = local.groupBy(*parts).agg(*[x for name in among for x in (F.min(at[name]).alias(f"__a_{name}"), F.max_by("bin_end", at[name]).alias(f"__z_{name}"), F.coalesce(F.max(name), F.lit(0)).alias(f"__n_{name}"))])
+    past = along.rowsBetween(*BEFORE)
+    opens = sums.withColumns({f"__o_{name}": (F.col(f"__a_{name}").isNotNull() & ~F.col(f"__a_{name}").eqNullSafe(F.last(f"__z_{name}", ignorenulls=True).over(past))).cast("long") for name in among})
+    carried = opens.select(*parts, *[(F.col(f"__o_{name}") + F.coalesce(F.sum(F.col(f"__n_{name}") + F.col(f"__o_{name}")).over(past), F.lit(0))).alias(f"__c_{name}") for name in among])
+    both = same(local, carried, parts)
+    return both.withColumns({name: F.when(one, F.col(name) + F.col(f"__c_{name}")) for name, one in known.items()}).drop("__cell", *[f"__{x}_{name}" for x in ("in", "c") for name in among])
+
+
 def contiguous_runs(bins: DataFrame, keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
     """bins with run, cut where a bin doesn't begin at the end of the one before."""
-    last = scan(bins, keys, "bin_start", {"__last": ("lag", "bin_end")}, cell)
-    new = last.withColumn("__new", F.coalesce((F.col("bin_start") != F.col("__last")).cast("long"), F.lit(1)))
-    return scan(new, keys, "bin_start", {"run": ("sum", "__new")}, cell).drop("__last", "__new")
+    return numbered_runs(bins, {"run": F.lit(True)}, keys, cell)
 
 
 def domains(labelled: DataFrame, keys: tuple[str, ...] = ("chrom",), cell: int | None = None) -> DataFrame:
