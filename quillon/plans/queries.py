@@ -304,7 +304,8 @@ ENRICH = LABELLED + ", v AS (SELECT chrom, s // 3600 * 3600 AS b, avg(value) AS
 def _event_blocks(spark: SparkSession, sf: str) -> DataFrame:
     ev = spans(spark, sf)
     means = ev.groupBy("chrom", (F.floor(F.col("start") / WIDTH) * WIDTH).alias("bin_start")).agg(F.avg("value").alias("score"))
-    return enrichment.event_blocks(_labelled(spark, sf).join(means, ["chrom", "bin_start"]), WIDTH, 86400, cell=CELL)
+    bins = means.where("chrom IS NOT NULL AND bin_start IS NOT NULL").withColumn("bin_end", F.col("bin_start") + WIDTH)  # hours with their scores
+    return enrichment.event_blocks(intervals.label_bins(bins, ev.where("concept = 'purchase'"), width=WIDTH), WIDTH, 86400, cell=CELL)
 
 
 @query(ENRICH + " SELECT block, round(es, 6) AS event_sum, en AS n_events, round(bs, 6) AS background_sum, bn AS n_background FROM blocks")
